@@ -17,7 +17,8 @@ ZONE_OFFSETS = {
 def parse_date(value: Column) -> Column:
     """ISO 8601, or mail style with or without a weekday; otherwise null.
 
-    The weekday is ignored, as it is redundant and sometimes wrong.
+    The weekday is ignored, as it is redundant and sometimes wrong. Pass a plain
+    column: the value is used several times.
     """
     bare = F.regexp_replace(F.trim(value), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
     zone = F.upper(F.regexp_extract(bare, r"\s([A-Za-z]{1,3})$", 1))

@@ -156,7 +156,8 @@ def shorten_error(message: Column, limit: int = 500) -> Column:
 
 # ---------------------------------------------------------------- numbers
 def unit_interval(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clamp to 0..1; null stays null."""
+    return F.when(value < 0, F.lit(0.0)).when(value > 1, F.lit(1.0)).otherwise(value)
 
 
 def round_places(value: Column, places: int) -> Column:
@@ -167,7 +168,7 @@ def round_places(value: Column, places: int) -> Column:
 
 def two_decimals(value: Column) -> Column:
     """Decimal label with two places."""
-    return F.format_string("%.2f", value)
+    return F.when(value.isNotNull(), F.format_string("%.2f", value))
 
 
 def number_or(value: Column, fallback: Column) -> Column:

@@ -46,16 +46,15 @@ def flag_known(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """
     out = entries
     for name in ("external_id", "url"):
-        out = out.withColumn("_k", F.when(_present(name).isNotNull(), _key(F.col("source_id"), F.col(name))))
         seen = (
             stored.where(_present(name).isNotNull())
-            .select(_key(F.col("source_id"), F.col(name)).alias("_k"))
+            .select("source_id", name)
             .distinct()
             .withColumn(f"_known_{name}", F.lit(True))
         )
-        out = lookup(out, seen, "_k", [f"_known_{name}"], spread=["row_id"]).drop("_k")
-    known = reduce(lambda a, b: a | b, [F.col(f"_known_{n}").isNotNull() for n in ("external_id", "url")])
-    return out.withColumn("known", known).drop("_known_external_id", "_known_url")
+        out = out.join(seen, ["source_id", name], "left")
+    known = F.col("_known_external_id").isNotNull() | F.col("_known_url").isNotNull()
+    return out.withColumn("known", known).select(*entries.columns, "known")
 
 
 def _fold_small(pairs: DataFrame) -> DataFrame:
@@ -94,7 +93,7 @@ def _first_holder(rows: DataFrame, key: str, other: str) -> DataFrame:
 def _settle(own: DataFrame, own_key: str, facing: DataFrame, facing_key: str, out: str) -> DataFrame:
     """Mark keys whose first row is also first at its other key."""
     facing = facing.select(F.col(facing_key).alias("first_other"), F.col("first_pos").alias("_facing_pos"))
-    joined = lookup(own, facing, "first_other", ["_facing_pos"], spread=[own_key])
+    joined = own.join(facing, "first_other", "left")
     taken = F.col("first_other").isNull() | (F.col("_facing_pos") == F.col("first_pos"))
     return joined.select(own_key, F.col("first_pos").alias(f"{out}_pos"), taken.alias(f"{out}_taken"), "n")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleanery.operators.skew import lookup
 
 
 def entry_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -15,9 +14,7 @@ def entry_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("topic").alias("source_topic"),
         "source_type",
     )
-    keyed = entries.select("capture_entry_id", "source_id")
-    values = ["source_name", "source_topic", "source_type"]
-    return lookup(keyed, named, "source_id", values, spread=["capture_entry_id"])
+    return entries.select("capture_entry_id", "source_id").join(named, "source_id", "left").drop("source_id")
 
 
 def item_context(
@@ -26,15 +23,11 @@ def item_context(
     """items with capture_entry_id, source_name, source_topic, source_type.
 
     Wide item rows are joined once, by their own unique id. The chain behind
-    them runs on narrow id rows, where one entry or source may own most assets.
+    them runs on narrow id rows; where one entry or source owns most assets,
+    adaptive execution splits its partition (both joins are plain equi-joins).
     """
-    values = ["source_name", "source_topic", "source_type"]
-    chain = lookup(
-        assets.select("raw_asset_id", "capture_entry_id"),
-        entry_sources(entries, sources),
-        "capture_entry_id",
-        values,
-        spread=["raw_asset_id"],
+    chain = assets.select("raw_asset_id", "capture_entry_id").join(
+        entry_sources(entries, sources), "capture_entry_id", "left"
     )
     return items.join(chain, "raw_asset_id", "left")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import text
-from gleanery.operators.skew import first_per_key, lookup
+from gleanery.operators.skew import first_per_key
 
 
 def group_id(tag: Column) -> Column:
@@ -52,9 +52,9 @@ def replace_memberships(members: DataFrame, enriched: DataFrame) -> DataFrame:
 def topic_titles(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Group title per item, null when the item sits in several groups."""
     titles = groups.where("group_type = 'topic'").select("group_id", F.col("title").alias("group_title"))
-    known = lookup(members.select("item_id", "group_id"), titles, "group_id", ["group_title"], spread=["item_id"])
     return (
-        known.where("group_title is not null")
+        members.select("item_id", "group_id")
+        .join(titles, "group_id")
         .groupBy("item_id")
         .agg(F.when(F.count("*") == 1, F.min("group_title")).alias("topic_group_title"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import dates, text, urls
-from gleanery.operators.skew import first_per_key, lookup
+from gleanery.operators.skew import first_per_key
 from gleanery.operators.timeline import with_previous_value
 
 NAME_REQUIRED = "Source name is required."
@@ -89,7 +89,7 @@ def check_commands(commands: DataFrame, existing: DataFrame | None = None) -> Da
     walked = with_previous_value(named, ["source_id"], "at", ["command_id"], "_makes", "_before")
     if existing is not None:
         start = existing.select("source_id").distinct().withColumn("_start", F.lit(True))
-        walked = lookup(walked, start, "source_id", ["_start"], spread=["command_id"])
+        walked = walked.join(start, "source_id", "left")
     else:
         walked = walked.withColumn("_start", F.lit(None).cast("boolean"))
     exists = F.coalesce("_before", "_start", F.lit(False))

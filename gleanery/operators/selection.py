@@ -76,20 +76,34 @@ def assemble_candidates(
     )
 
 
-# ------------------------------------------------------------------ scores
-def with_content_quality(candidates: DataFrame) -> DataFrame:
+# ------------------------------------------------------------------ content
+_COLLAPSED = ("_title", "_summary", "_content", "_why")
+
+
+def _with_collapsed(candidates: DataFrame) -> DataFrame:
     summary = F.coalesce("summary_short", "summary_long")
-    return (
-        candidates.withColumn("body_meaningful", quality.body_is_meaningful(F.col("content_text")))
-        .withColumn("summary_meaningful", quality.summary_is_meaningful(summary, F.col("title")))
-        .withColumn("why_meaningful", quality.why_is_meaningful(F.col("why_it_matters")))
+    texts = (F.col("title"), summary, F.col("content_text"), F.col("why_it_matters"))
+    return candidates.select("*", *[quality.collapsed(t).alias(n) for n, t in zip(_COLLAPSED, texts)])
+
+
+def _with_quality(collapsed: DataFrame) -> DataFrame:
+    title, summary, content, why = [F.col(name) for name in _COLLAPSED]
+    return collapsed.select(
+        "*",
+        quality.body_is_meaningful(content).alias("body_meaningful"),
+        quality.summary_is_meaningful(summary, title).alias("summary_meaningful"),
+        quality.why_is_meaningful(why).alias("why_meaningful"),
     )
 
 
+def with_content_quality(candidates: DataFrame) -> DataFrame:
+    """Add body_meaningful, summary_meaningful and why_meaningful."""
+    return _with_quality(_with_collapsed(candidates)).drop(*_COLLAPSED)
+
+
+# ------------------------------------------------------------------ scores
 def with_selection_scores(candidates: DataFrame) -> DataFrame:
-    """Add importance, novelty, quality_adjustment and total_score."""
-    title = text.collapse(F.coalesce("title", F.lit("")))
-    summary = F.coalesce("summary_short", "summary_long")
+    """Add content quality, importance, novelty, quality_adjustment and total_score."""
 
     def part(holds, amount):
         return F.when(holds, F.lit(amount)).otherwise(F.lit(0.0))
@@ -97,27 +111,28 @@ def with_selection_scores(candidates: DataFrame) -> DataFrame:
     def unit(name):
         return text.unit_interval(text.round_places(F.coalesce(F.col(name), F.lit(0.0)), 3))
 
-    grouped = text.is_present(F.col("topic_group_title"))
     adjustment = (
         part(F.col("summary_meaningful"), 0.02)
         + part(F.col("why_meaningful"), 0.04)
-        + part(grouped, 0.02)
+        + part(text.is_present(F.col("topic_group_title")), 0.02)
         - part(~F.col("summary_meaningful"), 0.04)
-        - part(text.is_roundup(title), 0.12)
-        - part(quality.repeats_title(summary, F.col("title")), 0.04)
+        - part(F.col("roundup_title"), 0.12)
+        - part(quality.repeats_title(F.col("_summary"), F.col("_title")), 0.04)
     )
-    scored = (
-        with_content_quality(candidates)
-        .withColumn("importance", unit("importance_score"))
-        .withColumn("novelty", unit("novelty_score"))
-        .withColumn("_adjustment", adjustment)
+    judged = _with_quality(_with_collapsed(candidates)).select(
+        "*",
+        unit("importance_score").alias("importance"),
+        unit("novelty_score").alias("novelty"),
+        text.is_roundup(F.col("_title")).alias("roundup_title"),
+        (F.col("_title") == "").alias("untitled"),
     )
+    adjusted = judged.withColumn("_adjustment", adjustment)
     total = weighted_signal(F.col("importance"), F.col("novelty")) + F.col("_adjustment")
-    return (
-        scored.withColumn("quality_adjustment", text.round_places(F.col("_adjustment"), 3))
-        .withColumn("total_score", text.round_places(total, 3))
-        .drop("_adjustment")
-    )
+    return adjusted.select(
+        "*",
+        text.round_places(F.col("_adjustment"), 3).alias("quality_adjustment"),
+        text.round_places(total, 3).alias("total_score"),
+    ).drop("_adjustment", *_COLLAPSED)
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:
@@ -126,19 +141,18 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
 
 def hard_filter_reasons(policy: Policy = Policy()) -> Column:
     """Every reason a scored candidate can never be shown, in order."""
-    title = text.collapse(F.coalesce("title", F.lit("")))
     weak = (F.coalesce("importance_score", F.lit(0.0)) < 0.4) & (
         F.coalesce("novelty_score", F.lit(0.0)) < 0.45
     )
     return _reasons(
         (F.col("duplicate_of_item_id").isNotNull(), "duplicate_item"),
         (F.col("preserve_recommendation") == "discard", "discarded_by_enrichment"),
-        (title == "", "missing_title"),
+        (F.col("untitled"), "missing_title"),
         (~F.col("summary_meaningful") & ~F.col("body_meaningful"), "no_meaningful_visible_content"),
         (F.col("importance_score").isNull() | F.col("novelty_score").isNull(), "missing_signal_scores"),
         (weak, "low_signal_scores"),
         (F.col("total_score") < policy.min_score, "below_review_threshold"),
-        (text.is_roundup(title) & (F.col("total_score") < 0.72), "roundup_low_review_value"),
+        (F.col("roundup_title") & (F.col("total_score") < 0.72), "roundup_low_review_value"),
     )
 
 

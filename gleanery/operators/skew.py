@@ -17,50 +17,42 @@ def lookup(
     key: str,
     values: Sequence[str],
     *,
-    weight: str | None = None,
+    weight: str,
     spread: Sequence[str],
     min_rows: int = HOT_KEY_MIN_ROWS,
 ) -> DataFrame:
-    """Left-join unique ``right`` rows to a possibly skewed ``left``.
+    """Left-join unique ``right`` rows to a ``left`` grouped by a data-made key.
 
-    The heaviest keys (at most ``HOT_KEY_LIMIT`` of them, so the broadcast is
-    bounded by construction) are answered map-side. Their rows, and rows with a
-    null key, then carry a scattered key through the ordinary join, so no
-    partition receives a whole hot group. ``weight`` names the right column
-    holding the number of left rows per key; without it left is counted.
+    ``weight`` names the right column with the number of left rows per key, known
+    from the aggregation that made ``right``. The heaviest keys (at most
+    ``HOT_KEY_LIMIT``, so the broadcast is bounded by construction) are answered
+    map-side. Their rows, and rows with a null key, then carry a scattered key
+    through the ordinary join, so no partition receives a whole hot group.
     """
-    kept = right.select(key, *values, *([weight] if weight and weight not in values else []))
-    if weight is None:
-        weight = "_rows"
-        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(weight))
-        heavy = counts.where(F.col(weight) >= min_rows)
-        hot = heavy.orderBy(F.desc(weight), key).limit(HOT_KEY_LIMIT)
-        hot = hot.join(kept, key, "left")
-    else:
-        heavy = kept.where(F.col(weight) >= min_rows)
-        hot = heavy.orderBy(F.desc(weight), key).limit(HOT_KEY_LIMIT)
-    hot = hot.select(
-        F.col(key).alias("_hot_key"), *[F.col(value).alias(f"_hot_{value}") for value in values]
+    if left.schema[key].dataType.simpleString() != "string":
+        raise ValueError(f"lookup key {key} must be a string")
+    hot = (
+        right.where(F.col(weight) >= min_rows)
+        .orderBy(F.desc(weight), key)
+        .limit(HOT_KEY_LIMIT)
+        .select(F.col(key).alias("_hot_key"), *[F.col(value).alias(f"_hot_{value}") for value in values])
     )
     cold = right.select(
         F.col(key).alias("_cold_key"), *[F.col(value).alias(f"_cold_{value}") for value in values]
     )
-    kind = left.schema[key].dataType.simpleString()
-    if kind != "string":
-        raise ValueError(f"lookup key {key} must be a string, not {kind}")
-    answered = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     scattered = F.concat(
         F.lit("\u0001scatter:"), F.pmod(F.xxhash64(*spread), F.lit(SCATTER)).cast("string")
     )
-    skip = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    answered = answered.withColumn("_join_key", F.when(skip, scattered).otherwise(F.col(key)))
+    is_hot = F.col("_hot_key").isNotNull()
+    answered = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_join_key", F.when(is_hot | F.col(key).isNull(), scattered).otherwise(F.col(key))
+    )
     joined = answered.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
-    for value in values:
-        joined = joined.withColumn(
-            value,
-            F.when(F.col("_hot_key").isNotNull(), F.col(f"_hot_{value}")).otherwise(F.col(f"_cold_{value}")),
-        )
-    return joined.select(*left.columns, *[value for value in values if value not in left.columns])
+    found = [
+        F.when(is_hot, F.col(f"_hot_{value}")).otherwise(F.col(f"_cold_{value}")).alias(value)
+        for value in values
+    ]
+    return joined.select(*left.columns, *found)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -51,7 +51,20 @@ def inbox_rows(selected: DataFrame) -> DataFrame:
     """Display columns of selected items."""
     title = F.coalesce(text.blank_to_null(F.col("title")), F.lit("Untitled item"))
     source = text.blank_to_null(F.col("source_name"))
-    return selected.select(
+    names = {"_title": "title", "_short": "summary_short", "_long": "summary_long", "_content": "content_text"}
+    staged = selected.select("*", *[quality.collapsed(F.col(c)).alias(n) for n, c in names.items()])
+    head = F.col("_title")
+    staged = staged.withColumn(
+        "_fallback",
+        F.coalesce(
+            quality.first_standalone_sentence(F.col("_long"), head),
+            quality.first_standalone_sentence(F.col("_content"), head),
+        ),
+    )
+    summary = F.when(quality.is_standalone(F.col("_short"), head), F.col("_short")).otherwise(
+        text.cut_at_word(F.col("_fallback"))
+    )
+    return staged.select(
         "item_id",
         "audience",
         title.alias("title"),
@@ -59,9 +72,7 @@ def inbox_rows(selected: DataFrame) -> DataFrame:
         source.alias("source_name"),
         text.blank_to_null(F.col("source_topic")).alias("source_topic"),
         F.when(F.col("source_type") == "rss", "RSS").otherwise(F.col("source_type")).alias("source_type_label"),
-        quality.display_summary(
-            F.col("summary_short"), F.col("summary_long"), F.col("content_text"), F.col("title")
-        ).alias("summary_short"),
+        summary.alias("summary_short"),
         dates.label(F.col("published_at")).alias("published_at_label"),
         preview_label(source, F.col("topic"), title).alias("preview_label"),
         "classification",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES = {
     "sources": (
         "source_id string, source_type string, source_ref string, source_url string, name string, "
         "topic string, status string, created_at timestamp, updated_at timestamp"
@@ -53,8 +51,6 @@ _DDL = {
     ),
 }
 
-TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 ENUM_COLUMNS = {
     "sources": {"source_type": "source_type", "status": "source_status"},
     "capture_entries": {"entry_type": "entry_type", "entry_status": "entry_status"},

@@ -102,11 +102,13 @@ def rss_assets(classified: DataFrame) -> DataFrame:
         _text(channel["language"]).alias("language"),
     )
     usable = classified.where("feed_kind = 'rss' and error is null")
-    rows = usable.select("payload_id", "source_id", feed.alias("feed"), F.posexplode(channel["item"]).alias("pos", "i"))
+    rows = usable.select("payload_id", "source_id", feed.alias("feed"), channel["item"].alias("list"))
+    rows = rows.select("payload_id", "source_id", "feed", F.posexplode("list").alias("pos", "i"))
     names = [field.name for field in rows.schema["i"].dataType.fields if field.name != "_VALUE"]
     item = F.col("i")
     url = _url(item["link"])
-    return rows.where(_is_record(item, names)).select(
+    stated = F.coalesce(*[_text(item[name]) for name in ("pubDate", "isoDate", "published", "updated")])
+    return rows.where(_is_record(item, names)).withColumn("_stated", stated).select(
         "payload_id",
         "source_id",
         F.lit("rss").alias("feed_kind"),
@@ -115,9 +117,7 @@ def rss_assets(classified: DataFrame) -> DataFrame:
         _text(item["title"]).alias("title"),
         F.coalesce(*[_text(item[name]) for name in ("dc:creator", "author", "creator")]).alias("author"),
         url.alias("url"),
-        dates.parse_date(
-            F.coalesce(*[_text(item[name]) for name in ("pubDate", "isoDate", "published", "updated")])
-        ).alias("published_at"),
+        dates.parse_date(F.col("_stated")).alias("published_at"),
         F.coalesce(*[_text(item[name]) for name in ("content:encoded", "description", "content")]).alias(
             "raw_content"
         ),
@@ -137,11 +137,13 @@ def atom_assets(classified: DataFrame) -> DataFrame:
         text.blank_to_null(doc["_xml:lang"]).alias("language"),
     )
     usable = classified.where("feed_kind = 'atom' and error is null")
-    rows = usable.select("payload_id", "source_id", feed.alias("feed"), F.posexplode(doc["entry"]).alias("pos", "i"))
+    rows = usable.select("payload_id", "source_id", feed.alias("feed"), doc["entry"].alias("list"))
+    rows = rows.select("payload_id", "source_id", "feed", F.posexplode("list").alias("pos", "i"))
     names = [field.name for field in rows.schema["i"].dataType.fields if field.name != "_VALUE"]
     entry = F.col("i")
     url = _atom_link(entry["link"])
-    return rows.where(_is_record(entry, names)).select(
+    stated = F.coalesce(_text(entry["published"]), _text(entry["updated"]))
+    return rows.where(_is_record(entry, names)).withColumn("_stated", stated).select(
         "payload_id",
         "source_id",
         F.lit("atom").alias("feed_kind"),
@@ -150,7 +152,7 @@ def atom_assets(classified: DataFrame) -> DataFrame:
         _text(entry["title"]).alias("title"),
         F.coalesce(_text(entry["author"]["name"]), text.blank_to_null(entry["author"]["_VALUE"])).alias("author"),
         url.alias("url"),
-        dates.parse_date(F.coalesce(_text(entry["published"]), _text(entry["updated"]))).alias("published_at"),
+        dates.parse_date(F.col("_stated")).alias("published_at"),
         F.coalesce(_text(entry["content"]), _text(entry["summary"])).alias("raw_content"),
         "feed",
         F.to_json(entry).alias("raw_item"),

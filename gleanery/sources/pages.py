@@ -21,9 +21,9 @@ _NOISE = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style"
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute inside one tag's text, collapsed; null if blank."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    values = [F.nullif(F.regexp_extract(tag, pattern, group), F.lit("")) for group in (1, 2, 3)]
-    return F.nullif(text.collapse(text.decode_entities(F.coalesce(*values))), F.lit(""))
+    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    value = F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""^["']|["']$""", "")
+    return F.nullif(text.collapse(text.decode_entities(value)), F.lit(""))
 
 
 def meta_content(html: Column, key: str, value: str) -> Column:
@@ -33,11 +33,12 @@ def meta_content(html: Column, key: str, value: str) -> Column:
     return attribute(tag, "content")
 
 
-def published_at(html: Column) -> Column:
+def with_published_at(pages: DataFrame) -> DataFrame:
     """Publishing date; the first stated value decides, a bad one gives null."""
-    time_tag = F.regexp_extract(html, r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0)
-    stated = [meta_content(html, key, value) for key, value in PUBLISHED_META]
-    return dates.parse_date(F.coalesce(*stated, attribute(time_tag, "datetime")))
+    time_tag = F.regexp_extract("html", r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0)
+    stated = [meta_content(F.col("html"), key, value) for key, value in PUBLISHED_META]
+    found = pages.withColumn("_stated", F.coalesce(*stated, attribute(time_tag, "datetime")))
+    return found.withColumn("published_at", dates.parse_date(F.col("_stated"))).drop("_stated")
 
 
 def article_html(html: Column) -> Column:
@@ -65,7 +66,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     first_paragraph = F.regexp_extract(F.col("content_html"), r"(?is)<p\b[^>]*>(.*?)</p\s*>", 1)
     root = F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0)
-    found = pages.withColumn("content_html", article_html(html))
+    found = with_published_at(pages).withColumn("content_html", article_html(html))
 
     def clean(value: Column) -> Column:
         return F.nullif(text.collapse(text.decode_entities(value)), F.lit(""))
@@ -76,7 +77,6 @@ def extract_articles(pages: DataFrame) -> DataFrame:
         .withColumn("author", meta_content(html, "name", "author"))
         .withColumn("language", attribute(root, "lang"))
         .withColumn("site_name", meta_content(html, "property", "og:site_name"))
-        .withColumn("published_at", published_at(html))
         .withColumn(
             "excerpt",
             F.coalesce(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from gleanery import schemas
 from gleanery.fixed_values import ENUMS
@@ -20,7 +21,8 @@ def read_table(
     if format == "jdbc":
         reader = spark.read.format("jdbc").option("url", location)
         loaded = reader.options(**({"dbtable": name} | options)).load()
-        return loaded.select(*[F.col(field.name).cast(field.dataType) for field in schema])
+        fields = StructType.fromDDL(schema)
+        return loaded.select(*[F.col(field.name).cast(field.dataType) for field in fields])
     return spark.read.format(format).schema(schema).options(**options).load(location)
 
 
