@@ -2,10 +2,16 @@
 
 # --- fixed values: character classes -------------------------------------
 # White space as the web platform defines it (Java's \s is ASCII only).
-SPACE_CHARS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-LINE_END_CHARS = r"\n\r\x{2028}\x{2029}"
+SPACE_CHARS = r"\t-\r\p{Z}\x{FEFF}"
 SPACE = "[" + SPACE_CHARS + "]"
 NOT_SPACE = "[^" + SPACE_CHARS + "]"
+# The same set as plain characters, for trimming.
+SPACE_TEXT = "".join(
+    chr(code)
+    for code in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+                 0x3000, 0xFEFF)
+)
+LINE_END_CHARS = r"\n\r\x{2028}\x{2029}"
 # ASCII word boundary after a word; Java's \b also counts accented letters.
 WORD_END = "(?![A-Za-z0-9_])"
 WORD_START = "(?<![A-Za-z0-9_])"

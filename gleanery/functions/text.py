@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -12,12 +13,20 @@ from gleanery import fixed_values as V
 # ---------------------------------------------------------------- white space
 def strip(value: Column) -> Column:
     """Trim every kind of Unicode white space, not just U+0020."""
-    return F.regexp_replace(value, f"^{V.SPACE}+|{V.SPACE}+$", "")
+    return F.btrim(value, F.lit(V.SPACE_TEXT))
+
+
+def strip_end(value: Column) -> Column:
+    return F.rtrim(value, F.lit(V.SPACE_TEXT))
+
+
+# White-space runs other than one plain space; those need no replacement.
+_WIDE_SPACE = f"(?: {V.SPACE}|[{V.SPACE_CHARS}&&[^ ]]){V.SPACE}*"
 
 
 def collapse(value: Column) -> Column:
     """White-space runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(value, f"{V.SPACE}+", " "))
+    return F.trim(F.regexp_replace(value, _WIDE_SPACE, " "))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -68,12 +77,21 @@ def distinct_present(values: Column) -> Column:
 
 
 def contains_any(value: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(value.rlike("(" + "|".join(words) + ")"), F.lit(False))
+    """One of the words occurs anywhere, also inside other words."""
+    found = [F.contains(value, F.lit(word)) for word in words]
+    return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
+
 
+def first_group_number(value: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """Number of the first group with a whole word in the text, null if none.
 
-def contains_word(value: Column, words: tuple[str, ...]) -> Column:
-    pattern = V.WORD_START + "(" + "|".join(words) + ")" + V.WORD_END
-    return F.coalesce(value.rlike(pattern), F.lit(False))
+    One scan for the words of all groups.
+    """
+    numbers = {word: number for number, words in reversed(list(enumerate(groups))) for word in words}
+    pattern = V.WORD_START + "(" + "|".join(numbers) + ")" + V.WORD_END
+    found = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)))
+    table = F.create_map(*[F.lit(part) for pair in numbers.items() for part in pair])
+    return F.array_min(F.transform(found, lambda word: F.element_at(table, word)))
 
 
 # ---------------------------------------------------------------- titles
@@ -104,9 +122,10 @@ def is_roundup(title: Column) -> Column:
 
 # ---------------------------------------------------------------- markup
 def decode_entities(value: Column) -> Column:
-    return reduce(
+    decoded = reduce(
         lambda text, entity: F.regexp_replace(text, "(?i)" + entity[0], entity[1]), V.ENTITIES, value
     )
+    return F.when(F.contains(value, F.lit("&")), decoded).otherwise(value)
 
 
 def html_to_text(html: Column) -> Column:
@@ -132,7 +151,7 @@ def markdown_preview(body: Column, limit: int = 220) -> Column:
 
 
 def cut_with_ellipsis(text: Column, limit: int) -> Column:
-    short = F.regexp_replace(F.substring(text, 1, limit - 1), f"{V.SPACE}+$", "")
+    short = strip_end(F.substring(text, 1, limit - 1))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit(V.ELLIPSIS)))
 
 
@@ -144,8 +163,7 @@ def cut_at_word(text: Column, limit: int = 180, least: int = 80) -> Column:
     kept = F.when(last_space < least, F.substring(text, 1, limit)).otherwise(
         F.substring(text, F.lit(1), last_space)
     )
-    kept = F.regexp_replace(kept, f"{V.SPACE}+$", "")
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(kept, F.lit(V.ELLIPSIS)))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(strip_end(kept), F.lit(V.ELLIPSIS)))
 
 
 def shorten_error(message: Column, limit: int = 500) -> Column:

@@ -12,35 +12,28 @@ def topic_from_title(title: Column) -> Column:
     """Title up to the first bar or colon followed by white space, 80 characters."""
     line = "[^" + V.LINE_END_CHARS + "]"
     cut = text.strip(F.regexp_replace(title, rf"[|:]{V.SPACE}{line}+\z", ""))
-    head = F.regexp_replace(F.substring(cut, 1, 80), f"{V.SPACE}+$", "")
-    return F.when(F.length(cut) > 80, head).otherwise(cut)
+    return F.when(F.length(cut) > 80, text.strip_end(F.substring(cut, 1, 80))).otherwise(cut)
 
 
 def classify(items: DataFrame, rules=V.CLASSIFICATION_RULES) -> DataFrame:
     """Add classification, topic and tags from an ordered rule list."""
     parts = [F.col(name) for name in ("source_topic", "title", "content_text")]
     haystack = F.lower(F.concat_ws(" ", *[F.when(text.is_present(part), part) for part in parts]))
-    rule_number = F.lit(None).cast("int")
-    for number, rule in reversed(list(enumerate(rules))):
-        rule_number = F.when(text.contains_word(haystack, rule[3]), F.lit(number)).otherwise(rule_number)
-    found = items.withColumn("_rule", rule_number)
+    found = items.withColumn("_rule", text.first_group_number(haystack, [rule[3] for rule in rules]))
 
-    def of_rule(value):
-        choice = F.lit(None)
-        for number, rule in enumerate(rules):
-            choice = F.when(F.col("_rule") == number, value(rule)).otherwise(choice)
-        return choice
+    def of_rule(values: list[Column]) -> Column:
+        return F.get(F.array(*values), F.col("_rule"))
 
     source_topic = text.blank_to_null(F.col("source_topic"))
     found = found.withColumn(
         "topic",
         F.coalesce(
-            of_rule(lambda rule: F.lit(rule[1])),
+            of_rule([F.lit(rule[1]) for rule in rules]),
             source_topic,
             F.nullif(topic_from_title(F.col("title")), F.lit("")),
         ),
     )
-    rule_tags = of_rule(lambda rule: F.array(*[F.lit(tag) for tag in rule[2]]))
+    rule_tags = of_rule([F.array(*[F.lit(tag) for tag in rule[2]]) for rule in rules])
     topic_tag = F.replace(text.slugify(F.col("topic")), F.lit("-"), F.lit("_"))
     language_tag = F.when(
         text.is_present(F.col("language")), F.concat(F.lit("lang_"), F.lower(F.col("language")))
@@ -53,7 +46,7 @@ def classify(items: DataFrame, rules=V.CLASSIFICATION_RULES) -> DataFrame:
         )
     )
     label = F.coalesce(
-        of_rule(lambda rule: F.lit(rule[0])),
+        of_rule([F.lit(rule[0]) for rule in rules]),
         F.when(source_topic.isNotNull(), F.lit("topic-tracked")),
         F.lit("general"),
     )

@@ -14,7 +14,9 @@ def with_rule_scores(items: DataFrame, as_of: Column) -> DataFrame:
     Points are whole hundredths, so sums are exact on every engine.
     """
     length = F.coalesce(F.length(text.strip(F.col("content_text"))), F.lit(0))
-    lowered = [F.lower(F.col(name)) for name in ("title", "content_text", "source_topic")]
+    names = ("title", "content_text", "source_topic")
+    lowered = [F.col(f"_lower_{name}") for name in names]
+    items = items.select("*", *[F.lower(name).alias(f"_lower_{name}") for name in names])
 
     def mentions(words, columns):
         found = F.lit(False)
@@ -49,5 +51,5 @@ def with_rule_scores(items: DataFrame, as_of: Column) -> DataFrame:
         checked.withColumn("importance_score", points(30, 2))
         .withColumn("novelty_score", points(75, 3))
         .withColumn("rationale", rationale)
-        .drop("_checks")
+        .drop("_checks", *[f"_lower_{name}" for name in names])
     )

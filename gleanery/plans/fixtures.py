@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanery.functions import text
 from gleanery.operators.groups import group_id
 from gleanery.session import tune
+from gleanery.sources.tables import spread
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = "2024-01-25 00:00:00"
 _JAN_1 = 1704067200000000  # 2024-01-01 UTC in microseconds
 _FEB_1 = 1706745600000000
@@ -28,7 +30,8 @@ SOURCE_TOPIC = "case lang when 'en' then 'AI' when 'fr' then 'Systems' when 'es'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def at_minutes(base: int, expression: str) -> str:

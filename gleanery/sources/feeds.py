@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import dates, text
+from gleanery.functions.staging import with_once
 
 _TEXT = "struct<_VALUE:string>"
 _LINK = "struct<_VALUE:string,_rel:string,_href:string,_url:string>"
@@ -61,8 +62,8 @@ def _is_record(item: Column, schema_fields: list[str]) -> Column:
 
 def feed_root(xml: Column) -> Column:
     """Local name of the root element, null if there is none."""
-    body = F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", "")
-    return F.nullif(F.regexp_extract(body, r"\A\s*<([A-Za-z_][\w.\-]*)", 1), F.lit(""))
+    lead = r"(?s)\A(?:\s|\x{FEFF}|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([A-Za-z_][\w.\-]*)"
+    return F.nullif(F.regexp_extract(xml, lead, 1), F.lit(""))
 
 
 def classify_payloads(payloads: DataFrame) -> DataFrame:
@@ -70,12 +71,13 @@ def classify_payloads(payloads: DataFrame) -> DataFrame:
 
     ``payloads``: payload_id, source_id, source_url, xml.
     """
-    root = feed_root(F.col("xml"))
-    parsed = payloads.withColumn("feed_kind", F.when(root == "rss", "rss").when(root == "feed", "atom"))
-    parsed = parsed.withColumn(
-        "_rss", F.when(F.col("feed_kind") == "rss", F.from_xml("xml", RSS_SCHEMA, XML_OPTIONS))
-    ).withColumn(
-        "_atom", F.when(F.col("feed_kind") == "atom", F.from_xml("xml", ATOM_SCHEMA, XML_OPTIONS))
+    root = F.col("_root")
+    parsed = with_once(payloads, _root=feed_root(F.col("xml")))
+    parsed = parsed.withColumn("feed_kind", F.when(root == "rss", "rss").when(root == "feed", "atom"))
+    parsed = with_once(
+        parsed,
+        _rss=F.when(F.col("feed_kind") == "rss", F.from_xml("xml", RSS_SCHEMA, XML_OPTIONS)),
+        _atom=F.when(F.col("feed_kind") == "atom", F.from_xml("xml", ATOM_SCHEMA, XML_OPTIONS)),
     )
     closed = F.col("xml").rlike(
         r"(?s)</(rss|feed)\s*>\s*(<!--.*?-->\s*)*\z|<(rss|feed)\b[^>]*/>\s*\z"
@@ -88,7 +90,7 @@ def classify_payloads(payloads: DataFrame) -> DataFrame:
         .when(no_channel, "RSS channel is missing")
     )
     error = F.concat(problem, F.lit(" for source "), F.col("source_id").cast("string"), F.lit("."))
-    return parsed.withColumn("error", error)
+    return with_once(parsed, error=error).drop("_root")
 
 
 def rss_assets(classified: DataFrame) -> DataFrame:
