@@ -150,7 +150,7 @@ def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFr
     scope = _key(F.col("source_id"), F.col("batch_id"))
     keyed = entries.select(
         scope.alias("scope"),
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         F.col("row_id").cast("bigint").alias("row_id"),
         *[
             F.when(_present(name).isNotNull(), _key(scope, F.lit(kind), F.col(name))).alias(alias)
@@ -178,7 +178,8 @@ def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFr
 def capture_dedupe(entries: DataFrame, stored: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Add ``decision``: kept, known (stored before) or batch_duplicate.
 
-    ``entries``: row_id, source_id, batch_id, pos, external_id, url.
+    ``entries``: row_id, source_id, batch_id, pos (any orderable value, unique in
+    its batch), external_id, url.
     ``stored``: source_id, external_id, url.
     """
     flagged = flag_known(entries, stored)
@@ -271,7 +272,7 @@ def sync_cursors(entries: DataFrame, *, limit: int = CURSOR_LIMIT) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first_pos", "kind", "value"))).alias("listed")
     )
     joined = counts.join(ranked, scope, "left").join(listed, scope, "left")
-    empty = F.array().cast("array<struct<first_pos:bigint,kind:string,value:string>>")
+    empty = F.array().cast(listed.schema["listed"].dataType)
     joined = joined.withColumn("member_count", F.coalesce("member_count", F.lit(0))).withColumn(
         "listed", F.coalesce(F.col("listed"), empty)
     )

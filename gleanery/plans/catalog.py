@@ -12,6 +12,7 @@ from gleanery.operators import (
     selection,
 )
 from gleanery.plans import fixtures as fx, views
+from gleanery.session import ensure_checkpoint_dir
 from gleanery.sources import feeds, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,11 +109,17 @@ def selection_summary(spark, d):
     return selection.selection_summary(_decisions(spark, d))
 
 
+def _stored(decisions):
+    """Decisions as a stored table: views read a selection, they never redo it."""
+    ensure_checkpoint_dir(decisions.sparkSession)
+    return decisions.checkpoint()
+
+
 def _runs(spark, d):
     """Two runs of different policies over the same candidates."""
     strict = selection.Policy(version="v1", budget=4, max_per_topic=1)
     first = _decisions(spark, d, strict).withColumn("run_id", F.lit(1))
-    return first.unionByName(_decisions(spark, d).withColumn("run_id", F.lit(2)))
+    return _stored(first.unionByName(_decisions(spark, d).withColumn("run_id", F.lit(2))))
 
 
 @query
@@ -123,7 +130,7 @@ def selection_history(spark, d):
 
 
 def _selected(spark, d):
-    current = history.selection_history(_decisions(spark, d).withColumn("run_id", F.lit(1)))
+    current = history.selection_history(_stored(_decisions(spark, d).withColumn("run_id", F.lit(1))))
     return views.selected_items(
         current, fx.items(spark, d), fx.enrichments(spark, d), *_chain(spark, d), _titles(spark, d)
     )
@@ -154,12 +161,12 @@ def near_duplicate_titles(spark, d):
 # ------------------------------------------------------------------ pages
 @query
 def html_to_text(spark, d):
-    return fx.table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content_text"))
+    return fx.texts(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content_text"))
 
 
 @query
 def page_article_extract(spark, d):
-    return pages.extract_articles(fx.table(spark, d, "pages")).select(
+    return pages.extract_articles(fx.texts(spark, d, "pages")).select(
         "page_id", "title", "author", "language", "excerpt", "site_name", instant("published_at"),
         F.length("content_html").alias("html_length"), "content_text", "has_content",
     )
@@ -403,7 +410,7 @@ def knowledge_view(spark, d):
 @query
 def markdown_preview(spark, d):
     body = F.concat(F.lit("# "), F.substring("text", 1, 20), F.lit("\n\n[x](y) *"), "text", F.lit("*"))
-    return fx.table(spark, d, "documents").select("doc_id", text.markdown_preview(body).alias("preview"))
+    return fx.texts(spark, d, "documents").select("doc_id", text.markdown_preview(body).alias("preview"))
 
 
 # ------------------------------------------------------------------ feeds and capture

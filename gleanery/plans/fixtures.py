@@ -6,14 +6,32 @@ Ids decide which variant a row becomes, by integer arithmetic.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.functions import text
 from gleanery.operators.groups import group_id
 from gleanery.session import tune
-from gleanery.sources.tables import spread
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+# Declared, so that opening a table runs no inference.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
+    "region": "r_regionkey int, r_name string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": "l_orderkey bigint, l_linenumber int",
+    "customer": "c_custkey bigint",
+}
 AS_OF = "2024-01-25 00:00:00"
 _JAN_1 = 1704067200000000  # 2024-01-01 UTC in microseconds
 _FEB_1 = 1706745600000000
@@ -30,8 +48,21 @@ SOURCE_TOPIC = "case lang when 'en' then 'AI' when 'fr' then 'Systems' when 'es'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+@lru_cache(maxsize=64)
+def _has_few_splits(path: str, cores: int) -> bool:
+    schema = SCHEMAS[path.rsplit("/", 1)[1].removesuffix(".parquet")]
+    rows = SparkSession.getActiveSession().read.schema(schema).parquet(path)
+    return rows.rdd.getNumPartitions() < cores
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on: spread over the cores when it is one file."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if _has_few_splits(f"{sf_dir}/{name}.parquet", cores) else rows
 
 
 def at_minutes(base: int, expression: str) -> str:
@@ -43,7 +74,7 @@ def at_seconds(base: int, expression: str) -> str:
 
 
 def flat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir, "documents")
     return documents.withColumn("flat", F.regexp_replace("text", "[ \t\r\n]+", " "))
 
 
@@ -172,7 +203,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr(
+    return texts(spark, sf_dir, "pages").selectExpr(
         "page_id",
         "url as submitted_url",
         "case when page_id % 11 = 6 then concat(url, '/moved') else url end as final_url",
@@ -197,7 +228,7 @@ def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "',\"feed\":{\"language\":\"en\",\"title\":\"Feed ', page_id % 5, '\",\"siteUrl\":3},"
         "\"extractor\":\"x\",\"httpStatus\":', case when page_id % 3 = 0 then '\"200\"' else '200' end, '}')"
     )
-    return table(spark, sf_dir, "pages").selectExpr(
+    return texts(spark, sf_dir, "pages").selectExpr(
         "concat('p-', page_id) as raw_asset_id",
         "page_id",
         "concat('e-', page_id % 23) as capture_entry_id",
@@ -305,7 +336,7 @@ def atom_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of every outcome: RSS, Atom, other roots, cut off, no channel."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return texts(spark, sf_dir, "documents").selectExpr(
         "doc_id as payload_id",
         "doc_id % 16 as source_id",
         "case doc_id % 6"
@@ -360,7 +391,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat turns wrapped in every known response shape."""
     body = _json_text("text")
-    return table(spark, sf_dir, "conversations").selectExpr(
+    return texts(spark, sf_dir, "conversations").selectExpr(
         "conv_id",
         "turn",
         f"case (conv_id + turn) % 7 when 0 then concat('{{\"choices\":[{{\"message\":{{\"content\":', {body}, '}}}}]}}')"

@@ -33,16 +33,6 @@ def stream_table(
     return spark.readStream.format(format).schema(schemas.TABLES[name]).options(**options).load(location)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that arrives in fewer splits than there are cores.
-
-    Text work is bound by cores, and one file with one row group is one task.
-    Inputs of a cluster's size have more splits than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_table(
     df: DataFrame, location: str, *, format: str = "parquet", mode: str = "overwrite", partition_by=(), **options: str
 ) -> None:
