@@ -120,10 +120,19 @@ def batch_runner(call: Callable[[pd.Series], pd.Series]) -> Runner:
     return run
 
 
-def enrich(items: DataFrame, runner: Runner) -> tuple[DataFrame, DataFrame]:
-    """Run and validate; returns (valid enrichments, quarantined outputs)."""
+def run_and_validate(items: DataFrame, runner: Runner) -> DataFrame:
+    """Runner outputs with their typed values and first error."""
     outputs = items.select("item_id", "title").join(runner(items), "item_id")
-    return split_valid(validate_outputs(outputs))
+    return validate_outputs(outputs)
+
+
+def enrich(items: DataFrame, runner: Runner) -> tuple[DataFrame, DataFrame]:
+    """(valid enrichments, quarantined outputs) of a repeatable runner.
+
+    Both read the runner's output. Where the runner is costly or may answer
+    differently next time, checkpoint ``run_and_validate`` and split that.
+    """
+    return split_valid(run_and_validate(items, runner))
 
 
 # ------------------------------------------------------------------ validation

@@ -51,8 +51,9 @@ class Store:
             if like is None:
                 raise FileNotFoundError(self.path(name))
             return like.limit(0).withColumn("batch_id", F.lit(0).cast("bigint"))
-        schema = None if like is None else like.schema.add("batch_id", "bigint")
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        reader = self.spark.read
+        if like is not None:
+            reader = reader.schema(like.withColumn("batch_id", F.lit(0).cast("bigint")).schema)
         rows = reader.parquet(self.path(name))
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
@@ -77,6 +78,7 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     tune(store.spark)
     ensure_checkpoint_dir(store.spark)
     assets, broken = feeds.feed_assets(payloads)
+    broken = broken.checkpoint()
     meta = payloads.select("payload_id", "source_url", "final_url", "requested_at")
     assets = assets.join(meta, "payload_id").withColumn("raw_metadata", feeds.asset_metadata())
     entries = assets.select(
@@ -165,7 +167,8 @@ def knowledge_batch(store: Store, runner: enrich.Runner, sources: DataFrame, bat
     own = store.read("items").where(F.col("batch_id") == batch_id).drop("batch_id")
     topics = sources.select("source_id", F.col("topic").alias("source_topic"))
     ready = own.join(topics, "source_id", "left")
-    valid, broken = enrich.enrich(ready, runner)
+    # The runner answers once per item; both tables come from that answer.
+    valid, broken = enrich.split_valid(enrich.run_and_validate(ready, runner).checkpoint())
     valid = valid.join(own.select("item_id", "created_at"), "item_id").withColumn("version_id", F.lit(batch_id))
     store.write("enrichments", valid, batch_id)
     store.write("quarantine", broken, batch_id)
