@@ -131,8 +131,11 @@ def default_destinations(spark: SparkSession) -> DataFrame:
 def with_missing_defaults(existing: DataFrame) -> DataFrame:
     """Existing destinations plus a default for every type that has none."""
     defaults = default_destinations(existing.sparkSession)
-    missing = defaults.join(existing.select("destination_type"), "destination_type", "left_anti")
-    return existing.select(*defaults.columns).unionByName(missing.select(*defaults.columns))
+    types = [kind for kind, _, _ in V.DEFAULT_DESTINATIONS]
+    # At most one value per destination type, so the set is bounded.
+    held = existing.where(F.col("destination_type").isin(types)).agg(F.collect_set("destination_type")).scalar()
+    missing = defaults.where(~F.array_contains(held, F.col("destination_type")))
+    return existing.select(*defaults.columns).unionByName(missing)
 
 
 def _destination_list(destinations: DataFrame, limit: int) -> Column:

@@ -6,8 +6,6 @@ Ids decide which variant a row becomes, by integer arithmetic.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.functions import text
@@ -51,18 +49,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=64)
-def _has_few_splits(path: str, cores: int) -> bool:
-    schema = SCHEMAS[path.rsplit("/", 1)[1].removesuffix(".parquet")]
-    rows = SparkSession.getActiveSession().read.schema(schema).parquet(path)
-    return rows.rdd.getNumPartitions() < cores
+_SPLITS: dict[str, int] = {}
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are worked on: spread over the cores when it is one file."""
+    """A table whose texts are worked on.
+
+    Text work is bound by cores, and one file with one row group is one task; such
+    a table is spread over the cores. A table with more splits than cores, as on
+    a cluster, is read as it is.
+    """
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if _has_few_splits(f"{sf_dir}/{name}.parquet", cores) else rows
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SPLITS:
+        _SPLITS[path] = rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if _SPLITS[path] < cores else rows
 
 
 def at_minutes(base: int, expression: str) -> str:
