@@ -98,45 +98,53 @@ def _settle(own: DataFrame, own_key: str, facing: DataFrame, facing_key: str, ou
     return joined.select(own_key, F.col("first_pos").alias(f"{out}_pos"), taken.alias(f"{out}_taken"), "n")
 
 
-def _choose_in_rounds(pairs: DataFrame) -> DataFrame:
-    """The same greedy choice for batches of any size, as parallel rounds.
-
-    A row that is the earliest undecided one at each of its keys must be kept;
-    rows behind a kept row at either key must be dropped. Repeating this decides
-    every row exactly as the sequential walk does (greedy maximal matching of
-    ids and URLs). Each round is map-side combined aggregation plus joins, and
-    is checkpointed, so neither plan nor lineage grows.
+def _one_round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row ids certainly kept, rows still open) of batches of any size.
+
+    A row that is the earliest open one at each of its keys must be kept; rows
+    behind a kept row at either key must be dropped. What stays open shares no
+    key with a kept row, so it is a smaller problem of the same kind.
+    """
+    rows = rows.select("scope", "row_id", "pos", "ext_key", "url_key").checkpoint()
+    by_ext = _first_holder(rows, "ext_key", "url_key")
+    by_url = _first_holder(rows, "url_key", "ext_key")
+    ext = _settle(by_ext, "ext_key", by_url, "url_key", "ext")
+    url = _settle(by_url, "url_key", by_ext, "ext_key", "url")
+    seen = lookup(rows, ext, "ext_key", ["ext_pos", "ext_taken"], weight="n", spread=["row_id"])
+    seen = lookup(seen, url, "url_key", ["url_pos", "url_taken"], weight="n", spread=["row_id"])
+
+    def first_at(key: str, pos: str) -> Column:
+        return F.col(key).isNull() | (F.col(pos) == F.col("pos"))
+
+    def behind(key: str, pos: str, taken: str) -> Column:
+        return F.col(key).isNotNull() & F.col(taken) & (F.col(pos) != F.col("pos"))
+
+    kept = first_at("ext_key", "ext_pos") & first_at("url_key", "url_pos")
+    dropped = behind("ext_key", "ext_pos", "ext_taken") | behind("url_key", "url_pos", "url_taken")
+    state = F.when(kept, "kept").when(dropped, "dropped").otherwise("open")
+    left = seen.select(*rows.columns, state.alias("state")).where("state <> 'dropped'").checkpoint()
+    return left.where("state = 'kept'").select("row_id"), left.where("state = 'open'").drop("state")
+
+
+def _choose(rows: DataFrame, fold_limit: int) -> DataFrame:
+    """Fold what is small; take large batches through rounds until it is.
+
+    Every round decides at least the first open row of each large batch, and of
+    ordinary feeds nearly all rows. Rounds are map-side combined aggregation plus
+    joins, and checkpointed, so neither plan nor lineage grows.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    rows = pairs.select("row_id", "pos", "ext_key", "url_key").checkpoint()
     chosen = []
     while True:
-        by_ext = _first_holder(rows, "ext_key", "url_key")
-        by_url = _first_holder(rows, "url_key", "ext_key")
-        ext = _settle(by_ext, "ext_key", by_url, "url_key", "ext")
-        url = _settle(by_url, "url_key", by_ext, "ext_key", "url")
-        seen = lookup(rows, ext, "ext_key", ["ext_pos", "ext_taken"], weight="n", spread=["row_id"])
-        seen = lookup(seen, url, "url_key", ["url_pos", "url_taken"], weight="n", spread=["row_id"])
-
-        def first_at(key, pos):
-            return F.col(key).isNull() | (F.col(pos) == F.col("pos"))
-
-        def behind(key, pos, taken):
-            return F.col(key).isNotNull() & F.col(taken) & (F.col(pos) != F.col("pos"))
-
-        state = (
-            F.when(first_at("ext_key", "ext_pos") & first_at("url_key", "url_pos"), F.lit("kept"))
-            .when(
-                behind("ext_key", "ext_pos", "ext_taken") | behind("url_key", "url_pos", "url_taken"),
-                F.lit("dropped"),
-            )
-            .otherwise(F.lit("open"))
+        large = (
+            rows.groupBy("scope").agg(F.count("*").alias("scope_rows")).where(F.col("scope_rows") > fold_limit)
         )
-        decided = seen.select(*rows.columns, state.alias("state")).where("state <> 'dropped'").checkpoint()
-        chosen.append(decided.where("state = 'kept'").select("row_id"))
-        rows = decided.where("state = 'open'").drop("state")
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, chosen)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*chosen, _fold_small(rows)])
+        ensure_checkpoint_dir(rows.sparkSession)
+        sized = lookup(rows, large, "scope", ["scope_rows"], weight="scope_rows", spread=["row_id"])
+        chosen.append(_fold_small(sized.where("scope_rows is null")))
+        kept, rows = _one_round(sized.where("scope_rows is not null"))
+        chosen.append(kept)
 
 
 def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -164,15 +172,8 @@ def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFr
         .agg(F.min(F.struct("pos", "row_id")).alias("f"))
         .select("scope", "ext_key", "url_key", "f.pos", "f.row_id")
     )
-    # Positions are unique inside a scope only, and keys carry their scope.
-    sizes = pairs.groupBy("scope").agg(F.count("*").alias("scope_rows"))
-    large = sizes.where(F.col("scope_rows") > fold_limit)
-    if large.isEmpty():
-        return anonymous.unionByName(_fold_small(pairs))
-    sized = lookup(pairs, large, "scope", ["scope_rows"], weight="scope_rows", spread=["row_id"])
-    kept_small = _fold_small(sized.where("scope_rows is null"))
-    kept_large = _choose_in_rounds(sized.where("scope_rows is not null"))
-    return anonymous.unionByName(kept_small).unionByName(kept_large)
+    # Positions are unique inside a scope only; the keys carry their scope.
+    return anonymous.unionByName(_choose(pairs, fold_limit))
 
 
 def capture_dedupe(entries: DataFrame, stored: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:

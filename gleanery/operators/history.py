@@ -41,9 +41,13 @@ def selection_history(runs: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """Latest row per key of base and delta (insert or update)."""
-    both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
-    return first_per_key(both, keys, F.desc("_new"), *order).drop("_new")
+    """Base with the delta's latest row per key written over it.
+
+    Only the delta is ranked; the base is passed through an anti-join.
+    """
+    latest = first_per_key(delta, keys, *order)
+    kept = base.join(latest.select(*keys), list(keys), "left_anti")
+    return kept.select(*base.columns).unionByName(latest.select(*base.columns))
 
 
 def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleanery import fixed_values as V
 from gleanery.functions import quality, text
 from gleanery.operators.context import item_context
-from gleanery.operators.skew import first_n_per_key, lookup
+from gleanery.operators.skew import Narrow, first_n_per_key, lookup
+from gleanery.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,13 @@ def weighted_signal(importance: Column, novelty: Column) -> Column:
 
 # ------------------------------------------------------------------ candidates
 def rank_candidates(items: DataFrame, enrichments: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(audience, item_id, candidate_rank) of each audience's best items.
+    """(audience, item_id, raw_asset_id, candidate_rank) of each audience's best items.
 
     Runs on id, score and time columns only; texts are joined to the few
     survivors afterwards. The rank limit is applied before the shuffle.
     """
-    usable = items.where("status = 'processed'").select("item_id", "audience", "published_at", "created_at")
+    columns = ("item_id", "raw_asset_id", "audience", "published_at", "created_at")
+    usable = items.where("status = 'processed'").select(*columns)
     current = enrichments.where("is_current").select("item_id", "importance_score", "novelty_score")
     ranked = usable.join(current, "item_id").withColumn(
         "_signal",
@@ -53,7 +55,7 @@ def rank_candidates(items: DataFrame, enrichments: DataFrame, policy: Policy = P
         F.desc("created_at"),
         F.asc("item_id"),
     )
-    return best.select("audience", "item_id", "candidate_rank")
+    return best.select("audience", "item_id", "raw_asset_id", "candidate_rank")
 
 
 def assemble_candidates(
@@ -65,12 +67,22 @@ def assemble_candidates(
     titles: DataFrame,
     policy: Policy = Policy(),
 ) -> DataFrame:
-    """Candidates with enrichment, source and topic-group columns."""
-    best = rank_candidates(items, enrichments, policy)
-    chosen = items.join(best.select("item_id", "candidate_rank"), "item_id")
+    """Candidates with enrichment, source and topic-group columns.
+
+    The ranked ids are checkpointed and counted, and every large table is
+    reduced to them before any wide join.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    best = Narrow(rank_candidates(items, enrichments, policy).checkpoint())
+    chosen = items.join(best.pick("item_id", "candidate_rank"), "item_id")
     current = enrichments.where("is_current").drop("is_current", "created_at", "superseded_at")
-    joined = item_context(chosen.join(current, "item_id"), assets, entries, sources)
-    joined = joined.join(titles, "item_id", "left")
+    joined = item_context(
+        chosen.join(best.rows(current, "item_id"), "item_id"),
+        best.rows(assets, "raw_asset_id"),
+        entries,
+        sources,
+    )
+    joined = joined.join(best.rows(titles, "item_id"), "item_id", "left")
     return joined.withColumn("source_name", text.blank_to_null(F.col("source_name"))).withColumn(
         "tags", F.coalesce("tags", F.array().cast("array<string>"))
     )

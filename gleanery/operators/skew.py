@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HOT_KEY_LIMIT = 128      # rows ever broadcast by lookup()
 HOT_KEY_MIN_ROWS = 10_000
 SCATTER = 4096
+BROADCAST_ROWS = 200_000  # id rows sent to every executor at most
 
 
 def lookup(
@@ -69,3 +70,23 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], n: int, rank: str, *orde
     """First ``n`` rows of every key with their rank, limited before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
+
+
+class Narrow:
+    """Reduce large tables to the rows of a chosen id set before joining them.
+
+    The ids must be stored or checkpointed, as they are counted here. Up to
+    ``limit`` id rows are broadcast, so that wide tables are filtered where they
+    are scanned; a larger set is joined by shuffle.
+    """
+
+    def __init__(self, ids: DataFrame, limit: int = BROADCAST_ROWS):
+        self.ids = ids
+        self.small = ids.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+    def pick(self, *columns: str) -> DataFrame:
+        chosen = self.ids.select(*columns)
+        return F.broadcast(chosen) if self.small else chosen
+
+    def rows(self, df: DataFrame, key: str) -> DataFrame:
+        return df.join(self.pick(key), key, "left_semi")

@@ -56,11 +56,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose texts are worked on.
 
     Text work is bound by cores, and one file with one row group is one task; such
-    a table is spread over the cores. A table with more splits than cores, as on
+    a table is spread over up to 64 tasks. A table with more splits than cores, as on
     a cluster, is read as it is.
     """
     rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
+    cores = min(spark.sparkContext.defaultParallelism, 64)
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SPLITS:
         _SPLITS[path] = rows.rdd.getNumPartitions()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import dates, quality, text
 from gleanery.operators.context import item_context
+from gleanery.operators.skew import Narrow
 
 
 def score_breakdown(stored: Column, relevance: Column) -> Column:
@@ -35,13 +36,21 @@ def selected_items(
     sources: DataFrame,
     titles: DataFrame,
 ) -> DataFrame:
-    """Current, selected decisions with item, enrichment and source columns."""
+    """Current, selected decisions with item, enrichment and source columns.
+
+    ``selections`` is a stored table: its selected ids are counted, and the large
+    tables reduced to them before any wide join.
+    """
     chosen = selections.where("is_current and selected").select(
         "item_id", "relevance_score", "score_breakdown", "selection_reasons", "policy_version", "metadata"
     )
     current = enrichments.where("is_current").drop("is_current", "created_at", "superseded_at", "dedupe_key")
-    joined = chosen.join(items, "item_id").join(current, "item_id")
-    joined = item_context(joined, assets, entries, sources).join(titles, "item_id", "left")
+    picked = Narrow(chosen.select("item_id"))
+    joined = chosen.join(picked.rows(items, "item_id"), "item_id").join(
+        picked.rows(current, "item_id"), "item_id"
+    )
+    joined = item_context(joined, assets, entries, sources)
+    joined = joined.join(picked.rows(titles, "item_id"), "item_id", "left")
     return joined.withColumn(
         "score_breakdown", score_breakdown(F.col("score_breakdown"), F.col("relevance_score"))
     )

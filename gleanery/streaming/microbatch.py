@@ -109,7 +109,7 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     )
     ids = store.read("raw_assets", _asset_rows(entries), before=batch_id).select("source_id", "external_id", "url")
     known = _narrowed(ids.where("external_id is not null"), ranked, "external_id", count).unionByName(
-        _narrowed(ids.where("external_id is null or url is not null"), ranked, "url", count)
+        _narrowed(ids.where("url is not null"), ranked, "url", count)
     )
     decided = capture.capture_dedupe(ranked, known).select("row_id", "decision").checkpoint()
     fresh = entries.join(decided.where("decision = 'kept'").select("row_id"), "row_id", "left_semi")

@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from gleanery.operators import selection, skew
+from gleanery.plans import fixtures
 from tests.compare import differences, tables
 
 SF = "/root/testdata/sf0.001"
@@ -41,9 +43,19 @@ def test_no_python_and_no_nested_loops(spark, name):
 
 
 def test_candidates_are_limited_before_the_shuffle(spark):
-    text = plan(spark, "inbox_select")
+    best = selection.rank_candidates(fixtures.items(spark, SF), fixtures.enrichments(spark, SF))
+    text = best._jdf.queryExecution().executedPlan().toString()
     limit, shuffle = text.rindex("WindowGroupLimit"), text.index("Exchange hashpartitioning(audience")
     assert "Partial" in text[limit:limit + 300] and limit > shuffle
+    assert "text" not in "".join(re.findall(r"ReadSchema: struct<[^>]*>", text))
+
+
+def test_large_tables_are_narrowed_by_a_checked_broadcast(spark):
+    ids = spark.range(10).withColumnRenamed("id", "item_id")
+    wide = spark.range(1000).selectExpr("id as item_id", "repeat('x', 10) as body")
+    small = skew.Narrow(ids).rows(wide, "item_id")
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString() and small.count() == 10
+    assert not skew.Narrow(ids, limit=5).small and skew.Narrow(ids, limit=5).rows(wide, "item_id").count() == 10
 
 
 @pytest.mark.parametrize(
