@@ -77,7 +77,9 @@ def at_seconds(base: int, expression: str) -> str:
 
 def flat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = texts(spark, sf_dir, "documents")
-    return documents.withColumn("flat", F.regexp_replace("text", "[ \t\r\n]+", " "))
+    # Space runs to one space; a single plain space is left where it is.
+    runs = "(?: [ \t\r\n]|[\t\r\n])[ \t\r\n]*"
+    return documents.withColumn("flat", F.regexp_replace("text", runs, " "))
 
 
 # ------------------------------------------------------------------ items
