@@ -12,6 +12,7 @@ from gleanery.functions import dates, text, variants
 from gleanery.operators.classify import classify
 from gleanery.operators.score import with_rule_scores
 
+# The item fields of a request, in order.
 REQUEST_FIELDS = (
     "author", "canonical_url", "content_text", "id", "language", "published_at", "source_topic", "title",
 )
@@ -136,6 +137,7 @@ def enrich(items: DataFrame, runner: Runner) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------ validation
+# The error texts below are fixed values; so is the order of the checks.
 def _first_error(*checks: Column) -> Column:
     return F.coalesce(*checks)
 

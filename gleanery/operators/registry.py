@@ -8,6 +8,7 @@ from gleanery.functions import dates, text, urls
 from gleanery.operators.skew import first_per_key
 from gleanery.operators.timeline import with_previous_value
 
+# Rejection texts.
 NAME_REQUIRED = "Source name is required."
 URL_INVALID = "Enter a valid RSS URL."
 URL_SCHEME = "RSS URLs must use http or https."
