@@ -177,13 +177,16 @@ def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFr
 
 
 def capture_dedupe(entries: DataFrame, stored: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Add ``decision``: kept, known (stored before) or batch_duplicate.
+    """Identity columns with ``decision``: kept, known (stored before) or batch_duplicate.
 
     ``entries``: row_id, source_id, batch_id, pos (any orderable value, unique in
     its batch), external_id, url.
     ``stored``: source_id, external_id, url.
     """
-    flagged = flag_known(entries, stored)
+    ensure_checkpoint_dir(entries.sparkSession)
+    columns = ["row_id", "source_id", "batch_id", "pos", "external_id", "url"]
+    # Narrow, and read three times below: sizes, choice and verdict.
+    flagged = flag_known(entries.select(*columns), stored).checkpoint()
     kept = choose_unseen(flagged.where("not known"), fold_limit=fold_limit)
     kept = kept.withColumn("_kept", F.lit(True))
     decision = (
