@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gleanery.operators import selection, skew
-from gleanery.plans import fixtures
+from gleanery.plans import catalog, fixtures, oracle
 from tests.compare import differences, tables
 
 SF = "/root/testdata/sf0.001"
@@ -17,14 +17,14 @@ def connection():
     return tables(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_equals_sql(spark, connection, name):
     missing, extra, _, problem = differences(spark, connection, name, SF)
     assert problem is None and not missing and not extra
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.SQL)
 
 
 def test_entry_runs(spark):
@@ -36,7 +36,7 @@ def plan(spark, name):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_python_and_no_nested_loops(spark, name):
     text = plan(spark, name)
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|NestedLoop|Cartesian", text)
