@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import simhash
+from gleanery.llm import mixing, simhash, warc
 from gleanery.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op5_simhash": op5_simhash,
+    "op8_mixing": op8_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_warc": warc.SQL,
+}
