@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import mixing, simhash, warc
+from gleanery.llm import licenses, mixing, simhash, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -12,20 +12,31 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(spark, sf_dir)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
 }
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op4_licenses": licenses.sql(),
 }
