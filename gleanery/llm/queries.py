@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import licenses, mixing, simhash, toxicity, warc
+from gleanery.llm import blocks, licenses, mixing, simhash, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -28,15 +28,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
+    "op10_blocks": op10_blocks,
 }
 
 SQL = {
     "op1_warc": warc.SQL,
     "op4_licenses": licenses.sql(),
+    "op10_blocks": blocks.SQL,
 }
