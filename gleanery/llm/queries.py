@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, licenses, mixing, simhash, toxicity, warc
+from gleanery.llm import blocks, licenses, mixing, simhash, substrings, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_suffix_array": op3_suffix_array,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
@@ -43,6 +48,7 @@ QUERIES = {
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op3_suffix_array": substrings.SQL,
     "op4_licenses": licenses.sql(),
     "op10_blocks": blocks.SQL,
 }
