@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, licenses, mixing, simhash, substrings, toxicity, warc
+from gleanery.llm import blocks, collisions, licenses, mixing, simhash, substrings, topk, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -32,23 +36,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.report(table(spark, sf_dir, "embeddings"))
+
+
 def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_topk": op2_topk,
     "op3_suffix_array": op3_suffix_array,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_collisions": op9_collisions,
     "op10_blocks": op10_blocks,
 }
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op2_topk": topk.SQL,
     "op3_suffix_array": substrings.SQL,
     "op4_licenses": licenses.sql(),
+    "op9_collisions": collisions.SQL,
     "op10_blocks": blocks.SQL,
 }
