@@ -6,17 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import simhash
+from gleanery.llm import mixing, pieces, simhash, substrings, toxicity
+from gleanery.llm.common import table
 from gleanery.session import ensure_checkpoint_dir
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.one_per_group(docs)
 
 
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that an earlier document has go; the documents stay."""
+    return substrings.cleaned(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights of their sources, some twice."""
+    return mixing.mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    return pieces.tokenized(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("simhash_near_duplicates", near_duplicates),
+    ("suffix_array_substrings", repeated_substrings),
+    ("source_mix", source_mix),
+    ("sentencepiece", encoding),
 ]
 
 ORACLE_SQL = None  # classifier, tokenizer and random draws are not SQL

@@ -198,8 +198,7 @@ def without_repeats(
     """
     return exchange.run(
         docs, rounds(window),
-        "kept: binary, n_words: bigint, n_removed: bigint, kept_sha256: string",
-        ("kept", "n_words", "n_removed", "kept_sha256"),
+        "kept binary, n_words bigint, n_removed bigint, kept_sha256 string",
         chunk_bytes, bucket_bytes,
     )
 

@@ -20,3 +20,17 @@ def staged(df: DataFrame) -> DataFrame:
 def hex64(value) -> F.Column:
     """Sixteen lower-case hexadecimal digits of a long."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns, and all others inside one struct ``_rest``.
+
+    Columns an operator adds can then not clash with columns it only passes on.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*rest or [F.lit(None).cast("int").alias("_none")]).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The ``columns`` that went into ``packed``, in their order."""
+    return df.select(*[F.col(c) if c in needed else F.col(f"_rest.`{c}`").alias(c) for c in columns])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
@@ -92,12 +92,12 @@ def _sent(chunk: list[int], bucket: list[int], payload: list[bytes]) -> pa.Table
 
 
 def run(
-    docs: DataFrame, rounds: Rounds, schema: str, names: Sequence[str],
+    docs: DataFrame, rounds: Rounds, schema: str,
     chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) and, as struct ``_found``, what ``finish`` makes.
 
-    ``schema`` describes the struct's fields, ``names`` lists them.
+    ``schema`` is the struct's fields as DDL.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
@@ -108,6 +108,8 @@ def run(
         F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"),
     )
     by_chunk = dealt.groupBy("chunk")
+    made = T.StructType.fromDDL(schema)
+    fields = made.fieldNames()
 
     def spread(part: pa.Table, found: Payloads) -> pa.Table:
         pairs = list(found)
@@ -135,16 +137,16 @@ def run(
         chunk = Chunk.of(part)
         found = rounds.finish(chunk, buckets, _pairs(told, "bucket"))
         rest = part.column("rest").combine_chunks().take(pa.array(chunk.rows))
-        made = pa.StructArray.from_arrays(list(found), names=list(names))
-        return pa.table([rest, made], names=["rest", "found"])
+        columns = pa.StructArray.from_arrays(list(found), names=fields)
+        return pa.table([rest, columns], names=["rest", "found"])
 
-    def over(answers: DataFrame, step, out: str) -> DataFrame:
+    def over(answers: DataFrame, step, out: str | T.StructType) -> DataFrame:
         return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(step, out)
 
     first = by_chunk.applyInArrow(ask, SENT).groupBy("bucket").applyInArrow(answer, SENT)
     second = over(first, ask_again, SENT).groupBy("bucket").applyInArrow(answer_again, SENT)
-    rest_type = dealt.schema["rest"].dataType.simpleString()
-    done = over(second, finish, f"rest {rest_type}, found struct<{schema}>")
+    out = T.StructType([T.StructField("rest", dealt.schema["rest"].dataType), T.StructField("found", made)])
+    done = over(second, finish, out)
     kept = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != "text"]
     return done.select(*kept, F.col("found").alias("_found"))
 

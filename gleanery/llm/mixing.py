@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import staged
+from gleanery.llm.common import packed, staged, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5              # words of the mix over words there are
@@ -200,12 +200,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     Rows of a shard stand together, shuffled by a hash of the draw. All columns are kept.
     """
-    drawn = assigned(docs.withColumn("_size", size_column("text")), weights=weights, share=share, seed=seed)
-    return (
-        drawn.withColumn("_draw", F.explode("_draws"))
-        .repartition("_draw.shard")
-        .sortWithinPartitions("_draw.shard", F.xxhash64(F.lit(seed), "_draw", "doc_id"), "doc_id")
-        .select(*[docs[c] for c in docs.columns])
+    needed = ("doc_id", "source", "text")
+    sized = packed(docs, *needed).withColumn("_size", size_column("text"))
+    drawn = assigned(sized, weights=weights, share=share, seed=seed).withColumn("_draw", F.explode("_draws"))
+    order = F.xxhash64(F.lit(seed), F.col("_draw.pass"), F.col("_draw.shard"), F.col("doc_id"))
+    return unpacked(
+        drawn.repartition(F.col("_draw.shard")).sortWithinPartitions(F.col("_draw.shard"), order, "doc_id"),
+        docs.columns, *needed,
     )
 
 

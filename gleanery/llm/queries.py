@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, collisions, licenses, mixing, simhash, substrings, topk, toxicity, warc
+from gleanery.llm import blocks, collisions, licenses, mixing, pieces, simhash, substrings, topk, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(spark, sf_dir)
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
     "op9_collisions": op9_collisions,
     "op10_blocks": op10_blocks,

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import hex64, staged
+from gleanery.llm.common import hex64, packed, staged, unpacked
 from gleanery.llm.components import connected_components
 
 SEED = 42
@@ -175,11 +175,11 @@ def one_per_group(docs: DataFrame, distance: int = 2, size: int = 3) -> DataFram
     chosen = found.where("doc_id = component_id").select(
         F.col("doc_id").alias("_chosen_id"), F.col("fp").alias("_chosen_fp")
     ).distinct()
-    marked = docs.withColumn("_fp", fingerprint_column("text", size))
+    marked = packed(docs, "doc_id", "text").withColumn("_fp", fingerprint_column("text", size))
     kept = marked.join(
         chosen, (F.col("doc_id") == F.col("_chosen_id")) & (F.col("_fp") == F.col("_chosen_fp")), "left_semi"
     ).dropDuplicates(["doc_id", "_fp"])
-    return kept.unionByName(marked.where("doc_id is null")).select(*[docs[c] for c in docs.columns])
+    return unpacked(kept.unionByName(marked.where("doc_id is null")), docs.columns, "doc_id", "text")
 
 
 def report(docs: DataFrame) -> DataFrame:

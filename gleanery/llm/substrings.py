@@ -6,9 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import exchange
+from gleanery.llm.common import packed, unpacked
 from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, mixed, pack, short_keys, units, unpack
 from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -281,12 +282,28 @@ def without_repeats(
         raise ValueError(f"length must be at least {GRAM}")
     return exchange.run(
         docs, rounds(length),
-        "kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string",
-        ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"),
+        "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
         chunk_bytes, bucket_bytes,
     )
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what is left as the text, all other columns kept; n_chars is counted anew.
+
+    A character whose bytes were cut apart is dropped from the text.
+    """
+
+    @F.arrow_udf("string")
+    def characters(kept: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+    found = without_repeats(packed(docs, "doc_id", "text"), length)
+    texts = unpacked(found.withColumn("text", characters("_found.kept")), docs.columns, "doc_id", "text")
+    if "n_chars" in docs.columns:
+        texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return texts
+
+
 def report(docs: DataFrame, **sizes: int) -> DataFrame:
     found = without_repeats(docs.select("doc_id", "text"), **sizes)
     return found.select("doc_id", "_found.n_bytes", "_found.n_removed", "_found.n_spans", "_found.kept_sha256")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import table
+from gleanery.llm.common import packed, table, unpacked
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -189,6 +189,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.withColumn("_score", score_column(docs.sparkSession, train(docs, labels)))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score below ``THRESHOLD``, all columns kept."""
+    clean = scored(packed(docs, "doc_id", "text"), labels).where(F.col("_score") < THRESHOLD)
+    return unpacked(clean, docs.columns, "doc_id", "text")
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return scored(docs.select("doc_id", "text"), labels).select(
