@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import dates, text
-from gleanery.operators.skew import lookup
+from gleanery.operators.skew import SCATTER, lookup
 from gleanery.session import ensure_checkpoint_dir
 
 FOLD_LIMIT = 256     # entries of one batch decided by a single in-memory fold
-CURSOR_LIMIT = 1000  # cursor members written into one JSON text
 
 _SEP = "\u0002"
 
@@ -48,11 +47,14 @@ def flag_known(entries: DataFrame, stored: DataFrame) -> DataFrame:
     for name in ("external_id", "url"):
         seen = (
             stored.where(_present(name).isNotNull())
-            .select("source_id", name)
+            .select("source_id", F.col(name).alias("_seen"))
             .distinct()
             .withColumn(f"_known_{name}", F.lit(True))
         )
-        out = out.join(seen, ["source_id", name], "left")
+        # rows without the key match nothing; scattered, they do not pile up in one partition
+        scattered = F.concat(F.lit("\u0001none:"), F.pmod(F.xxhash64("row_id"), F.lit(SCATTER)).cast("string"))
+        keyed = out.withColumn("_seen", F.coalesce(_present(name), scattered))
+        out = keyed.join(seen, ["source_id", "_seen"], "left").drop("_seen")
     known = F.col("_known_external_id").isNotNull() | F.col("_known_url").isNotNull()
     return out.withColumn("known", known).select(*entries.columns, "known")
 
@@ -254,32 +256,24 @@ def cursor_members(entries: DataFrame) -> DataFrame:
     )
 
 
-def sync_cursors(entries: DataFrame, *, limit: int = CURSOR_LIMIT) -> DataFrame:
+def sync_cursors(entries: DataFrame) -> DataFrame:
     """The cursor text of every batch.
 
-    Batches with more members than ``limit`` get no text: their whole cursor is
-    the ``cursor_members`` relation, and ``member_count`` says so.
+    A batch is what one fetch returned, that is one feed document, so its members
+    were in one row before and fit in one again.
     """
     scope = ["source_id", "batch_id"]
-
-
-    members = cursor_members(entries)
     counts = entries.groupBy(*scope).agg(F.max("published_at").alias("latest"))
-    ranked = members.groupBy(*scope).agg(F.count("*").alias("member_count"))
-    small = members.join(ranked.where(F.col("member_count") <= limit), scope, "left_semi")
 
     def values(kind):
         of_kind = F.filter("listed", lambda m: m["kind"] == kind)
         return F.transform(of_kind, lambda m: m["value"])
 
-    listed = small.groupBy(*scope).agg(
+    listed = cursor_members(entries).groupBy(*scope).agg(
         F.array_sort(F.collect_list(F.struct("first_pos", "kind", "value"))).alias("listed")
     )
-    joined = counts.join(ranked, scope, "left").join(listed, scope, "left")
     empty = F.array().cast(listed.schema["listed"].dataType)
-    joined = joined.withColumn("member_count", F.coalesce("member_count", F.lit(0))).withColumn(
-        "listed", F.coalesce(F.col("listed"), empty)
-    )
+    joined = counts.join(listed, scope, "left").withColumn("listed", F.coalesce(F.col("listed"), empty))
     cursor = F.to_json(
         F.struct(
             values("externalId").alias("latestExternalIds"),
@@ -291,8 +285,8 @@ def sync_cursors(entries: DataFrame, *, limit: int = CURSOR_LIMIT) -> DataFrame:
     return joined.select(
         *scope,
         dates.iso_utc(F.col("latest")).alias("latest_published_at"),
-        "member_count",
-        F.when(F.col("member_count") <= limit, cursor).alias("cursor"),
+        F.size("listed").cast("bigint").alias("member_count"),
+        cursor.alias("cursor"),
     )
 
 

@@ -138,69 +138,81 @@ def with_missing_defaults(existing: DataFrame) -> DataFrame:
     return existing.select(*defaults.columns).unionByName(missing)
 
 
-def _destination_list(destinations: DataFrame, limit: int) -> Column:
-    """Active destinations as one ordered list; a settings table, so small.
+PAGE = 64      # destinations a note row meets at once
+SPREAD = 64    # copies of a page, so that its notes are not one join key
 
-    The list is a scalar subquery. Its size is checked, not assumed.
-    """
-    active = destinations.where("status = 'active'").select(
+
+def _active(destinations: DataFrame) -> DataFrame:
+    return destinations.where("status = 'active'").select(
         "destination_type", "destination_id", "name", "target_ref"
     )
-    listed = active.agg(
-        F.when(F.count("*") <= limit, F.array_sort(F.collect_list(F.struct(*active.columns))))
-        .otherwise(F.raise_error(F.lit(f"more than {limit} active destinations")))
-        .alias("destinations")
+
+
+def _slug() -> Column:
+    return F.coalesce(F.nullif(text.slugify(F.col("title")), F.lit("")), F.col("note_id"))
+
+
+def _result(to: Column) -> Column:
+    """What one note has at one destination."""
+    notion = to["destination_type"] == "notion"
+    kind = F.when(notion, F.lit("Notion page")).otherwise(F.lit("Obsidian note"))
+    return F.struct(
+        to["destination_id"].alias("destination_id"),
+        to["destination_type"].alias("destination_type"),
+        to["target_ref"].alias("target_ref"),
+        F.when(notion, F.concat(to["target_ref"], F.lit("/page/"), F.col("_slug")))
+        .otherwise(F.concat(to["target_ref"], F.lit("/"), F.col("_slug"), F.lit(".md")))
+        .alias("external_ref"),
+        F.concat(F.lit("Prepared "), kind, F.lit(" payload for "), F.col("title"), F.lit(".")).alias("message"),
+        F.lit("success").alias("status"),
+        F.col("created_at").alias("synced_at"),
     )
-    return listed.scalar()
 
 
-def with_sync_results(notes: DataFrame, destinations: DataFrame, *, limit: int = 1000) -> DataFrame:
-    """Notes with ``results``: their reference at every active destination.
+def sync_notes(notes: DataFrame, destinations: DataFrame) -> DataFrame:
+    """One row per note and active destination, however many there are.
 
-    No join and no shuffle of notes: the destination list is a scalar, and fan-out
-    and roll-up are both row-local.
+    Destinations are dealt into pages by a hash; notes equi-join the page numbers.
     """
-    slug = F.coalesce(F.nullif(text.slugify(F.col("title")), F.lit("")), F.col("note_id"))
-    listed = notes.withColumn("_to", _destination_list(destinations, limit)).withColumn("_slug", slug)
-
-    def result(to: Column) -> Column:
-        notion = to["destination_type"] == "notion"
-        kind = F.when(notion, F.lit("Notion page")).otherwise(F.lit("Obsidian note"))
-        return F.struct(
-            to["destination_id"].alias("destination_id"),
-            to["destination_type"].alias("destination_type"),
-            to["target_ref"].alias("target_ref"),
-            F.when(notion, F.concat(to["target_ref"], F.lit("/page/"), F.col("_slug")))
-            .otherwise(F.concat(to["target_ref"], F.lit("/"), F.col("_slug"), F.lit(".md")))
-            .alias("external_ref"),
-            F.concat(F.lit("Prepared "), kind, F.lit(" payload for "), F.col("title"), F.lit(".")).alias(
-                "message"
-            ),
-            F.lit("success").alias("status"),
-            F.col("created_at").alias("synced_at"),
-        )
+    active = _active(destinations)
+    pages = active.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PAGE)).cast("int")).scalar()
+    fields = F.struct(*active.columns)
+    listed = (
+        active.withColumn("_page", F.pmod(F.xxhash64("destination_type", "destination_id", "target_ref"), pages).cast("int"))
+        .groupBy("_page")
+        .agg(F.collect_list(fields).alias("_to"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    )
+    dealt = notes.select(
+        "note_id", "item_id", "title", "created_at", _slug().alias("_slug"),
+        F.pmod(F.xxhash64("note_id"), F.lit(SPREAD)).cast("int").alias("_copy"),
+        F.explode(F.sequence(F.lit(0), pages - 1)).alias("_page"),
+    )
+    results = dealt.join(listed, ["_page", "_copy"]).withColumn("_one", F.explode("_to"))
+    return results.select("note_id", "item_id", _result(F.col("_one")).alias("r")).select("note_id", "item_id", "r.*")
 
-    return listed.withColumn("results", F.transform("_to", result)).drop("_to", "_slug")
 
+def sync_rollup(notes: DataFrame, destinations: DataFrame) -> DataFrame:
+    """Notes with result map by destination type (the last wins), count and time.
 
-def sync_notes(with_results: DataFrame) -> DataFrame:
-    """One row per note and active destination."""
-    return with_results.select("note_id", "item_id", F.explode("results").alias("r")).select(
-        "note_id", "item_id", "r.*"
+    Only the last destination of each type, a closed set, and the number of all are
+    needed, so both are scalars and notes are neither joined nor shuffled.
+    """
+    active = _active(destinations)
+    by_type = active.groupBy("destination_type").agg(
+        F.max(F.struct(*active.columns)).alias("last"), F.count("*").alias("n")
     )
-
-
-def sync_rollup(with_results: DataFrame) -> DataFrame:
-    """Notes with result map by destination type (the last wins), count and time."""
-    entries = F.transform("results", lambda r: F.struct(r["destination_type"], r))
-    return with_results.select(
-        "*",
+    known = by_type.agg(
+        F.struct(F.array_sort(F.collect_list("last")).alias("last"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    ).scalar()
+    listed = notes.withColumn("_known", known).withColumn("_slug", _slug())
+    entries = F.transform("_known.last", lambda to: F.struct(to["destination_type"], _result(to)))
+    return listed.select(
+        *notes.columns,
         F.map_from_entries(entries).alias("destinations"),
-        F.size("results").alias("synced_destination_count"),
-        F.coalesce(F.array_max(F.transform("results", lambda r: r["synced_at"])), F.col("created_at")).alias(
-            "last_succeeded_at"
-        ),
-    ).drop("results")
+        F.col("_known.n").cast("int").alias("synced_destination_count"),
+        F.col("created_at").alias("last_succeeded_at"),
+    )
 
 
 def destination_status(rollup: DataFrame) -> DataFrame:

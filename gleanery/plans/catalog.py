@@ -362,13 +362,13 @@ def notes_build(spark, d):
     )
 
 
-def _synced(spark, d):
-    return notes.with_sync_results(_notes(spark, d), notes.with_missing_defaults(fx.destinations(spark, d)))
+def _destinations(spark, d):
+    return notes.with_missing_defaults(fx.destinations(spark, d))
 
 
 @query
 def note_sync(spark, d):
-    return notes.sync_notes(_synced(spark, d)).select(
+    return notes.sync_notes(_notes(spark, d), _destinations(spark, d)).select(
         "note_id", "item_id", "destination_id", "destination_type", "external_ref", "message", "status",
         instant("synced_at"),
     )
@@ -376,7 +376,7 @@ def note_sync(spark, d):
 
 @query
 def note_sync_rollup(spark, d):
-    return notes.sync_rollup(_synced(spark, d)).select(
+    return notes.sync_rollup(_notes(spark, d), _destinations(spark, d)).select(
         "item_id", "synced_destination_count",
         F.col("destinations")["notion"]["destination_id"].alias("notion_destination"),
         F.col("destinations")["obsidian"]["external_ref"].alias("obsidian_ref"), instant("last_succeeded_at"),
@@ -385,7 +385,7 @@ def note_sync_rollup(spark, d):
 
 @query
 def destination_status(spark, d):
-    return notes.destination_status(notes.sync_rollup(_synced(spark, d))).withColumn(
+    return notes.destination_status(notes.sync_rollup(_notes(spark, d), _destinations(spark, d))).withColumn(
         "synced_at", dates.iso_utc(F.col("synced_at"))
     )
 
@@ -398,7 +398,7 @@ def destination_list(spark, d):
 @query
 def knowledge_view(spark, d):
     rows = views.knowledge_rows(
-        notes.sync_rollup(_synced(spark, d)), fx.items(spark, d), *_chain(spark, d)
+        notes.sync_rollup(_notes(spark, d), _destinations(spark, d)), fx.items(spark, d), *_chain(spark, d)
     ).orderBy(*views.note_order())
     return rows.select(
         "item_id", "title", "type_label", "body_preview", "review_weight_label", "published_at_label",
@@ -465,12 +465,12 @@ def capture_runs(spark, d):
 
 @query
 def sync_cursor(spark, d):
-    return capture.sync_cursors(fx.feed_entries(spark, d).where("not stored"))
+    return capture.sync_cursors(fx.feed_entries(spark, d))
 
 
 @query
 def sync_cursor_members(spark, d):
-    return capture.cursor_members(fx.feed_entries(spark, d).where("not stored")).withColumn(
+    return capture.cursor_members(fx.feed_entries(spark, d)).withColumn(
         "latest_published_at", dates.iso_utc(F.col("latest_published_at"))
     )
 
@@ -629,9 +629,8 @@ def integrity_report(spark, d):
     return integrity.report(
         integrity.duplicate_keys(t("orders"), ["o_custkey", "o_orderdate"], "unique orders(customer,date)"),
         integrity.duplicate_keys(t("lineitem"), ["l_orderkey", "l_linenumber"], "unique lineitem(order,line)"),
-        integrity.duplicate_keys(t("documents"), ["text"], "unique documents(text)").withColumn(
-            "key_text", F.md5("key_text")
-        ),
+        # texts are hashed before they are grouped, so no text is shuffled
+        integrity.duplicate_keys(t("documents").select(F.md5("text").alias("text")), ["text"], "unique documents(text)"),
         integrity.orphans(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "reference lineitem.orderkey"),
         integrity.orphans(t("orders"), "o_custkey", t("customer"), "c_custkey", "reference orders.custkey"),
         integrity.orphans(t("documents"), "doc_id", t("labels"), "doc_id", "reference documents.doc_id"),

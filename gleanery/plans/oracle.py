@@ -521,7 +521,7 @@ decided as (
 MEMBERS = f"""with {ENTRIES},
 live as (
   select *, max(published_at) over (partition by source_id, batch_id) as latest,
-    min(pos) over (partition by source_id, batch_id) as head from ent where not stored
+    min(pos) over (partition by source_id, batch_id) as head from ent
 ),
 at_latest as (select * from live where published_at = latest or (latest is null and pos = head)),
 members as (

@@ -49,7 +49,9 @@ def selected_items(
     joined = chosen.join(picked.rows(items, "item_id"), "item_id").join(
         picked.rows(current, "item_id"), "item_id"
     )
-    joined = item_context(joined, assets, entries, sources)
+    own = picked.rows(items.select("item_id", "raw_asset_id"), "item_id").select("raw_asset_id")
+    near = assets.join(F.broadcast(own) if picked.small else own, "raw_asset_id", "left_semi")
+    joined = item_context(joined, near, entries, sources)
     joined = joined.join(picked.rows(titles, "item_id"), "item_id", "left")
     return joined.withColumn(
         "score_breakdown", score_breakdown(F.col("score_breakdown"), F.col("relevance_score"))

@@ -1,6 +1,7 @@
 """Capture: greedy choice against a sequential model, cursors, sync state."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -93,12 +94,14 @@ def test_cursor_of_the_latest_instant(spark):
     assert cursors[2]["cursor"] == '{"latestExternalIds":["only"],"latestPublishedAt":null,"latestUrls":[]}'
 
 
-def test_cursor_too_large_for_a_text_stays_whole_as_rows(spark):
-    rows = [(i, 1, 1, i, f"e{i}", None, AT) for i in range(20)]
-    frame = entries_at(spark, rows)
-    row = capture.sync_cursors(frame, limit=5).first()
-    assert (row["member_count"], row["cursor"]) == (20, None)
-    assert capture.cursor_members(frame).count() == 20
+def test_cursor_of_a_large_batch_is_whole(spark):
+    rows = [(i, 1, 1, i, f"e{i}", f"u{i}" if i % 2 else None, AT) for i in range(5000)]
+    frame = entries_at(spark, rows).repartition(7)
+    row = capture.sync_cursors(frame).first()
+    cursor = json.loads(row["cursor"])
+    assert row["member_count"] == 7500 == capture.cursor_members(frame).count()
+    assert cursor["latestExternalIds"] == [f"e{i}" for i in range(5000)]
+    assert cursor["latestUrls"] == [f"u{i}" for i in range(1, 5000, 2)]
 
 
 def test_runs(spark):

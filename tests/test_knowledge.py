@@ -21,6 +21,19 @@ def rows_of(frame, *order):
     return [tuple(r) for r in frame.orderBy(*order).collect()]
 
 
+def test_two_thousand_destinations(spark):
+    note = ("n1", 1, "A title", AT)
+    built = spark.createDataFrame([note], "note_id string, item_id bigint, title string, created_at timestamp")
+    many = spark.createDataFrame(
+        [(f"d{i:04d}", ("notion", "obsidian")[i % 2], "n", f"t{i}", "active") for i in range(2000)],
+        "destination_id string, destination_type string, name string, target_ref string, status string",
+    )
+    assert notes.sync_notes(built, many).select("external_ref").distinct().count() == 2000
+    (row,) = notes.sync_rollup(built, many).collect()
+    assert row["synced_destination_count"] == 2000
+    assert {k: v["destination_id"] for k, v in row["destinations"].items()} == {"notion": "d1998", "obsidian": "d1999"}
+
+
 def test_normalize_skips_failed_and_done(spark):
     meta = json.dumps({"language": " ", "feed": {"language": "en", "title": "F"}, "httpStatus": 200, "extractor": 5})
     rows = [(f"a{i}", "e", "article", None, f"t{i}", None, "https://x/1", AT, "<p>Hi</p>", meta, s)
@@ -170,10 +183,10 @@ def test_notes(spark):
     assert got[6]["highlights"] == ["Why", "a", "b"]
 
     none = notes.default_destinations(spark).limit(0)
-    synced = notes.with_sync_results(built, notes.with_missing_defaults(none))
-    refs = rows_of(notes.sync_notes(synced).where("item_id = 1").select("destination_type", "external_ref"), "destination_type")
+    targets = notes.with_missing_defaults(none)
+    refs = rows_of(notes.sync_notes(built, targets).where("item_id = 1").select("destination_type", "external_ref"), "destination_type")
     assert refs == [("notion", "notion://gleanery/default/page/title"), ("obsidian", "obsidian://gleanery/default/title.md")]
-    rollup = notes.sync_rollup(synced)
+    rollup = notes.sync_rollup(built, targets)
     assert rollup.where("synced_destination_count = 2").count() == 4
     assert notes.destination_status(rollup).count() == 8
 
