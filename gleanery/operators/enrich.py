@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery import fixed_values as V
 from gleanery.functions import dates, text, variants
+from gleanery.functions.staging import with_once
 from gleanery.operators.classify import classify
 from gleanery.operators.score import with_rule_scores
 
@@ -69,7 +70,10 @@ def response_text(response: Column) -> Column:
 
 # ------------------------------------------------------------------ runners
 def rule_runner(as_of: Column) -> Runner:
-    """Deterministic default: rule scores, rule classification, lead sentences."""
+    """Deterministic default: rule scores, rule classification, lead sentences.
+
+    The long summary is the whole text; key points are three to five by rule.
+    """
 
     def run(items: DataFrame) -> DataFrame:
         scored = classify(with_rule_scores(items, as_of))
@@ -85,11 +89,11 @@ def rule_runner(as_of: Column) -> Runner:
         output = F.struct(
             F.struct(
                 F.coalesce(F.get("_lead", F.lit(1)), F.concat(F.lit("Notes on "), label)).alias("short"),
-                F.nullif(F.array_join("_lead", " "), F.lit("")).alias("long"),
+                F.nullif(text.collapse(F.col("content_text")), F.lit("")).alias("long"),
             ).alias("summary"),
             points.alias("key_points"),
             F.struct(F.col("classification").alias("label"), "topic").alias("classification"),
-            F.when(F.size("tags") > 0, F.slice("tags", 1, 8)).otherwise(F.array(F.lit("general"))).alias("tags"),
+            F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("general"))).alias("tags"),
             "importance_score",
             "novelty_score",
             F.concat(F.lit("Adds background on "), label, F.lit(".")).alias("why_it_matters"),
@@ -97,7 +101,7 @@ def rule_runner(as_of: Column) -> Runner:
             F.lit(None).cast("string").alias("note_draft"),
         )
         return scored.withColumn("_lead", lead).select(
-            "item_id", F.to_json(output, {"ignoreNullFields": "false"}).alias("output_json")
+            "item_id", "title", F.to_json(output, {"ignoreNullFields": "false"}).alias("output_json")
         )
 
     return run
@@ -107,24 +111,31 @@ def batch_runner(call: Callable[[pd.Series], pd.Series]) -> Runner:
     """Wrap a callable from request texts to output texts, a batch at a time."""
 
     def run(items: DataFrame) -> DataFrame:
-        requests = items.select("item_id", request_json().alias("request"))
+        requests = items.select("item_id", "title", request_json().alias("request"))
 
         def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield pd.DataFrame(
-                    {"item_id": batch["item_id"], "output_json": call(batch["request"]).to_numpy()}
+                    {
+                        "item_id": batch["item_id"],
+                        "title": batch["title"],
+                        "output_json": call(batch["request"]).to_numpy(),
+                    }
                 )
 
         kind = items.schema["item_id"].dataType.simpleString()
-        return requests.mapInPandas(apply, schema=f"item_id {kind}, output_json string")
+        return requests.mapInPandas(apply, schema=f"item_id {kind}, title string, output_json string")
 
     return run
 
 
 def run_and_validate(items: DataFrame, runner: Runner) -> DataFrame:
-    """Runner outputs with their typed values and first error."""
-    outputs = items.select("item_id", "title").join(runner(items), "item_id")
-    return validate_outputs(outputs)
+    """Runner outputs with their typed values and first error.
+
+    A runner returns item_id, title (passed through) and output_json, so outputs
+    need not be joined to the items they came from.
+    """
+    return validate_outputs(runner(items).select("item_id", "title", "output_json"))
 
 
 def enrich(items: DataFrame, runner: Runner) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +215,7 @@ def validate_outputs(outputs: DataFrame) -> DataFrame:
     """
     doc = F.col("_doc")
     recommendation = variants.raw_string(doc, "$.preserve_recommendation")
-    parsed = outputs.withColumn("_doc", F.try_parse_json("output_json"))
+    parsed = with_once(outputs, _doc=F.try_parse_json("output_json"))
     error = _first_error(
         F.when(
             doc.isNull() | (variants.kind_of(doc) != "OBJECT"),
@@ -235,21 +246,22 @@ def validate_outputs(outputs: DataFrame) -> DataFrame:
     def texts(name):
         return F.transform(F.try_variant_get(doc, f"$.{name}", "array<string>"), text.strip)
 
-    return (
-        parsed.withColumn("error", error)
-        .withColumn("summary_short", variants.string(doc, "$.summary.short"))
-        .withColumn("summary_long", variants.string(doc, "$.summary.long"))
-        .withColumn("key_points", texts("key_points"))
-        .withColumn("classification", variants.string(doc, "$.classification.label"))
-        .withColumn("topic", variants.string(doc, "$.classification.topic"))
-        .withColumn("tags", texts("tags"))
-        .withColumn("importance_score", score("importance_score"))
-        .withColumn("novelty_score", score("novelty_score"))
-        .withColumn("why_it_matters", variants.string(doc, "$.why_it_matters"))
-        .withColumn("preserve_recommendation", recommendation)
-        .withColumn("note_draft", variants.string(doc, "$.note_draft"))
-        .drop("_doc")
+    checked = with_once(
+        parsed,
+        error=error,
+        summary_short=variants.string(doc, "$.summary.short"),
+        summary_long=variants.string(doc, "$.summary.long"),
+        key_points=texts("key_points"),
+        classification=variants.string(doc, "$.classification.label"),
+        topic=variants.string(doc, "$.classification.topic"),
+        tags=texts("tags"),
+        importance_score=score("importance_score"),
+        novelty_score=score("novelty_score"),
+        why_it_matters=variants.string(doc, "$.why_it_matters"),
+        preserve_recommendation=recommendation,
+        note_draft=variants.string(doc, "$.note_draft"),
     )
+    return checked.drop("_doc")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery import fixed_values as V
 from gleanery.operators.skew import first_per_key
-from gleanery.operators.timeline import with_next_time
 
 
 def enrichment_history(versions: DataFrame) -> DataFrame:
@@ -17,7 +16,9 @@ def enrichment_history(versions: DataFrame) -> DataFrame:
     ``versions``: item_id, version_id, created_at, ... valid outputs only, so
     an invalid output leaves the earlier version current.
     """
-    closed = with_next_time(versions, ["item_id"], "created_at", ["version_id"], "superseded_at")
+    # An item has few versions, so one window per item reads the input once.
+    following = Window.partitionBy("item_id").orderBy("created_at", "version_id")
+    closed = versions.withColumn("superseded_at", F.lead("created_at").over(following))
     return closed.withColumn("is_current", F.col("superseded_at").isNull())
 
 

@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], check: str, where: str | None = None) -> DataFrame:
-    """Keys that occur more than once."""
+    """Keys that occur more than once; a key with a null part is never a duplicate.
+
+    The key text joins the parts with a bar, and a bar or backslash inside a part is
+    escaped, so different keys have different texts.
+    """
     rows = df.where(where) if where else df
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
     counted = rows.groupBy(*keys).agg(F.count("*").alias("row_count")).where("row_count > 1")
+    parts = [F.regexp_replace(F.col(key).cast("string"), r"[\\|]", r"\\$0") for key in keys]
     return counted.select(
         F.lit(check).alias("check_name"),
-        F.concat_ws("|", *[F.col(key).cast("string") for key in keys]).alias("key_text"),
+        (F.concat_ws("|", *parts) if len(keys) > 1 else F.col(keys[0]).cast("string")).alias("key_text"),
         "row_count",
     )
 
