@@ -14,7 +14,7 @@ from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered
 from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 16                    # bytes of the anchors that decide a window's shard
+GRAM = 32                    # bytes of the anchors that decide a window's shard
 SEVERAL = np.uint32(1 << 31)
 FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -25,8 +25,9 @@ def _grams(data: bytes) -> np.ndarray:
     for shift in range(8):
         part = np.frombuffer(data, "<u8", (len(data) - shift) // 8, shift)
         words[shift::8] = part
-    low, high = words[:-8], words[8:]
-    return mixed(low * np.uint64(0x9E3779B97F4A7C15) + mixed(high))
+    one, two, three, four = words[:-24], words[8:-16], words[16:-8], words[24:]
+    low = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed(low ^ mixed(three * np.uint64(0xD1342543DE82EF95) + four * np.uint64(0xAF251AF3B0F025B5)))
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,11 +82,9 @@ class Segments:
                 )
             )
         key, first, second, row, begin, size = np.concatenate(parts, axis=1)
-        order = np.lexsort((second, first, key))
+        order = np.argsort(first)
         key, first, second = key[order], first[order], second[order]
-        new = np.append(
-            True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        )[:len(order)]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[:len(order)]
         self.group = np.cumsum(new) - 1
         self.row = row[order].astype(np.int64)
         self.begin, self.size = begin[order].astype(np.int64), size[order].astype(np.int64)
@@ -139,6 +138,21 @@ def shard_minima(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.n
     return [smallest[b:b + s - length + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
+def window_minima(texts: list[bytes], anchors: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """As ``shard_minima``, sorting only texts whose anchor another text has.
+
+    Equal windows have equal anchors, so a text alone with its anchor shares no window.
+    """
+    _, place, times = np.unique(anchors, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[place] > 1)
+    minima = [np.full(len(t) - length + 1, d) for t, d in zip(texts, docs, strict=True)]
+    if len(shared):
+        found = shard_minima([texts[i] for i in shared], docs[shared], length)
+        for i, values in zip(shared.tolist(), found, strict=True):
+            minima[i] = values
+    return minima
+
+
 def rounds(length: int) -> exchange.Rounds:
     def ask(chunk: Chunk, buckets: int) -> Payloads:
         """Every anchor of the chunk, marked where several of its documents have it."""
@@ -184,27 +198,31 @@ def rounds(length: int) -> exchange.Rounds:
                 )
             )
             yield bucket, pack(
-                mine.astype(np.uint32), segments.low[mine], segments.size[heads].astype(np.uint32),
+                mine.astype(np.uint32), short[part].astype(np.uint32),
+                segments.low[mine], segments.size[heads].astype(np.uint32),
                 np.frombuffer(content, np.uint8),
             )
 
     def answer_again(asked: list[tuple[int, bytes]]) -> Payloads:
         """Ranges of a segment's windows that a smaller document than the chunk's has."""
         distinct: dict[bytes, int] = {}
+        anchor_of: list[int] = []
         sent, texts_of, docs_of = [], [], []
         for chunk, payload in asked:
-            number, docs, sizes, content = unpack(payload)
+            number, anchors, docs, sizes, content = unpack(payload)
             data, at = content.tobytes(), 0
             which = np.empty(len(number), np.int64)
-            for i, size in enumerate(sizes.tolist()):
-                which[i] = distinct.setdefault(data[at:at + size], len(distinct))
+            for i, (size, anchor) in enumerate(zip(sizes.tolist(), anchors.tolist(), strict=True)):
+                place = which[i] = distinct.setdefault(data[at:at + size], len(distinct))
+                if place == len(anchor_of):
+                    anchor_of.append(anchor)
                 at += size
             sent.append((chunk, number, docs, which))
             texts_of.append(which)
             docs_of.append(docs)
         low = np.full(len(distinct), exchange.NO_DOC)
         np.minimum.at(low, np.concatenate(texts_of), np.concatenate(docs_of))
-        minima = shard_minima(list(distinct), low, length)
+        minima = window_minima(list(distinct), np.array(anchor_of), low, length)
         sizes = np.array([len(m) for m in minima], np.int64)
         flat = np.concatenate(minima)
         owner = np.repeat(np.arange(len(minima)), sizes)
