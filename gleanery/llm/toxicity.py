@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ from gleanery.llm.common import packed, table, unpacked
 BUCKETS = 1 << 16
 WIDTH = 16
 SHORTEST, LONGEST = 3, 5      # character n-grams of a word inside < and >
-SAMPLE_ROWS = 8000            # labelled rows the classifier is fitted on, at most
+SAMPLE_ROWS = 4000            # labelled rows the classifier is fitted on, at most
 SAMPLE_WORDS = 4000           # distinct words of a sampled row; commonest first
 EPOCHS = 16
 BATCH = 32
@@ -86,7 +88,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def fit(bags: list[tuple[list[int], list[int]]], labels: list[int], seed: int = 7) -> Model:
+def fit(bags: Sequence[tuple[Sequence[int], Sequence[int]]], labels: list[int], seed: int = 7) -> Model:
     """Train embeddings and softmax jointly by Adagrad on the log loss.
 
     Without rows of both labels the score is the share of label 1, constant.
@@ -99,7 +101,7 @@ def fit(bags: list[tuple[list[int], list[int]]], labels: list[int], seed: int =
     bias[1] = np.log(rate / (1 - rate))
     if len(set(labels)) < 2:
         return Model(vectors, np.zeros((2, WIDTH)), bias)
-    rows = [(np.array(f, np.int64), np.array(c, float) / max(1, sum(c))) for f, c in bags]
+    rows = [(np.asarray(f, np.int32), (np.asarray(c) / max(1, np.sum(c))).astype(np.float32)) for f, c in bags]
     seen, seen_weights, seen_bias = np.full(BUCKETS, 1e-8), np.full((2, WIDTH), 1e-8), np.full(2, 1e-8)
     for _ in range(EPOCHS):
         order = random.permutation(len(rows))
@@ -161,13 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(rows)
-        .select("toxic", bags("text").alias("bag"))
-        .toArrow()
+        .select(F.col("toxic").cast("int").alias("toxic"), bags("text").alias("bag"))
     )
-    found = sample.column("bag").combine_chunks()
-    features, counts = found.field(0), found.field(1)
-    bags_ = [(features[i].values.to_numpy(), counts[i].values.to_numpy()) for i in range(len(found))]
-    return fit(bags_, [int(t) for t in sample.column("toxic").to_pylist()])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, marks = [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            features, counts = batch.column(1).field(0), batch.column(1).field(1)
+            found += [(features[i].values.to_numpy(), counts[i].values.to_numpy()) for i in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, marks))], pa.binary())], names=["model"])
+
+    # one task holds the sample, whose size is bounded; the driver gets the model alone
+    return pickle.loads(sample.coalesce(1).mapInArrow(learn, "model binary").first()["model"])
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Column:
