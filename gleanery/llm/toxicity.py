@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, marks))], pa.binary())], names=["model"])
 
     # one task holds the sample, whose size is bounded; the driver gets the model alone
-    return pickle.loads(sample.coalesce(1).mapInArrow(learn, "model binary").first()["model"])
+    learned = sample.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else fit([], [])   # an empty plan has no task
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Column:
