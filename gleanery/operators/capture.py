@@ -61,9 +61,10 @@ def flag_known(entries: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _fold_small(pairs: DataFrame) -> DataFrame:
     """Greedy choice of batches small enough to sit in one row."""
+    row_ids = f"array<{pairs.schema['row_id'].dataType.simpleString()}>"
     queue = F.array_sort(F.collect_list(F.struct("pos", "row_id", "ext_key", "url_key")))
     start = F.struct(
-        F.array().cast("array<string>").alias("seen"), F.array().cast("array<bigint>").alias("kept")
+        F.array().cast("array<string>").alias("seen"), F.array().cast(row_ids).alias("kept")
     )
 
     def step(state, entry):
@@ -161,7 +162,7 @@ def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFr
     keyed = entries.select(
         scope.alias("scope"),
         "pos",
-        F.col("row_id").cast("bigint").alias("row_id"),
+        "row_id",
         *[
             F.when(_present(name).isNotNull(), _key(scope, F.lit(kind), F.col(name))).alias(alias)
             for name, kind, alias in (("external_id", "e", "ext_key"), ("url", "u", "url_key"))
@@ -197,13 +198,22 @@ def capture_dedupe(entries: DataFrame, stored: DataFrame, *, fold_limit: int = F
     return flagged.join(kept, "row_id", "left").withColumn("decision", decision).drop("known", "_kept")
 
 
-def capture_runs(decided: DataFrame) -> DataFrame:
-    """One run record per source and batch, with counts and final phase."""
+def capture_runs(decided: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """One run record per source and batch, with counts and final phase.
+
+    ``fetches`` (source_id, batch_id) lists the good fetches; one that brought no
+    entry has a run with zero counts too.
+    """
     counts = decided.groupBy("source_id", "batch_id").agg(
         F.count("*").alias("fetched_count"),
         F.count_if(F.col("decision") == "kept").alias("persisted_count"),
         F.count_if(F.col("decision") != "kept").alias("skipped_count"),
     )
+    if fetches is not None:
+        every = fetches.select("source_id", "batch_id").distinct()
+        counts = every.join(counts, ["source_id", "batch_id"], "left").na.fill(
+            0, ["fetched_count", "persisted_count", "skipped_count"]
+        )
     nothing_new = F.col("persisted_count") == 0
     return counts.select(
         "*",
@@ -214,6 +224,13 @@ def capture_runs(decided: DataFrame) -> DataFrame:
     )
 
 
+def started_runs(requests: DataFrame) -> DataFrame:
+    """Run records of fetches that are under way: (source_id, batch_id)."""
+    return requests.select(
+        "source_id", "batch_id", F.lit("started").alias("phase"), F.lit("captured").alias("entry_status")
+    )
+
+
 def failed_runs(failures: DataFrame) -> DataFrame:
     """Run records of fetches that failed: (source_id, batch_id, message)."""
     return failures.select(
@@ -311,3 +328,21 @@ def sync_state(outcomes: DataFrame) -> DataFrame:
         F.when(failed, text.shorten_error(F.col("last.message"))).alias("last_error_message"),
         F.when(failed, "error").otherwise("active").alias("source_status"),
     )
+
+
+def merge_sync_state(earlier: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Sync state after further outcomes: ``earlier`` is what this function returned before.
+
+    Its size is the number of sources, whatever the number of outcomes so far.
+    """
+    added = outcomes.groupBy("source_id").agg(F.max(F.struct("at", "seq")).alias("mark"))
+    new = sync_state(outcomes).join(added, "source_id").select(
+        "*", F.col("mark.seq").alias("last_seq")
+    ).drop("mark")
+    last = F.struct("last_error_at", "last_error_message", "source_status", "last_seq")
+    both = new.unionByName(earlier.select(*new.columns))
+    return both.groupBy("source_id").agg(
+        F.max("last_synced_at").alias("last_synced_at"),
+        F.max("last_success_at").alias("last_success_at"),
+        F.max_by(last, F.struct("last_synced_at", "last_seq")).alias("last"),
+    ).select("source_id", "last_synced_at", "last_success_at", "last.*")

@@ -58,22 +58,33 @@ def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str], *orde
 
 
 def processing_record(generation: dict[str, object] | None = None) -> Column:
-    """Provenance of one processing pass as a struct."""
+    """Provenance of one processing pass as a struct.
+
+    Reads item, enrichment and duplicate columns, group_id, and note_id and
+    synced_destination_count where a note was made.
+    """
     settings = generation or {"model": "rules", "prompt_version": "v1", "provider": "local"}
     duplicate = F.col("duplicate_of_item_id")
     kept = duplicate.isNull() & F.coalesce(F.col("preserve_recommendation") == "keep", F.lit(False))
+    note_status = F.when(kept, "created").otherwise("skipped")
     return F.struct(
         F.array(*[F.lit(step) for step in V.PROCESSING_ORDER]).alias("order"),
         F.lit(V.PROCESSING_VERSION).alias("version"),
         F.lit("preserve").alias("last_completed_step"),
         F.lit(None).cast("string").alias("last_error"),
         F.lit("processed").alias("status"),
-        F.when(kept, "created").otherwise("skipped").alias("note_status"),
+        note_status.alias("note_status"),
         F.struct(*[F.lit(value).alias(name) for name, value in settings.items()]).alias("generation"),
         F.struct(
             F.struct("importance_score", "novelty_score", "rationale").alias("score"),
             F.struct("dedupe_key", duplicate.alias("duplicate_of_item_id")).alias("dedupe"),
+            F.struct("summary_short", F.size("key_points").alias("key_point_count")).alias("summarize"),
             F.struct("classification", "topic", "tags").alias("classify"),
-            F.struct("preserve_recommendation").alias("preserve"),
+            F.struct("group_id", "topic").alias("group"),
+            F.struct(
+                "preserve_recommendation",
+                F.when(kept, F.col("note_id")).alias("note_id"),
+                F.when(kept, F.coalesce("synced_destination_count", F.lit(0))).otherwise(0).alias("synced_count"),
+            ).alias("preserve"),
         ).alias("steps"),
     )

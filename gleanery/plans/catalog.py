@@ -172,6 +172,11 @@ def page_article_extract(spark, d):
     )
 
 
+@query
+def published_dates(spark, d):
+    return pages.with_published_at(fx.dated_pages(spark, d)).select("page_id", instant("published_at"))
+
+
 @query
 def fetch_outcomes(spark, d):
     return pages.fetch_outcomes(fx.fetch_log(spark, d)).select(
@@ -463,6 +468,30 @@ def capture_runs(spark, d):
     return capture.capture_runs(_captured(spark, d))
 
 
+def _fetches(spark, d):
+    """Fetches of the outcome log; every seventh one failed, every fifth good one was empty."""
+    return fx.table(spark, d, "events").selectExpr(
+        "user_id % 20 as source_id", "event_id as batch_id", "event_id % 7 = 0 as failed", "event_id % 5 = 0 as empty",
+        "concat('status ', event_type) as message",
+    )
+
+
+@query
+def fetch_runs(spark, d):
+    """Started, failed and completed runs, those of empty feeds too."""
+    fetches = _fetches(spark, d)
+    good = fetches.where("not failed")
+    entries = good.where("not empty").withColumn("decision", F.expr("if(batch_id % 2 = 0, 'kept', 'known')"))
+    done = capture.capture_runs(entries, good)
+    started = capture.started_runs(fetches)
+    failed = capture.failed_runs(fetches.where("failed"))
+    rows = done.unionByName(started, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
+    return rows.select(
+        "source_id", "batch_id", "phase", "entry_status", "fetched_count", "persisted_count", "skipped_count",
+        "normalization_phase", "normalization_reason", "message",
+    )
+
+
 @query
 def sync_cursor(spark, d):
     return capture.sync_cursors(fx.feed_entries(spark, d))
@@ -536,6 +565,16 @@ def source_commands(spark, d):
     return registry.check_commands(fx.commands(spark, d)).select("command_id", "action", "rejection")
 
 
+@query
+def cascade_deletes(spark, d):
+    """Entries of sources that commands have deleted lose their source; sync states go."""
+    left = registry.apply_commands(registry.check_commands(fx.commands(spark, d))).select("source_id")
+    entries = fx.commands(spark, d).selectExpr("command_id as entry_id", "source_id")
+    kept = registry.cascade_deletes(entries, left, keep_rows=True).selectExpr("'entry' as kind", "entry_id", "source_id")
+    states = registry.cascade_deletes(entries, left, keep_rows=False).selectExpr("'state' as kind", "entry_id", "source_id")
+    return kept.unionByName(states)
+
+
 @query
 def source_table(spark, d):
     left = registry.apply_commands(registry.check_commands(fx.commands(spark, d)))
@@ -602,16 +641,32 @@ def enrichment_rewrite(spark, d):
 
 @query
 def processing_record(spark, d):
+    items = fx.items(spark, d)
     current = fx.enrichments(spark, d).where("is_current").drop("created_at", "dedupe_key")
-    found = dedupe.find_duplicates(fx.items(spark, d)).drop("created_at")
-    record = current.join(found, "item_id").withColumn("rationale", F.array(F.lit("rules")))
+    found = dedupe.find_duplicates(items).drop("created_at")
+    settled = items.drop("duplicate_of_item_id").join(current, "item_id").join(found, "item_id")
+    built = notes.build_notes(settled.withColumn("baseline_score", F.lit(0.3)))
+    noted = notes.sync_rollup(built, _destinations(spark, d)).select("item_id", "note_id", "synced_destination_count")
+    record = settled.join(noted, "item_id", "left").select(
+        "*", F.array(F.lit("rules")).alias("rationale"), groups.group_id(text.slugify(F.col("topic"))).alias("group_id")
+    )
     return record.select("item_id", history.processing_record().alias("r")).select(
         "item_id", joined("r.order").alias("step_order"), F.col("r.status").alias("status"),
         F.col("r.note_status").alias("note_status"), F.col("r.steps.dedupe.dedupe_key").alias("dedupe_key"),
-        F.col("r.steps.classify.topic").alias("topic"),
+        F.col("r.steps.classify.topic").alias("topic"), F.col("r.steps.group.group_id").alias("group_id"),
+        F.col("r.steps.summarize.key_point_count").alias("key_point_count"),
+        F.col("r.steps.preserve.note_id").alias("note_id"),
+        F.col("r.steps.preserve.synced_count").alias("synced_count"),
     )
 
 
+@query
+def insert_missing(spark, d):
+    base = fx.items(spark, d).where("item_id % 3 = 0").selectExpr("item_id", "title", "0 as revision")
+    delta = fx.enrichments(spark, d).selectExpr("item_id", "summary_short as title", "version_id + 1 as revision")
+    return history.insert_missing(base, delta, ["item_id"], F.desc("revision"))
+
+
 @query
 def upsert_notes(spark, d):
     base = fx.items(spark, d).selectExpr("item_id", "title", "0 as revision", "created_at as updated_at")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanery.functions import text
 from gleanery.operators.groups import group_id
 from gleanery.session import tune
+from gleanery.sources.pages import PUBLISHED_META
 
 # Declared, so that opening a table runs no inference.
 SCHEMAS = {
@@ -353,6 +354,23 @@ def mixed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that state a date in each known place, by id; half state an older one, in a weaker place, first."""
+    places = [
+        f"<meta {key}=\"{value}\" content=\"2024-01-0{n + 1}T03:00:00Z\">" for n, (key, value) in enumerate(PUBLISHED_META)
+    ]
+    places += [
+        "<time class=\"d\" datetime=\"2024-01-07T03:00:00Z\">",
+        "<meta property=\"article:published_time\" content=\"no date\">",
+    ]
+    cases = " ".join(f"when {n} then '{place}'" for n, place in enumerate(places))
+    older = "<meta name=\"timestamp\" content=\"2020-01-01T00:00:00Z\">"
+    return texts(spark, sf_dir, "pages").selectExpr(
+        "page_id",
+        f"concat(if(page_id % 2 = 0, '{older}', ''), case page_id % {len(places) + 1} {cases} else '' end, html) as html",
+    )
+
+
 def _json_text(value: str) -> str:
     return f"concat('\"', replace(replace(replace({value}, '\\\\', ' '), '\"', ' '), '\\n', ' '), '\"')"
 

@@ -787,6 +787,9 @@ select item_id, {group_id('tag')} as group_id from m where k = 1 and topic is no
 union all select item_id, {group_id(slug('title'))} from old""",
     "topic_titles": f"""with {FX} select item_id, case when item_id % 8 <> 0 then topic end as topic_group_title
   from fx where item_id % 8 <> 4""",
+    "published_dates": """select page_id, case when page_id % 9 = 7 then null
+  when page_id % 2 = 0 and page_id % 9 >= 4 then '2020-01-01T00:00:00.000Z' when page_id % 9 = 8 then null
+  else '2024-01-0' || (page_id % 9 + 1) || 'T03:00:00.000Z' end as published_at from pages""",
     "notes_build": f"""with {FX}, {NOTES} select item_id, title, note_type, body_md, highlights,
   array_to_string(tags, '|') as tags, review_weight from notes""",
     "note_sync": f"""with {FX}, {NOTES}, {DESTS}, {SYNCED} select note_id, item_id, destination_id, destination_type,
@@ -855,6 +858,11 @@ l as (select source_id, arg_max(action, (at_time, command_id)) as action, max(at
   max(at_time) filter (action = 'register') as c from ok group by source_id)
 select source_id, case action when 'pause' then 'paused' else 'active' end as status, {iso('c')} as created_at,
   {iso('u')} as updated_at from l where action <> 'delete'""",
+    "cascade_deletes": f"""with {COMMANDS}, ok as (select * from checked where rejection is null),
+l as (select source_id, arg_max(action, (at_time, command_id)) as action from ok group by source_id),
+alive as (select source_id from l where action <> 'delete')
+select 'entry' as kind, c.command_id as entry_id, a.source_id from cmd c left join alive a on a.source_id = c.source_id
+union all select 'state', c.command_id, c.source_id from cmd c join alive a on a.source_id = c.source_id""",
     "enrichment_validate": _validate(),
     "enrichment_rules": f"""with {FX}, {SCORE}, {CLASSIFY},
 r as (select s.*, c.classification, c.topic, c.tag_list, {sentences('x.content_text')} as lead,
@@ -872,9 +880,26 @@ from q where not coalesce({echo('short', 't')}, false)""",
     "enrichment_history": f"with {FX}, {VERSIONS} {history('versions')}",
     "enrichment_rewrite": f"""with {FX}, {VERSIONS}, both_v as (select * from versions union all
   select doc_id, 2, {seconds(FEB_1, 'doc_id + 3 * 86400')}, 0.25::double from labels) {history('both_v')}""",
-    "processing_record": f"""with {FX}, {KEYED} select item_id, 'score|dedupe|summarize|classify|group|preserve' as step_order,
+    "processing_record": f"""with {FX}, {KEYED}, {DESTS} select item_id, 'score|dedupe|summarize|classify|group|preserve' as step_order,
   'processed' as status, case when item_id = first_id and advice = 'keep' then 'created' else 'skipped' end as note_status,
-  dedupe_key, topic from found""",
+  dedupe_key, topic, {group_id(slug('topic'))} as group_id, 3 as key_point_count,
+  case when item_id = first_id and advice = 'keep' then sha256('note:' || item_id) end as note_id,
+  case when item_id = first_id and advice = 'keep' then (select count(*)::int from dests where status = 'active') else 0 end
+    as synced_count from found""",
+    "insert_missing": f"""with {FX}, {VERSIONS}
+select item_id, title, 0 as revision from fx where item_id % 3 = 0
+union all select v.item_id, x.summary_short, max(v.version_id) + 1 from versions v join fx x on x.item_id = v.item_id
+  where v.item_id % 3 <> 0 group by all""",
+    "fetch_runs": """with f as (select user_id % 20 as source_id, event_id as batch_id, event_id % 7 = 0 as failed,
+  event_id % 5 = 0 as empty, 'status ' || event_type as message from events)
+select source_id, batch_id, 'started' as phase, 'captured' as entry_status, null::bigint as fetched_count,
+  null::bigint as persisted_count, null::bigint as skipped_count, null::varchar as normalization_phase,
+  null::varchar as normalization_reason, null::varchar as message from f
+union all select source_id, batch_id, 'failed', 'failed', null, null, null, null, null, message from f where failed
+union all select source_id, batch_id, 'completed', case when empty or batch_id % 2 = 1 then 'normalized' else 'captured' end,
+  (not empty)::bigint, (not empty and batch_id % 2 = 0)::bigint, (not empty and batch_id % 2 = 1)::bigint,
+  case when empty or batch_id % 2 = 1 then 'skipped' end, case when empty or batch_id % 2 = 1 then 'no_new_raw_assets' end,
+  null from f where not failed""",
     "upsert_notes": f"""with {FX}, {VERSIONS}, d as (select v.item_id + 40 as item_id, x.summary_short as title,
   v.version_id + 1 as revision, v.created_at as at_time, row_number() over (partition by v.item_id order by v.created_at desc) as k
   from versions v join fx x on x.item_id = v.item_id)

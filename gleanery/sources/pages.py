@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery import fixed_values as V
 from gleanery.functions import dates, text
+from gleanery.functions.staging import with_once
 
 # Where pages state their publishing date, best first.
 PUBLISHED_META = (
@@ -26,19 +27,31 @@ def attribute(tag: Column, name: str) -> Column:
     return F.nullif(text.collapse(text.decode_entities(value)), F.lit(""))
 
 
-def meta_content(html: Column, key: str, value: str) -> Column:
-    tag = F.regexp_extract(
-        html, rf"""(?is)<meta\b[^>]*\s{key}\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s/>]))[^>]*>""", 0
+def with_tags(pages: DataFrame) -> DataFrame:
+    """Pages with their meta tags and first dated time tag, found in one pass each."""
+    return with_once(
+        pages,
+        _meta=F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)),
+        _time=F.regexp_extract("html", r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0),
     )
-    return attribute(tag, "content")
+
+
+def meta_content(key: str, value: str) -> Column:
+    """Content of the first meta tag whose ``key`` is ``value``."""
+    pattern = rf"""(?is)\s{key}\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s/>]))"""
+    tag = F.get(F.filter("_meta", lambda tag: tag.rlike(pattern)), F.lit(0))
+    return attribute(F.coalesce(tag, F.lit("")), "content")
+
+
+def _with_date(tagged: DataFrame) -> DataFrame:
+    stated = [meta_content(key, value) for key, value in PUBLISHED_META]
+    found = with_once(tagged, _stated=F.coalesce(*stated, attribute(F.col("_time"), "datetime")))
+    return found.withColumn("published_at", dates.parse_date(F.col("_stated"))).drop("_stated")
 
 
 def with_published_at(pages: DataFrame) -> DataFrame:
     """Publishing date; the first stated value decides, a bad one gives null."""
-    time_tag = F.regexp_extract("html", r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0)
-    stated = [meta_content(F.col("html"), key, value) for key, value in PUBLISHED_META]
-    found = pages.withColumn("_stated", F.coalesce(*stated, attribute(time_tag, "datetime")))
-    return found.withColumn("published_at", dates.parse_date(F.col("_stated"))).drop("_stated")
+    return _with_date(with_tags(pages)).drop("_meta", "_time")
 
 
 def article_html(html: Column) -> Column:
@@ -61,30 +74,38 @@ def is_text(content_type: Column) -> Column:
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
-    """Add article columns to pages with an ``html`` column."""
+    """Add article columns to pages with an ``html`` column.
+
+    In steps with a boundary between them, so that no step's code grows too large
+    to compile and every scan of the page happens once.
+    """
     html = F.col("html")
-    title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    first_paragraph = F.regexp_extract(F.col("content_html"), r"(?is)<p\b[^>]*>(.*?)</p\s*>", 1)
-    root = F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0)
-    found = with_published_at(pages).withColumn("content_html", article_html(html))
+    region = with_once(
+        with_tags(pages),
+        content_html=article_html(html),
+        _title=F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1),
+        _root=F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0),
+    )
 
     def clean(value: Column) -> Column:
         return F.nullif(text.collapse(text.decode_entities(value)), F.lit(""))
 
+    first_paragraph = F.regexp_extract(F.col("content_html"), r"(?is)<p\b[^>]*>(.*?)</p\s*>", 1)
+    described = with_once(
+        region,
+        content_text=text.collapse(text.html_to_text(F.col("content_html"))),
+        title=clean(F.col("_title")),
+        author=meta_content("name", "author"),
+        language=attribute(F.col("_root"), "lang"),
+        site_name=meta_content("property", "og:site_name"),
+        excerpt=F.coalesce(
+            meta_content("name", "description"), clean(F.regexp_replace(first_paragraph, "<[^>]+>", " "))
+        ),
+    )
     return (
-        found.withColumn("content_text", text.collapse(text.html_to_text(F.col("content_html"))))
-        .withColumn("title", clean(title))
-        .withColumn("author", meta_content(html, "name", "author"))
-        .withColumn("language", attribute(root, "lang"))
-        .withColumn("site_name", meta_content(html, "property", "og:site_name"))
-        .withColumn(
-            "excerpt",
-            F.coalesce(
-                meta_content(html, "name", "description"),
-                clean(F.regexp_replace(first_paragraph, "<[^>]+>", " ")),
-            ),
-        )
+        _with_date(described)
         .withColumn("has_content", text.is_present(F.col("content_text")))
+        .drop("_meta", "_time", "_title", "_root")
     )
 
 

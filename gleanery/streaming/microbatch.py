@@ -1,8 +1,8 @@
 """Incremental runs: feed payloads and fetch outcomes as micro-batches.
 
 Tables are folders of Parquet files partitioned by batch_id. A micro-batch
-overwrites only its own partition and reads only earlier ones, so replaying it
-after a failure gives the same tables.
+overwrites only its own folder and reads only earlier ones, so replaying it
+after a failure gives the same tables, also where it now has no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanery.operators import capture, enrich, groups, history, normalize, selection
+from gleanery.functions import text
+from gleanery.operators import capture, enrich, groups, history, normalize, notes, selection
 from gleanery.operators.dedupe import find_duplicates, settle_duplicates
 from gleanery.session import ensure_checkpoint_dir, tune
 from gleanery.sources import feeds
@@ -36,14 +37,18 @@ class Store:
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
     def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
-        """Replace the batch's own partition."""
-        (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self.path(name))
-        )
+        """Replace the batch's own folder, also by no rows; its files then still tell the schema."""
+        rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch_id={batch_id}")
+
+    def stage(self, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Rows stored for this batch alone; ``clear`` removes them."""
+        path = f"{self.path('_stage')}/{batch_id}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self, batch_id: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path('_stage')}/{batch_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def read(self, name: str, like: DataFrame | None = None, before: int | None = None) -> DataFrame:
         """Rows of earlier batches; an empty frame shaped like ``like`` at first."""
@@ -78,11 +83,11 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     tune(store.spark)
     ensure_checkpoint_dir(store.spark)
     assets, broken = feeds.feed_assets(payloads)
-    broken = broken.checkpoint()
+    broken = store.stage("broken", broken, batch_id)
     meta = payloads.select("payload_id", "source_url", "final_url", "requested_at")
     assets = assets.join(meta, "payload_id").withColumn("raw_metadata", feeds.asset_metadata())
-    entries = assets.select(
-        F.xxhash64(F.lit(batch_id), "payload_id", "pos").alias("row_id"),
+    parsed = assets.select(
+        F.sha2(F.concat_ws("/", F.lit(batch_id), "payload_id", "pos"), 256).alias("row_id"),
         "source_id",
         F.col("payload_id").alias("feed_id"),
         "pos",
@@ -94,7 +99,8 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
         "raw_content",
         "raw_metadata",
         "requested_at",
-    ).checkpoint()  # read several times below; parsing is the expensive part
+    )
+    entries = store.stage("entries", parsed, batch_id)  # read several times below; parsing is the expensive part
     count = entries.count()
 
     # One walk per source: its payloads of this batch in arrival order.
@@ -111,10 +117,15 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     known = _narrowed(ids.where("external_id is not null"), ranked, "external_id", count).unionByName(
         _narrowed(ids.where("url is not null"), ranked, "url", count)
     )
-    decided = capture.capture_dedupe(ranked, known).select("row_id", "decision").checkpoint()
+    decided = store.stage("decided", capture.capture_dedupe(ranked, known).select("row_id", "decision"), batch_id)
     fresh = entries.join(decided.where("decision = 'kept'").select("row_id"), "row_id", "left_semi")
-    runs = capture.capture_runs(ranked.join(decided, "row_id")).drop("batch_id")
-    cursors = capture.sync_cursors(ranked).drop("batch_id")
+    good = payloads.join(broken.select("payload_id"), "payload_id", "left_anti").select(
+        "source_id", F.lit(batch_id).alias("batch_id")
+    )
+    runs = capture.capture_runs(ranked.join(decided, "row_id"), good).drop("batch_id")
+    # A cursor belongs to one fetched document, so its members are bounded by that document.
+    fetched = entries.select("source_id", F.col("feed_id").alias("batch_id"), "pos", "external_id", "url", "published_at")
+    cursors = capture.sync_cursors(fetched).withColumnRenamed("batch_id", "feed_id")
     failed = capture.failed_runs(broken.select("source_id", F.lit(batch_id).alias("batch_id"), F.col("error").alias("message")))
 
     store.write("raw_assets", _asset_rows(fresh), batch_id)
@@ -168,12 +179,38 @@ def knowledge_batch(store: Store, runner: enrich.Runner, sources: DataFrame, bat
     topics = sources.select("source_id", F.col("topic").alias("source_topic"))
     ready = own.join(topics, "source_id", "left")
     # The runner answers once per item; both tables come from that answer.
-    valid, broken = enrich.split_valid(enrich.run_and_validate(ready, runner).checkpoint())
+    answers = store.stage("answers", enrich.run_and_validate(ready, runner), batch_id)
+    valid, broken = enrich.split_valid(answers)
     valid = valid.join(own.select("item_id", "created_at"), "item_id").withColumn("version_id", F.lit(batch_id))
     store.write("enrichments", valid, batch_id)
     store.write("quarantine", broken, batch_id)
 
 
+def preserve_batch(store: Store, destinations: DataFrame, batch_id: int) -> None:
+    """Groups, memberships, notes, destination results and provenance of the batch's items."""
+    items = store.read("items").where(F.col("batch_id") <= batch_id)
+    own = items.where(F.col("batch_id") == batch_id).drop("batch_id")
+    enriched = store.read("enrichments").where(F.col("batch_id") == batch_id).drop("batch_id", "title", "created_at")
+    found = find_duplicates(items.drop("batch_id")).select("item_id", "dedupe_key", "duplicate_of_item_id")
+    joined = own.join(settle_duplicates(enriched.join(found, "item_id")), "item_id")
+    settled = store.stage("settled", joined, batch_id)
+    assigned = settled.select("item_id", "topic", F.col("created_at").alias("at"))
+    store.write("item_groups", groups.topic_groups(assigned), batch_id)
+    store.write("item_group_members", groups.topic_members(assigned), batch_id)
+    built = notes.build_notes(settled.withColumn("baseline_score", F.col("importance_score")))
+    rollup = notes.sync_rollup(built, destinations)
+    store.write("notes", rollup.drop("destinations"), batch_id)
+    store.write("destination_results", notes.destination_status(rollup), batch_id)
+    tag = groups.group_id(text.slugify(text.blank_to_null(F.col("topic"))))
+    noted = rollup.select("item_id", "note_id", "synced_destination_count")
+    record = settled.join(noted, "item_id", "left").withColumn("group_id", tag).withColumn(
+        "rationale", F.lit(None).cast("array<string>")
+    )
+    store.write(
+        "provenance", record.select("item_id", history.processing_record().alias("record")), batch_id
+    )
+
+
 def select_batch(store: Store, sources: DataFrame, batch_id: int, policy=selection.Policy()) -> None:
     """Rebuild the reading queue once per micro-batch, as one more run."""
     every_item = store.read("items").where(F.col("batch_id") <= batch_id).drop("batch_id")
@@ -199,14 +236,17 @@ def select_batch(store: Store, sources: DataFrame, batch_id: int, policy=selecti
 
 
 def curation_batch(
-    store: Store, runner: enrich.Runner, sources: DataFrame
+    store: Store, runner: enrich.Runner, sources: DataFrame, destinations: DataFrame | None = None
 ) -> Callable[[DataFrame, int], None]:
     """The whole chain for one micro-batch, for ``foreachBatch``."""
+    targets = notes.default_destinations(store.spark) if destinations is None else destinations
 
     def run(payloads: DataFrame, batch_id: int) -> None:
         capture_batch(store, payloads, batch_id)
         knowledge_batch(store, runner, sources, batch_id)
+        preserve_batch(store, targets, batch_id)
         select_batch(store, sources, batch_id)
+        store.clear(batch_id)
 
     return run
 
@@ -224,17 +264,27 @@ def current_sync_state(store: Store) -> DataFrame:
     return capture.sync_state(store.read("outcomes").drop("batch_id"))
 
 
-def start_sync_state(outcomes: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Sync state that follows an outcome stream, as a complete in-memory view.
+def sync_state_batch(store: Store) -> Callable[[DataFrame, int], None]:
+    """Merge a batch of outcomes into the stored state, one row per source, for ``foreachBatch``."""
 
-    The state is one row per source: max and max_by only.
-    """
-    state = capture.sync_state(outcomes)
-    return (
-        state.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def run(outcomes: DataFrame, batch_id: int) -> None:
+        nothing = outcomes.limit(0)
+        empty = capture.merge_sync_state(capture.sync_state(nothing).withColumn("last_seq", F.lit(None).cast(nothing.schema["seq"].dataType)), nothing)
+        earlier = store.read("sync_state", empty, before=batch_id)
+        newest = earlier.agg(F.max("batch_id")).scalar()
+        last = earlier.where(F.col("batch_id") == newest).drop("batch_id")
+        store.write("sync_state", capture.merge_sync_state(last, outcomes), batch_id)
+
+    return run
+
+
+def stored_sync_state(store: Store) -> DataFrame:
+    """The state after the newest batch."""
+    every = store.read("sync_state")
+    return every.where(F.col("batch_id") == every.agg(F.max("batch_id")).scalar()).drop("batch_id", "last_seq")
+
+
+def start_sync_state(outcomes: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Sync state that follows an outcome stream."""
+    writer = outcomes.writeStream.foreachBatch(sync_state_batch(store))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -80,6 +80,14 @@ def test_batches_capture_only_unseen_assets_and_replay_changes_nothing(spark, tm
     copy = newest.where("stage = 'hard_filter' and array_contains(selection_reasons, 'duplicate_item')")
     assert [r["item_id"] for r in copy.collect()] == [conflict["item_id"]]
 
+    members = store.read("item_group_members")
+    assert members.join(store.read("item_groups").select("group_id").distinct(), "group_id", "left_anti").count() == 0
+    records = [r["record"] for r in store.read("provenance").collect()]
+    assert len(records) == 4 and all(len(r["order"]) == 6 == len(r["steps"]) for r in records)
+    noted = {r["note_id"] for r in store.read("notes").collect()}
+    assert noted == {r["steps"]["preserve"]["note_id"] for r in records if r["note_status"] == "created"}
+    assert store.read("destination_results").count() == 2 * len(noted)
+
     before = snapshot(store)
     step(frames[2], 2)
     assert snapshot(store) == before
@@ -98,12 +106,45 @@ def test_stream_runs_the_chain(spark, tmp_path):
     assert store.read("items").count() == 2
 
 
+def test_first_batches_without_rows_do_not_stop_the_chain(spark, tmp_path):
+    nothing = enrich.batch_runner(lambda requests: requests.map(lambda _: "{broken"))
+    rules = enrich.rule_runner(F.lit(AT))
+    starts = (
+        ("empty", rules, (("s1", feed()), ("s2", "<rss><channel>")), {"s1": (0, "normalized", "skipped")}),
+        ("invalid", nothing, (("s1", feed(ONE)),), {"s1": (1, "captured", None)}),
+    )
+    for name, runner, rows, expected in starts:
+        store = microbatch.Store(spark, str(tmp_path / name))
+        microbatch.curation_batch(store, runner, sources(spark))(payloads(spark, 0, *rows), 0)
+        microbatch.curation_batch(store, rules, sources(spark))(payloads(spark, 1, ("s1", feed(TWO, THREE))), 1)
+        assert store.read("enrichments").count() == 2 == store.read("provenance").count()
+        runs = store.read("capture_runs").where("batch_id = 0").collect()
+        assert {r["source_id"]: (r["fetched_count"], r["entry_status"], r["normalization_phase"]) for r in runs} == expected
+        assert not store.exists("_stage/0") and not store.exists("_stage/1")
+
+
+def test_replay_with_other_answers_leaves_no_stale_rows(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    frame = payloads(spark, 0, ("s1", feed(ONE, TWO)))
+    microbatch.curation_batch(store, enrich.rule_runner(F.lit(AT)), sources(spark))(frame, 0)
+    assert (store.read("enrichments").count(), store.read("quarantine").count()) == (2, 0)
+    broken = enrich.batch_runner(lambda requests: requests.map(lambda _: "[]"))
+    microbatch.curation_batch(store, broken, sources(spark))(frame, 0)
+    assert (store.read("enrichments").count(), store.read("quarantine").count()) == (0, 2)
+
+
 def test_sync_state_follows_a_stream(spark, tmp_path):
     rows = [("s", AT, 1, True, None), ("s", AT + dt.timedelta(hours=1), 2, False, "bad")]
     schema = "source_id string, at timestamp, seq bigint, ok boolean, message string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
-    query = microbatch.start_sync_state(stream, str(tmp_path / "cp"), "state_view")
-    query.awaitTermination(120)
-    (row,) = spark.table("state_view").collect()
+    store = store_at(spark, tmp_path)
+    microbatch.start_sync_state(stream, store, str(tmp_path / "cp")).awaitTermination(120)
+    (row,) = microbatch.stored_sync_state(store).collect()
     assert (row["source_status"], row["last_error_message"], row["last_success_at"]) == ("error", "bad", AT)
+    more = spark.createDataFrame([("s", AT + dt.timedelta(hours=2), 3, True, None), ("t", AT, 4, False, "x")], schema)
+    more.write.mode("append").parquet(str(tmp_path / "log"))
+    microbatch.start_sync_state(stream, store, str(tmp_path / "cp")).awaitTermination(120)
+    state = {r["source_id"]: r for r in microbatch.stored_sync_state(store).collect()}
+    assert (state["s"]["source_status"], state["s"]["last_error_at"]) == ("active", None)
+    assert state["t"]["source_status"] == "error"
