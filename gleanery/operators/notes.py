@@ -38,6 +38,7 @@ def _fallback_body(title: Column) -> Column:
     def with_excerpt(value: str) -> Column:
         return F.when(col("_excerpt").isNotNull(), F.lit(value))
 
+    # fixed values: the texts below must be these, in this order
     top = [
         F.concat(F.lit("# "), title), "", col("summary_short"), "",
         F.when(text.is_present(col("summary_long")), F.lit("## Summary")), col("summary_long"), "",

@@ -171,6 +171,7 @@ def source_status(sources: DataFrame, state: DataFrame) -> DataFrame:
     error_end = F.when(
         F.coalesce(message, F.lit("")) != "", F.concat(F.lit(": "), message)
     ).otherwise(F.lit("."))
+    # fixed values: the texts below must be these, in this order
     detail = (
         F.when(F.col("_has_state").isNull(), "Sync state has not been initialized yet.")
         .when(

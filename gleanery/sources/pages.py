@@ -132,6 +132,7 @@ def fetch_outcomes(fetches: DataFrame) -> DataFrame:
         F.when(F.col("code").isNotNull(), "failed").when(redirect, "redirect").otherwise("succeeded"),
     )
     url = F.col("submitted_url")
+    # fixed values: the texts below must be these, in this order
     message = (
         F.when(F.col("code") == "network_error", F.concat(F.lit("URL fetch failed for "), url, F.lit(".")))
         .when(
