@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import exchange
 from gleanery.llm.common import packed, unpacked
-from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, mixed, pack, short_keys, units, unpack
+from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, pack, short_keys, units, unpack
 from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 32                    # bytes of the anchors that decide a window's shard
 SEVERAL = np.uint32(1 << 31)
-FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+FIRST_BASE = 0x9E3779B97F4A7C15
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)      # one for every 8 bytes
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -25,9 +26,15 @@ def _grams(data: bytes) -> np.ndarray:
     for shift in range(8):
         part = np.frombuffer(data, "<u8", (len(data) - shift) // 8, shift)
         words[shift::8] = part
-    one, two, three, four = words[:-24], words[8:-16], words[16:-8], words[24:]
-    low = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed(low ^ mixed(three * np.uint64(0xD1342543DE82EF95) + four * np.uint64(0xAF251AF3B0F025B5)))
+    # one linear combination, then one scrambling round, in place
+    span = len(words) - (GRAM - 8)
+    out = np.zeros(span, np.uint64)
+    for at, factor in zip(range(0, GRAM, 8), FACTORS, strict=True):
+        out += words[at:at + span] * np.uint64(factor)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,25 +65,29 @@ class Segments:
             grams = _grams(data)
             ends = np.cumsum(sizes)
             lowest = _window_minimum(grams, length - GRAM + 1)
-            unit = np.repeat(np.arange(len(group)), sizes)
-            place = np.arange(len(unit))
-            at = np.flatnonzero(place + length <= ends[unit])
-            at = at[at < len(lowest)]
-            if not len(at):
+            valid = np.zeros(len(lowest) + 2, bool)      # a place more on either side
+            for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+                valid[end - size + 1:max(end - size, end - length + 1) + 1] = True
+            joined = np.zeros(len(lowest) + 1, bool)
+            np.equal(lowest[1:], lowest[:-1], out=joined[1:-1])
+            joined &= valid[:-1]
+            joined &= valid[1:]
+            begin = np.flatnonzero(valid[1:-1] & ~joined[:-1])
+            if not len(begin):
                 continue
-            key = lowest[at]
-            start = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (key[1:] != key[:-1])))
-            begin, last = at[start], at[np.append(start[1:], len(at)) - 1]
-            end = last + length
-            first, second = RangeHash(grams, FIRST_BASE), RangeHash(grams, SECOND_BASE)
+            end = np.flatnonzero(valid[1:-1] & ~joined[1:]) + length
+            hashes = RangeHash(grams, FIRST_BASE)
+            sums = np.zeros(len(grams) + 1, np.uint64)
+            np.cumsum(grams, out=sums[1:])
             stop = end - GRAM + 1
-            row = np.array([r for r, _, _ in group], np.int64)[unit[begin]]
+            unit = np.searchsorted(ends, begin, side="right")
+            row = np.array([r for r, _, _ in group], np.int64)[unit]
             offset = np.array([a for _, a, _ in group], np.int64) - (ends - sizes)
             parts.append(
                 np.stack(
                     [
-                        key[start], first.of(begin, stop), second.of(begin, stop),
-                        row.astype(np.uint64), (begin + offset[unit[begin]]).astype(np.uint64),
+                        lowest[begin], hashes.of(begin, stop), sums[stop] - sums[begin],
+                        row.astype(np.uint64), (begin + offset[unit]).astype(np.uint64),
                         (end - begin).astype(np.uint64),
                     ]
                 )
@@ -116,11 +127,11 @@ def shard_minima(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.n
     """
     letters = np.frombuffer(b"".join(texts), np.uint8)
     used = np.unique(letters)
-    ranks = np.zeros(256, np.int64)
+    ranks = np.zeros(256, np.int16)
     ranks[used] = np.arange(len(used)) + 2
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + 1)
-    string = np.ones(int(sizes.sum()) + len(texts) + 1, np.int64)
+    string = np.ones(int(sizes.sum()) + len(texts) + 1, np.int16)
     inside = np.ones(len(string) - 1, bool)
     inside[ends - 1] = False
     string[:-1][inside] = ranks[letters]

@@ -19,8 +19,8 @@ def _types(text: np.ndarray) -> np.ndarray:
 
 def _place(array: np.ndarray, heads: np.ndarray, chars: np.ndarray, values: np.ndarray, step: int) -> None:
     """Append ``values`` to the buckets of ``chars`` in order, moving ``heads`` by ``step``."""
-    order = np.argsort(chars, kind="stable")
-    chars, values = chars[order], values[order]
+    order = np.argsort(chars, kind="stable")     # 16-bit letters: a radix sort
+    chars, values = chars[order].astype(np.int64), values[order]
     new = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
     sizes = np.diff(np.append(new, len(chars)))
     within = np.arange(len(chars)) - np.repeat(new, sizes)
@@ -29,6 +29,7 @@ def _place(array: np.ndarray, heads: np.ndarray, chars: np.ndarray, values: np.n
 
 
 def _induce_arrays(text, small, size, lms):
+    text = text.astype(np.uint16)
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -90,27 +91,32 @@ def _induce_lists(text, small, size, lms):
     n = len(text)
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
-    letters, is_small = text.tolist(), small.tolist()
+    text = text.astype(np.int64)
+    letters = text.tolist()
     array = [-1] * n
     tails = (ends - 1).tolist()
     for at in lms[::-1].tolist():
         char = letters[at]
         array[tails[char]] = at
         tails[char] -= 1
+    # the letter before a place if that suffix is of the wanted kind, else -1
+    before = np.append(-1, text[:-1])
+    large = np.where(np.append(True, small[:-1]), -1, before).tolist()
     heads = (ends - counts).tolist()
-    for i in range(n):
-        before = array[i] - 1
-        if before >= 0 and not is_small[before]:
-            char = letters[before]
-            array[heads[char]] = before
-            heads[char] += 1
+    for place in array:                      # sees what is written ahead of it
+        if place > 0:
+            char = large[place]
+            if char >= 0:
+                array[heads[char]] = place - 1
+                heads[char] += 1
+    less = np.where(np.append(True, ~small[:-1]), -1, before).tolist()
     tails = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        before = array[i] - 1
-        if before >= 0 and is_small[before]:
-            char = letters[before]
-            array[tails[char]] = before
-            tails[char] -= 1
+    for place in reversed(array):
+        if place > 0:
+            char = less[place]
+            if char >= 0:
+                array[tails[char]] = place - 1
+                tails[char] -= 1
     if array[0] < 0 or array[0] != n - 1:
         array[0] = n - 1
     return np.array(array, np.int64)
