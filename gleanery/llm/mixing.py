@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import packed, staged, unpacked
+from gleanery.llm.common import bounded_batches, packed, staged, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5              # words of the mix over words there are
@@ -20,6 +20,7 @@ MOST_BLOCKS = 4096       # blocks of a source; beyond that they hold more words
 SHARD_WORDS = 1 << 24
 ORDERS = 64              # permutations tried for a source's last, partly taken block
 SEED = 20_240
+SMALL_SOURCES = 100_000  # source rows (name and three numbers) broadcast at most
 
 
 def size_column(text: str) -> Column:
@@ -125,6 +126,7 @@ def assigned(
     with their block and add nothing. Equal rows share one fate. No rows: no draws.
     """
     spark = sized.sparkSession
+    bounded_batches(spark)
     numbered = sized.withColumn("_key", _source_key(F.col(source))).withColumn(
         "_number", F.xxhash64(F.lit(seed), "doc_id", F.col(size))
     )
@@ -138,8 +140,9 @@ def assigned(
         [(k, s, t, max(1, min(MOST_BLOCKS, -(-s // BLOCK_WORDS)))) for (k, s), t in zip(totals, wanted, strict=True)],
         "key string, source_size long, target double, blocks long",
     )
+    named = sources.withColumnRenamed("key", "_key")
     placed = (
-        numbered.join(sources.withColumnRenamed("key", "_key"), "_key")
+        numbered.join(F.broadcast(named) if len(totals) <= SMALL_SOURCES else named, "_key")
         .withColumn("_block", F.expr("pmod(xxhash64(_number), blocks)"))
         .drop("blocks")
     )
