@@ -18,9 +18,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gleanery.llm.common import bounded_batches, release
+
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-PIECE_BYTES = 1 << 20          # bytes of text turned into arrays at once
+BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 1 << 18          # bytes of text turned into arrays at once
 NO_DOC = np.iinfo(np.int64).max  # a missing doc_id: larger than any other
 
 Payloads = Iterable[tuple[int, bytes]]
@@ -99,6 +101,7 @@ def run(
 
     ``schema`` is the struct's fields as DDL.
     """
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
     dealt = docs.select(
@@ -113,11 +116,13 @@ def run(
 
     def spread(part: pa.Table, found: Payloads) -> pa.Table:
         pairs = list(found)
+        release()
         chunk = part.column("chunk")[0].as_py() if len(part) else 0
         return _sent([chunk] * len(pairs), [b for b, _ in pairs], [p for _, p in pairs])
 
     def back(part: pa.Table, found: Payloads) -> pa.Table:
         pairs = list(found)
+        release()
         bucket = part.column("bucket")[0].as_py() if len(part) else 0
         return _sent([c for c, _ in pairs], [bucket] * len(pairs), [p for _, p in pairs])
 
@@ -138,6 +143,7 @@ def run(
         found = rounds.finish(chunk, buckets, _pairs(told, "bucket"))
         rest = part.column("rest").combine_chunks().take(pa.array(chunk.rows))
         columns = pa.StructArray.from_arrays(list(found), names=fields)
+        release()
         return pa.table([rest, columns], names=["rest", "found"])
 
     def over(answers: DataFrame, step, out: str | T.StructType) -> DataFrame:
@@ -189,7 +195,7 @@ class RangeHash:
     def __init__(self, values: np.ndarray, base: int):
         size = len(values) + 1
         if base not in self._cache or len(self._cache[base][0]) < size:
-            room = max(size, 1 << 20)
+            room = max(size, PIECE_BYTES + (1 << 16))
             self._cache[base] = powers(base, room), powers(pow(base, -1, 1 << 64), room)
         up, self.down = self._cache[base]
         self.sums = np.zeros(size, np.uint64)

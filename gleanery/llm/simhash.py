@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import hex64, packed, staged, unpacked
+from gleanery.llm.common import bounded_batches, hex64, packed, staged, unpacked
 from gleanery.llm.components import connected_components
 
 SEED = 42
@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3) -> DataFr
     zero and link like others. A row without doc_id links nothing and has no
     component; rows repeating a doc_id each get their own. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     prints = staged(docs.select("doc_id", fingerprint_column("text", size).alias("fp")))
     heads = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("head")))
     joined = links(heads.select("fp"), distance)

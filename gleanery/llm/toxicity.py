@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import packed, table, unpacked
+from gleanery.llm.common import bounded_batches, packed, release, table, unpacked
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -28,7 +28,7 @@ THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 14)
 def word_features(word: str) -> tuple[int, ...]:
     """Bucket numbers of a word and its character n-grams."""
     marked = f"<{word[:64]}>"
@@ -65,7 +65,7 @@ class Model:
         return Model, (self.vectors, self.weights, self.bias)
 
     def _word_logits(self, word: str) -> tuple[float, int]:
-        features = word_features(word)
+        features = word_features.__wrapped__(word)   # kept as a number, not as features
         return float(self._margin[list(features)].sum()), len(features)
 
     @property
@@ -172,7 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             marks += batch.column(0).to_pylist()
             features, counts = batch.column(1).field(0), batch.column(1).field(1)
             found += [(features[i].values.to_numpy(), counts[i].values.to_numpy()) for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, marks))], pa.binary())], names=["model"])
+        model = pickle.dumps(fit(found, marks))
+        found.clear()
+        word_features.cache_clear()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     # one task holds the sample, whose size is bounded; the driver gets the model alone
     learned = sample.coalesce(1).mapInArrow(learn, "model binary").first()
@@ -195,6 +199,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only the text is an input. Every row of any text, null and empty included, gets a
     score between 0 and 1; equal texts get equal scores.
     """
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("_score", score_column(docs.sparkSession, train(docs, labels)))
 
 
