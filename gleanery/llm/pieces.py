@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleanery.llm.common import packed
+from gleanery.llm.common import bounded_batches, packed, release
 
 MODEL = "piece_bpe_32k.model"
 MODEL_FOLDER = "/opt/tokenizers"
@@ -25,17 +25,23 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 
 
+def parse(content: bytes):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(content)
+    return model
+
+
 def build(content: bytes):
     """A tokenizers.Tokenizer with the normaliser, pieces and byte fallback of a model file.
 
     Unigram models keep their scores. BPE models have scores too, but they rank
     merges: every split of a piece into two pieces is a merge, by falling score.
     """
-    from sentencepiece import sentencepiece_model_pb2
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-    model = sentencepiece_model_pb2.ModelProto()
-    model.ParseFromString(content)
+    model = parse(content)
     pieces = [(p.piece, p.score, p.type) for p in model.pieces]
     unknown = model.trainer_spec.unk_id
     fallback = model.trainer_spec.byte_fallback
@@ -90,6 +96,11 @@ class Pieces:
         self.threads = threads
         self.tokenizer = build(content)
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=content)
+        self.prefix = parse(content).normalizer_spec.add_dummy_prefix
+        self.table = [
+            bytes([int(piece[3:5], 16)]) if self.judge.is_byte(i) else piece.replace(MARK, " ").encode()
+            for i, piece in enumerate(map(self.judge.id_to_piece, range(self.judge.get_piece_size())))
+        ]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity): where the libraries differ, SentencePiece's ids and False."""
@@ -97,6 +108,11 @@ class Pieces:
         theirs = self.judge.encode(texts, num_threads=self.threads)
         return [(b, a == b) for a, b in zip(mine, theirs, strict=True)]
 
+    def surface(self, ids: list[int]) -> bytes:
+        """UTF-8 of what the ids stand for, put together piece by piece."""
+        text = b"".join(map(self.table.__getitem__, ids))
+        return text[1:] if self.prefix and text.startswith(b" ") else text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -131,21 +147,23 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
     leaves the ids themselves null. Null and empty texts have no ids. The driver reads
     the model file and sends its bytes, so executors need no copy of it.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_model(path))  # one model file, whatever the input
 
     @F.arrow_udf("struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,parity:boolean,round_trip:boolean>")
     def encode(texts: pa.Array) -> pa.Array:
+        release()
         pieces = _pieces(shared.value, threads)
         lists, sizes, digests, parity, same = [], [], [], [], []
         for group in groups([t or "" for t in texts.to_pylist()]):
             found = pieces.encode(group)
-            for text, (numbers, agree), back in zip(group, found, pieces.decode([n for n, _ in found]), strict=True):
+            for text, (numbers, agree) in zip(group, found, strict=True):
                 array = np.array(numbers, "<i4")
                 lists.append(array if ids else None)
                 sizes.append(len(array))
                 digests.append(hashlib.sha256(array.tobytes()).hexdigest())
                 parity.append(agree)
-                same.append(back == text)
+                same.append(pieces.surface(numbers) == text.encode())
         return pa.StructArray.from_arrays(
             [
                 pa.array(lists, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
