@@ -19,6 +19,7 @@ from gleanery.llm.common import bounded_batches, packed, release, table, unpacke
 BUCKETS = 1 << 16
 WIDTH = 16
 SHORTEST, LONGEST = 3, 5      # character n-grams of a word inside < and >
+SLICE = 64                    # characters of a word looked at together; longer words are walked in slices
 SAMPLE_ROWS = 4000            # labelled rows the classifier is fitted on, at most
 SAMPLE_WORDS = 4000           # distinct words of a sampled row; commonest first
 EPOCHS = 16
@@ -28,16 +29,38 @@ THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
 
+def _buckets(grams: set[str]) -> tuple[int, ...]:
+    return tuple(xxhash.xxh32_intdigest(g) % BUCKETS for g in sorted(grams))
+
+
 @lru_cache(maxsize=1 << 14)
 def word_features(word: str) -> tuple[int, ...]:
-    """Bucket numbers of a word and its character n-grams."""
-    marked = f"<{word[:64]}>"
+    """Bucket numbers of a word of at most SLICE characters and its character n-grams."""
+    marked = f"<{word}>"
     grams = {
         marked[i:i + n]
         for n in range(SHORTEST, LONGEST + 1)
         for i in range(len(marked) - n + 1)
     }
-    return tuple(xxhash.xxh32_intdigest(g) % BUCKETS for g in sorted(grams | {marked}))
+    return _buckets(grams | {marked})
+
+
+def long_word_features(word: str) -> Iterator[tuple[int, ...]]:
+    """As ``word_features`` for a word of any length, slice by slice.
+
+    Slices overlap by LONGEST - 1 characters and an n-gram belongs to the slice it
+    starts in, so each place counts once; n-grams that repeat in a slice count once.
+    """
+    marked = f"<{word}>"
+    step = SLICE - (LONGEST - 1)
+    for start in range(0, len(marked), step):
+        piece = marked[start:start + SLICE]
+        yield _buckets({
+            piece[i:i + n]
+            for n in range(SHORTEST, LONGEST + 1)
+            for i in range(min(step, len(piece) - n + 1))
+        })
+    yield _buckets({marked})
 
 
 def bag(text: str | None) -> tuple[list[int], list[int]]:
@@ -45,8 +68,9 @@ def bag(text: str | None) -> tuple[list[int], list[int]]:
     counts = Counter(WORD.findall(text.lower())) if text else Counter()
     total: Counter[int] = Counter()
     for word, n in counts.most_common(SAMPLE_WORDS):
-        for feature in word_features(word):
-            total[feature] += n
+        for features in [word_features(word)] if len(word) <= SLICE else long_word_features(word):
+            for feature in features:
+                total[feature] += n
     return list(total), list(total.values())
 
 
@@ -65,8 +89,13 @@ class Model:
         return Model, (self.vectors, self.weights, self.bias)
 
     def _word_logits(self, word: str) -> tuple[float, int]:
-        features = word_features.__wrapped__(word)   # kept as a number, not as features
-        return float(self._margin[list(features)].sum()), len(features)
+        # kept as a number, not as features
+        parts = [word_features.__wrapped__(word)] if len(word) <= SLICE else long_word_features(word)
+        logit, size = 0.0, 0
+        for features in parts:
+            logit += float(self._margin[list(features)].sum())
+            size += len(features)
+        return logit, size
 
     @property
     def _margin(self) -> np.ndarray:
@@ -81,7 +110,8 @@ class Model:
         """
         total, size = 0.0, 0
         for word, n in Counter(WORD.findall(text.lower()) if text else ()).items():
-            logit, features = self._word(word)
+            # only short words are kept, so the cache is bounded
+            logit, features = (self._word if len(word) <= SLICE else self._word_logits)(word)
             total += n * logit
             size += n * features
         margin = (total / size if size else 0.0) + float(self.bias[1] - self.bias[0])
@@ -197,7 +227,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``_score``, the probability of being toxic.
 
     Only the text is an input. Every row of any text, null and empty included, gets a
-    score between 0 and 1; equal texts get equal scores.
+    score between 0 and 1; equal texts get equal scores. All n-grams of a word count,
+    however long it is, so text without spaces is scored to its end.
     """
     bounded_batches(docs.sparkSession)
     return docs.withColumn("_score", score_column(docs.sparkSession, train(docs, labels)))

@@ -71,3 +71,25 @@ def test_without_both_labels_scores_are_constant(marks, score):
 def test_no_labels_at_all(spark, corpus):
     model = toxicity.train(corpus[1], corpus[2].where("false"))
     assert model.score("text") < 0.01
+
+
+@pytest.mark.parametrize("filler", ["soltinmer" * 20, "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 20, "sol_tin_7_" * 20])
+def test_words_without_spaces_are_scored_to_their_end(model, filler):
+    plain = model.score(filler)
+    assert model.score(filler + "vermin" * 40) > plain + 0.2     # all of it after the first 64 characters
+    assert model.score(filler + "vermin" + filler) > plain
+
+
+def test_slices_hold_every_ngram_of_a_long_word():
+    dice = random.Random(3)
+    for size in [65, 66, 118, 119, 120, 121, 122, 123, 124, 300]:
+        word = "".join(map(chr, dice.sample(range(0x4E00, 0x9000), size)))     # all n-grams differ
+        marked = f"<{word}>"
+        grams = [marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]
+        found = [f for part in toxicity.long_word_features(word) for f in part]
+        assert sorted(found) == sorted(toxicity._buckets([g])[0] for g in grams)
+
+
+def test_long_words_count_in_the_fit():
+    features, counts = toxicity.bag("w" * 200 + "vermin")
+    assert set(toxicity._buckets({"vermi", "min>"})) <= set(features)
