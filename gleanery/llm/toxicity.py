@@ -21,7 +21,6 @@ WIDTH = 16
 SHORTEST, LONGEST = 3, 5      # character n-grams of a word inside < and >
 SLICE = 64                    # characters of a word looked at together; longer words are walked in slices
 SAMPLE_ROWS = 4000            # labelled rows the classifier is fitted on, at most
-SAMPLE_WORDS = 4000           # distinct words of a sampled row; commonest first
 EPOCHS = 16
 BATCH = 32
 RATE = 0.05
@@ -63,15 +62,15 @@ def long_word_features(word: str) -> Iterator[tuple[int, ...]]:
     yield _buckets({marked})
 
 
-def bag(text: str | None) -> tuple[list[int], list[int]]:
-    """(features, counts) of a text; subwords of a word count as often as the word."""
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts) of a text, BUCKETS at most; subwords of a word count as often as the word."""
     counts = Counter(WORD.findall(text.lower())) if text else Counter()
     total: Counter[int] = Counter()
-    for word, n in counts.most_common(SAMPLE_WORDS):
+    for word, n in counts.most_common():
         for features in [word_features(word)] if len(word) <= SLICE else long_word_features(word):
             for feature in features:
                 total[feature] += n
-    return list(total), list(total.values())
+    return np.array(list(total), np.int32), np.array(list(total.values()), np.int32)
 
 
 @dataclass

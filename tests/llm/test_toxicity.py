@@ -93,3 +93,9 @@ def test_slices_hold_every_ngram_of_a_long_word():
 def test_long_words_count_in_the_fit():
     features, counts = toxicity.bag("w" * 200 + "vermin")
     assert set(toxicity._buckets({"vermi", "min>"})) <= set(features)
+
+
+def test_rare_words_of_a_long_row_count_in_the_fit():
+    text = " ".join(f"w{i} w{i}" for i in range(5000)) + " vermin"
+    features, counts = toxicity.bag(text)
+    assert set(toxicity.word_features("vermin")) <= set(features) and len(features) == len(counts) <= toxicity.BUCKETS
