@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from gleanery.llm import mixing, pieces, simhash, substrings, toxicity
 from gleanery.llm.common import table
 from gleanery.session import ensure_checkpoint_dir
 
+CHECKS: dict[str, Observation] = {}   # counts of rows and of failed checks by stage, once its result is stored
+
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
@@ -32,8 +34,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
-    return pieces.tokenized(docs)
+    """Token ids of every text, each encoded by two libraries and decoded again."""
+    CHECKS["sentencepiece"] = seen = Observation()
+    return pieces.tokenized(docs, seen=seen)
 
 
 STAGES = [

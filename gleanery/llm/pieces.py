@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from gleanery.llm.common import bounded_batches, packed, release
 
@@ -96,25 +96,35 @@ class Pieces:
         self.threads = threads
         self.tokenizer = build(content)
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=content)
-        self.prefix = parse(content).normalizer_spec.add_dummy_prefix
-        self.table = [
-            bytes([int(piece[3:5], 16)]) if self.judge.is_byte(i) else piece.replace(MARK, " ").encode()
-            for i, piece in enumerate(map(self.judge.id_to_piece, range(self.judge.get_piece_size())))
-        ]
+        kinds = parse(content).pieces
+        self.unknown = {i for i, piece in enumerate(kinds) if piece.type == UNKNOWN}
+        self.control = {i for i, piece in enumerate(kinds) if piece.type == CONTROL}
+        self.surface = parse(content).trainer_spec.unk_surface
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """(ids, parity): where the libraries differ, SentencePiece's ids and False."""
+        """(ids, parity): the tokenizers library's ids, and whether SentencePiece gives the same."""
         mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.judge.encode(texts, num_threads=self.threads)
-        return [(b, a == b) for a, b in zip(mine, theirs, strict=True)]
-
-    def surface(self, ids: list[int]) -> bytes:
-        """UTF-8 of what the ids stand for, put together piece by piece."""
-        text = b"".join(map(self.table.__getitem__, ids))
-        return text[1:] if self.prefix and text.startswith(b" ") else text
+        return [(a, a == b) for a, b in zip(mine, theirs, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """Texts of the ids by the tokenizers library.
+
+        As in SentencePiece, control ids stand for nothing and unknown ids for a fixed string.
+        """
+        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        special = self.unknown | self.control
+        for at, row in enumerate(ids):
+            if not special.isdisjoint(row):
+                pieces = [self.surface if i in self.unknown else self.tokenizer.id_to_token(i) for i in row if i not in self.control]
+                texts[at] = self.tokenizer.decoder.decode(pieces)
+        return texts
+
+    def checked(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
+        """(ids, parity, round_trip): as ``encode``, and whether the ids decode to the text."""
+        found = self.encode(texts)
+        back = self.decode([ids for ids, _ in found])
+        return [(ids, same, text == again) for (ids, same), text, again in zip(found, texts, back, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -142,8 +152,8 @@ def read_model(path: str | None = None) -> bytes:
 def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, ids: bool = True) -> DataFrame:
     """``docs`` (text, ...) with struct ``_encoded``: ids, n_tokens, ids_sha256, parity, round_trip.
 
-    parity: the tokenizers library gave SentencePiece's ids. round_trip: decoding the
-    ids gives the text back. ids_sha256 is over little-endian 32-bit ids; ``ids=False``
+    The ids are the tokenizers library's. parity: SentencePiece gives the same ids.
+    round_trip: the tokenizers library decodes the ids to the text. ids_sha256 is over little-endian 32-bit ids; ``ids=False``
     leaves the ids themselves null. Null and empty texts have no ids. The driver reads
     the model file and sends its bytes, so executors need no copy of it.
     """
@@ -156,14 +166,13 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
         pieces = _pieces(shared.value, threads)
         lists, sizes, digests, parity, same = [], [], [], [], []
         for group in groups([t or "" for t in texts.to_pylist()]):
-            found = pieces.encode(group)
-            for text, (numbers, agree) in zip(group, found, strict=True):
+            for numbers, agree, back in pieces.checked(group):
                 array = np.array(numbers, "<i4")
                 lists.append(array if ids else None)
                 sizes.append(len(array))
                 digests.append(hashlib.sha256(array.tobytes()).hexdigest())
                 parity.append(agree)
-                same.append(pieces.surface(numbers) == text.encode())
+                same.append(back)
         return pa.StructArray.from_arrays(
             [
                 pa.array(lists, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
@@ -175,16 +184,29 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
     return docs.withColumn("_encoded", encode("text"))
 
 
-def tokenized(docs: DataFrame, path: str | None = None, threads: int = THREADS) -> DataFrame:
+def tokenized(
+    docs: DataFrame, path: str | None = None, threads: int = THREADS,
+    checks: bool = False, seen: Observation | None = None,
+) -> DataFrame:
     """``docs`` with their ids and number of tokens in place of the text; other columns are kept.
 
-    A column already called ids or n_tokens is replaced.
+    Every text is checked as in ``encoded``. With ``checks`` the columns parity and
+    round_trip stand beside the ids; ``seen`` counts the rows, and those without parity
+    and without round trip, whenever the result is computed. A column that has the name
+    of a new one is replaced.
     """
     found = encoded(packed(docs, "text"), path, threads)
-    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    if seen is not None:
+        found = found.observe(
+            seen, F.count(F.lit(1)).alias("rows"),
+            F.count_if(~F.col("_encoded.parity")).alias("no_parity"),
+            F.count_if(~F.col("_encoded.round_trip")).alias("no_round_trip"),
+        )
+    added = ["n_tokens", "ids", *(["parity", "round_trip"] if checks else [])]
+    kept = [c for c in docs.columns if c not in ("text", *added)]
     return found.select(
         *[F.col(f"_rest.`{c}`").alias(c) for c in kept],
-        F.col("_encoded.n_tokens").alias("n_tokens"), F.col("_encoded.ids").alias("ids"),
+        *[F.col(f"_encoded.{c}").alias(c) for c in added],
     )
 
 

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import Observation
 from sentencepiece import sentencepiece_model_pb2
 
 from gleanery.llm import pieces
@@ -70,3 +71,36 @@ def test_report_and_tokenized(spark, given):
     back = pieces.decoded(table).collect()
     assert all(r._text == (TEXTS[r.doc_id] if r.doc_id is not None else "") for r in back if r.doc_id is None or "▁" not in TEXTS[r.doc_id])
     assert pieces.report(docs.where("false")).count() == 0
+
+
+def test_a_wrong_decoder_is_seen():
+    from tokenizers import decoders
+
+    both = pieces.Pieces(unigram(add_dummy_prefix=True, escape_whitespaces=True))
+    assert [c[1:] for c in both.checked(["the and", "é"])] == [(True, True)] * 2
+    both.tokenizer.decoder = decoders.Fuse()
+    assert [c[1:] for c in both.checked(["the and", "é"])] == [(True, False)] * 2
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    from tokenizers import normalizers
+
+    both = pieces.Pieces(unigram(add_dummy_prefix=True, escape_whitespaces=True))
+    both.tokenizer.normalizer = normalizers.Replace(" ", "▁")     # without the prefix
+    (ids, parity), = both.encode(["the"])
+    assert ids == both.tokenizer.encode("the").ids != both.judge.encode("the") and not parity
+
+
+def test_unknown_and_control_ids_decode_as_in_the_other_library(given):
+    for both in (given, pieces.Pieces(unigram(add_dummy_prefix=True, escape_whitespaces=True))):
+        the = both.judge.encode("the and é")
+        rows = [[], the, [1, *the, 2], [*the, 0, *the], [2, *the, 1, 1]]
+        assert both.decode(rows) == [both.judge.decode(row) for row in rows]
+
+
+def test_tokenized_keeps_and_counts_the_checks(spark):
+    docs = spark.createDataFrame([(1, "The quick fox."), (2, "▁mark"), (3, None)], "doc_id long, text string")
+    seen = Observation()
+    rows = {r.doc_id: r for r in pieces.tokenized(docs, checks=True, seen=seen).collect()}
+    assert {i: (r.parity, r.round_trip) for i, r in rows.items()} == {1: (True, True), 2: (True, False), 3: (True, True)}
+    assert seen.get == {"rows": 3, "no_parity": 0, "no_round_trip": 1}
