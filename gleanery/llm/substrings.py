@@ -16,6 +16,9 @@ from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 LENGTH = 50
 GRAM = 32                    # bytes of the anchors that decide a window's shard
 SEVERAL = np.uint32(1 << 31)
+HOT_BYTES = 1 << 20          # distinct segments of an anchor beyond which they are cut into windows
+PLAIN_BYTES = 256            # what an anchor may have in a chunk without being listed with its size
+SHARD_BYTES = 4 << 20        # letters of one suffix array; one anchor more at most
 FIRST_BASE = 0x9E3779B97F4A7C15
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)      # one for every 8 bytes
 
@@ -106,8 +109,57 @@ class Segments:
         self.high = np.maximum.reduceat(self.docs, self.heads) if len(order) else self.docs
 
 
+class Windows:
+    """Single windows of a chunk's segment ``groups``; equal ones, by 128 bits, have one number."""
+
+    def __init__(self, chunk: Chunk, segments: Segments, groups: np.ndarray, length: int):
+        parts = [np.zeros((4, 0), np.uint64)]
+        heads = segments.heads[groups]
+        sizes = segments.size[heads]
+        batch = np.cumsum(sizes) // exchange.PIECE_BYTES
+        for number in np.unique(batch):
+            mine = np.flatnonzero(batch == number)
+            data = b"".join(
+                chunk.texts[row][begin:begin + size]
+                for row, begin, size in zip(
+                    segments.row[heads[mine]].tolist(), segments.begin[heads[mine]].tolist(), sizes[mine].tolist(),
+                    strict=True,
+                )
+            )
+            grams = _grams(data + bytes(GRAM))
+            times = sizes[mine] - length + 1
+            ends = np.cumsum(sizes[mine])
+            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = offset + np.repeat(ends - sizes[mine], times)
+            stop = at + length - GRAM + 1
+            sums = np.zeros(len(grams) + 1, np.uint64)
+            np.cumsum(grams, out=sums[1:])
+            parts.append(
+                np.stack(
+                    [
+                        RangeHash(grams, FIRST_BASE).of(at, stop), sums[stop] - sums[at],
+                        np.repeat(groups[mine], times).astype(np.uint64), offset.astype(np.uint64),
+                    ]
+                )
+            )
+        first, second, group, offset = np.concatenate(parts, axis=1)
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[:len(order)]
+        self.number = np.cumsum(new) - 1
+        self.group, self.offset = group[order].astype(np.int64), offset[order].astype(np.int64)
+        self.place = (self.group << 32) | self.offset
+        self.heads = np.flatnonzero(new)
+        self.key = first[self.heads]
+        self.low, self.high = segments.low[self.group], segments.high[self.group]
+        if len(order):
+            self.low = np.minimum.reduceat(self.low, self.heads)
+            self.high = np.maximum.reduceat(self.high, self.heads)
+
+
 class Anchors:
-    """Distinct anchors of a chunk as short keys, and which of them several documents have."""
+    """Distinct anchors of a chunk as short keys, which of them several documents have, and
+    the bytes of their distinct segments."""
 
     def __init__(self, segments: Segments, buckets: int):
         keys = short_keys(segments.key, buckets)
@@ -116,6 +168,7 @@ class Anchors:
         np.minimum.at(low, self.place, segments.low)
         np.maximum.at(high, self.place, segments.high)
         self.several = low != high
+        self.bytes = np.bincount(self.place, segments.size[segments.heads], len(self.short)).astype(np.int64)
 
 
 def shard_minima(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -152,49 +205,77 @@ def shard_minima(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.n
 def window_minima(texts: list[bytes], anchors: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
     """As ``shard_minima``, sorting only texts whose anchor another text has.
 
-    Equal windows have equal anchors, so a text alone with its anchor shares no window.
+    Equal windows have equal anchors, so a text alone with its anchor shares no window,
+    and whole anchors can be sorted in shards of SHARD_BYTES.
     """
     _, place, times = np.unique(anchors, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times[place] > 1)
+    shared = shared[np.argsort(place[shared], kind="stable")]
     minima = [np.full(len(t) - length + 1, d) for t, d in zip(texts, docs, strict=True)]
-    if len(shared):
-        found = shard_minima([texts[i] for i in shared], docs[shared], length)
-        for i, values in zip(shared.tolist(), found, strict=True):
+    sizes = np.array([len(texts[i]) + 1 for i in shared.tolist()], np.int64)
+    starts = np.flatnonzero(np.append(True, place[shared][1:] != place[shared][:-1])[:len(shared)])
+    ends = np.append(starts[1:], len(shared))[:len(starts)]
+    begin = size = 0
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        size += int(sizes[start:end].sum())
+        if size < SHARD_BYTES and end < len(shared):
+            continue
+        part = shared[begin:end]
+        for i, values in zip(part.tolist(), shard_minima([texts[i] for i in part], docs[part], length), strict=True):
             minima[i] = values
+        begin, size = end, 0
     return minima
 
 
 def rounds(length: int) -> exchange.Rounds:
     def ask(chunk: Chunk, buckets: int) -> Payloads:
-        """Every anchor of the chunk, marked where several of its documents have it."""
+        """Every anchor of the chunk, marked where several of its documents have it; sizes of large ones."""
         anchors = Anchors(Segments(chunk, length), buckets)
         entries = anchors.short.astype(np.uint32) | np.where(anchors.several, SEVERAL, np.uint32(0))
-        return ((bucket, pack(entries[part])) for bucket, part in by_bucket(anchors.short))
+        for bucket, part in by_bucket(anchors.short):
+            large = np.flatnonzero(anchors.bytes[part] > PLAIN_BYTES)
+            yield bucket, pack(entries[part], large.astype(np.uint32), anchors.bytes[part][large])
 
     def answer(asked: list[tuple[int, bytes]]) -> Payloads:
-        """Which of a chunk's anchors another document has."""
-        arrays = [unpack(payload)[0] for _, payload in asked]
+        """Which of a chunk's anchors another document has, and which of those are hot.
+
+        Unlisted sizes count as PLAIN_BYTES, so no anchor with more than HOT_BYTES is missed.
+        """
+        parts = [unpack(payload) for _, payload in asked]
+        arrays = [entries for entries, _, _ in parts]
         keys = np.concatenate(arrays)
+        sizes = np.full(len(keys), PLAIN_BYTES, np.int64)
+        first = np.cumsum([0, *map(len, arrays)])
+        for begin, (_, large, size) in zip(first.tolist(), parts, strict=False):
+            sizes[begin + large.astype(np.int64)] = size
         known, place, times = np.unique(keys & ~SEVERAL, return_inverse=True, return_counts=True)
         live = times > 1
         live[place[keys >= SEVERAL]] = True
         mask = live[place]
+        hot = mask & (np.bincount(place, sizes) > HOT_BYTES)[place]
         at = 0
         for (chunk, _), entries in zip(asked, arrays, strict=True):
-            part = mask[at:at + len(entries)]
+            part, cut = mask[at:at + len(entries)], hot[at:at + len(entries)]
             at += len(entries)
             if part.any():
-                yield chunk, pack(np.packbits(part))
+                yield chunk, pack(np.packbits(part), np.flatnonzero(cut).astype(np.uint32))
 
     def ask_again(chunk: Chunk, buckets: int, told: list[tuple[int, bytes]]) -> Payloads:
-        """The distinct segments of anchors that another document has."""
+        """The distinct segments of anchors that another document has; of hot ones their windows.
+
+        A hot anchor's windows are dealt by their whole content, to buckets of their own.
+        """
         segments = Segments(chunk, length)
         anchors = Anchors(segments, buckets)
-        live, answers = np.zeros(len(anchors.short), bool), dict(told)
+        live, hot, answers = np.zeros(len(anchors.short), bool), np.zeros(len(anchors.short), bool), dict(told)
         for bucket, part in by_bucket(anchors.short):
             if bucket in answers:
-                live[part] = np.unpackbits(unpack(answers[bucket])[0], count=part.stop - part.start).astype(bool)
-        number = np.flatnonzero(live[anchors.place])
+                bits, cut = unpack(answers[bucket])
+                live[part] = np.unpackbits(bits, count=part.stop - part.start).astype(bool)
+                hot[part.start + cut.astype(np.int64)] = True
+        if hot.any():
+            yield from ask_windows(chunk, buckets, segments, np.flatnonzero(hot[anchors.place]))
+        number = np.flatnonzero((live & ~hot)[anchors.place])
         short = anchors.short[anchors.place[number]]
         order = np.argsort(short, kind="stable")
         number, short = number[order], short[order]
@@ -214,8 +295,60 @@ def rounds(length: int) -> exchange.Rounds:
                 np.frombuffer(content, np.uint8),
             )
 
+    def ask_windows(chunk: Chunk, buckets: int, segments: Segments, groups: np.ndarray) -> Payloads:
+        """The distinct windows of segments; ``length`` buckets for each of the others, as windows overlap."""
+        windows = Windows(chunk, segments, groups, length)
+        bucket = (windows.key % np.uint64(buckets * length)).astype(np.int64) + buckets
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            at = windows.heads[part]
+            head = segments.heads[windows.group[at]]
+            begins = segments.begin[head] + windows.offset[at]
+            content = b"".join(
+                chunk.texts[row][begin:begin + length]
+                for row, begin in zip(segments.row[head].tolist(), begins.tolist(), strict=True)
+            )
+            yield int(bucket[part[0]]), pack(
+                windows.place[at], windows.low[part], windows.high[part], np.frombuffer(content, np.uint8)
+            )
+
+    def answer_windows(asked: list[tuple[int, list[np.ndarray]]]) -> Payloads:
+        """The smallest document of each window that is smaller than one of the chunk's."""
+        smallest: dict[bytes, int] = {}
+        sent = []
+        for chunk, (place, low, high, content) in asked:
+            data = content.tobytes()
+            windows = [data[at:at + length] for at in range(0, len(data), length)]
+            for window, doc in zip(windows, low.tolist(), strict=True):
+                smallest[window] = min(smallest.get(window, doc), doc)
+            sent.append((chunk, place, high, windows))
+        for chunk, place, high, windows in sent:
+            low = np.array([smallest[w] for w in windows], np.int64)
+            smaller = low < high
+            if smaller.any():
+                yield chunk, pack(place[smaller], low[smaller])
+
+    def told_windows(chunk: Chunk, segments: Segments, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(member, offset, smallest document) of all windows of the chunk that equal one told of."""
+        place, value = map(np.concatenate, zip(*map(unpack, told), strict=True))
+        keys = np.unique(segments.key[place >> 32])
+        windows = Windows(chunk, segments, np.flatnonzero(np.isin(segments.key, keys)), length)
+        order = np.argsort(windows.place)
+        low = np.full(len(windows.heads), exchange.NO_DOC)
+        low[windows.number[order[np.searchsorted(windows.place[order], place)]]] = value
+        gone = np.flatnonzero(low[windows.number] < segments.high[windows.group])
+        group = windows.group[gone]
+        repeat = np.diff(np.append(segments.heads, len(segments.group)))[group]
+        entry = np.repeat(gone, repeat)
+        member = np.arange(len(entry)) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(segments.heads[group], repeat)
+        return member, windows.offset[entry], low[windows.number[entry]]
+
     def answer_again(asked: list[tuple[int, bytes]]) -> Payloads:
         """Ranges of a segment's windows that a smaller document than the chunk's has."""
+        first = unpack(asked[0][1])
+        if len(first) == 4:                                  # a bucket of windows
+            yield from answer_windows([(chunk, unpack(payload)) for chunk, payload in asked])
+            return
         distinct: dict[bytes, int] = {}
         anchor_of: list[int] = []
         sent, texts_of, docs_of = [], [], []
@@ -263,7 +396,15 @@ def rounds(length: int) -> exchange.Rounds:
         whole = segments.low[segments.group] < segments.docs
         starts, ends = [at[whole]], [at[whole] + segments.size[whole]]
         times = np.diff(np.append(segments.heads, len(segments.group)))
-        for _, payload in told:
+        cut = [payload for bucket, payload in told if bucket >= buckets]
+        if cut:
+            member, offset, low = told_windows(chunk, segments, cut)
+            member, offset = member[low < segments.docs[member]], offset[low < segments.docs[member]]
+            starts.append(at[member] + offset)
+            ends.append(at[member] + offset + length)
+        for bucket, payload in told:
+            if bucket >= buckets:
+                continue
             steps, begin, end, table, place = unpack(payload)
             group = np.cumsum(steps.astype(np.int64))
             repeat = times[group]
@@ -299,8 +440,10 @@ def without_repeats(
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a
     smaller doc_id. Windows meet in the shard of their smallest anchor; anchors that
-    one document alone has are left out first. Each shard sorts its distinct segments
-    into a suffix array and groups equal windows by permuted common prefixes.
+    one document alone has are left out first. Distinct segments are sorted into suffix
+    arrays of SHARD_BYTES, whole anchors each, and equal windows are grouped by permuted
+    common prefixes. An anchor with more than HOT_BYTES of distinct segments has its
+    windows dealt by their content instead, where equal windows meet as equal bytes.
 
     Every column but ``text`` is kept; ``_found`` holds kept (bytes), n_bytes, n_removed,
     n_spans and kept_sha256. Null text is empty. A missing doc_id counts as larger

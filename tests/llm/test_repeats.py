@@ -136,3 +136,57 @@ def test_suffix_array_and_prefixes(letters, arrays):
         while whole[a + k] == whole[b + k]:
             k += 1
         assert prefixes[b] == k
+
+
+def in_process(rows, chunks, buckets, length=50):
+    """The rounds of removal without Spark: n_removed by document."""
+    steps = substrings.rounds(length)
+    parts = [[(i, t.encode()) for i, t in rows[c::chunks]] for c in range(chunks)]
+    parts = [exchange.Chunk(np.array([i for i, _ in p]), [t for _, t in p], np.arange(len(p))) for p in parts]
+
+    def dealt(pairs):
+        out = {}
+        for to, sender, payload in pairs:
+            out.setdefault(to, []).append((sender, payload))
+        return out
+
+    def turn(ask, answer):
+        asked = dealt((b, c, p) for c in range(chunks) for b, p in ask(c))
+        return dealt((c, b, p) for b, found in asked.items() for c, p in answer(found))
+
+    first = turn(lambda c: steps.ask(parts[c], buckets), steps.answer)
+    second = turn(lambda c: steps.ask_again(parts[c], buckets, first.get(c, [])), steps.answer_again)
+    done = [steps.finish(parts[c], buckets, second.get(c, [])) for c in range(chunks)]
+    return {i: r for p, d in zip(parts, done) for i, r in zip(p.docs.tolist(), d[2].to_pylist())}
+
+
+def shared_passage(count):
+    dice = random.Random(4)
+    letters = [chr(c) for c in range(33, 127)]
+    passage = "".join(dice.choices(letters, k=90))
+    return [(i, "".join(dice.choices(letters, k=40)) + passage + "".join(dice.choices(letters, k=40))) for i in range(count)]
+
+
+def test_a_passage_with_many_contexts_is_split(monkeypatch):
+    sizes, plain = [], substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda text, size: sizes.append(len(text)) or plain(text, size))
+    monkeypatch.setattr(substrings, "HOT_BYTES", 4000, raising=False)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4000, raising=False)
+    rows = shared_passage(1500)
+    found = in_process(rows, 3, 1)
+    assert found == {i: gone for i, _, gone, _, _ in brute_bytes(rows, 50)}
+    assert min(n for i, n in found.items() if i) >= 90
+    assert max(sizes, default=0) <= 8001
+
+
+@pytest.mark.parametrize(("hot", "shard"), [(0, 1), (300, 200), (2000, 1 << 22)])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_split_anchors_equal_brute_force(monkeypatch, seed, hot, shard):
+    monkeypatch.setattr(substrings, "HOT_BYTES", hot)
+    monkeypatch.setattr(substrings, "PLAIN_BYTES", min(hot, 256))
+    monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
+    rows = [(n if seed == 3 else i, t) for n, (i, t) in enumerate(corpus(seed)) if i is not None]
+    rows += [(i + 7, t) for i, t in shared_passage(20)] + [(90, "x" * 700 + "\0" * 80), (91, "x" * 60 + "\0" * 60)]
+    rows = [(1000 * n + i if seed != 3 else n, t) for n, (i, t) in enumerate(rows)]
+    expected = {i: gone for i, _, gone, _, _ in brute_bytes(rows, 50)}
+    assert in_process(rows, 4, 3) == expected
