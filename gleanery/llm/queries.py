@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, collisions, licenses, mixing, pieces, simhash, substrings, topk, toxicity, warc
+from gleanery.llm import blocks, collisions, licenses, mixing, negatives, pieces, simhash, substrings, topk, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.report(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_collisions": op9_collisions,
     "op10_blocks": op10_blocks,
+    "op11_negatives": op11_negatives,
 }
 
 SQL = {
@@ -68,4 +73,5 @@ SQL = {
     "op4_licenses": licenses.sql(),
     "op9_collisions": collisions.SQL,
     "op10_blocks": blocks.SQL,
+    "op11_negatives": negatives.SQL,
 }
