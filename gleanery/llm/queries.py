@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, collisions, licenses, mixing, negatives, pieces, simhash, substrings, topk, toxicity, warc
+from gleanery.llm import blocks, collisions, licenses, maintext, mixing, negatives, pieces, simhash, substrings, topk, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.report(spark, sf_dir)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -64,6 +68,7 @@ QUERIES = {
     "op9_collisions": op9_collisions,
     "op10_blocks": op10_blocks,
     "op11_negatives": op11_negatives,
+    "op13_maintext": op13_maintext,
 }
 
 SQL = {
