@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import blocks, collisions, licenses, maintext, mixing, negatives, pieces, simhash, substrings, topk, toxicity, warc
+from gleanery.llm import blocks, collisions, licenses, maintext, mixing, negatives, phrases, pieces, simhash, substrings, topk, toxicity, warc
 from gleanery.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.report(spark, sf_dir)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_collisions": op9_collisions,
     "op10_blocks": op10_blocks,
     "op11_negatives": op11_negatives,
+    "op12_phrases": op12_phrases,
     "op13_maintext": op13_maintext,
 }
 
@@ -79,4 +84,5 @@ SQL = {
     "op9_collisions": collisions.SQL,
     "op10_blocks": blocks.SQL,
     "op11_negatives": negatives.SQL,
+    "op12_phrases": phrases.SQL,
 }
