@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gleanery.llm.common import release, staged
@@ -17,10 +18,13 @@ LONGEST = 5              # words of a phrase
 FIRST = 2000             # phrases returned for each language
 BLOCK_WORDS = 1 << 20    # words of a block of text
 PIECE_BYTES = 1 << 20    # text split into words at once
-TRIE_PHRASES = 250_000   # phrases of one trie, and
-TRIE_BYTES = 16 << 20    # their bytes: what is broadcast at a time
-SHARES = 1000            # languages whose sizes sharpen the pruning; others use the size of all
+TRIE_PHRASES = 250_000   # candidates of one trie
+KNOWN_PHRASES = 1_000_000    # hashes of shorter candidates, or frequent words, that are broadcast at most
+TRIE_BYTES = 32 << 20    # of those words
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BLOCKS = "lang string, words array<binary>, codes binary, lead int, n long"
+COUNTS = "lang string, phrase binary, a long"
 BORDER = b"\n"
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 SPACED = bytes.maketrans(SEPARATORS + b"\t", BORDER * len(SEPARATORS) + b" ")
@@ -81,8 +85,6 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
 
 def word_blocks(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(lang, words, codes, lead, n): texts of a language as numbers of the block's own distinct words."""
-    schema = "lang string, words array<binary>, codes binary, lead int, n long"
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Buffer] = {}
 
@@ -124,7 +126,7 @@ def word_blocks(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         release()
 
     chosen = texts.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return staged(chosen.mapInArrow(cut, schema))
+    return staged(chosen.mapInArrow(cut, BLOCKS))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, int, int]]:
@@ -134,9 +136,6 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             yield lang.as_py(), words.as_py(), np.frombuffer(codes.as_buffer(), "<i4"), lead.as_py(), n.as_py()
 
 
-COUNTS = "lang string, phrase binary, a long"
-
-
 def _rows(langs: list[str], phrases: list[bytes], counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "a"]
@@ -157,44 +156,97 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return _summed(blocks.mapInArrow(count, COUNTS))
 
 
-def _grams(codes: np.ndarray, starts: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first start, count) of every distinct phrase of ``length`` words at ``starts``."""
-    key = codes[starts].astype(np.int64)
+def frequent_words_only(blocks: DataFrame, frequent: DataFrame, limit: int) -> DataFrame:
+    """Blocks whose other words are borders, as no candidate holds one; unchanged if ``limit`` words would not do."""
+    size = frequent.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
+    if size["n"] > limit or (size["bytes"] or 0) > TRIE_BYTES:
+        return blocks
+    held: dict[str, set[bytes]] = {}
+    for row in frequent.select("lang", "phrase").collect():
+        held.setdefault(row["lang"], set()).add(bytes(row["phrase"]))
+    known = blocks.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batches):
+        for lang, words, codes, lead, n in _blocks(batches):
+            own = known.value.get(lang, ())
+            stay = [i for i, w in enumerate(words) if w in own]
+            renamed = np.zeros(len(words) + 1, "<i4")
+            renamed[np.array(stay, int) + 1] = np.arange(1, len(stay) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang]), pa.array([[words[i] for i in stay]], pa.list_(pa.binary())),
+                    pa.array([renamed[codes].tobytes()]), pa.array([lead], pa.int32()), pa.array([n], pa.int64()),
+                ],
+                names=["lang", "words", "codes", "lead", "n"],
+            )
+
+    return staged(blocks.mapInArrow(keep, BLOCKS))
+
+
+def _phrase_hashes(lang: str, words: list[bytes], codes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the phrase that starts at each position, whether or not it crosses a border."""
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    one = np.array([0, *[xxhash.xxh3_64_intdigest(w, seed) for w in words]], np.uint64)[codes]
+    out = one[: max(0, len(codes) - length + 1)].copy()
     for k in range(1, length):
-        key = np.unique(key * (words + 1) + codes[starts + k], return_inverse=True)[1]
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    return starts[first], count
+        out = (out ^ (out >> np.uint64(29))) * MIX + one[k:k + len(out)]
+    return out
 
 
-def _local(blocks: DataFrame, length: int, known, sizes: dict[str, int], everything: int) -> DataFrame:
-    """Phrases of every block with their counts there.
+def _starts(lang, words, codes, lead, length, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of phrases inside pieces; with ``shorter`` both parts one word shorter are in it."""
+    hashes = _phrase_hashes(lang, words, codes, length)
+    good = np.ones(len(hashes), bool)
+    for k in range(length):
+        good &= codes[k:k + len(hashes)] != 0
+    good[: max(0, lead - length + 1)] = False
+    place = np.flatnonzero(good)
+    if shorter is not None and len(place):
+        parts = _phrase_hashes(lang, words, codes, length - 1)
+        place = place[_within(parts[place], shorter)]
+        place = place[_within(parts[place + 1], shorter)]
+    return place, hashes[place]
+
+
+def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
-    With ``known`` (a broadcast trie of the frequent phrases one word shorter) both
-    shorter parts must be frequent. With ``sizes`` a phrase must reach the block's share
-    of LEAST: one with LEAST occurrences in all does so in some block, as shares add up
-    to one at most.
-    """
+
+def _heavy_hashes(blocks: DataFrame, length: int, shorter) -> DataFrame:
+    """(h) with LEAST phrases of ``length`` words or more: no frequent phrase is missed, few others are in."""
+
+    def count(batches):
+        for lang, words, codes, lead, _ in _blocks(batches):
+            _, hashes = _starts(lang, words, codes, lead, length, shorter and shorter.value)
+            found, n = np.unique(hashes, return_counts=True)
+            for at in range(0, len(found), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(n[part])], names=["h", "n"])
+
+    summed = blocks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return staged(summed.where(F.col("n") >= LEAST).select("h"))
+
+
+def _held(hashes: DataFrame):
+    """A broadcast array of the hashes, in order."""
+    values = hashes.toArrow().column("h").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(values.astype(np.int64).view(np.uint64)))
+
+
+def _candidates(blocks: DataFrame, length: int, shorter, heavy) -> DataFrame:
+    """(lang, phrase) of the phrases whose hash is in ``heavy``."""
 
     def find(batches):
-        for lang, words, codes, lead, n in _blocks(batches):
-            if known is not None:
-                trie = known.value
-                place, _ = trie.walk(lang, trie.symbols(words, codes))
-                starts = place[:-1][np.diff(place) == 1]
-            else:
-                full = np.lib.stride_tricks.sliding_window_view(codes, length).all(axis=1) if len(codes) >= length else np.zeros(0, bool)
-                starts = np.flatnonzero(full)
-            starts = starts[starts + length - 1 >= lead]
-            if not len(starts):
-                continue
-            first, count = _grams(codes, starts, length, len(words))
-            if sizes is not None:
-                keep = count * float(sizes.get(lang, everything)) >= LEAST * float(n) * (1 - 1e-9)
-                first, count = first[keep], count[keep]
+        for lang, words, codes, lead, _ in _blocks(batches):
+            place, hashes = _starts(lang, words, codes, lead, length, shorter and shorter.value)
+            good = _within(hashes, heavy.value)
+            first = place[good][np.unique(hashes[good], return_index=True)[1]]
             phrases = [b" ".join(words[c - 1] for c in codes[i:i + length]) for i in first]
-            yield _rows([lang] * len(phrases), phrases, count)
+            yield _rows([lang] * len(phrases), phrases, np.ones(len(phrases), np.int64))
 
-    return blocks.mapInArrow(find, COUNTS)
+    return blocks.mapInArrow(find, COUNTS).select("lang", "phrase").distinct()
 
 
 def _counted(blocks: DataFrame, trie) -> DataFrame:
@@ -215,53 +267,33 @@ def _counted(blocks: DataFrame, trie) -> DataFrame:
     return _summed(blocks.mapInArrow(count, COUNTS))
 
 
-def _tries(phrases: DataFrame, most: int, limit: int):
-    """Broadcast tries of all ``phrases``, one after the other, each of bounded size; none if there would be over ``most``."""
-    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
-    shards = max(-(-size["n"] // limit), -(-(size["bytes"] or 0) // TRIE_BYTES))
-    if shards > most:
-        return None
-    context = phrases.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, shards)))
-
-    def each():
-        for shard in range(shards):
-            held = phrases.where(part == shard).select("lang", "phrase").toArrow()
-            listed = list(zip(held.column("lang").to_pylist(), held.column("phrase").to_pylist(), strict=True))
-            if listed:
-                yield context.broadcast(Trie(listed))
-
-    return each()
-
-
-def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, most: int = 16) -> DataFrame:
+def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int = KNOWN_PHRASES) -> DataFrame:
     """(lang, phrase, a, words) of every phrase of 1 to LONGEST words with LEAST occurrences.
 
-    Level by level: candidates are phrases whose parts are frequent and that are
-    frequent enough in some block; tries of them, each of bounded size, are broadcast
-    in turn and count the text. Where ``most`` tries would not hold the candidates, the
-    blocks' own counts are shuffled and summed instead, with the same result.
+    Level by level. Summed hash counts leave the candidates: phrases both of whose
+    parts were candidates (where ``known`` of those can be broadcast; else all) and that
+    are heavy themselves. Tries of at most about ``limit`` candidates each are
+    broadcast in turn and count the text exactly.
     """
     frequent = staged(word_counts(blocks).where(F.col("a") >= LEAST))
     levels = [frequent.withColumn("words", F.lit(1))]
-    sizes = {r["lang"]: r["n"] for r in blocks.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(SHARES).collect()}
-    everything = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
+    text = frequent_words_only(blocks, frequent, known)
+    shorter = None                              # level 2 needs no list: the text holds frequent words only
     for length in range(2, LONGEST + 1):
-        if frequent.isEmpty():
+        heavy = _heavy_hashes(text, length, shorter)
+        n = heavy.count()
+        shards = -(-n // limit)
+        for shard in range(shards):
+            hashes = _held(heavy.where(F.pmod("h", F.lit(shards)) == shard))
+            listed = _candidates(text, length, shorter, hashes).toArrow()
+            hashes.unpersist()
+            pairs = list(zip(listed.column("lang").to_pylist(), listed.column("phrase").to_pylist(), strict=True))
+            trie = text.sparkSession.sparkContext.broadcast(Trie(pairs))
+            levels.append(staged(_counted(text, trie).where(F.col("a") >= LEAST)).withColumn("words", F.lit(length)))
+            trie.unpersist()
+        if not n:
             break
-        shorter = _tries(frequent, 1, limit)
-        known = None if shorter is None else next(shorter)
-        candidates = staged(_local(blocks, length, known, sizes, everything).select("lang", "phrase").distinct())
-        tries = _tries(candidates, most, limit)
-        if tries is None:
-            frequent = staged(_summed(_local(blocks, length, known, None, everything)).where(F.col("a") >= LEAST))
-        else:
-            parts = []
-            for trie in tries:
-                parts.append(staged(_counted(blocks, trie).where(F.col("a") >= LEAST)))
-                trie.unpersist()
-            frequent = reduce(DataFrame.unionByName, parts, candidates.limit(0).withColumn("a", F.lit(0).cast("long")))
-        levels.append(frequent.withColumn("words", F.lit(length)))
+        shorter = _held(heavy) if n <= known else None
     return reduce(DataFrame.unionByName, levels).withColumn("phrase", F.col("phrase").cast("string"))
 
 
@@ -269,7 +301,7 @@ def _part(first, count):
     return F.array_join(F.slice("listed", first, count), " ")
 
 
-def collocations(documents: DataFrame, first: int = FIRST, *, block_words: int = BLOCK_WORDS, limit: int = TRIE_PHRASES, most: int = 16) -> DataFrame:
+def collocations(documents: DataFrame, first: int = FIRST, *, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to 5 words.
 
     ``documents``: text, lang; a null text is empty and a null lang ``und``. Only A to Z
@@ -279,7 +311,7 @@ def collocations(documents: DataFrame, first: int = FIRST, *, block_words: int =
     are ignored, whatever their names.
     """
     blocks = word_blocks(documents, block_words)
-    every = staged(frequent_phrases(blocks, limit=limit, most=most))
+    every = staged(frequent_phrases(blocks, **how))
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     listed = every.where("words > 1").withColumn("listed", F.split("phrase", " "))
     cuts = listed.select(

@@ -56,7 +56,7 @@ def sample(seed, documents=60):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"block_words": 300}, {"limit": 40}, {"limit": 40, "most": 1}, {"block_words": 50, "limit": 7, "most": 100}])
+@pytest.mark.parametrize("how", [{}, {"block_words": 300}, {"limit": 40, "known": 30}, {"block_words": 50, "limit": 60, "known": 0}])
 def test_equals_brute_force(spark, how):
     rows = sample(1)
     expected = brute(rows)
