@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gleanery.llm.common import release, staged
@@ -23,7 +26,8 @@ KNOWN_PHRASES = 1_000_000    # hashes of shorter candidates, or frequent words,
 TRIE_BYTES = 32 << 20    # of those words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = "lang string, words array<binary>, codes binary, lead int, n long"
+BLOCKS = "block long, lang string, words array<binary>, codes binary, lead int, n long"
+SLICE = 512              # candidates whose counts travel together
 COUNTS = "lang string, phrase binary, a long"
 BORDER = b"\n"
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -84,19 +88,20 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 def word_blocks(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(lang, words, codes, lead, n): texts of a language as numbers of the block's own distinct words."""
+    """(block, lang, words, codes, lead, n): texts of a language as numbers of the block's own distinct words."""
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Buffer] = {}
+        number = itertools.count(TaskContext.get().partitionId() << 32)
 
         def row(lang: str) -> pa.RecordBatch:
             words, codes = held[lang].block()
             n = int(np.count_nonzero(codes[held[lang].lead:]))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([codes.astype("<i4").tobytes()]),
-                    pa.array([held[lang].lead], pa.int32()), pa.array([n], pa.int64()),
+                    pa.array([next(number)]), pa.array([lang]), pa.array([words], pa.list_(pa.binary())),
+                    pa.array([codes.astype("<i4").tobytes()]), pa.array([held[lang].lead], pa.int32()), pa.array([n], pa.int64()),
                 ],
-                names=["lang", "words", "codes", "lead", "n"],
+                names=["block", "lang", "words", "codes", "lead", "n"],
             )
 
         total = 0
@@ -129,11 +134,21 @@ def word_blocks(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return staged(chosen.mapInArrow(cut, BLOCKS))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, int, int]]:
+@dataclass(frozen=True)
+class _Block:
+    number: int
+    lang: str
+    words: list[bytes]
+    codes: np.ndarray
+    lead: int
+    n: int
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
         for i in range(len(batch)):
-            lang, words, codes, lead, n = (batch.column(c)[i] for c in range(5))
-            yield lang.as_py(), words.as_py(), np.frombuffer(codes.as_buffer(), "<i4"), lead.as_py(), n.as_py()
+            number, lang, words, codes, lead, n = (batch.column(c)[i] for c in range(6))
+            yield _Block(number.as_py(), lang.as_py(), words.as_py(), np.frombuffer(codes.as_buffer(), "<i4"), lead.as_py(), n.as_py())
 
 
 def _rows(langs: list[str], phrases: list[bytes], counts) -> pa.RecordBatch:
@@ -148,12 +163,12 @@ def _summed(counted: DataFrame) -> DataFrame:
 
 def word_counts(blocks: DataFrame) -> DataFrame:
     def count(batches):
-        for lang, words, codes, lead, _ in _blocks(batches):
-            found = np.bincount(codes[lead:], minlength=len(words) + 1)[1:]
+        for b in _blocks(batches):
+            found = np.bincount(b.codes[b.lead:], minlength=len(b.words) + 1)[1:]
             seen = np.flatnonzero(found)
-            yield _rows([lang] * len(seen), [words[i] for i in seen], found[seen])
+            yield _rows([b.lang] * len(seen), [b.words[i] for i in seen], found[seen])
 
-    return _summed(blocks.mapInArrow(count, COUNTS))
+    return blocks.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def frequent_words_only(blocks: DataFrame, frequent: DataFrame, limit: int) -> DataFrame:
@@ -167,42 +182,42 @@ def frequent_words_only(blocks: DataFrame, frequent: DataFrame, limit: int) -> D
     known = blocks.sparkSession.sparkContext.broadcast(held)
 
     def keep(batches):
-        for lang, words, codes, lead, n in _blocks(batches):
-            own = known.value.get(lang, ())
-            stay = [i for i, w in enumerate(words) if w in own]
-            renamed = np.zeros(len(words) + 1, "<i4")
+        for b in _blocks(batches):
+            own = known.value.get(b.lang, ())
+            stay = [i for i, w in enumerate(b.words) if w in own]
+            renamed = np.zeros(len(b.words) + 1, "<i4")
             renamed[np.array(stay, int) + 1] = np.arange(1, len(stay) + 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang]), pa.array([[words[i] for i in stay]], pa.list_(pa.binary())),
-                    pa.array([renamed[codes].tobytes()]), pa.array([lead], pa.int32()), pa.array([n], pa.int64()),
+                    pa.array([b.number]), pa.array([b.lang]), pa.array([[b.words[i] for i in stay]], pa.list_(pa.binary())),
+                    pa.array([renamed[b.codes].tobytes()]), pa.array([b.lead], pa.int32()), pa.array([b.n], pa.int64()),
                 ],
-                names=["lang", "words", "codes", "lead", "n"],
+                names=["block", "lang", "words", "codes", "lead", "n"],
             )
 
     return staged(blocks.mapInArrow(keep, BLOCKS))
 
 
-def _phrase_hashes(lang: str, words: list[bytes], codes: np.ndarray, length: int) -> np.ndarray:
+def _phrase_hashes(b: _Block, length: int) -> np.ndarray:
     """Hash of the phrase that starts at each position, whether or not it crosses a border."""
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    one = np.array([0, *[xxhash.xxh3_64_intdigest(w, seed) for w in words]], np.uint64)[codes]
-    out = one[: max(0, len(codes) - length + 1)].copy()
+    seed = xxhash.xxh3_64_intdigest(b.lang.encode())
+    one = np.array([0, *[xxhash.xxh3_64_intdigest(w, seed) for w in b.words]], np.uint64)[b.codes]
+    out = one[: max(0, len(one) - length + 1)].copy()
     for k in range(1, length):
         out = (out ^ (out >> np.uint64(29))) * MIX + one[k:k + len(out)]
     return out
 
 
-def _starts(lang, words, codes, lead, length, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _starts(b: _Block, length: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of phrases inside pieces; with ``shorter`` both parts one word shorter are in it."""
-    hashes = _phrase_hashes(lang, words, codes, length)
+    hashes = _phrase_hashes(b, length)
     good = np.ones(len(hashes), bool)
     for k in range(length):
-        good &= codes[k:k + len(hashes)] != 0
-    good[: max(0, lead - length + 1)] = False
+        good &= b.codes[k:k + len(hashes)] != 0
+    good[: max(0, b.lead - length + 1)] = False
     place = np.flatnonzero(good)
     if shorter is not None and len(place):
-        parts = _phrase_hashes(lang, words, codes, length - 1)
+        parts = _phrase_hashes(b, length - 1)
         place = place[_within(parts[place], shorter)]
         place = place[_within(parts[place + 1], shorter)]
     return place, hashes[place]
@@ -215,56 +230,74 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _heavy_hashes(blocks: DataFrame, length: int, shorter) -> DataFrame:
-    """(h) with LEAST phrases of ``length`` words or more: no frequent phrase is missed, few others are in."""
+    """(h, block) with LEAST phrases of ``length`` words or more, and the first block that has one.
+
+    No frequent phrase is missed, unless two share a 64-bit hash, and few others are in.
+    """
 
     def count(batches):
-        for lang, words, codes, lead, _ in _blocks(batches):
-            _, hashes = _starts(lang, words, codes, lead, length, shorter and shorter.value)
+        for b in _blocks(batches):
+            _, hashes = _starts(b, length, None if shorter is None else shorter.value[0])
             found, n = np.unique(hashes, return_counts=True)
             for at in range(0, len(found), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(n[part])], names=["h", "n"])
+                part = found[at:at + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(n[at:at + 100_000]), pa.array(np.full(len(part), b.number))], names=["h", "n", "block"]
+                )
 
-    summed = blocks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return staged(summed.where(F.col("n") >= LEAST).select("h"))
+    counted = blocks.mapInArrow(count, "h long, n long, block long")
+    summed = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
+    return staged(summed.where(F.col("n") >= LEAST).select("h", "block"))
 
 
 def _held(hashes: DataFrame):
-    """A broadcast array of the hashes, in order."""
-    values = hashes.toArrow().column("h").to_numpy()
-    return hashes.sparkSession.sparkContext.broadcast(np.sort(values.astype(np.int64).view(np.uint64)))
+    """Broadcast arrays of the hashes, in order, and of their blocks."""
+    found = hashes.select("h", "block").toArrow()
+    values, owners = (found.column(c).to_numpy().astype(np.int64) for c in range(2))
+    order = np.argsort(values.view(np.uint64))
+    return hashes.sparkSession.sparkContext.broadcast((values.view(np.uint64)[order], owners[order]))
 
 
-def _candidates(blocks: DataFrame, length: int, shorter, heavy) -> DataFrame:
-    """(lang, phrase) of the phrases whose hash is in ``heavy``."""
+def _candidates(blocks: DataFrame, length: int, heavy) -> DataFrame:
+    """(lang, phrase) of every hash of ``heavy``, from the block that it names."""
 
     def find(batches):
-        for lang, words, codes, lead, _ in _blocks(batches):
-            place, hashes = _starts(lang, words, codes, lead, length, shorter and shorter.value)
-            good = _within(hashes, heavy.value)
+        for b in _blocks(batches):
+            own = heavy.value[0][heavy.value[1] == b.number]
+            place, hashes = _starts(b, length, None)
+            good = _within(hashes, own)
             first = place[good][np.unique(hashes[good], return_index=True)[1]]
-            phrases = [b" ".join(words[c - 1] for c in codes[i:i + length]) for i in first]
-            yield _rows([lang] * len(phrases), phrases, np.ones(len(phrases), np.int64))
+            phrases = [b" ".join(b.words[c - 1] for c in b.codes[i:i + length]) for i in first]
+            yield _rows([b.lang] * len(phrases), phrases, np.zeros(len(phrases), np.int64))
 
-    return blocks.mapInArrow(find, COUNTS).select("lang", "phrase").distinct()
+    return blocks.mapInArrow(find, COUNTS).select("lang", "phrase")
 
 
 def _counted(blocks: DataFrame, trie) -> DataFrame:
-    """Occurrences of a broadcast trie's phrases, counted in its states and summed."""
+    """The frequent ones of a broadcast trie's phrases, counted in its states by shards of text and summed."""
 
     def count(batches):
         own = trie.value
         total = np.zeros(len(own.check), np.int64)
-        for lang, words, codes, lead, _ in _blocks(batches):
-            place, state = own.walk(lang, own.symbols(words, codes))
-            total += np.bincount(state[place + own.depth - 1 >= lead], minlength=len(total))
-        found = total[own.leaf] if len(own.leaf) else total[:0]
-        seen = np.flatnonzero(found)
-        for at in range(0, len(seen), 50_000):
-            part = seen[at:at + 50_000]
-            yield _rows([own.phrases[i][0] for i in part], [own.phrases[i][1] for i in part], found[part])
-
-    return _summed(blocks.mapInArrow(count, COUNTS))
+        for b in _blocks(batches):
+            place, state = own.walk(b.lang, own.symbols(b.words, b.codes))
+            total += np.bincount(state[place + own.depth - 1 >= b.lead], minlength=len(total))
+        found = total[own.leaf]
+        for at in range(0, len(found), SLICE):
+            if found[at:at + SLICE].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int32()), pa.array([found[at:at + SLICE].astype("<i8").tobytes()])], names=["at", "counts"]
+                )
+
+    def add(part: pa.Table) -> pa.Table:
+        own, at = trie.value, part.column("at")[0].as_py()
+        total = sum(np.frombuffer(c.as_buffer(), "<i8") for c in part.column("counts"))
+        seen = np.flatnonzero(total >= LEAST)
+        listed = [own.phrases[at + i] for i in seen]
+        return pa.Table.from_batches([_rows([lang for lang, _ in listed], [phrase for _, phrase in listed], total[seen])])
+
+    shards = blocks.mapInArrow(count, "at int, counts binary")
+    return shards.groupBy("at").applyInArrow(add, COUNTS)
 
 
 def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int = KNOWN_PHRASES) -> DataFrame:
@@ -285,11 +318,11 @@ def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int
         shards = -(-n // limit)
         for shard in range(shards):
             hashes = _held(heavy.where(F.pmod("h", F.lit(shards)) == shard))
-            listed = _candidates(text, length, shorter, hashes).toArrow()
+            listed = _candidates(text, length, hashes).distinct().toArrow()
             hashes.unpersist()
             pairs = list(zip(listed.column("lang").to_pylist(), listed.column("phrase").to_pylist(), strict=True))
             trie = text.sparkSession.sparkContext.broadcast(Trie(pairs))
-            levels.append(staged(_counted(text, trie).where(F.col("a") >= LEAST)).withColumn("words", F.lit(length)))
+            levels.append(staged(_counted(text, trie)).withColumn("words", F.lit(length)))
             trie.unpersist()
         if not n:
             break
