@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import dates, text
+from gleanery.operators import chains
 from gleanery.operators.skew import SCATTER, lookup
 from gleanery.session import ensure_checkpoint_dir
 
@@ -83,56 +84,10 @@ def _fold_small(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _first_holder(rows: DataFrame, key: str, other: str) -> DataFrame:
-    """Earliest undecided row of every key, with that row's other key."""
-    return (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(F.struct("pos", other)).alias("f"), F.count("*").alias("n"))
-        .select(key, F.col("f.pos").alias("first_pos"), F.col(f"f.{other}").alias("first_other"), "n")
-    )
-
-
-def _settle(own: DataFrame, own_key: str, facing: DataFrame, facing_key: str, out: str) -> DataFrame:
-    """Mark keys whose first row is also first at its other key."""
-    facing = facing.select(F.col(facing_key).alias("first_other"), F.col("first_pos").alias("_facing_pos"))
-    joined = own.join(facing, "first_other", "left")
-    taken = F.col("first_other").isNull() | (F.col("_facing_pos") == F.col("first_pos"))
-    return joined.select(own_key, F.col("first_pos").alias(f"{out}_pos"), taken.alias(f"{out}_taken"), "n")
-
-
-def _one_round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row ids certainly kept, rows still open) of batches of any size.
-
-    A row that is the earliest open one at each of its keys must be kept; rows
-    behind a kept row at either key must be dropped. What stays open shares no
-    key with a kept row, so it is a smaller problem of the same kind.
-    """
-    rows = rows.select("scope", "row_id", "pos", "ext_key", "url_key").checkpoint()
-    by_ext = _first_holder(rows, "ext_key", "url_key")
-    by_url = _first_holder(rows, "url_key", "ext_key")
-    ext = _settle(by_ext, "ext_key", by_url, "url_key", "ext")
-    url = _settle(by_url, "url_key", by_ext, "ext_key", "url")
-    seen = lookup(rows, ext, "ext_key", ["ext_pos", "ext_taken"], weight="n", spread=["row_id"])
-    seen = lookup(seen, url, "url_key", ["url_pos", "url_taken"], weight="n", spread=["row_id"])
-
-    def first_at(key: str, pos: str) -> Column:
-        return F.col(key).isNull() | (F.col(pos) == F.col("pos"))
-
-    def behind(key: str, pos: str, taken: str) -> Column:
-        return F.col(key).isNotNull() & F.col(taken) & (F.col(pos) != F.col("pos"))
-
-    kept = first_at("ext_key", "ext_pos") & first_at("url_key", "url_pos")
-    dropped = behind("ext_key", "ext_pos", "ext_taken") | behind("url_key", "url_pos", "url_taken")
-    state = F.when(kept, "kept").when(dropped, "dropped").otherwise("open")
-    left = seen.select(*rows.columns, state.alias("state")).where("state <> 'dropped'").checkpoint()
-    return left.where("state = 'kept'").select("row_id"), left.where("state = 'open'").drop("state")
-
-
 def _choose(rows: DataFrame, fold_limit: int) -> DataFrame:
     """Fold what is small; take large batches through rounds until it is.
 
-    Every round decides at least the first open row of each large batch, and of
+    Every round settles whole chains of rows that block each other, and of
     ordinary feeds nearly all rows. Rounds are map-side combined aggregation plus
     joins, and checkpointed, so neither plan nor lineage grows.
     """
@@ -146,12 +101,12 @@ def _choose(rows: DataFrame, fold_limit: int) -> DataFrame:
         ensure_checkpoint_dir(rows.sparkSession)
         sized = lookup(rows, large, "scope", ["scope_rows"], weight="scope_rows", spread=["row_id"])
         chosen.append(_fold_small(sized.where("scope_rows is null")))
-        kept, rows = _one_round(sized.where("scope_rows is not null"))
+        kept, rows = chains.settle(sized.where("scope_rows is not null"))
         chosen.append(kept)
 
 
 def choose_unseen(entries: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Row ids kept when each batch is walked in feed order.
+    """Row ids kept when each batch is walked in feed order; ``pos`` is unique in its batch.
 
     An entry is dropped when an earlier *kept* entry of its batch has its
     external id or its URL; dropped entries block nothing. Exact copies are

@@ -463,6 +463,18 @@ def capture_dedupe_rounds(spark, d):
     return _captured(spark, d, fold_limit=0).select("row_id", "source_id", "batch_id", "decision")
 
 
+@query
+def capture_dedupe_chain(spark, d):
+    """Events as entries that share an id, then a URL, with the next one: chains of up to 2500 rows a source."""
+    entries = fx.table(spark, d, "events").selectExpr(
+        "event_id as row_id", "event_id div 2500 as source_id", "cast(1 as bigint) as batch_id", "event_id as pos",
+        "concat('c', (event_id + 1) div 2) as external_id",
+        "if(event_id % 97 <> 50, concat('d', event_id div 2), null) as url",
+    )
+    stored = entries.where("row_id % 2500 = 1200").selectExpr("source_id", "external_id", "cast(null as string) as url")
+    return capture.capture_dedupe(entries, stored).select("row_id", "source_id", "batch_id", "decision")
+
+
 @query
 def capture_runs(spark, d):
     return capture.capture_runs(_captured(spark, d))

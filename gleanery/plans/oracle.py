@@ -814,6 +814,17 @@ select item_id, title, case when note_type = 'summary' then 'Summary note' else
     "feed_dispatch": DISPATCH,
     "capture_dedupe": f"{CAPTURE} select row_id, source_id, batch_id, decision from decided",
     "capture_dedupe_rounds": f"{CAPTURE} select row_id, source_id, batch_id, decision from decided",
+    "capture_dedupe_chain": """with ent as (select event_id as row_id, event_id // 2500 as source_id, 1::bigint as batch_id,
+    'c' || ((event_id + 1) // 2) as external_id, case when event_id % 97 <> 50 then 'd' || (event_id // 2) end as url from events),
+known as (select e.*, exists (select 1 from ent s where s.row_id % 2500 = 1200 and s.source_id = e.source_id
+    and s.external_id = e.external_id) as known from ent e),
+linked as (select *, not known and not coalesce(lag(known) over w, true)
+    and coalesce(external_id = lag(external_id) over w or url = lag(url) over w, false) as linked
+  from known window w as (partition by source_id order by row_id)),
+runs as (select *, sum(case when linked then 0 else 1 end) over (partition by source_id order by row_id) as run from linked),
+placed as (select *, row_number() over (partition by source_id, run order by row_id) as place from runs)
+select row_id, source_id, batch_id, case when known then 'known' when place % 2 = 1 then 'kept' else 'batch_duplicate' end as decision
+from placed""",
     "capture_runs": f"""{CAPTURE}, c as (select source_id, batch_id, count(*) as fetched_count,
   count(*) filter (decision = 'kept') as persisted_count, count(*) filter (decision <> 'kept') as skipped_count
   from decided group by all)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import capture
+from gleanery.operators import capture, chains
 
 ENTRY = (
     "row_id bigint, source_id bigint, batch_id bigint, pos bigint, external_id string, url string"
@@ -143,3 +143,36 @@ def test_no_row_is_lost(spark):
     kept = spark.createDataFrame(stored, "source_id bigint, external_id string, url string")
     decided = capture.capture_dedupe(frame, kept)
     assert decided.agg(F.count("*"), F.count_distinct("row_id")).first() == (400, 400)
+
+
+def alternating(n, source=1, start=0):
+    """Rows linked to the next one by id and by URL in turn."""
+    return [(start + i, source, 1, i, f"c{source}-{(i + 1) // 2}", f"d{source}-{i // 2}") for i in range(n)]
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    """10,000 alternating rows: pointers double, so rounds grow with the logarithm."""
+    rounds, jumps = [], []
+    settle, jumped = chains.settle, chains._jumped
+    monkeypatch.setattr(chains, "settle", lambda rows: rounds.append(1) or settle(rows))
+    monkeypatch.setattr(chains, "_jumped", lambda *links: jumps.append(1) or jumped(*links))
+    rows = alternating(10_000) + [(20_000 + i, 1, 1, 20_000 + i, f"c1-{i}", None) for i in range(0, 5000, 7)]
+    frame = spark.createDataFrame(rows, ENTRY)
+    kept = {row["row_id"] for row in capture.choose_unseen(frame, fold_limit=100).collect()}
+    assert kept == {row_id for row_id, decision in sequential(rows, []).items() if decision == "kept"}
+    assert len(rounds) <= 2 and len(rounds) + len(jumps) <= 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tangled_chains_equal_the_sequential_walk(spark, seed):
+    """Chains in random order, joined at hubs, with rows of one key and repeats."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(600):
+        ext = None if rng.random() < 0.1 else f"e{rng.randrange(350)}"
+        url = "hub" if rng.random() < 0.05 else f"u{rng.randrange(350)}"
+        rows.append((i, 1, 1, i, ext, url))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, ENTRY)
+    kept = {row["row_id"] for row in capture.choose_unseen(frame, fold_limit=0).collect()}
+    assert kept == {row_id for row_id, decision in sequential(rows, []).items() if decision == "kept"}
