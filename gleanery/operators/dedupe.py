@@ -23,21 +23,31 @@ def dedupe_key(*, empty_slug: str = "keep") -> Column:
     return F.coalesce(F.concat(F.lit("url:"), F.lower(url)), F.concat(F.lit("text:"), slug))
 
 
-def find_duplicates(items: DataFrame, *, empty_slug: str = "keep") -> DataFrame:
+def key_holders(items: DataFrame, *, empty_slug: str = "keep") -> DataFrame:
+    """(dedupe_key, created_at, item_id): the first item of every key."""
+    keyed = items.select(dedupe_key(empty_slug=empty_slug).alias("dedupe_key"), F.struct("created_at", "item_id").alias("h"))
+    return keyed.groupBy("dedupe_key").agg(F.min("h").alias("h")).select("dedupe_key", "h.created_at", "h.item_id")
+
+
+def find_duplicates(items: DataFrame, *, empty_slug: str = "keep", holders: DataFrame | None = None) -> DataFrame:
     """item_id, dedupe_key, key_copies, duplicate_of_item_id.
 
     The first item of a key (by created_at, then id) is the original. Matches
     of an item are the earlier items of its key; as a relation that is
     (dedupe_key, created_at, item_id), never a list per item, whose total size
-    would be quadratic in the group.
+    would be quadratic in the group. ``holders`` (see ``key_holders``) are the first
+    items of keys outside ``items``; copies are counted in ``items`` alone.
     """
     keyed = items.select("item_id", "created_at", dedupe_key(empty_slug=empty_slug).alias("dedupe_key"))
     groups = keyed.groupBy("dedupe_key").agg(
         F.count("*").alias("key_copies"), F.min(F.struct("created_at", "item_id")).alias("first")
     )
-    shared = groups.where("key_copies > 1").select(
-        "dedupe_key", "key_copies", F.col("first.item_id").alias("first_item_id")
-    )
+    if holders is None:
+        groups = groups.where("key_copies > 1")
+    else:
+        earlier = holders.select("dedupe_key", F.struct("created_at", "item_id").alias("_held"))
+        groups = groups.join(earlier, "dedupe_key", "left").withColumn("first", F.least("first", "_held"))
+    shared = groups.select("dedupe_key", "key_copies", F.col("first.item_id").alias("first_item_id"))
     found = lookup(
         keyed, shared, "dedupe_key", ["key_copies", "first_item_id"], weight="key_copies", spread=["item_id"]
     )

@@ -29,6 +29,17 @@ def weighted_signal(importance: Column, novelty: Column) -> Column:
     return importance * F.lit(0.65) + novelty * F.lit(0.35)
 
 
+def candidate_place() -> Column:
+    """Sorts best candidates first: signal, undated, newest, then id; needs scores and times."""
+    signal = weighted_signal(F.coalesce("importance_score", F.lit(0.0)), F.coalesce("novelty_score", F.lit(0.0)))
+    return F.struct(
+        (-signal).alias("signal"),
+        F.coalesce(-F.unix_micros("published_at"), F.lit(-(1 << 62))).alias("published"),
+        F.coalesce(-F.unix_micros("created_at"), F.lit(1 << 62)).alias("created"),
+        F.col("item_id").alias("item_id"),
+    )
+
+
 # ------------------------------------------------------------------ candidates
 def rank_candidates(items: DataFrame, enrichments: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(audience, item_id, raw_asset_id, candidate_rank) of each audience's best items.
@@ -39,22 +50,8 @@ def rank_candidates(items: DataFrame, enrichments: DataFrame, policy: Policy = P
     columns = ("item_id", "raw_asset_id", "audience", "published_at", "created_at")
     usable = items.where("status = 'processed'").select(*columns)
     current = enrichments.where("is_current").select("item_id", "importance_score", "novelty_score")
-    ranked = usable.join(current, "item_id").withColumn(
-        "_signal",
-        weighted_signal(
-            F.coalesce("importance_score", F.lit(0.0)), F.coalesce("novelty_score", F.lit(0.0))
-        ),
-    )
-    best = first_n_per_key(
-        ranked,
-        ["audience"],
-        policy.window,
-        "candidate_rank",
-        F.desc("_signal"),
-        F.desc_nulls_first("published_at"),
-        F.desc("created_at"),
-        F.asc("item_id"),
-    )
+    ranked = usable.join(current, "item_id").withColumn("_place", candidate_place())
+    best = first_n_per_key(ranked, ["audience"], policy.window, "candidate_rank", F.asc("_place"))
     return best.select("audience", "item_id", "raw_asset_id", "candidate_rank")
 
 

@@ -314,7 +314,7 @@ def classify_items(spark, d):
     )
 
 
-def _topic_times(spark, d):
+def topic_times(spark, d):
     """Topics assigned over time: each item twice, some to another topic first."""
     first = fx.items(spark, d).selectExpr(
         "item_id",
@@ -330,20 +330,20 @@ def _topic_times(spark, d):
 
 @query
 def topic_groups(spark, d):
-    return groups.topic_groups(_topic_times(spark, d)).select(
+    return groups.topic_groups(topic_times(spark, d)).select(
         "tag", "title", "summary", instant("created_at"), instant("updated_at")
     )
 
 
 @query
 def topic_members(spark, d):
-    return groups.topic_members(_topic_times(spark, d)).select("item_id", "tag")
+    return groups.topic_members(topic_times(spark, d)).select("item_id", "tag")
 
 
 @query
 def membership_replace(spark, d):
     members = fx.topic_members(spark, d).select("item_id", "group_id")
-    touched = _topic_times(spark, d).join(
+    touched = topic_times(spark, d).join(
         fx.table(spark, d, "labels").selectExpr("doc_id as item_id"), "item_id", "left_semi"
     )
     return groups.replace_memberships(members, touched)

@@ -779,6 +779,35 @@ from assets group by capture_entry_id""",
 select tag, title, 'Items related to ' || title || '.' as summary, {iso('c')} as created_at, {iso('u')} as updated_at from g""",
     "topic_members": f"""with {FX}, {CLASSIFY}, {TOPIC_TIMES}, m as (select *, row_number() over (partition by item_id order by at_time desc)
   as k from assigned) select item_id, tag from m where k = 1 and topic is not null""",
+    "group_batches": f"""with {FX}, {CLASSIFY}, {TOPIC_TIMES}, g as (select tag, arg_max(topic, (at_time, item_id)) as title,
+  min(at_time) as c, max(at_time) as u from assigned where topic is not null group by tag)
+select tag, title, 'Items related to ' || title || '.' as summary, {iso('c')} as created_at, {iso('u')} as updated_at from g""",
+    "member_batches": f"""with {FX}, {CLASSIFY}, {TOPIC_TIMES}, m as (select *, row_number() over (partition by item_id order by at_time desc)
+  as k from assigned) select item_id, tag from m where k = 1 and topic is not null""",
+    "dedupe_batches": f"""with {FX}, {KEYED}, firsts as (
+  select dedupe_key, m, arg_min(item_id, (created_at, item_id)) as first_id
+  from keyed join (values (0), (1), (2)) t(m) on item_id % 3 <= m group by all)
+select item_id, k.dedupe_key, case when first_id <> item_id then first_id end as duplicate_of_item_id
+from keyed k join firsts f on f.dedupe_key = k.dedupe_key and f.m = k.item_id % 3""",
+    "capture_batches": f"""with recursive {ENTRIES},
+line as (
+  select *, (row_id // 16) % 3 as batch, row_number() over (partition by source_id order by (row_id // 16) % 3, pos) as k,
+    list_filter(['e:' || external_id, 'u:' || url], lambda x: x is not null) as keys from ent
+),
+walk as (
+  select source_id, 0::bigint as k, []::varchar[] as seen, null::bigint as row_id, false as kept from (select distinct source_id from line)
+  union all
+  select source_id, k, case when hit then seen else list_concat(seen, keys) end, row_id, not hit from (
+    select l.source_id, l.k, w.seen, l.row_id, l.keys, list_has_any(w.seen, l.keys) as hit from walk w
+    join line l on l.source_id = w.source_id and l.k = w.k + 1)
+),
+kept as (select l.* from line l join walk w on w.row_id = l.row_id where w.kept)
+select l.row_id, l.source_id, l.batch as batch_id,
+  case when k.row_id is not null then 'kept'
+    when exists (select 1 from kept o where o.source_id = l.source_id and o.batch < l.batch and o.external_id = l.external_id)
+      or exists (select 1 from kept o where o.source_id = l.source_id and o.batch < l.batch and o.url = l.url) then 'known'
+    else 'batch_duplicate' end as decision
+from line l left join kept k on k.row_id = l.row_id""",
     "membership_replace": f"""with {FX}, {CLASSIFY}, {TOPIC_TIMES}, m as (select *, row_number() over (partition by item_id
   order by at_time desc) as k from assigned where item_id in (select doc_id from labels)),
 old as (select item_id, unnest(case when item_id % 8 = 0 then [topic, 'Second topic'] when item_id % 8 = 4 then []

@@ -13,7 +13,7 @@ a replay writes the same again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,9 +41,10 @@ def segments(before: int, fanout: int = FANOUT) -> Iterator[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class KeyedLog:
-    """Rows of ``schema`` with one string column ``key``; of rows with one key the smallest counts.
+    """Rows of ``schema`` with one string column ``key``.
 
-    ``buckets`` and ``filter_bits`` (of a bucket on the lowest level) are fixed for the
+    ``merge`` makes one row of those with one key and must not care in which order or
+    grouping they come; without it the smallest row counts. ``buckets`` and ``filter_bits`` (of a bucket on the lowest level) are fixed for the
     life of the table.
     """
 
@@ -53,6 +54,7 @@ class KeyedLog:
     buckets: int = 256
     filter_bits: int = 1 << 13
     fanout: int = FANOUT
+    merge: Callable[[DataFrame], DataFrame] | None = None
 
     def _path(self, kind: str, level: int, number: int) -> str:
         return f"{self.folder}/{kind}/level={level}/number={number}"
@@ -94,6 +96,8 @@ class KeyedLog:
         )
 
     def _first(self, rows: DataFrame) -> DataFrame:
+        if self.merge is not None:
+            return self.merge(rows).select(*self.schema.names)
         values = [c for c in self.schema.names if c != "key"]
         if not values:
             return rows.select("key").distinct()
@@ -150,3 +154,11 @@ class KeyedLog:
         if not found:
             return self.spark.createDataFrame([], self.schema)
         return self._first(reduce(DataFrame.unionByName, found))
+
+    def all(self, before: int) -> DataFrame:
+        """One row for every key of batches before ``before``."""
+        parts = [self._read("rows", *segment, self.schema) for segment in segments(before, self.fanout)]
+        held = [p.select(*self.schema.names) for p in parts if p is not None]
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        return self._first(reduce(DataFrame.unionByName, held))

@@ -2,7 +2,9 @@
 
 Tables are folders of Parquet files partitioned by batch_id. A micro-batch
 overwrites only its own folder and reads only earlier ones, so replaying it
-after a failure gives the same tables, also where it now has no rows.
+after a failure gives the same tables, also where it now has no rows. What a batch
+must know of all earlier ones lies in keyed logs (see ``keyed``) and in the stored
+best candidates, so its work follows the batch and not the history.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DataType, StringType, StructType
 
 from gleanery.functions import text
 from gleanery.operators import capture, enrich, groups, history, normalize, notes, selection
-from gleanery.operators.dedupe import find_duplicates, settle_duplicates
+from gleanery.operators.dedupe import find_duplicates, key_holders, settle_duplicates
+from gleanery.operators.skew import first_n_per_key
 from gleanery.session import ensure_checkpoint_dir, tune
 from gleanery.sources import feeds
-
-SMALL_BATCH_ROWS = 200_000
+from gleanery.streaming.keyed import KeyedLog
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class Store:
 
     spark: SparkSession
     folder: str
+    buckets: int = 64       # of the keyed logs; fixed for the life of the store
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -36,6 +40,10 @@ class Store:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
+    def keyed(self, name: str, schema: StructType, merge=None) -> KeyedLog:
+        """Keys of all batches, for lookups that read only what a batch may hit."""
+        return KeyedLog(self.spark, self.path(f"_keys/{name}"), schema, buckets=self.buckets, merge=merge)
+
     def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
         """Replace the batch's own folder, also by no rows; its files then still tell the schema."""
         rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch_id={batch_id}")
@@ -63,16 +71,37 @@ class Store:
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
-def _narrowed(stored: DataFrame, batch: DataFrame, key: str, batch_rows: int) -> DataFrame:
-    """Stored rows whose key occurs in the batch.
+def identities(rows: DataFrame) -> DataFrame:
+    """Ids and URLs of assets under one text key."""
+    keys = capture.identity_keys(rows)
+    return keys.select(F.concat_ws("\u0002", F.col("source_id").cast("string"), "kind", "value").alias("key"), *keys.columns)
+
+
+def known_identities(store: Store, rows: DataFrame, batch_id: int) -> tuple[DataFrame, KeyedLog]:
+    """Stored identities that occur in ``rows``, as assets, and their log."""
+    asked = identities(rows)
+    log = store.keyed("identities", asked.schema)
+    found = log.lookup(asked, batch_id)
+    as_column = [F.when(F.col("kind") == kind, F.col("value")).alias(name) for kind, name in (("externalId", "external_id"), ("url", "url"))]
+    return found.select("source_id", *as_column), log
+
+
+def _holders(items: DataFrame) -> DataFrame:
+    return key_holders(items).withColumnRenamed("dedupe_key", "key")
 
-    The batch keys are broadcast only when the batch was counted as small; a
-    large one is joined by shuffle.
+
+def batch_duplicates(store: Store, name: str, items: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Duplicates among a batch's items given all earlier ones, and the first holder of each of their keys.
+
+    ``items`` must be stored; the log of first holders is updated.
     """
-    keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
-    if batch_rows <= SMALL_BATCH_ROWS:
-        keys = F.broadcast(keys)
-    return stored.join(keys, key, "left_semi")
+    own = _holders(items)
+    log = store.keyed(name, own.schema)
+    earlier = store.stage(f"{name}_earlier", log.lookup(own, batch_id), batch_id).withColumnRenamed("key", "dedupe_key")
+    log.write(own, batch_id)
+    found = find_duplicates(items, holders=earlier).select("item_id", "dedupe_key", "duplicate_of_item_id")
+    firsts = earlier.unionByName(key_holders(items)).groupBy("dedupe_key").agg(F.min(F.struct("created_at", "item_id")).alias("first"))
+    return found, firsts
 
 
 def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
@@ -101,7 +130,6 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
         "requested_at",
     )
     entries = store.stage("entries", parsed, batch_id)  # read several times below; parsing is the expensive part
-    count = entries.count()
 
     # One walk per source: its payloads of this batch in arrival order.
     ranked = entries.select(
@@ -113,10 +141,7 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
         "url",
         "published_at",
     )
-    ids = store.read("raw_assets", _asset_rows(entries), before=batch_id).select("source_id", "external_id", "url")
-    known = _narrowed(ids.where("external_id is not null"), ranked, "external_id", count).unionByName(
-        _narrowed(ids.where("url is not null"), ranked, "url", count)
-    )
+    known, log = known_identities(store, ranked, batch_id)
     decided = store.stage("decided", capture.capture_dedupe(ranked, known).select("row_id", "decision"), batch_id)
     fresh = entries.join(decided.where("decision = 'kept'").select("row_id"), "row_id", "left_semi")
     good = payloads.join(broken.select("payload_id"), "payload_id", "left_anti").select(
@@ -129,6 +154,7 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     failed = capture.failed_runs(broken.select("source_id", F.lit(batch_id).alias("batch_id"), F.col("error").alias("message")))
 
     store.write("raw_assets", _asset_rows(fresh), batch_id)
+    log.write(identities(fresh), batch_id)
     store.write("capture_runs", runs, batch_id)
     store.write("failed_runs", failed.drop("batch_id"), batch_id)
     store.write("cursors", cursors, batch_id)
@@ -168,9 +194,12 @@ def normalize_batch(store: Store, batch_id: int) -> None:
     items = normalize.normalize_assets(own).drop("metadata").join(
         own.select("raw_asset_id", "created_at", "source_id"), "raw_asset_id"
     )
-    earlier = store.read("items", items.withColumn("canonical_url_conflict", F.lit("")), before=batch_id)
-    taken = _narrowed(earlier.select("canonical_url"), items, "canonical_url", own.count())
+    items = store.stage("normalized", items, batch_id)
+    asked = items.select(F.col("canonical_url").alias("key"))
+    log = store.keyed("canonical_urls", asked.schema)
+    taken = log.lookup(asked, batch_id).withColumnRenamed("key", "canonical_url")
     store.write("items", normalize.assign_canonical_urls(items, ["created_at"], taken), batch_id)
+    log.write(asked, batch_id)
 
 
 def knowledge_batch(store: Store, runner: enrich.Runner, sources: DataFrame, batch_id: int) -> None:
@@ -188,15 +217,13 @@ def knowledge_batch(store: Store, runner: enrich.Runner, sources: DataFrame, bat
 
 def preserve_batch(store: Store, destinations: DataFrame, batch_id: int) -> None:
     """Groups, memberships, notes, destination results and provenance of the batch's items."""
-    items = store.read("items").where(F.col("batch_id") <= batch_id)
-    own = items.where(F.col("batch_id") == batch_id).drop("batch_id")
+    own = store.read("items").where(F.col("batch_id") == batch_id).drop("batch_id")
     enriched = store.read("enrichments").where(F.col("batch_id") == batch_id).drop("batch_id", "title", "created_at")
-    found = find_duplicates(items.drop("batch_id")).select("item_id", "dedupe_key", "duplicate_of_item_id")
+    found, _ = batch_duplicates(store, "dedupe_keys", own, batch_id)
     joined = own.join(settle_duplicates(enriched.join(found, "item_id")), "item_id")
     settled = store.stage("settled", joined, batch_id)
     assigned = settled.select("item_id", "topic", F.col("created_at").alias("at"))
-    store.write("item_groups", groups.topic_groups(assigned), batch_id)
-    store.write("item_group_members", groups.topic_members(assigned), batch_id)
+    write_groups(store, assigned, batch_id)
     built = notes.build_notes(settled.withColumn("baseline_score", F.col("importance_score")))
     rollup = notes.sync_rollup(built, destinations)
     store.write("notes", rollup.drop("destinations"), batch_id)
@@ -211,28 +238,144 @@ def preserve_batch(store: Store, destinations: DataFrame, batch_id: int) -> None
     )
 
 
-def select_batch(store: Store, sources: DataFrame, batch_id: int, policy=selection.Policy()) -> None:
-    """Rebuild the reading queue once per micro-batch, as one more run."""
+def _group_log(store: Store, item: DataType = StringType()) -> KeyedLog:
+    schema = StructType().add("key", "string").add("at", "timestamp").add("item_id", item).add("title", "string").add("created_at", "timestamp")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        last = F.max(F.struct("at", "item_id", "title")).alias("last")
+        return rows.groupBy("key").agg(last, F.min("created_at").alias("created_at")).select("key", "last.*", "created_at")
+
+    return store.keyed("groups", schema, merge)
+
+
+def _member_log(store: Store) -> KeyedLog:
+    schema = StructType().add("key", "string").add("at", "timestamp").add("topic", "string")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.max(F.struct("at", "topic")).alias("last")).select("key", "last.*")
+
+    return store.keyed("memberships", schema, merge)
+
+
+def write_groups(store: Store, assigned: DataFrame, batch_id: int) -> None:
+    """The batch's assignments, merged with what earlier batches knew of the same tags.
+
+    ``item_groups`` and ``item_group_members`` keep what each batch brought;
+    ``stored_groups`` and ``stored_members`` are the state after it: one row per tag and
+    one membership per item, so an item that changes topic leaves its old group.
+    """
+    store.write("item_groups", groups.topic_groups(assigned), batch_id)
+    store.write("item_group_members", groups.topic_members(assigned), batch_id)
+    topic = text.blank_to_null(F.col("topic"))
+    tagged = assigned.select(
+        text.slugify(topic).alias("key"), "at", "item_id", topic.alias("title"), F.col("at").alias("created_at")
+    )
+    _group_log(store, assigned.schema["item_id"].dataType).write(tagged.where("title is not null"), batch_id)
+    latest = assigned.select(F.col("item_id").cast("string").alias("key"), "at", topic.alias("topic"))
+    _member_log(store).write(latest, batch_id)
+
+
+def stored_groups(store: Store, batch_id: int, item: DataType = StringType()) -> DataFrame:
+    """Groups after ``batch_id``: one row per tag, the last title wins."""
+    tags = _group_log(store, item).all(batch_id + 1)
+    return tags.select(
+        groups.group_id(F.col("key")).alias("group_id"),
+        F.lit("topic").alias("group_type"),
+        F.col("key").alias("tag"),
+        "title",
+        F.concat(F.lit("Items related to "), F.col("title"), F.lit(".")).alias("summary"),
+        "created_at",
+        F.col("at").alias("updated_at"),
+    )
+
+
+def stored_members(store: Store, batch_id: int) -> DataFrame:
+    """The one membership of every item after ``batch_id``; none where its last topic was blank."""
+    latest = _member_log(store).all(batch_id + 1).where("topic is not null")
+    tag = text.slugify(F.col("topic"))
+    return latest.select(groups.group_id(tag).alias("group_id"), F.col("key").alias("item_id"), tag.alias("tag"))
+
+
+def _selectable(store: Store, batch_id: int) -> DataFrame:
+    """All enriched items up to the batch, with duplicates settled."""
     every_item = store.read("items").where(F.col("batch_id") <= batch_id).drop("batch_id")
     versions = store.read("enrichments").where(F.col("batch_id") <= batch_id).drop("batch_id", "title")
     current = history.enrichment_history(versions).where("is_current").drop("is_current", "superseded_at")
     items = every_item.join(current.select("item_id"), "item_id", "left_semi")
     found = find_duplicates(items).select("item_id", "dedupe_key", "duplicate_of_item_id")
-    assigned = current.select("item_id", "topic", F.col("created_at").alias("at"))
+    return items.join(settle_duplicates(current.join(found, "item_id")).drop("created_at"), "item_id")
+
+
+def _best(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best rows of each audience with their rank and place."""
+    placed = rows.drop("candidate_rank").withColumn("audience", F.lit("all")).withColumn("place", selection.candidate_place())
+    return first_n_per_key(placed, ["audience"], n, "candidate_rank", F.asc("place"))
+
+
+def select_batch(store: Store, sources: DataFrame, batch_id: int, policy=selection.Policy()) -> None:
+    """The reading queue after a micro-batch, from the stored best candidates and the batch alone.
+
+    ``selection_state`` holds twice the window. A batch adds its items and repairs stored
+    ones whose key an earlier-created item now holds; those only lose places. Once rows
+    were cut off, places up to the last stored one are certain (``floor``): rows
+    beyond it could be behind ones that were cut. Only when fewer certain rows than
+    the window are left is the state rebuilt from all items.
+    """
+    own = store.read("items").where(F.col("batch_id") == batch_id).drop("batch_id")
+    enriched = store.read("enrichments").where(F.col("batch_id") == batch_id).drop("batch_id", "title", "created_at")
+    own_items = own.join(enriched.select("item_id"), "item_id", "left_semi")
+    found, firsts = batch_duplicates(store, "selectable_keys", own_items, batch_id)
+    fresh = own_items.join(settle_duplicates(enriched.join(found, "item_id")), "item_id")
+    size = 2 * policy.window
+
+    shape = _best(fresh, size).withColumn("floor", F.col("place"))
+    stored = store.read("selection_state", shape, before=batch_id)
+    newest = stored.agg(F.max("batch_id")).scalar()
+    held = stored.where(F.col("batch_id") == newest).drop("batch_id").join(firsts, "dedupe_key", "left")
+    original = F.when(F.col("first.item_id") != F.col("item_id"), F.col("first.item_id"))
+    held = settle_duplicates(
+        held.withColumn("duplicate_of_item_id", F.when(F.col("first").isNotNull(), original).otherwise(F.col("duplicate_of_item_id")))
+    ).drop("first")
+    floor = held.agg(F.max("floor").alias("floor"))
+    merged = held.drop("floor", "place", "audience", "candidate_rank")
+    merged = merged.unionByName(fresh.select(*merged.columns))
+    certain = (
+        merged.withColumn("place", selection.candidate_place()).crossJoin(F.broadcast(floor))   # one row
+        .where("floor is null or place <= floor")
+    )
+    best = store.stage("best", _best(certain, size + 1), batch_id)
+    left = best.agg(F.count(F.lit(1)).alias("n"), F.max("floor").alias("floor")).first()
+    if left["n"] < policy.window and newest is not None and floor.first()["floor"] is not None:
+        best = store.stage("rebuilt", _best(_selectable(store, batch_id), size + 1).withColumn("floor", F.lit(None).cast(shape.schema["floor"].dataType)), batch_id)
+        left = best.agg(F.count(F.lit(1)).alias("n"), F.max("floor").alias("floor")).first()
+    cut = left["n"] > size or left["floor"] is not None
+    kept = best.where(F.col("candidate_rank") <= size)
+    last = kept.agg(F.max("place").alias("last"))
+    mark = F.col("last") if cut else F.lit(None).cast(shape.schema["floor"].dataType)
+    state = kept.drop("floor").crossJoin(F.broadcast(last)).withColumn("floor", mark).select(*shape.columns)
+    store.write("selection_state", state, batch_id)
+
+    window = kept.where(F.col("candidate_rank") <= policy.window).drop("place", "floor")
+    tag = text.slugify(text.blank_to_null(F.col("topic")))
+    window = store.stage("window", window.withColumn("key", tag), batch_id)
+    titles = _group_log(store).lookup(window.select("key"), batch_id + 1).select("key", F.col("title").alias("topic_group_title"))
+    named = sources.select("source_id", F.col("name").alias("source_name"))
+    candidates = window.join(titles, "key", "left").drop("key").join(named, "source_id", "left")
+    store.write("selections", selection.select_queue(candidates, policy).withColumn("run_id", F.lit(batch_id)), batch_id)
+
+
+def rebuilt_selection(store: Store, sources: DataFrame, batch_id: int, policy=selection.Policy()) -> DataFrame:
+    """Decisions as ``select_batch`` makes them, from all items up to the batch."""
+    rows = _selectable(store, batch_id)
+    assigned = rows.select("item_id", "topic", F.col("created_at").alias("at"))
     titles = groups.topic_titles(groups.topic_members(assigned), groups.topic_groups(assigned))
-    settled = settle_duplicates(current.join(found, "item_id"))
-    candidates = items.join(settled.drop("created_at"), "item_id").join(titles, "item_id", "left")
     named = sources.select("source_id", F.col("name").alias("source_name"))
-    candidates = candidates.join(named, "source_id", "left").withColumn("audience", F.lit("all"))
+    items = rows.withColumn("audience", F.lit("all"))
     ranked = selection.rank_candidates(
-        items.withColumn("audience", F.lit("all")).withColumn("status", F.lit("processed")),
-        settled.withColumn("is_current", F.lit(True)),
-        policy,
-    )
-    decisions = selection.select_queue(
-        candidates.join(ranked.select("item_id", "candidate_rank"), "item_id"), policy
+        items.withColumn("status", F.lit("processed")), rows.withColumn("is_current", F.lit(True)), policy
     )
-    store.write("selections", decisions.withColumn("run_id", F.lit(batch_id)), batch_id)
+    candidates = items.join(titles, "item_id", "left").join(named, "source_id", "left")
+    return selection.select_queue(candidates.join(ranked.select("item_id", "candidate_rank"), "item_id"), policy)
 
 
 def curation_batch(

@@ -148,3 +148,47 @@ def test_sync_state_follows_a_stream(spark, tmp_path):
     state = {r["source_id"]: r for r in microbatch.stored_sync_state(store).collect()}
     assert (state["s"]["source_status"], state["s"]["last_error_at"]) == ("active", None)
     assert state["t"]["source_status"] == "error"
+
+
+def test_selection_state_equals_the_full_rebuild(spark, tmp_path):
+    """Ten batches with a small window: late originals demote stored candidates, and cut ones come back."""
+    import random
+
+    from gleanery.operators.selection import Policy
+
+    rng = random.Random(5)
+    store, policy = store_at(spark, tmp_path), Policy(window=3)
+    item = ("item_id string, raw_asset_id string, source_id string, title string, canonical_url string, canonical_url_conflict string,"
+            " content_text string, published_at timestamp, created_at timestamp")
+    enriched = ("item_id string, title string, created_at timestamp, version_id bigint, summary_short string, summary_long string,"
+                " why_it_matters string, topic string, importance_score double, novelty_score double, preserve_recommendation string")
+    body = "Some words that tell what happened here and why it matters to readers of this. " * 3
+    rebuilt = []
+    whole = microbatch._selectable
+    microbatch._selectable = lambda *a: rebuilt.append(1) or whole(*a)
+    try:
+        for batch in range(10):
+            items, answers = [], []
+            for i in range(4):
+                name = f"i{batch:02d}{i}"
+                at = AT + dt.timedelta(minutes=rng.randrange(1000))
+                title = f"Story number {rng.randrange(12)} of the year"
+                seen = None if rng.random() < 0.2 else at
+                items.append((name, f"a-{name}", f"s{rng.randrange(2)}", title, None, None, body, seen, at))
+                topic = rng.choice(["Research", "research!", " ", "Tools"])
+                if rng.random() < 0.9:
+                    answers.append((name, title, at, batch, body, body, body, topic, rng.randrange(60, 99) / 100, rng.random(), "keep"))
+            store.write("items", spark.createDataFrame(items, item), batch)
+            store.write("enrichments", spark.createDataFrame(answers, enriched), batch)
+            own = spark.createDataFrame(answers, enriched)
+            microbatch.write_groups(store, own.select("item_id", "topic", F.col("created_at").alias("at")), batch)
+            microbatch.select_batch(store, sources(spark), batch, policy)
+            if batch % 3 == 0:
+                found = store.read("selections").where(F.col("run_id") == batch).drop("run_id", "batch_id")
+                expected = microbatch.rebuilt_selection(store, sources(spark), batch, policy).select(*found.columns)
+                rebuilt.pop()
+                assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+        assert store.read("selection_state").where("batch_id = 9").count() <= 6
+        assert len(rebuilt) <= 5
+    finally:
+        microbatch._selectable = whole
