@@ -39,3 +39,8 @@ def raw_string(value: Column, path: str) -> Column:
 
 def number(value: Column, path: str) -> Column:
     return F.when(is_number(kind(value, path)), F.try_variant_get(value, path, "double"))
+
+
+def duplicate_of(metadata: Column) -> Column:
+    """The item a processing record nested in item metadata names as original; only a text counts."""
+    return raw_string(metadata, "$.knowledgeProcessing.duplicateOfItemId")

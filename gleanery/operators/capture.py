@@ -301,3 +301,15 @@ def merge_sync_state(earlier: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.max("last_success_at").alias("last_success_at"),
         F.max_by(last, F.struct("last_synced_at", "last_seq")).alias("last"),
     ).select("source_id", "last_synced_at", "last_success_at", "last.*")
+
+
+def run_counters(stages: dict[str, DataFrame]) -> DataFrame:
+    """(source_id, batch_id, <stage>_count ...): rows every stage of a run handled, in one aggregation.
+
+    ``stages``: name to rows with source_id and batch_id, for example persisted,
+    normalized, processed and quarantined. A run that any stage saw has a row.
+    """
+    marked = [rows.select("source_id", "batch_id", F.lit(name).alias("stage")) for name, rows in stages.items()]
+    return reduce(DataFrame.unionByName, marked).groupBy("source_id", "batch_id").agg(
+        *[F.count_if(F.col("stage") == name).alias(f"{name}_count") for name in stages]
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleanery.functions import dates, text, urls
+from gleanery.functions import dates, text, urls, variants
 from gleanery.operators import (
     capture, classify, context, dedupe, enrich, groups, history, integrity, normalize, notes, registry, score,
     selection,
@@ -690,6 +690,61 @@ def upsert_notes(spark, d):
     )
 
 
+def _curation_tables(spark, d):
+    """Curation tables with violations: repeated assets and URLs, and items or groups that are missing."""
+    items = fx.items(spark, d).selectExpr("item_id", "if(item_id % 50 = 7, 'a-7', raw_asset_id) as raw_asset_id", "canonical_url")
+    return {
+        "raw_assets": fx.raw_assets(spark, d).select("raw_asset_id", "capture_entry_id"),
+        "items": items.where("item_id % 31 <> 5"),
+        "enrichments": fx.enrichments(spark, d).select("item_id", "is_current"),
+        "item_group_members": fx.topic_members(spark, d).select("group_id", "item_id"),
+    }
+
+
+@query
+def curation_integrity(spark, d):
+    return integrity.curation_report(_curation_tables(spark, d))
+
+
+@query
+def curation_integrity_delta(spark, d):
+    """The same violations found by a change: rows of items 31k+5 are removed, those of items 50k+7 and their children added."""
+    after = _curation_tables(spark, d)
+    whole = fx.items(spark, d).select("item_id", "raw_asset_id", "canonical_url")
+    sound = whole.withColumn("canonical_url", F.when(F.col("item_id") < 150, F.col("canonical_url")))
+    shared = after["items"].where("item_id >= 150 and canonical_url is not null or item_id % 50 = 7")
+    replaced = sound.join(shared.select("item_id"), "item_id", "left_semi")
+    members = after["item_group_members"]
+    return integrity.curation_report_delta(
+        {"raw_assets": after["raw_assets"], "items": sound, "enrichments": after["enrichments"], "item_group_members": members},
+        {"items": shared},
+        {"items": sound.where("item_id % 31 = 5").unionByName(replaced.where("item_id % 31 <> 5"))},
+    )
+
+
+@query
+def nested_flags(spark, d):
+    """Duplicate flags read from item metadata: texts count; numbers, nulls, lists and missing records do not."""
+    nested = lambda value: f"to_json(named_struct('knowledgeProcessing', named_struct('duplicateOfItemId', {value}, 'title', text)))"
+    record = f"""case doc_id % 7 when 0 then {nested("concat('item-', doc_id)")} when 1 then {nested("doc_id")}
+      when 2 then '{{"knowledgeProcessing":{{"duplicateOfItemId":null}}}}' when 3 then {nested("array('item-1')")}
+      when 4 then {nested("' '")} when 5 then '{{"knowledgeProcessing":["item-1"]}}' else if(doc_id % 2 = 0, '{{}}', null) end"""
+    rows = fx.table(spark, d, "documents").selectExpr("doc_id as item_id", f"try_parse_json({record}) as metadata")
+    return rows.select("item_id", variants.duplicate_of(F.col("metadata")).alias("duplicate_of_item_id"))
+
+
+@query
+def run_counters(spark, d):
+    """Rows persisted, normalized, processed and quarantined of every run."""
+    kept = _captured(spark, d).where("decision = 'kept'").select("row_id", "source_id", "batch_id")
+    outputs = fx.model_outputs(spark, d)
+    valid, broken = enrich.split_valid(enrich.validate_outputs(outputs))
+    own = lambda rows: kept.join(rows.select(F.col("item_id").alias("row_id")).distinct(), "row_id", "left_semi")
+    return capture.run_counters(
+        {"persisted": kept, "normalized": kept.where("row_id % 11 <> 4"), "processed": own(valid), "quarantined": own(broken)}
+    )
+
+
 @query
 def integrity_report(spark, d):
     t = lambda name: fx.table(spark, d, name)

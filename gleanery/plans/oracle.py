@@ -689,6 +689,16 @@ def history(table: str) -> str:
     )
 
 
+def _integrity() -> str:
+    return f"""with {FX}, its as (select item_id, case when item_id % 50 = 7 then 'a-7' else 'a-' || item_id end as raw_asset_id, canonical_url
+  from fx where item_id % 31 <> 5)
+select 'unique items(raw_asset_id)' as check_name, raw_asset_id as key_text, count(*) as row_count from its group by all having count(*) > 1
+union all select 'unique items(canonical_url)', canonical_url, count(*) from its where canonical_url is not null group by all having count(*) > 1
+union all select 'reference enrichments.item_id', item_id::varchar, case when item_id % 6 = 2 then 2 else 1 end from fx where item_id % 31 = 5
+union all select 'reference item_group_members.item_id', item_id::varchar, case when item_id % 8 = 0 then 2 else 1 end
+  from fx where item_id % 31 = 5 and item_id % 8 <> 4"""
+
+
 SQL: dict[str, str] = {
     "inbox_candidates": f"""{BASE} select audience, item_id, candidate_rank, title, canonical_url, source_name, source_topic,
   topic, group_title as topic_group_title, imp as importance_score, nov as novelty_score, advice as preserve_recommendation,
@@ -808,6 +818,14 @@ select l.row_id, l.source_id, l.batch as batch_id,
       or exists (select 1 from kept o where o.source_id = l.source_id and o.batch < l.batch and o.url = l.url) then 'known'
     else 'batch_duplicate' end as decision
 from line l left join kept k on k.row_id = l.row_id""",
+    "nested_flags": """select doc_id as item_id, case doc_id % 7 when 0 then 'item-' || doc_id when 4 then ' ' end as duplicate_of_item_id
+  from documents""",
+    "curation_integrity": _integrity(),
+    "curation_integrity_delta": _integrity(),
+    "run_counters": f"""{CAPTURE}, checked as ({_validate()})
+select source_id, batch_id, count(*) as persisted_count, count(*) filter (row_id % 11 <> 4) as normalized_count,
+  count(*) filter (error is null) as processed_count, count(*) filter (error is not null) as quarantined_count
+from decided join checked on item_id = row_id where decision = 'kept' group by all""",
     "membership_replace": f"""with {FX}, {CLASSIFY}, {TOPIC_TIMES}, m as (select *, row_number() over (partition by item_id
   order by at_time desc) as k from assigned where item_id in (select doc_id from labels)),
 old as (select item_id, unnest(case when item_id % 8 = 0 then [topic, 'Second topic'] when item_id % 8 = 4 then []

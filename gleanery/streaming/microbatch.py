@@ -378,6 +378,22 @@ def rebuilt_selection(store: Store, sources: DataFrame, batch_id: int, policy=se
     return selection.select_queue(candidates.join(ranked.select("item_id", "candidate_rank"), "item_id"), policy)
 
 
+def count_batch(store: Store, batch_id: int) -> None:
+    """What each source's run persisted, normalized, processed and quarantined, stored with the batch."""
+
+    def own(name: str) -> DataFrame:
+        return store.read(name).where(F.col("batch_id") == batch_id)
+
+    items = own("items").select("item_id", "source_id", "batch_id")
+    counted = capture.run_counters({
+        "persisted": own("raw_assets"),
+        "normalized": items,
+        "processed": items.join(own("enrichments").select("item_id"), "item_id", "left_semi"),
+        "quarantined": items.join(own("quarantine").select("item_id"), "item_id", "left_semi"),
+    })
+    store.write("run_counters", counted.drop("batch_id"), batch_id)
+
+
 def curation_batch(
     store: Store, runner: enrich.Runner, sources: DataFrame, destinations: DataFrame | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -389,6 +405,7 @@ def curation_batch(
         knowledge_batch(store, runner, sources, batch_id)
         preserve_batch(store, targets, batch_id)
         select_batch(store, sources, batch_id)
+        count_batch(store, batch_id)
         store.clear(batch_id)
 
     return run

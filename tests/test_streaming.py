@@ -128,9 +128,11 @@ def test_replay_with_other_answers_leaves_no_stale_rows(spark, tmp_path):
     frame = payloads(spark, 0, ("s1", feed(ONE, TWO)))
     microbatch.curation_batch(store, enrich.rule_runner(F.lit(AT)), sources(spark))(frame, 0)
     assert (store.read("enrichments").count(), store.read("quarantine").count()) == (2, 0)
+    assert [tuple(r) for r in store.read("run_counters").collect()] == [("s1", 2, 2, 2, 0, 0)]
     broken = enrich.batch_runner(lambda requests: requests.map(lambda _: "[]"))
     microbatch.curation_batch(store, broken, sources(spark))(frame, 0)
     assert (store.read("enrichments").count(), store.read("quarantine").count()) == (0, 2)
+    assert [tuple(r) for r in store.read("run_counters").collect()] == [("s1", 2, 2, 0, 2, 0)]
 
 
 def test_sync_state_follows_a_stream(spark, tmp_path):
