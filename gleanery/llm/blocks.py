@@ -8,6 +8,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from gleanery.llm import exchange
@@ -16,10 +17,9 @@ from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered
 WINDOW = 13
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 INDEXED = np.uint32(1 << 31)
-WORD_BASE, BLOCK_BASE, WINDOW_BASE, BUCKET_BASE = (
-    0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xC2B2AE3D27D4EB4F
-)
-LETTERS = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64)
+BLOCK_BASE, WINDOW_BASE, BUCKET_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xC2B2AE3D27D4EB4F
+SPELLED = 8                                     # bytes of a word that fit its hash
+LENGTHS = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _next_space(text: bytes, at: int) -> int:
@@ -27,6 +27,24 @@ def _next_space(text: bytes, at: int) -> int:
     return found.start() if found else len(text)
 
 
+def _word_hashes(data: bytes, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words of up to eight bytes as the number they spell, longer ones by XXH3.
+
+    A polynomial would not do: powers of two letters in Thue-Morse order cancel in it.
+    """
+    size = end - start
+    found = np.zeros(len(start), np.uint64)
+    for k in range(SPELLED):
+        inside = np.flatnonzero(size > k)
+        found[inside] |= letters[start[inside] + k].astype(np.uint64) << np.uint64(8 * k)
+    found = mixed(found + size.astype(np.uint64) * LENGTHS)
+    long = np.flatnonzero(size > SPELLED)
+    found[long] = np.fromiter(
+        (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long)
+    )
+    return found
+
+
 class Words:
     """Hashes of the words of a chunk, document after document."""
 
@@ -38,8 +56,7 @@ class Words:
             space = (letters == 32) | ((letters >= 9) & (letters <= 13))
             edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
             start, end = edges[0::2][:len(edges) // 2], edges[1::2]
-            found = RangeHash(LETTERS[letters], WORD_BASE).of(start, end)
-            hashes.append(mixed(found + (end - start).astype(np.uint64)))
+            hashes.append(_word_hashes(data, letters, start, end))
             limits = np.cumsum([b - a + 1 for _, a, b in group])
             rows.append(np.array([row for row, _, _ in group])[np.searchsorted(limits, start, side="right")])
         self.hashes, self.rows = np.concatenate(hashes), np.concatenate(rows)

@@ -190,3 +190,24 @@ def test_split_anchors_equal_brute_force(monkeypatch, seed, hot, shard):
     rows = [(1000 * n + i if seed != 3 else n, t) for n, (i, t) in enumerate(rows)]
     expected = {i: gone for i, _, gone, _, _ in brute_bytes(rows, 50)}
     assert in_process(rows, 4, 3) == expected
+
+
+def thue_morse(length, swap=False):
+    """Two letters in the order that cancels in any polynomial hash modulo a power of two."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(length))
+
+
+@pytest.mark.parametrize("length", [8, 16, 64, 1024, 4096])
+def test_long_words_of_two_letters_are_told_apart(spark, length):
+    same = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*same, thue_morse(length)])), (2, " ".join([*same, thue_morse(length, swap=True)]))]
+    assert {r["doc_id"]: r["n_removed"] for r in blocks.report(docs_of(spark, rows)).collect()} == {1: 0, 2: 0}
+
+
+def test_words_of_two_letters_equal_brute_force(spark):
+    draw = random.Random(3)
+    words = [thue_morse(n, swap) for n in (1, 2, 7, 8, 9, 64, 1024) for swap in (False, True)] + ["\x00", "\x00\x00", "é" * 4, "é" * 5]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(60)) if i % 3 else " ".join(words * 2)) for i in range(40)]
+    rows = [(i, t.replace(" ", "  ", 1) + " " + rows[(i * 7) % 40][1][:9000]) for i, t in rows]
+    found = blocks.report(docs_of(spark, rows))
+    assert sorted([tuple(r) for r in found.collect()], key=str) == brute_words(rows, 13)
