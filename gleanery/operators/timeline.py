@@ -1,8 +1,10 @@
-"""Next and previous values along a key's timeline.
+"""Earlier values along a key's timeline, as a prefix scan.
 
-A plain window puts all rows of a key in one task. These work on
-(key, time bucket) pieces and carry values across pieces, so a key with a
-third of all rows is spread over as many tasks as it has buckets.
+A plain window puts all rows of a key in one task. Here rows are range-partitioned on
+(key, time, tie) into pieces of even size, whatever their times; each piece is
+scanned on its own, and what a key's pieces end with is carried across them. So a key
+with a third of all rows, even in one instant, is spread over many tasks, and what one
+task sees of a key is one row a piece.
 """
 
 from __future__ import annotations
@@ -11,23 +13,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gleanery.session import ensure_checkpoint_dir
 
-def with_next_time(
-    df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], out: str, bucket: str = "minute"
-) -> DataFrame:
-    """Add the time of the following row of the same key, null for the last."""
-    cut = df.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(time, *tie)
-    cut = cut.withColumn("_next", F.lead(time).over(inside)).withColumn(
-        "_last", F.lead(F.lit(True)).over(inside).isNull()
-    )
-    heads = cut.groupBy(*keys, "_bucket").agg(F.min(time).alias("_head"))
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    heads = heads.withColumn("_later", F.lead("_head").over(across)).drop("_head")
-    joined = cut.join(heads, [*keys, "_bucket"], "left")
-    return joined.withColumn(out, F.when(F.col("_last"), F.col("_later")).otherwise(F.col("_next"))).select(
-        *df.columns, out
-    )
+
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """``df`` stored with ``_piece``: its number among ranges of (keys, order); as many as shuffle partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    count = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys, *order)
+    return ranged.withColumn("_piece", F.spark_partition_id()).checkpoint()
 
 
 def with_previous_value(
@@ -37,18 +31,17 @@ def with_previous_value(
     tie: Sequence[str],
     value: str,
     out: str,
-    bucket: str = "minute",
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add the last non-null ``value`` of earlier rows of the same key."""
-    cut = df.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cut = cut.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    ends = cut.groupBy(*keys, "_bucket").agg(
+    cut = in_pieces(df, keys, [time, *tie], pieces)
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(time, *tie).rowsBetween(*earlier)
+    near = cut.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
+    ends = cut.groupBy(*keys, "_piece").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, *tie))).alias("_end")
     )
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(*earlier)
     ends = ends.withColumn("_far", F.last("_end", ignorenulls=True).over(across)).drop("_end")
-    joined = cut.join(ends, [*keys, "_bucket"], "left")
+    joined = near.join(ends, [*keys, "_piece"], "left")
     return joined.withColumn(out, F.coalesce("_near", "_far")).select(*df.columns, out)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gleanery.operators import (
-    classify, context, dedupe, enrich, groups, history, integrity, normalize, notes, score, skew, timeline,
+    classify, context, dedupe, enrich, groups, history, integrity, normalize, notes, registry, score, skew, timeline,
 )
 
 AT = dt.datetime(2026, 4, 12, 10, 30)
@@ -205,22 +205,33 @@ def test_history_and_rewrite(spark):
 
 
 def test_timeline_matches_a_plain_window(spark):
-    rows = [(i % 3, i, AT + dt.timedelta(seconds=(i * 37) % 500), None if i % 4 else i) for i in range(200)]
+    rows = [(i % 3, i, AT + dt.timedelta(seconds=(i * 37) % 50), None if i % 4 else i) for i in range(200)]
     frame = spark.createDataFrame(rows, "k bigint, id bigint, t timestamp, v bigint")
-    nxt = timeline.with_next_time(frame, ["k"], "t", ["id"], "next")
-    prev = timeline.with_previous_value(frame, ["k"], "t", ["id"], "v", "prev")
-    ordered = {}
-    for row in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        ordered.setdefault(row[0], []).append(row)
-    expected_next, expected_prev = {}, {}
-    for group in ordered.values():
-        last = None
-        for here, after in zip(group, [*group[1:], None]):
-            expected_next[here[1]] = after and after[2]
-            expected_prev[here[1]] = last
-            last = here[3] if here[3] is not None else last
-    assert {r["id"]: r["next"] for r in nxt.collect()} == expected_next
-    assert {r["id"]: r["prev"] for r in prev.collect()} == expected_prev
+    expected, last = {}, {}
+    for key, row_id, _, value in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        expected[row_id] = last.get(key)
+        last[key] = value if value is not None else last.get(key)
+    for pieces in (1, 7, None):
+        found = timeline.with_previous_value(frame, ["k"], "t", ["id"], "v", "prev", pieces=pieces)
+        assert {r["id"]: r["prev"] for r in found.collect()} == expected
+
+
+def test_a_million_commands_of_one_source_in_one_second(spark):
+    """They are scanned in even pieces, and the outcome is that of the plain walk."""
+    n = 1_000_000
+    actions = "element_at(array('register', 'pause', 'delete', 'pause', 'register', 'register'), cast(id * 7919 % 6 + 1 as int))"
+    commands = spark.range(n).selectExpr("id as command_id", "'s' as source_id", f"{actions} as action", "timestamp'2026-01-01' as at")
+    sizes = [r["count"] for r in timeline.in_pieces(commands, ["source_id"], ["at", "command_id"], 16).groupBy("_piece").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * n / 16
+    found = registry.check_commands(commands).groupBy("rejection").count().collect()
+    names = ("register", "pause", "delete", "pause", "register", "register")
+    exists, expected = False, {}
+    for i in range(n):
+        action = names[i * 7919 % 6]
+        bad = registry.ALREADY_REGISTERED if action == "register" and exists else registry.NOT_FOUND if action != "register" and not exists else None
+        expected[bad] = expected.get(bad, 0) + 1
+        exists = True if action == "register" else False if action == "delete" else exists
+    assert {r["rejection"]: r["count"] for r in found} == expected
 
 
 def test_upserts(spark):
