@@ -483,9 +483,12 @@ def report(docs: DataFrame, **sizes: int) -> DataFrame:
 
 SQL = f"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-s as (select doc_id, unnest(range(0, len(h) // 2 - {LENGTH - 1})) as i, h from d),
-m as (select doc_id, i, min(doc_id) over (partition by substring(h, 2 * i + 1, {2 * LENGTH})) as low from s),
-r as (select doc_id, i from m where low < doc_id),
+c as (select doc_id, p, substring(h, 2 * p + 1, {2 * (1000 + LENGTH - 1)}) as part
+      from (select doc_id, h, unnest(range(0, len(h) // 2, 1000)) as p from d)),
+s as (select doc_id, p + j as i, substring(part, 2 * j + 1, {2 * LENGTH}) as gram
+      from (select *, unnest(range(0, least(1000, len(part) // 2 - {LENGTH - 1}))) as j from c)),
+m as (select gram, min(doc_id) as low from s group by gram having min(doc_id) <> max(doc_id)),
+r as (select doc_id, i from s join m using (gram) where low < doc_id),
 n as (select *, i - coalesce(lag(i) over (partition by doc_id order by i), -{LENGTH} - 1) > {LENGTH} as apart from r),
 t as (select *, sum(apart::int) over (partition by doc_id order by i) as span from n),
 p as (select doc_id, span, min(i) as a, max(i) + {LENGTH} as b from t group by doc_id, span),
