@@ -439,12 +439,10 @@ def feed_atom_assets(spark, d):
 
 @query
 def feed_dispatch(spark, d):
-    assets, broken = feeds.feed_assets(fx.mixed_payloads(spark, d))
-    good = assets.selectExpr("payload_id", "feed_kind", "external_id", "cast(null as string) as error")
-    bad = broken.selectExpr(
-        "payload_id", "cast(null as string) as feed_kind", "cast(null as string) as external_id", "error"
+    usable = F.col("error").isNull()
+    return feeds.feed_rows(fx.mixed_payloads(spark, d)).select(
+        "payload_id", F.when(usable, F.col("feed_kind")).alias("feed_kind"), "external_id", "error"
     )
-    return good.unionByName(bad)
 
 
 def _captured(spark, d, **options):

@@ -27,11 +27,6 @@ ATOM_SCHEMA = (
 
 XML_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
 
-ASSET_COLUMNS = (
-    "payload_id", "source_id", "feed_kind", "pos", "external_id", "title", "author", "url",
-    "published_at", "raw_content", "feed", "raw_item",
-)
-
 
 def _text(node: Column) -> Column:
     return text.blank_to_null(node["_VALUE"])
@@ -93,79 +88,99 @@ def classify_payloads(payloads: DataFrame) -> DataFrame:
     return with_once(parsed, error=error).drop("_root")
 
 
-def rss_assets(classified: DataFrame) -> DataFrame:
-    """Assets of RSS payloads in document order."""
-    channel = F.col("_rss.channel")
-    feed = F.struct(
+def _fields(classified: DataFrame, *path: str) -> list[str]:
+    """Child elements an item of the parsed document may have."""
+    kind = classified.schema[path[0]].dataType
+    for name in path[1:]:
+        kind = kind[name].dataType
+    return [field.name for field in kind.elementType.fields if field.name != "_VALUE"]
+
+
+def _rss_entry(names: list[str]):
+    def entry(item: Column, pos: Column) -> Column:
+        url = _url(item["link"])
+        return F.struct(
+            pos.cast("int").alias("pos"),
+            _is_record(item, names).alias("known"),
+            F.coalesce(_text(item["guid"]), _text(item["id"]), url).alias("external_id"),
+            _text(item["title"]).alias("title"),
+            F.coalesce(*[_text(item[name]) for name in ("dc:creator", "author", "creator")]).alias("author"),
+            url.alias("url"),
+            F.coalesce(*[_text(item[name]) for name in ("pubDate", "isoDate", "published", "updated")]).alias("stated"),
+            F.coalesce(*[_text(item[name]) for name in ("content:encoded", "description", "content")]).alias("raw_content"),
+            F.to_json(item).alias("raw_item"),
+        )
+
+    return entry
+
+
+def _atom_entry(names: list[str]):
+    def entry(item: Column, pos: Column) -> Column:
+        url = _atom_link(item["link"])
+        return F.struct(
+            pos.cast("int").alias("pos"),
+            _is_record(item, names).alias("known"),
+            F.coalesce(_text(item["id"]), url).alias("external_id"),
+            _text(item["title"]).alias("title"),
+            F.coalesce(_text(item["author"]["name"]), text.blank_to_null(item["author"]["_VALUE"])).alias("author"),
+            url.alias("url"),
+            F.coalesce(_text(item["published"]), _text(item["updated"])).alias("stated"),
+            F.coalesce(_text(item["content"]), _text(item["summary"])).alias("raw_content"),
+            F.to_json(item).alias("raw_item"),
+        )
+
+    return entry
+
+
+def feed_rows(payloads: DataFrame) -> DataFrame:
+    """Assets of all usable payloads in document order, and quarantined payloads, in one pass.
+
+    Entries of either shape become one array of equal structs inside the payload's
+    row, which is exploded once. An asset has no ``error``; a quarantined payload
+    is one row with ``error`` and without a position.
+    """
+    classified = classify_payloads(payloads)
+    channel, doc = F.col("_rss.channel"), F.col("_atom")
+    rss_feed = F.struct(
         _text(channel["title"]).alias("title"),
         _text(channel["description"]).alias("description"),
         F.get(F.filter(F.transform(channel["link"], _url), lambda u: u.isNotNull()), F.lit(0)).alias("site_url"),
         _text(channel["generator"]).alias("generator"),
         _text(channel["language"]).alias("language"),
     )
-    usable = classified.where("feed_kind = 'rss' and error is null")
-    rows = usable.select("payload_id", "source_id", feed.alias("feed"), channel["item"].alias("list"))
-    rows = rows.select("payload_id", "source_id", "feed", F.posexplode("list").alias("pos", "i"))
-    names = [field.name for field in rows.schema["i"].dataType.fields if field.name != "_VALUE"]
-    item = F.col("i")
-    url = _url(item["link"])
-    stated = F.coalesce(*[_text(item[name]) for name in ("pubDate", "isoDate", "published", "updated")])
-    return rows.where(_is_record(item, names)).withColumn("_stated", stated).select(
-        "payload_id",
-        "source_id",
-        F.lit("rss").alias("feed_kind"),
-        "pos",
-        F.coalesce(_text(item["guid"]), _text(item["id"]), url).alias("external_id"),
-        _text(item["title"]).alias("title"),
-        F.coalesce(*[_text(item[name]) for name in ("dc:creator", "author", "creator")]).alias("author"),
-        url.alias("url"),
-        dates.parse_date(F.col("_stated")).alias("published_at"),
-        F.coalesce(*[_text(item[name]) for name in ("content:encoded", "description", "content")]).alias(
-            "raw_content"
-        ),
-        "feed",
-        F.to_json(item).alias("raw_item"),
-    )
-
-
-def atom_assets(classified: DataFrame) -> DataFrame:
-    """Assets of Atom payloads in document order."""
-    doc = F.col("_atom")
-    feed = F.struct(
+    atom_feed = F.struct(
         _text(doc["title"]).alias("title"),
         _text(doc["subtitle"]).alias("description"),
         _atom_link(doc["link"]).alias("site_url"),
         _text(doc["generator"]).alias("generator"),
         text.blank_to_null(doc["_xml:lang"]).alias("language"),
     )
-    usable = classified.where("feed_kind = 'atom' and error is null")
-    rows = usable.select("payload_id", "source_id", feed.alias("feed"), doc["entry"].alias("list"))
-    rows = rows.select("payload_id", "source_id", "feed", F.posexplode("list").alias("pos", "i"))
-    names = [field.name for field in rows.schema["i"].dataType.fields if field.name != "_VALUE"]
-    entry = F.col("i")
-    url = _atom_link(entry["link"])
-    stated = F.coalesce(_text(entry["published"]), _text(entry["updated"]))
-    return rows.where(_is_record(entry, names)).withColumn("_stated", stated).select(
-        "payload_id",
-        "source_id",
-        F.lit("atom").alias("feed_kind"),
-        "pos",
-        F.coalesce(_text(entry["id"]), url).alias("external_id"),
-        _text(entry["title"]).alias("title"),
-        F.coalesce(_text(entry["author"]["name"]), text.blank_to_null(entry["author"]["_VALUE"])).alias("author"),
-        url.alias("url"),
-        dates.parse_date(F.col("_stated")).alias("published_at"),
-        F.coalesce(_text(entry["content"]), _text(entry["summary"])).alias("raw_content"),
-        "feed",
-        F.to_json(entry).alias("raw_item"),
+    rss = F.transform(channel["item"], _rss_entry(_fields(classified, "_rss", "channel", "item")))
+    atom = F.transform(doc["entry"], _atom_entry(_fields(classified, "_atom", "entry")))
+    is_rss = F.col("feed_kind") == "rss"
+    entries = F.when(F.col("error").isNull(), F.when(is_rss, rss).otherwise(atom))
+    rows = classified.select(
+        "payload_id", "source_id", "feed_kind", "error",
+        F.when(F.col("error").isNull(), F.when(is_rss, rss_feed).otherwise(atom_feed)).alias("feed"),
+        F.explode_outer(F.filter(entries, lambda e: e["known"])).alias("e"),
+    )
+    return rows.where("error is not null or e is not null").select(
+        "payload_id", "source_id", "feed_kind", "e.pos", "e.external_id", "e.title", "e.author", "e.url",
+        dates.parse_date(F.col("e.stated")).alias("published_at"), "e.raw_content", "feed", "e.raw_item", "error",
     )
 
 
 def feed_assets(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assets of all usable payloads, quarantined payloads with their error)."""
-    classified = classify_payloads(payloads)
-    assets = rss_assets(classified).unionByName(atom_assets(classified))
-    return assets, classified.where("error is not null").select("payload_id", "source_id", "error")
+    """(assets of all usable payloads, quarantined payloads with their error).
+
+    Each of the two is a pass over the payloads; store ``feed_rows`` to use both.
+    """
+    return split_rows(feed_rows(payloads))
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets and quarantined payloads of ``feed_rows``."""
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("payload_id", "source_id", "error")
 
 
 def asset_metadata() -> Column:

@@ -111,8 +111,8 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
     """
     tune(store.spark)
     ensure_checkpoint_dir(store.spark)
-    assets, broken = feeds.feed_assets(payloads)
-    broken = store.stage("broken", broken, batch_id)
+    # parsed once; both kinds of rows are read several times below
+    assets, broken = feeds.split_rows(store.stage("feed_rows", feeds.feed_rows(payloads), batch_id))
     meta = payloads.select("payload_id", "source_url", "final_url", "requested_at")
     assets = assets.join(meta, "payload_id").withColumn("raw_metadata", feeds.asset_metadata())
     parsed = assets.select(
@@ -129,7 +129,7 @@ def capture_batch(store: Store, payloads: DataFrame, batch_id: int) -> None:
         "raw_metadata",
         "requested_at",
     )
-    entries = store.stage("entries", parsed, batch_id)  # read several times below; parsing is the expensive part
+    entries = store.stage("entries", parsed, batch_id)
 
     # One walk per source: its payloads of this batch in arrival order.
     ranked = entries.select(

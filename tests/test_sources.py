@@ -1,6 +1,7 @@
 """Feeds, pages, typed tables and registered sources."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,14 @@ def test_fixture_tables_keep_every_row(spark):
     count = fixtures.table(spark, d, "documents").count()
     for build in (fixtures.items, fixtures.raw_assets, fixtures.feed_entries, fixtures.rss_payloads):
         assert build(spark, d).count() == count
+
+
+def test_feeds_of_every_shape_are_parsed_in_one_scan(spark):
+    """One read of the payloads and two XML parses, one for each shape, for assets and quarantine together."""
+    from gleanery.plans import catalog
+
+    for name in ("feed_rss_assets", "feed_atom_assets", "feed_dispatch"):
+        frame = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_xml(") <= 2 and plan.count("Union") == 0
+        assert len(re.findall(r"FileScan parquet", plan)) == 1
