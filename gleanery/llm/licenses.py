@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"          # after lower-casing
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # fixed values: phrase, label; every place of these counts
 BASE = (
@@ -43,23 +42,97 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
-GAP = 3          # diagonals this close belong to one alignment with words added or missing
-ACCEPT = 0.8     # share of a notice's word pairs an alignment must have
+ACCEPT = 80      # percent of a notice's word pairs that a verified span must have, in order
 
 
-def templates(spark, base: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]]) -> DataFrame:
-    """A row per word pair of every template; its size depends on the templates alone."""
+def _pairs(base: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]]) -> list[tuple]:
+    """(template, label, base, pairs, drift, at, first, second) for every word pair of every template.
+
+    drift: words that may be added or missing, so that a span of that width can still be accepted.
+    """
     rows = []
     for number, (phrase, label) in enumerate([*base, *notices]):
         words = phrase.split()
+        pairs = len(words) - 1
         rows += [
-            (number, label, number < len(base), len(words) - 1, at, first, second)
+            (number, label, number < len(base), pairs, pairs * (100 - ACCEPT) // 100, at, first, second)
             for at, (first, second) in enumerate(zip(words, words[1:], strict=False))
         ]
-    named = spark.createDataFrame(
-        rows, "template int, label string, base boolean, pairs int, at int, first string, second string"
+    return rows
+
+
+def _longest_chains(hits: Column) -> Column:
+    """For every hit (place, at) the longest chain that ends there: place, at, length, start.
+
+    A chain rises in the text and in the template with every step; of chains equally
+    long the one that starts last counts.
+    """
+    place, at, length, start = (F.lit(0).cast("long") for _ in range(4))
+    none = F.slice(F.array(F.struct(place.alias("place"), at.alias("at"), length.alias("length"), start.alias("start"))), 1, 0)
+
+    def step(chains: Column, hit: Column) -> Column:
+        before = F.filter(chains, lambda c: (c["place"] < hit["place"]) & (c["at"] < hit["at"]))
+        best = F.array_max(F.transform(before, lambda c: F.struct(c["length"].alias("length"), c["start"].alias("start"))))
+        here = F.struct(
+            hit["place"].alias("place"), hit["at"].alias("at"),
+            (F.coalesce(best["length"], F.lit(0)) + 1).cast("long").alias("length"),
+            F.coalesce(best["start"], hit["place"]).alias("start"),
+        )
+        return F.concat(chains, F.array(here))
+
+    return F.aggregate(F.array_sort(hits), none, step)
+
+
+def _alignments(docs: DataFrame, base: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row per text row, template and diagonal with votes, and one per text row without template.
+
+    ``span`` is the verified span of the diagonals from this one to ``drift`` further:
+    first and last word and share. The row without template has ``copies`` and ``n_words``.
+    """
+    spark = docs.sparkSession
+    known = spark.createDataFrame(
+        _pairs(base, notices),
+        "template int, label string, base boolean, pairs long, drift long, at long, t_first string, t_second string",
+    ).withColumn("t_gram", F.xxhash64("t_first", "t_second"))
+    widest = max((row[4] for row in _pairs(base, notices)), default=0)
+    row = ["doc_id", "key", "bytes"]
+    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").alias("bytes"),
+        F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), 0).alias("words"),
+    )
+    # the last word has no second one: its row, or the null row of a text without words, stands for the text
+    grams = words.select(
+        *row,
+        F.posexplode_outer(
+            F.transform("words", lambda word, i: F.struct(word.alias("first"), F.get(F.col("words"), i + 1).alias("second")))
+        ).alias("place", "pair"),
+    ).select(*row, F.col("place").cast("long").alias("place"), "pair.first", "pair.second", F.xxhash64("pair.first", "pair.second").alias("gram"))
+    hits = grams.join(
+        F.broadcast(known),
+        (F.col("gram") == F.col("t_gram")) & (F.col("first") == F.col("t_first")) & (F.col("second") == F.col("t_second")),
+        "left",
+    ).where("template is not null or second is null")
+    votes = hits.groupBy(*row, "template", "label", "base", "pairs", "drift", (F.col("place") - F.col("at")).alias("diagonal")).agg(
+        F.collect_set("at").alias("found"),
+        F.count_if(F.col("second").isNull()).alias("copies"),
+        F.max(F.when(F.col("second").isNull(), F.coalesce(F.col("place") + 1, F.lit(0)))).alias("n_words"),
+    ).repartition(*row)
+    near = Window.partitionBy(*row, "template").orderBy("diagonal").rangeBetween(0, widest)
+    band = F.filter(F.col("band"), lambda d: d["diagonal"] <= F.col("diagonal") + F.col("drift"))
+    band_hits = F.flatten(
+        F.transform(band, lambda d: F.transform(d["found"], lambda at: F.struct((d["diagonal"] + at).alias("place"), at.alias("at"))))
+    )
+    share = lambda c: c["length"] / F.greatest(F.col("pairs"), c["place"] - c["start"] + 1)
+    spans = F.transform(
+        _longest_chains(band_hits),
+        lambda c: F.struct(share(c).alias("share"), (-c["start"]).alias("back"), (c["place"] + 1).alias("last")),
+    )
+    return (
+        votes.withColumn("band", F.collect_list(F.struct("diagonal", "found")).over(near))
+        .withColumn("span", F.when(F.col("template").isNotNull(), F.array_max(spans)))
+        .withColumn("full", F.col("base") & (F.size("found") == F.col("pairs")))
+        .drop("band", "found")
     )
-    return named.withColumn("gram", F.xxhash64("first", "second"))
 
 
 def scan(
@@ -72,124 +145,98 @@ def scan(
     Hashes of all rolling word pairs meet the pairs of the templates in a broadcast
     join (the table is as large as the templates), the words are compared, and votes
     are counted by diagonal: place in the text less place in the template. A phrase
-    stands where a diagonal has all its pairs. Neighbouring diagonals are merged, so
-    a notice with words added or missing keeps its votes; it counts when its span
-    has ``ACCEPT`` of its pairs. score is the best share of any template's pairs.
+    stands where a diagonal has all its pairs. Each diagonal is merged with those up to
+    a fifth of the template's pairs further, so a notice with words added or missing
+    keeps its votes. The merged votes are verified: the longest chain of pairs that rise
+    in text and template gives the span from its first to its last pair, and the span's
+    share is the chain's pairs by those of the template or of the span, whichever are
+    more. A notice counts where a share is ``ACCEPT`` percent; score is the best share
+    of any template.
 
     Null or empty text has no words, no labels (empty strings) and score 0. Rows are
-    keyed by doc_id and text, so repeated and null ids are fine. Other columns are not read.
+    keyed by doc_id and text, so repeated and null ids are fine; equal rows are scanned
+    together and each returned. Other columns are not read.
     """
-    spark = docs.sparkSession
-    known = templates(spark, base, notices)
-    keyed = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("key", F.xxhash64("text")).withColumn("bytes", F.octet_length("text"))
-    words = keyed.select(
-        "doc_id", "key", "bytes",
-        F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), 0).alias("words"),
-    )
-    grams = words.select(
-        "doc_id", "key", "bytes", "words",
-        F.posexplode(
-            F.transform("words", lambda word, i: F.xxhash64(word, F.get(F.col("words"), i + 1)))
-        ).alias("place", "gram"),
-    )
-    hits = (
-        grams.join(F.broadcast(known), "gram")
-        .where(F.get("words", "place") == F.col("first"))
-        .where(F.get("words", F.col("place") + 1) == F.col("second"))
-        .select(
-            "doc_id", "key", "bytes", "template", "label", "base", "pairs", "at",
-            (F.col("place") - F.col("at")).alias("diagonal"),
-        )
-    )
     row = ["doc_id", "key", "bytes"]
-    diagonals = hits.groupBy(*row, "template", "label", "base", "pairs", "diagonal").agg(
-        F.collect_set("at").alias("found")
-    )
-    along = Window.partitionBy(*row, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
-    alignments = (
-        diagonals.withColumn("apart", apart.cast("int"))
-        .withColumn("alignment", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*row, "template", "label", "base", "pairs", "alignment")
+    found = _alignments(docs, base, notices)
+    stands = F.col("full") | (~F.col("base") & (F.col("span.share") >= ACCEPT / 100))
+    each = lambda condition: F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col("label")))), ",")
+    return (
+        found.groupBy(*row)
         .agg(
-            F.count_if(F.size("found") == F.col("pairs")).alias("full"),
-            F.min(F.when(F.size("found") == F.col("pairs"), F.col("diagonal"))).alias("first_full"),
-            F.max(F.when(F.size("found") == F.col("pairs"), F.col("diagonal"))).alias("last_full"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("covered"),
+            F.max("n_words").cast("long").alias("n_words"),
+            F.count_if("full").cast("long").alias("n_base"),
+            F.min(F.when(F.col("full"), F.col("diagonal"))).alias("first_word"),
+            F.max(F.when(F.col("full"), F.col("diagonal"))).alias("last_word"),
+            each(F.col("full")).alias("base_labels"),
+            each(stands).alias("labels"),
+            F.coalesce(F.max("span.share"), F.lit(0.0)).alias("score"),
+            F.explode(F.array_repeat(F.lit(1), F.sum("copies").cast("int"))).alias("_copy"),
         )
-        .withColumn("share", F.when(F.col("base") & (F.col("full") > 0), 1.0).otherwise(F.col("covered") / F.col("pairs")))
+        .drop("key", "bytes", "_copy")
     )
-    stands = F.col("base") & (F.col("full") > 0)
-    counts = alignments.groupBy(*row).agg(
-        F.sum(F.when(F.col("base"), F.col("full"))).alias("n_base"),
-        F.min(F.when(F.col("base"), F.col("first_full"))).alias("first_word"),
-        F.max(F.when(F.col("base"), F.col("last_full"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(stands, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(
-            F.array_sort(
-                F.collect_set(
-                    F.when(stands | (~F.col("base") & (F.col("share") >= ACCEPT)), F.col("label"))
-                )
-            ),
-            ",",
-        ).alias("labels"),
-        F.max("share").alias("score"),
-    )
-    sizes = keyed.select(*row, F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    found = counts.select(*[F.col(c).alias(f"_{c}") for c in row], *counts.columns[3:])
-    return sizes.join(
-        found,
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("bytes") == F.col("_bytes")),
-        "left",
-    ).select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long").alias("first_word"),
-        F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+
+
+def spans(
+    docs: DataFrame,
+    base: Sequence[tuple[str, str]] = BASE,
+    notices: Sequence[tuple[str, str]] = NOTICES,
+) -> DataFrame:
+    """(doc_id, label, first_word, last_word, share): the verified spans that ``scan`` accepts.
+
+    Phrases stand whole; of a notice, spans of neighbouring diagonals that are equal are one.
+    """
+    found = _alignments(docs, base, notices)
+    return (
+        found.where(F.col("full") | (~F.col("base") & (F.col("span.share") >= ACCEPT / 100)))
+        .select(
+            "doc_id", "key", "bytes", "label", (-F.col("span.back")).alias("first_word"),
+            F.col("span.last").alias("last_word"), "span.share",
+        )
+        .distinct()
+        .drop("key", "bytes")
     )
 
 
 def sql(base: Sequence[tuple[str, str]] = BASE, notices: Sequence[tuple[str, str]] = NOTICES) -> str:
-    """The scan as DuckDB SQL."""
-    values = []
-    for number, (phrase, label) in enumerate([*base, *notices]):
-        words = phrase.split()
-        values += [
-            f"({number},'{label}',{str(number < len(base)).lower()},{len(words) - 1},{at},'{a}','{b}')"
-            for at, (a, b) in enumerate(zip(words, words[1:], strict=False))
-        ]
+    """The rule of ``scan`` as DuckDB SQL.
+
+    c: chains by length k within a band that starts at ``low``; each step goes up in place and
+    in the template. The longest chain of a hit counts, and of equal ones the latest start.
+    """
+    values = ", ".join(
+        f"({number},'{label}',{str(is_base).lower()},{pairs},{drift},{at},'{a}','{b}')"
+        for number, label, is_base, pairs, drift, at, a, b in _pairs(base, notices)
+    )
     return f"""
-with t(template, label, base, pairs, place, a, b) as (values {', '.join(values)}),
-d as (select row_number() over () as row_id, doc_id,
+with recursive t(template, label, base, pairs, drift, place, a, b) as (values {values}),
+d as materialized (select row_number() over () as row_id, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
-g as (select row_id, unnest(range(1, len(w))) as i, w from d),
-h as (select distinct row_id, template, label, base, pairs, place, i - 1 - place as diagonal
-      from g join t on w[i] = a and w[i + 1] = b),
-e as (select row_id, template, label, base, pairs, diagonal, list(place) as found from h group by all),
-l as (select *, coalesce(diagonal - lag(diagonal) over (partition by row_id, template order by diagonal) > {GAP}, true)
-      as apart from e),
-m as (select *, sum(apart::int) over (partition by row_id, template order by diagonal) as alignment from l),
-c as (select row_id, label, base, pairs, count(*) filter (len(found) = pairs) as n,
-        min(diagonal) filter (len(found) = pairs) as lo, max(diagonal) filter (len(found) = pairs) as hi,
-        len(list_distinct(flatten(list(found)))) as covered
-      from m group by row_id, template, label, base, pairs, alignment),
-s as (select *, case when base and n > 0 then 1.0 else covered::double / pairs end as share from c),
-f as (select row_id, sum(n) filter (base) as n_base, min(lo) filter (base) as first_word,
-        max(hi) filter (base) as last_word,
-        array_to_string(list_sort(list(distinct label) filter (base and n > 0)), ',') as base_labels,
-        array_to_string(list_sort(list(distinct label)
-          filter ((base and n > 0) or (not base and share >= {ACCEPT}))), ',') as labels,
-        max(share) as score
-      from s group by row_id)
+g as (select row_id, unnest(range(1, len(w))) as i, unnest(w[:-2]) as x, unnest(w[2:]) as y from d where len(w) > 1),
+h as materialized (select row_id, template, label, base, pairs, drift, place as u, i - 1 as p, i - 1 - place as diagonal
+      from g join t on x = a and y = b),
+o as (select distinct row_id, template, diagonal as low from h),
+v as materialized (select row_id, template, low, pairs, p, u from o join h using (row_id, template)
+      where diagonal between low and low + drift),
+c as (select row_id, template, low, pairs, p, u, p as start, 1 as k from v
+      union all
+      select v.row_id, v.template, v.low, v.pairs, v.p, v.u, max(c.start) as start, max(c.k) + 1 as k
+      from c join v on c.row_id = v.row_id and c.template = v.template and c.low = v.low and c.p < v.p and c.u < v.u
+      group by v.row_id, v.template, v.low, v.pairs, v.p, v.u),
+l as (select row_id, template, low, pairs, p, max(k) as k, arg_max(start, k) as start
+      from c group by row_id, template, low, pairs, p, u),
+s as (select row_id, template, max(k::double / greatest(pairs, p - start + 1)) as share from l group by row_id, template),
+n as (select row_id, template, diagonal from h where base group by row_id, template, diagonal, pairs having count(*) = pairs),
+f as (select row_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word from n group by row_id),
+z as (select distinct template, label, base from t),
+b as (select row_id, string_agg(distinct label, ',' order by label) as base_labels from n join z using (template) group by row_id),
+y as (select row_id, template from n union select row_id, template from s join z using (template)
+      where not base and share >= {ACCEPT} / 100.0),
+m as (select row_id, string_agg(distinct label, ',' order by label) as labels from y join z using (template) group by row_id),
+q as (select row_id, max(share) as score from s group by row_id)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base,
        cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
        coalesce(score, 0.0)::double as score
-from d left join f using (row_id)
+from d left join f using (row_id) left join b using (row_id) left join m using (row_id) left join q using (row_id)
 """

@@ -55,6 +55,63 @@ def test_far_pieces_are_no_alignment(spark):
     assert found(spark, [(1, text)])[0][6] == ""
 
 
+def test_pairs_with_filler_between_are_no_span(spark):
+    words = licenses.NOTICES[4][0].split()
+    text = " ".join(f"{a} {b} filler" for a, b in zip(words, words[1:]))
+    one = found(spark, [(1, text)])[0]
+    assert one[6] == "" and one[7] < 0.5
+
+
+def best_share(text, phrase):
+    """Every chain within the drift, tried one by one; of those that end at a hit the longest, then the latest, counts."""
+    words, pattern = text.split(), phrase.split()
+    pairs = len(pattern) - 1
+    hits = sorted(
+        (p, a) for p in range(len(words) - 1) for a in range(pairs) if words[p:p + 2] == pattern[a:a + 2]
+    )
+    best = 0.0
+    for low in {p - a for p, a in hits}:
+        band = [(p, a) for p, a in hits if low <= p - a <= low + pairs * (100 - licenses.ACCEPT) // 100]
+        for count in range(1, 1 << len(band)):
+            chain = [hit for i, hit in enumerate(band) if count >> i & 1]
+            if any(x[0] >= y[0] or x[1] >= y[1] for x, y in zip(chain, chain[1:])):
+                continue
+            longest.setdefault((low, chain[-1]), []).append((len(chain), chain[0][0]))
+    for (low, (end, _)), chains in longest.items():
+        length, start = max(chains)
+        best = max(best, length / max(pairs, end - start + 1))
+    longest.clear()
+    return best
+
+
+longest = {}
+
+
+def test_verified_shares_equal_brute_force(spark):
+    dice = random.Random(8)
+    notices = (("a b c d e f", "one"), ("a b a b a c", "two"))
+    texts = [" ".join(dice.choices("abcdefx", k=dice.randint(0, 14))) for _ in range(120)]
+    texts += ["a b c d e f", "a b c x d e f", "a b c x y z d e f", "d e f a b c", "a b a b a c", "c d e f a b", "b c a b c d e f"]
+    result = licenses.scan(frame(spark, list(enumerate(texts))), (), notices).collect()
+    assert len(result) == len(texts)
+    for r in result:
+        shares = [best_share(texts[r.doc_id], phrase) for phrase, _ in notices]
+        assert r.score == max(shares), texts[r.doc_id]
+        assert r.labels == ",".join(label for (_, label), share in zip(notices, shares) if share >= 0.8), texts[r.doc_id]
+
+
+def test_spans_name_first_and_last_word(spark):
+    words = licenses.NOTICES[1][0].split()
+    text = " ".join(["x"] * 4 + words[:6] + ["really"] + words[6:] + ["y mit license"])
+    got = sorted((r.label, r.first_word, r.last_word) for r in licenses.spans(frame(spark, [(1, text), (2, None)])).collect())
+    assert got == [("bsd", 4, 4 + len(words)), ("mit", 6 + len(words), 7 + len(words))]
+
+
+def test_equal_rows_are_each_returned(spark):
+    rows = [(None, "")] * 3 + [(None, None), (1, "mit license"), (1, "mit license"), (1, "other")]
+    assert [r[:3] for r in found(spark, rows)] == [(1, 1, 0), (1, 2, 1), (1, 2, 1), (None, 0, 0), (None, 0, 0), (None, 0, 0), (None, 0, 0)]
+
+
 def test_no_rows_and_no_python(spark):
     scan = licenses.scan(frame(spark, []))
     assert scan.count() == 0
