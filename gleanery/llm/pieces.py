@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sized
 from functools import lru_cache
 
 import numpy as np
@@ -78,13 +78,28 @@ def build(content: bytes):
     if not any(inner.search(piece) for piece, _, kind in pieces if kind in (NORMAL, USER_DEFINED)):
         # no piece runs across a mark, so words are encoded one by one, in bounded memory
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+    # marks are replaced once in the joined text, which differs only where bytes spell the mark: see exact_decoder
     tokenizer.decoder = decoders.Sequence(
-        [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        + ([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])
+        [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *_strip(spec)]
     )
     return tokenizer
 
 
+def _strip(spec) -> list:
+    from tokenizers import decoders
+
+    return [decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else []
+
+
+def exact_decoder(content: bytes):
+    """Decoder that replaces marks piece by piece, so a mark that byte pieces spell stays."""
+    from tokenizers import decoders
+
+    return decoders.Sequence(
+        [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *_strip(parse(content).normalizer_spec)]
+    )
+
+
 class Pieces:
     """Both libraries over one model file."""
 
@@ -96,10 +111,13 @@ class Pieces:
         self.threads = threads
         self.tokenizer = build(content)
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=content)
+        self.exact = exact_decoder(content)
         kinds = parse(content).pieces
         self.unknown = {i for i, piece in enumerate(kinds) if piece.type == UNKNOWN}
         self.control = {i for i, piece in enumerate(kinds) if piece.type == CONTROL}
         self.surface = parse(content).trainer_spec.unk_surface
+        spelling = {f"<0x{byte:02X}>" for byte in MARK.encode()}
+        self.mark_bytes = {i for i, piece in enumerate(kinds) if piece.type == BYTE and piece.piece in spelling}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity): the tokenizers library's ids, and whether SentencePiece gives the same."""
@@ -114,10 +132,13 @@ class Pieces:
         """
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         special = self.unknown | self.control
+        watched = special | self.mark_bytes
         for at, row in enumerate(ids):
-            if not special.isdisjoint(row):
+            if watched.isdisjoint(row):
+                continue
+            if not special.isdisjoint(row) or self.mark_bytes.issubset(row):
                 pieces = [self.surface if i in self.unknown else self.tokenizer.id_to_token(i) for i in row if i not in self.control]
-                texts[at] = self.tokenizer.decoder.decode(pieces)
+                texts[at] = self.exact.decode(pieces)
         return texts
 
     def checked(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
@@ -132,7 +153,8 @@ def _pieces(content: bytes, threads: int) -> Pieces:
     return Pieces(content, threads)
 
 
-def groups(texts: Sequence[str]) -> Iterator[list[str]]:
+def groups(texts: Iterable[Sized]) -> Iterator[list]:
+    """Texts, or lists of ids, in runs of ``BATCH_BYTES`` and at most one more."""
     held, size = [], 0
     for text in texts:
         held.append(text)
@@ -211,15 +233,15 @@ def tokenized(
 
 
 def decoded(encodings: DataFrame, path: str | None = None, threads: int = THREADS) -> DataFrame:
-    """``encodings`` (ids, ...) with ``_text``, what the ids decode to; null for null ids."""
+    """``encodings`` (ids, ...) with ``_text``, what the ids decode to; null for null ids, empty for none."""
+    bounded_batches(encodings.sparkSession)
     shared = encodings.sparkSession.sparkContext.broadcast(read_model(path))
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         pieces = _pieces(shared.value, threads)
-        given = lists.to_pylist()
-        texts = pieces.decode([ids or [] for ids in given])
-        return pa.array([None if ids is None else t for ids, t in zip(given, texts, strict=True)], pa.string())
+        texts = [text for group in groups(ids.as_py() or [] for ids in lists) for text in pieces.decode(group)]
+        return pa.array([t if ids.is_valid else None for ids, t in zip(lists, texts, strict=True)], pa.string())
 
     return encodings.withColumn("_text", decode("ids"))
 

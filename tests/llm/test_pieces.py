@@ -41,6 +41,26 @@ def test_ids_are_those_of_the_other_library(given):
     assert [a == b or "▁" in a for a, b in zip(TEXTS, back)] == [True] * len(TEXTS)
 
 
+def test_decoding_equals_replacing_marks_piece_by_piece(given):
+    dice = np.random.default_rng(4)
+    token = given.tokenizer.token_to_id
+    mark = [token(f"<0x{byte:02X}>") for byte in "▁".encode()]
+    rows = [dice.integers(3, given.tokenizer.get_vocab_size(), dice.integers(0, 30)).tolist() for _ in range(300)]
+    rows += [mark, [*mark, token("▁the")], [token("▁the"), *mark], [token("▁"), *mark, token("▁")], mark[:2], [*reversed(mark)]]
+    rows += [[*dice.choice(mark, 8).tolist(), token("▁a")] for _ in range(50)]
+    exact = pieces.exact_decoder(pieces.read_model())
+    assert given.decode(rows) == [exact.decode([given.tokenizer.id_to_token(i) for i in row]) for row in rows]
+
+
+def test_stored_ids_decode_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 5)
+    given = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    ids = pieces.tokenized(given)
+    stored = spark.createDataFrame([*[tuple(r) for r in ids.collect()], (99, None, None)], ids.schema)
+    back = {r.doc_id: r._text for r in pieces.decoded(stored).collect()}
+    assert back == {**{i: t.replace("▁", " ") for i, t in enumerate(TEXTS)}, len(TEXTS): "", 99: None}
+
+
 @pytest.mark.parametrize("extra", [True, False])
 @pytest.mark.parametrize("prefix", [True, False])
 def test_unigram_models(extra, prefix):
