@@ -16,7 +16,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5              # words of the mix over words there are
 MOST = 2                 # passes over a source at most
 BLOCK_WORDS = 1 << 14
-MOST_BLOCKS = 4096       # blocks of a source; beyond that they hold more words
+RUN_BLOCKS = 4096        # blocks whose words one window task adds up
 SHARD_WORDS = 1 << 24
 ORDERS = 64              # permutations tried for a source's last, partly taken block
 SEED = 20_240
@@ -115,8 +115,8 @@ def assigned(
 ) -> DataFrame:
     """``sized`` plus ``_draws`` (array of pass and shard), ``_source_size`` and ``_target``.
 
-    Every source is cut into blocks of documents by a hash, so also a source with
-    most of the rows spreads over many blocks. Its quota is whole blocks in block
+    Every source is cut into blocks of about ``BLOCK_WORDS`` words by a hash, so also a source
+    with most of the rows spreads over many blocks, however large it is. Its quota is whole blocks in block
     order, passing over the source again beyond its size, and of one last block the
     documents that come closest to the target. Block draws fall to output shards by
     the splitting tree: shards get disjoint runs of each source's permuted blocks.
@@ -137,7 +137,7 @@ def assigned(
     sizes = [words for _, words in totals]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share)
     sources = spark.createDataFrame(
-        [(k, s, t, max(1, min(MOST_BLOCKS, -(-s // BLOCK_WORDS)))) for (k, s), t in zip(totals, wanted, strict=True)],
+        [(k, s, t, max(1, -(-s // BLOCK_WORDS))) for (k, s), t in zip(totals, wanted, strict=True)],
         "key string, source_size long, target double, blocks long",
     )
     named = sources.withColumnRenamed("key", "_key")
@@ -146,10 +146,23 @@ def assigned(
         .withColumn("_block", F.expr("pmod(xxhash64(_number), blocks)"))
         .drop("blocks")
     )
-    blocks = staged(
+    counted = staged(
         placed.groupBy(F.col("_key").alias("key"), F.col("_block").alias("block"))
         .agg(F.sum(size).alias("words"), F.first("target").alias("target"), F.first("source_size").alias("total"))
-        .withColumn("end", F.expr("sum(words) over (partition by key order by block rows unbounded preceding)"))
+        .withColumn("run", F.expr(f"block div {RUN_BLOCKS}"))
+    )
+    # words and blocks before each: within runs, and over the sums of the runs before
+    runs_before = counted.groupBy("key", "run").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("blocks")).select(
+        "key", "run",
+        F.expr("sum(words) over (partition by key order by run rows unbounded preceding) - words").alias("words_before"),
+        F.expr("sum(blocks) over (partition by key order by run rows unbounded preceding) - blocks").alias("blocks_before"),
+        F.expr("sum(blocks) over (partition by key)").alias("present"),
+    )
+    blocks = (
+        counted.withColumn("end", F.expr("sum(words) over (partition by key, run order by block rows unbounded preceding)"))
+        .withColumn("place", F.expr("row_number() over (partition by key, run order by block) - 1"))
+        .join(runs_before, ["key", "run"])
+        .withColumn("end", F.col("end") + F.col("words_before"))
     )
     draws = staged(
         blocks.select("*", F.explode(F.array(*map(F.lit, range(MOST)))).alias("pass"))
@@ -158,12 +171,12 @@ def assigned(
         .where("from < target or (pass = 0 and total = 0)")
         .withColumn("whole", F.col("to") <= F.col("target"))
         .withColumn("left", F.col("target") - F.col("from"))
-        .withColumn("draw", F.expr("row_number() over (partition by key order by pass, block) - 1"))
+        .withColumn("draw", F.expr("pass * present + blocks_before + place"))
         .select("key", "block", "pass", "draw", "whole", "left")
     )
     last = draws.where("not whole").select("key", "block", "left")
     rows = placed.select(F.col("_key").alias("key"), F.col("_block").alias("block"), F.col("_number").alias("number"), F.col(size).alias("words"))
-    picks = staged(_last_blocks(rows.join(last, ["key", "block"]).drop("block")))
+    picks = staged(_last_blocks(rows.where("words > 0").join(last, ["key", "block"]).drop("block")))
 
     counts = {r["key"]: r["n"] for r in draws.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys = [k for k, _ in totals]

@@ -44,6 +44,36 @@ def test_report_contract(spark):
     assert all(abs(taken[s] - target[s]) <= 20 for s in order)
 
 
+def test_sizes_and_targets_equal_brute_force(spark):
+    rows = corpus()
+    order = [*sorted({s for _, s, _ in rows if s is not None}), None]
+    sizes = [sum(len((t or "").split()) for _, s, t in rows if s == source) for source in order]
+    weights = [(5, 2, 1)[i % 3] for i in range(len(order))]
+    low, high = 0.0, 2.0 * sum(sizes)
+    for _ in range(200):  # the level at which min(twice the size, weight by level) fill the mix
+        level = (low + high) / 2
+        filled = sum(min(2 * s, w * level) for s, w in zip(sizes, weights))
+        low, high = (low, level) if filled > 1.5 * sum(sizes) else (level, high)
+    wanted = {o: (s, min(2 * s, w * high)) for o, s, w in zip(order, sizes, weights)}
+    expected = sorted((i if i is not None else -1, len((t or "").split()), *wanted[s]) for i, s, t in rows)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r["size"], r.source_size, r.target) for r in mixing.report(frame(spark, rows)).collect())
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+    assert [g[3] for g in got] == pytest.approx([e[3] for e in expected])
+
+
+def test_runs_of_blocks_change_nothing_and_blocks_keep_their_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    whole = sorted(map(str, mixing.report(frame(spark, corpus())).collect()))
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", 3)
+    assert sorted(map(str, mixing.report(frame(spark, corpus())).collect())) == whole
+    sized = frame(spark, corpus()).select("doc_id", "source", mixing.size_column("text").alias("_size"))
+    drawn = {}
+    for r in mixing.assigned(sized).collect():
+        for draw in r._draws:
+            drawn[r.source, draw["pass"]] = drawn.get((r.source, draw["pass"]), 0) + r._size
+    assert sum(drawn.values()) == pytest.approx(1.5 * sum(len((t or "").split()) for _, _, t in corpus()), abs=60)
+
+
 def test_mix_repeats_rows_and_keeps_columns(spark):
     docs = frame(spark, corpus())
     mixed = mixing.mix(docs)
