@@ -17,6 +17,8 @@ SEED = 42
 SLICE = 1 << 16          # shingles counted at once
 LOW_BITS = 0x5555555555555555
 CROWD = 64               # cells of more points go through shared neighbours
+HOT_ROWS = 1000          # rows that make a fingerprint hot
+HOT_PRINTS = 128         # hot fingerprints broadcast at most
 
 
 def _hashes(words: list[bytes], size: int) -> Iterator[list[int]]:
@@ -141,6 +143,22 @@ def links(points: DataFrame, distance: int = 2) -> DataFrame:
     return near.union(listed)
 
 
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """A row per fingerprint of ``prints`` (doc_id, fp): head and lowest, the smallest
+    doc_id with it and in its group, and rows, how many rows have it."""
+    heads = staged(
+        prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows"))
+    )
+    components = connected_components(links(heads.select("fp"), distance))
+    merged = (
+        components.join(heads, F.col("node") == F.col("fp"))
+        .select("node", "component", "head")
+    )
+    smallest = merged.groupBy("component").agg(F.min("head").alias("lowest"))
+    label = merged.join(smallest, "component").select(F.col("node").alias("fp"), "lowest")
+    return heads.join(label, "fp", "left").select("fp", "head", "rows", F.coalesce("lowest", "head").alias("lowest"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -148,35 +166,38 @@ def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3) -> DataFr
     at most ``distance`` bits. Texts that are null, empty or blank have fingerprint
     zero and link like others. A row without doc_id links nothing and has no
     component; rows repeating a doc_id each get their own. Other columns are not read.
+
+    Rows of the most frequent fingerprints (``HOT_PRINTS`` at most) find their group
+    map-side; only the others are shuffled by fingerprint.
     """
     bounded_batches(docs.sparkSession)
     prints = staged(docs.select("doc_id", fingerprint_column("text", size).alias("fp")))
-    heads = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("head")))
-    joined = links(heads.select("fp"), distance)
-    components = connected_components(joined)
-    merged = (
-        components.join(heads, F.col("node") == F.col("fp"))
-        .select("node", "component", "head")
-    )
-    smallest = merged.groupBy("component").agg(F.min("head").alias("lowest"))
-    label = merged.join(smallest, "component").select(F.col("node").alias("fp"), "lowest")
-    named = heads.join(label, "fp", "left").select("fp", F.coalesce("lowest", "head").alias("lowest"))
-    return prints.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("lowest")).alias("component_id")
+    named = staged(_named(prints, distance))
+    hot = (
+        named.where(F.col("rows") >= HOT_ROWS).orderBy(F.desc("rows"), "fp").limit(HOT_PRINTS)
+        .select(F.col("fp").alias("_hot"), F.col("lowest").alias("_hot_lowest"))
     )
+    answered = prints.where("doc_id is not null").join(F.broadcast(hot), F.col("fp") == F.col("_hot"), "left")
+    parts = [
+        answered.where("_hot is not null").select("doc_id", "fp", F.col("_hot_lowest").alias("component_id")),
+        answered.where("_hot is null").select("doc_id", "fp").join(named.select("fp", "lowest"), "fp", "left")
+        .select("doc_id", "fp", F.col("lowest").alias("component_id")),
+        prints.where("doc_id is null").select("doc_id", "fp", F.col("doc_id").alias("component_id")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def one_per_group(docs: DataFrame, distance: int = 2, size: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the smallest doc_id stays.
 
     Exact repeats of a row, doc_id included, count as one; rows without doc_id stay.
-    All columns are kept.
+    All columns are kept. The rows are stored with their fingerprints, which are computed once.
     """
-    found = near_duplicates(docs, distance, size)
-    chosen = found.where("doc_id = component_id").select(
-        F.col("doc_id").alias("_chosen_id"), F.col("fp").alias("_chosen_fp")
-    ).distinct()
-    marked = packed(docs, "doc_id", "text").withColumn("_fp", fingerprint_column("text", size))
+    bounded_batches(docs.sparkSession)
+    marked = staged(packed(docs, "doc_id", "text").withColumn("_fp", fingerprint_column("text", size)))
+    chosen = _named(marked.select("doc_id", F.col("_fp").alias("fp")), distance).where("head = lowest").select(
+        F.col("head").alias("_chosen_id"), F.col("fp").alias("_chosen_fp")
+    )
     kept = marked.join(
         chosen, (F.col("doc_id") == F.col("_chosen_id")) & (F.col("_fp") == F.col("_chosen_fp")), "left_semi"
     ).dropDuplicates(["doc_id", "_fp"])

@@ -59,6 +59,20 @@ def test_report_equals_brute_force(spark):
     assert sorted([tuple(r) for r in simhash.report(frame(spark, rows)).collect()], key=str) == expected
 
 
+def test_hot_fingerprints_change_nothing(spark, monkeypatch):
+    rows = [(i, "") for i in range(40, 10, -1)] + [(i, "a b c d") for i in range(50, 70)] + [(3, "x y z"), (None, ""), (None, "x")] + [(60, "a b c d")] * 30
+    plain = sorted(map(str, simhash.report(frame(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+    monkeypatch.setattr(simhash, "HOT_PRINTS", 1)
+    assert sorted(map(str, simhash.report(frame(spark, rows)).collect())) == plain and len(plain) == len(rows)
+
+
+def test_equal_ids_with_other_texts_are_kept_apart(spark):
+    rows = [(5, "one two three four"), (5, "five six seven eight"), (9, "one two three four"), (None, None), (None, "x")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_per_group(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
+
+
 def test_bound_and_grid_hold():
     random_ = np.random.default_rng(0)
     masks = [m & (1 << 64) - 1 for m in simhash._grid_masks(2)]
