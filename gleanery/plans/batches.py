@@ -9,9 +9,10 @@ from pyspark.sql.types import LongType
 
 from gleanery.operators import capture
 from gleanery.plans import fixtures as fx
-from gleanery.plans.catalog import instant, query, topic_times
+from gleanery.plans.catalog import instant, later_versions, query, topic_times, versions
 from gleanery.session import ensure_checkpoint_dir
 from gleanery.streaming import microbatch
+from gleanery.streaming.versions import VersionTable
 
 BATCHES = 3
 
@@ -72,3 +73,28 @@ def member_batches(spark, d):
     """Memberships after the same batches: an item that changed topic has left its old group."""
     found = microbatch.stored_members(_grouped(spark, d), BATCHES - 1)
     return found.select(F.col("item_id").cast("bigint").alias("item_id"), "tag")
+
+
+def _versioned(spark, d):
+    """Versions in three micro-batches that bring them in no order of time."""
+    store = _store(spark)
+    every = versions(spark, d).unionByName(later_versions(spark, d))
+    table = VersionTable(spark, store.path("versions"), every.schema, buckets=16)
+    for batch_id, own in _batches(store, every, F.pmod(F.col("item_id") - F.col("version_id"), F.lit(BATCHES))):
+        table.add(own, batch_id)
+    return table
+
+
+@query
+def history_batches(spark, d):
+    """All versions after the last batch, closed at the next one's time."""
+    found = _versioned(spark, d).history(BATCHES)
+    return found.select(
+        "item_id", "version_id", "importance_score", instant("created_at"), instant("superseded_at"), "is_current"
+    )
+
+
+@query
+def current_batches(spark, d):
+    """The current version of every item after the same batches, without a window or the closed rows."""
+    return _versioned(spark, d).current(BATCHES).select("item_id", "version_id", "importance_score", instant("created_at"))

@@ -624,27 +624,30 @@ def model_responses(spark, d):
     )
 
 
-def _versions(spark, d):
+def versions(spark, d):
     return fx.enrichments(spark, d).selectExpr(
         "item_id", "version_id", "created_at", "importance_score", "preserve_recommendation"
     )
 
 
+def later_versions(spark, d):
+    return fx.table(spark, d, "labels").selectExpr(
+        "doc_id as item_id", "2 as version_id", f"{fx.at_seconds(fx._FEB_1, 'doc_id + 3 * 86400')} as created_at",
+        "0.25D as importance_score", "'review' as preserve_recommendation",
+    )
+
+
 @query
 def enrichment_history(spark, d):
-    return history.enrichment_history(_versions(spark, d)).select(
+    return history.enrichment_history(versions(spark, d)).select(
         "item_id", "version_id", "importance_score", instant("created_at"), instant("superseded_at"), "is_current"
     )
 
 
 @query
 def enrichment_rewrite(spark, d):
-    base = history.enrichment_history(_versions(spark, d))
-    again = fx.table(spark, d, "labels").selectExpr(
-        "doc_id as item_id", "2 as version_id", f"{fx.at_seconds(fx._FEB_1, 'doc_id + 3 * 86400')} as created_at",
-        "0.25D as importance_score", "'review' as preserve_recommendation",
-    )
-    return history.rewrite_history(base, again).select(
+    base = history.enrichment_history(versions(spark, d))
+    return history.rewrite_history(base, later_versions(spark, d)).select(
         "item_id", "version_id", "importance_score", instant("created_at"), instant("superseded_at"), "is_current"
     )
 

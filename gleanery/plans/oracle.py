@@ -938,6 +938,11 @@ from q where not coalesce({echo('short', 't')}, false)""",
     "enrichment_history": f"with {FX}, {VERSIONS} {history('versions')}",
     "enrichment_rewrite": f"""with {FX}, {VERSIONS}, both_v as (select * from versions union all
   select doc_id, 2, {seconds(FEB_1, 'doc_id + 3 * 86400')}, 0.25::double from labels) {history('both_v')}""",
+    "history_batches": f"""with {FX}, {VERSIONS}, both_v as (select * from versions union all
+  select doc_id, 2, {seconds(FEB_1, 'doc_id + 3 * 86400')}, 0.25::double from labels) {history('both_v')}""",
+    "current_batches": f"""with {FX}, {VERSIONS}, both_v as (select * from versions union all
+  select doc_id, 2, {seconds(FEB_1, 'doc_id + 3 * 86400')}, 0.25::double from labels), closed as ({history('both_v')})
+select item_id, version_id, importance_score, created_at from closed where is_current""",
     "processing_record": f"""with {FX}, {KEYED}, {DESTS} select item_id, 'score|dedupe|summarize|classify|group|preserve' as step_order,
   'processed' as status, case when item_id = first_id and advice = 'keep' then 'created' else 'skipped' end as note_status,
   dedupe_key, topic, {group_id(slug('topic'))} as group_id, 3 as key_point_count,
