@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from gleanery.llm import toxicity
 
@@ -37,6 +40,65 @@ def test_held_out_rows_are_told_apart(corpus, model):
     assert len(held) > 100 and right >= 0.97 * len(held)
 
 
+def subwords(text):
+    """Every word and n-gram of 3 to 5 characters by plain loops, one entry for each time a word occurs."""
+    out = []
+    for word in toxicity.WORD.findall((text or "").lower()):
+        marked, grams = "<" + word + ">", set()
+        for start in range(len(marked)):
+            for end in range(start + 3, min(start + 5, len(marked)) + 1):
+                grams.add(marked[start:end])
+        out += [xxhash.xxh32_intdigest(g) % toxicity.BUCKETS for g in sorted(grams | {marked})]
+    return out
+
+
+def test_scores_equal_the_softmax_of_the_plain_average(corpus, model):
+    for text in [r[1] for r in corpus[0][:40]] + ["", None, "?!", "a", "Horrible HORRIBLE é\u4f60\u597d_x9"]:
+        found = subwords(text)
+        average = sum((model.vectors[b].astype(float) for b in found), np.zeros(toxicity.WIDTH)) / max(1, len(found))
+        logits = [float(model.weights[c] @ average + model.bias[c]) for c in (0, 1)]
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(logits[0] - logits[1])), abs=1e-6)
+
+
+def test_a_step_of_the_fit_follows_the_gradient(monkeypatch):
+    """One step from one seed, against gradients of the log loss by finite differences."""
+    texts, labels = ["sol vermin", "sol tin", "ran the sol", "vermin vermin"], [1, 0, 0, 1]
+    monkeypatch.setattr(toxicity, "RATE", 0.0)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    bags = [toxicity.bag(t) for t in texts]
+    start = toxicity.fit(bags, labels)
+    monkeypatch.setattr(toxicity, "RATE", 1e-3)
+    after = toxicity.fit(bags, labels)
+
+    def loss(bias, weights, vectors):
+        total = 0.0
+        for text, label in zip(texts, labels):
+            average = vectors[subwords(text)].mean(axis=0)
+            logits = weights @ average + bias
+            total += math.log(sum(math.exp(x) for x in logits)) - logits[label]
+        return total / len(texts)
+
+    def slope(which, at):
+        parts = [start.bias.copy(), start.weights.copy(), start.vectors.astype(float)]
+        sides = []
+        for sign in (1, -1):
+            moved = [p.copy() for p in parts]
+            moved[which][at] += sign * 1e-4
+            sides.append(loss(*moved))
+        return (sides[0] - sides[1]) / 2e-4
+
+    for c in (0, 1):     # Adagrad's first step has length RATE against the sign of the gradient
+        assert after.bias[c] - start.bias[c] == pytest.approx(-1e-3 * np.sign(slope(0, c)), rel=1e-2)
+        for w in range(0, toxicity.WIDTH, 5):
+            g = slope(1, (c, w))
+            assert after.weights[c, w] - start.weights[c, w] == pytest.approx(-1e-3 * g / math.sqrt(g * g + 1e-8), rel=0.05, abs=2e-5)
+    bucket = subwords("vermin")[0]
+    step = after.vectors[bucket].astype(float) - start.vectors[bucket]
+    slopes = np.array([slope(2, (bucket, w)) for w in range(toxicity.WIDTH)])
+    expected = -4e-3 * slopes / math.sqrt((slopes**2).mean() + 1e-8)
+    assert step == pytest.approx(expected, rel=0.05, abs=5e-5)
+
+
 def test_misspellings_share_subwords(model):
     plain = "soling merer tina porous thea ranly " * 5
     assert model.score(plain + "horribles wretchedd verminn " * 3) > 0.5 > model.score(plain)
