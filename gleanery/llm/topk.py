@@ -16,7 +16,7 @@ SCALE = 256
 BLOCK = 64              # documents of a block
 SHARD = 4096            # vectors a task holds of either side
 STEP = 8                # blocks scored before the bound is looked at again
-LARGEST = 1 << 62       # scores beyond are cut to it
+LARGEST = (1 << 63) - 1 # scores that a long cannot hold are set to its ends
 
 
 def _whole(vectors: np.ndarray) -> np.ndarray:
@@ -42,9 +42,15 @@ class Blocks:
         self.most = np.hstack([np.maximum.reduceat(self.vectors, cuts), np.maximum.reduceat(-self.vectors, cuts)])
         self.cuts = np.append(cuts, len(ids))
 
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best; blocks go by falling bound until it is below the k-th score."""
+    def search(
+        self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: float = -np.inf
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best; blocks go by falling bound until it is below the k-th score.
+
+        ``floor`` is a k-th score known from elsewhere: what lies below it is left out.
+        """
         order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] >= floor]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(order), STEP):
             blocks = order[at:at + STEP]
@@ -54,7 +60,7 @@ class Blocks:
                     break
             rows = np.concatenate([np.arange(self.cuts[b], self.cuts[b + 1]) for b in blocks])
             found = self.vectors[rows] @ query
-            keep = self.ids[rows] != query_id
+            keep = (self.ids[rows] != query_id) & (found >= floor)
             if len(scores) == k:
                 keep &= found >= scores[-1]
             ids = np.concatenate([ids, self.ids[rows[keep]]])
@@ -81,8 +87,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     integers, scores are exact, ties go to the smaller vec_id, and a vector never
     answers the query of its own id. Vectors that are null or hold null or non-finite
     components take no part, nor do rows without vec_id; of rows with one vec_id the
-    smallest vector counts. Shorter vectors are filled with zeros. Every query group
-    meets every shard of the index, a block of each at a time in memory.
+    smallest vector counts. Shorter vectors are filled with zeros. Scores that a long
+    cannot hold are set to its ends and tie there.
+
+    A query is answered first in one shard, chosen by a hash; its k-th score there is the
+    floor at which the other shards start, so they open only blocks whose bound reaches
+    it. Every query group meets every shard of the index, a block of each at a
+    time in memory.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -107,18 +118,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         number, f"shard int, vec_id long, embedding {element}"
     )
     index = staged(ranged)
-    left = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "embedding")
-    numbers = [r["shard"] for r in index.select("shard").distinct().collect()]   # as many as the index has shards
-    spread = asked.select(
-        F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<int>")).alias("shard"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), "vec_id", "embedding",
-    )
+    home = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
+    meetings = max(1, -(-asked.count() // (SHARD * shards)))    # query groups that a home shard meets
+    nothing = F.lit(None).cast("long").alias("floor")
 
     def answer(part: pa.Table, wanted: pa.Table) -> pa.Table:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(part) and len(wanted):
             width = max(matrix(part.column("embedding")).shape[1], matrix(wanted.column("embedding")).shape[1])
             blocks = Blocks(part.column("vec_id").to_numpy(), _whole(matrix(part.column("embedding"), width)))
+            floors = wanted.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)   # null: NaN
             query_ids, whole = wanted.column("vec_id").to_numpy(), _whole(matrix(wanted.column("embedding"), width))
             reach = np.abs(blocks.vectors).max(initial=0) * np.abs(whole).max(initial=0) * max(1, width)
             exact = reach < 1 << 53
@@ -126,16 +135,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             bounds = terms @ blocks.most.T if exact else None
             for i, query_id in enumerate(query_ids):
                 found = (
-                    blocks.search(query_id, whole[i], bounds[i], k) if exact
+                    blocks.search(query_id, whole[i], bounds[i], k, -np.inf if np.isnan(floors[i]) else floors[i]) if exact
                     else blocks.all_scores(query_id, whole[i], k)
                 )
                 rows.append((np.full(len(found[0]), query_id), np.array(found[0], np.int64), np.array(found[1], np.int64)))
         columns = [np.concatenate([r[c] for r in rows]) if rows else np.zeros(0, np.int64) for c in range(3)]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("shard", "group").cogroup(spread.groupBy("shard", "group")).applyInArrow(
-        answer, "query_id long, vec_id long, score long"
+    def meet(spread: DataFrame, number: int) -> DataFrame:
+        """Every index shard against each of ``number`` groups of the queries sent to it."""
+        every = F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("group")
+        group = F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int")
+        left = index.select("shard", every, "vec_id", "embedding")
+        right = spread.withColumn("group", group)
+        return left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(
+            answer, "query_id long, vec_id long, score long"
+        )
+
+    first = staged(meet(asked.select(home.alias("shard"), "vec_id", "embedding", nothing), meetings))
+    floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), home)
+    spread = asked.join(floor, F.col("vec_id") == F.col("query_id"), "left").select(
+        F.explode(others).alias("shard"), "vec_id", "embedding", "floor"
     )
+    found = first.unionByName(meet(spread, groups))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

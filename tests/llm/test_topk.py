@@ -41,6 +41,28 @@ def test_pruning_skips_blocks():
     assert list(ids) == [0, 1, 2] and list(scores) == [400, 400, 400] and len(seen) // 2 <= topk.STEP
 
 
+def test_floor_of_one_shard_serves_all_others(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 90)
+    random = np.random.default_rng(8)
+    rows = [(int(i), [float(np.float32(x)) for x in random.normal(size=6).round(1)]) for i in range(500)]
+    rows += [(i, rows[i % 7][1]) for i in range(500, 560)]     # ties across shards
+    vectors = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
+    asked = vectors.where("vec_id % 2 = 0")                    # more than a shard of queries
+    assert found(topk.search(vectors, asked, 5)) == brute(rows, range(0, 560, 2), 5)
+    few = vectors.where("vec_id < 4")
+    assert found(topk.search(few, asked, 5)) == {
+        q: sorted(((i, int(np.floor(256 * np.array(rows[q][1])) @ np.floor(256 * np.array(rows[i][1])))) for i in range(4) if i != q), key=lambda p: (-p[1], p[0]))
+        for q in range(0, 560, 2)
+    }
+
+
+def test_blocks_below_the_floor_stay_closed():
+    blocks = topk.Blocks(np.arange(640), np.repeat([[9.0], [1.0]], [64, 576], axis=0))
+    bounds = np.array([1.0, 0.0]) @ blocks.most.T
+    assert list(blocks.search(-1, np.ones(1), bounds, 3, 9.0)[1]) == [9, 9, 9]
+    assert not len(blocks.search(-1, np.ones(1), bounds, 3, 10.0)[0])
+
+
 def test_ties_nulls_few_rows_and_huge_values(spark):
     nan, inf = float("nan"), float("inf")
     vectors = spark.createDataFrame(
