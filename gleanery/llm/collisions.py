@@ -16,7 +16,8 @@ PROJECTIONS = 24
 WINDOW = 1.5         # half width of a window, in standard deviations of a pair at the threshold
 RECALL = 0.995       # of pairs at the threshold, by the collision count
 REACH = 3.5          # standard deviations the cells of the first projection allow for
-BLOCK = 1024         # vectors on either side of a tile
+BLOCK = 4096         # vectors on either side of a tile
+STRIP = 512          # left vectors of a tile compared at a time
 SEED = 93
 
 
@@ -47,21 +48,42 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
-    """How many projections of each pair collide: the right value lies in the left one's window.
+def candidates(left: np.ndarray, right: np.ndarray, half: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs for which at least ``need`` projections collide.
 
-    ``right`` is sorted once per projection; a window is a range of that order.
+    Two values collide when the right one lies in the left one's window. ``right`` is
+    sorted once per projection; a window is a range of that order. A pair may miss
+    columns - need windows: after so many, those that missed them all are gone and
+    the rest, now few, are counted on pair by pair, leaving as soon as they cannot reach ``need``.
     """
-    counts = np.zeros((len(left), len(right)), np.int8)
-    for column in range(left.shape[1]):
-        order = np.argsort(right[:, column], kind="stable")
-        values = right[order, column]
-        low = np.searchsorted(values, left[:, column] - half, side="left")
-        high = np.searchsorted(values, left[:, column] + half, side="right")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        counts += (place[None, :] >= low[:, None]) & (place[None, :] < high[:, None])
-    return counts
+    columns = left.shape[1]
+    start = min(columns, max(columns - need + 1, columns // 2))
+    orders = np.argsort(right[:, :start], axis=0, kind="stable")
+    values = np.take_along_axis(right[:, :start], orders, axis=0)
+    place = np.empty_like(orders)
+    np.put_along_axis(place, orders, np.arange(len(right))[:, None], axis=0)
+    place = np.ascontiguousarray(place.T.astype(np.int32))
+    found_left, found_right = [], []
+    for at in range(0, len(left), STRIP):
+        strip = left[at:at + STRIP]
+        counts = np.zeros((len(strip), len(right)), np.int8)
+        for column in range(start):
+            low = np.searchsorted(values[:, column], strip[:, column] - half, side="left").astype(np.int32)
+            high = np.searchsorted(values[:, column], strip[:, column] + half, side="right").astype(np.int32)
+            # one comparison: places below the window wrap round to large numbers
+            counts += (place[column][None, :] - low[:, None]).view(np.uint32) < (high - low).view(np.uint32)[:, None]
+        i, j = np.nonzero(counts >= need - (columns - start))
+        reached = counts[i, j]
+        for column in range(start, columns):
+            value, middle = right[j, column], strip[i, column]
+            reached = reached + ((value >= middle - half) & (value <= middle + half))
+            live = reached >= need - (columns - 1 - column)
+            i, j, reached = i[live], j[live], reached[live]
+        found_left.append(i + at)
+        found_right.append(j)
+    if not found_left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found_left), np.concatenate(found_right)
 
 
 def _roots(first: np.ndarray, second: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -118,11 +140,11 @@ def _tiles(classes: DataFrame, cosine: float) -> DataFrame:
             a, b = unit(matrix(one.column("vector"))), unit(matrix(two.column("vector")))
             along = directions(a.shape[1])[1:].T
             half = WINDOW * deviation(cosine, a.shape[1])
-            passed = collisions(a @ along, b @ along, half) >= need
+            i, j = candidates(a @ along, b @ along, half, need)
             node_a, node_b = one.column("node").to_numpy(), two.column("node").to_numpy()
             if same:
-                passed &= node_a[:, None] < node_b[None, :]
-            i, j = np.nonzero(passed)
+                once = node_a[i] < node_b[j]
+                i, j = i[once], j[once]
             close = np.concatenate(
                 [np.einsum("ij,ij->i", a[i[s:s + 65536]], b[j[s:s + 65536]]) for s in range(0, len(i), 65536)]
                 or [np.zeros(0)]
@@ -164,11 +186,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
 
     @F.arrow_udf("long")
     def cell_of(column: pa.Array) -> pa.Array:
-        cells = []
-        for value in column:
-            row = unit(np.array([value.as_py()], np.float64))
-            width = row.shape[1]
-            cells.append(int(np.floor((row @ directions(width)[0])[0] / (REACH * deviation(cosine, width)))))
+        widths = np.diff(column.offsets.to_numpy())
+        cells = np.zeros(len(column), np.int64)
+        for width in np.unique(widths):
+            rows = np.flatnonzero(widths == width)
+            part = unit(matrix(column.take(pa.array(rows)), int(width)))
+            cells[rows] = np.floor((part @ directions(int(width))[0]) / (REACH * deviation(cosine, int(width))))
         return pa.array(cells, pa.int64())
 
     classes = staged(

@@ -25,6 +25,21 @@ def test_recall_and_exactness_near_the_threshold(spark):
     assert all(found[i].kept == (found[i].component_id == i) for i in found)
 
 
+def test_candidates_are_the_pairs_with_enough_collisions(monkeypatch):
+    monkeypatch.setattr(collisions, "STRIP", 17)
+    random = np.random.default_rng(9)
+    for columns, need in ((24, 16), (24, 24), (24, 0), (5, 4), (1, 1)):
+        left, right = random.normal(size=(60, columns)), random.normal(size=(80, columns))
+        right[:30] = left[:30] + random.normal(size=(30, columns)) * 0.3
+        right[30:40], left[40:50, 0] = left[30:40], 0.5       # equal values, ties in the order
+        right[40:50, 0] = 1.0                                  # on the edge of a window
+        counts = ((right[None] >= left[:, None] - 0.5) & (right[None] <= left[:, None] + 0.5)).sum(axis=2)
+        i, j = collisions.candidates(left, right, 0.5, need)
+        assert list(zip(i, j)) == list(zip(*np.nonzero(counts >= need)))
+    none = np.zeros((0, 3))
+    assert not len(collisions.candidates(none, none, 1.0, 2)[0]) and not len(collisions.candidates(np.ones((2, 3)), none, 1.0, 2)[0])
+
+
 def test_small_blocks_meet_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(collisions, "BLOCK", 7)
     random = np.random.default_rng(5)
