@@ -285,21 +285,23 @@ def sync_state(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def merge_sync_state(earlier: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Sync state after further outcomes: ``earlier`` is what this function returned before.
+def marked_sync_state(outcomes: DataFrame) -> DataFrame:
+    """``sync_state`` with last_seq, the number of the outcome it ends with, for ``merge_sync_states``."""
+    last = outcomes.groupBy("source_id").agg(F.max(F.struct("at", "seq")).alias("mark"))
+    return sync_state(outcomes).join(last.select("source_id", F.col("mark.seq").alias("last_seq")), "source_id")
 
-    Its size is the number of sources, whatever the number of outcomes so far.
+
+def merge_sync_states(states: DataFrame) -> DataFrame:
+    """One state per source from several, each of another part of the outcomes.
+
+    The order and grouping of the parts do not matter, nor that they overlap: what is latest
+    by time and number counts, whenever it arrived.
     """
-    added = outcomes.groupBy("source_id").agg(F.max(F.struct("at", "seq")).alias("mark"))
-    new = sync_state(outcomes).join(added, "source_id").select(
-        "*", F.col("mark.seq").alias("last_seq")
-    ).drop("mark")
     last = F.struct("last_error_at", "last_error_message", "source_status", "last_seq")
-    both = new.unionByName(earlier.select(*new.columns))
-    return both.groupBy("source_id").agg(
+    return states.groupBy("source_id").agg(
         F.max("last_synced_at").alias("last_synced_at"),
         F.max("last_success_at").alias("last_success_at"),
-        F.max_by(last, F.struct("last_synced_at", "last_seq")).alias("last"),
+        F.max_by(last, F.struct("last_synced_at", "last_seq", "source_status", "last_error_message")).alias("last"),
     ).select("source_id", "last_synced_at", "last_success_at", "last.*")
 
 

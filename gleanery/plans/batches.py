@@ -81,6 +81,7 @@ def _versioned(spark, d):
     every = versions(spark, d).unionByName(later_versions(spark, d))
     table = VersionTable(spark, store.path("versions"), every.schema, buckets=16)
     for batch_id, own in _batches(store, every, F.pmod(F.col("item_id") - F.col("version_id"), F.lit(BATCHES))):
+        table.retire(batch_id)
         table.add(own, batch_id)
     return table
 
@@ -98,3 +99,21 @@ def history_batches(spark, d):
 def current_batches(spark, d):
     """The current version of every item after the same batches, without a window or the closed rows."""
     return _versioned(spark, d).current(BATCHES).select("item_id", "version_id", "importance_score", instant("created_at"))
+
+
+@query
+def sync_state_batches(spark, d):
+    """Sync state after three micro-batches that bring outcomes in no order of time, some of them twice."""
+    store = _store(spark)
+    run = microbatch.sync_state_batch(store)
+    outcomes = fx.outcomes(spark, d)
+    first = outcomes.withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(BATCHES)))
+    again = first.where("batch = 0 and seq % 5 = 0").withColumn("batch", F.lit(BATCHES - 1).cast("bigint"))
+    every = first.unionByName(again)
+    for batch_id, own in _batches(store, every, F.col("batch")):
+        run(own.drop("batch"), batch_id)
+    found = microbatch.stored_sync_state(store, LongType())
+    return found.select(
+        "source_id", instant("last_synced_at"), instant("last_success_at"), instant("last_error_at"),
+        "last_error_message", "source_status",
+    )

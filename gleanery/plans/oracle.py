@@ -905,6 +905,8 @@ select source_id, 'Source ' || source_id as name, status,
       'An error state is recorded for this source.')
     else coalesce('Last successful sync ' || {label('success')} || '.', 'Last sync attempt ' || {label('synced')} || '.') end as detail
 from j""",
+    "sync_state_batches": f"""with {OUTCOMES} select source_id, {iso('synced')} as last_synced_at, {iso('success')} as last_success_at,
+  {iso('error_at')} as last_error_at, error_message as last_error_message, source_status from states""",
     "sync_state_backfill": f"""with {OUTCOMES} select coalesce(t.source_id, s.source_id) as source_id, {iso('synced')} as last_synced_at,
   {iso('success')} as last_success_at, error_message as last_error_message
 from states t full join srcs s on s.source_id = t.source_id""",

@@ -3,7 +3,8 @@
 A table is a set of segments. Batch b writes segment (0, b); when FANOUT segments of
 a level are complete they are merged into one of the next level, so a row is
 rewritten once a level and a batch reads a number of segments that grows with the
-logarithm of the batches. Inside a segment rows lie in folders by hash bucket, next
+logarithm of the batches. ``retire`` removes segments that a merged one replaces, so the
+files of a table follow its keys and not the number of batches. Inside a segment rows lie in folders by hash bucket, next
 to a Bloom filter for each bucket: a batch reads the filters of the buckets its own
 keys fall into, and then the rows of those buckets only where a filter says yes.
 
@@ -27,6 +28,12 @@ WORD = 64
 FILTER_SCHEMA = "bucket int, word bigint, bits bigint"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a store; Spark's own API has no call for that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def segments(before: int, fanout: int = FANOUT) -> Iterator[tuple[int, int]]:
     """(level, number) of the segments that together hold batches 0 to ``before`` - 1."""
     start, level = 0, 0
@@ -118,6 +125,22 @@ class KeyedLog:
             self._write_segment(self._first(merged), level, number)
             level += 1
 
+    def retire(self, batch_id: int) -> None:
+        """Remove the segments that the batch before completed into a larger one.
+
+        For a batch that has begun: by then the one before is committed and is not
+        replayed, and this batch reads the larger segment. What is read as of earlier batches
+        is no longer there. Nothing is removed unless the larger segment exists.
+        """
+        level = 1
+        while batch_id and batch_id % self.fanout**level == 0:
+            number = batch_id // self.fanout**level - 1
+            if self._read("filters", level, number, FILTER_SCHEMA) is not None:
+                for below in range(number * self.fanout, (number + 1) * self.fanout):
+                    for kind in ("rows", "filters"):
+                        remove(self.spark, self._path(kind, level - 1, below))
+            level += 1
+
     def may_hit(self, keys: DataFrame, level: int, number: int, touched: list[int]) -> list[int]:
         """Buckets of a segment in which a key may lie; at most as many as there are buckets."""
         filters = self._read("filters", level, number, FILTER_SCHEMA)

@@ -22,7 +22,7 @@ from gleanery.operators.dedupe import find_duplicates, key_holders, settle_dupli
 from gleanery.operators.skew import first_n_per_key
 from gleanery.session import ensure_checkpoint_dir, tune
 from gleanery.sources import feeds
-from gleanery.streaming.keyed import KeyedLog
+from gleanery.streaming.keyed import KeyedLog, remove
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,7 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def clear(self, batch_id: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path('_stage')}/{batch_id}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.path('_stage')}/{batch_id}")
 
     def read(self, name: str, like: DataFrame | None = None, before: int | None = None) -> DataFrame:
         """Rows of earlier batches; an empty frame shaped like ``like`` at first."""
@@ -424,24 +423,42 @@ def current_sync_state(store: Store) -> DataFrame:
     return capture.sync_state(store.read("outcomes").drop("batch_id"))
 
 
+def _sync_log(store: Store, source: DataType = StringType()) -> KeyedLog:
+    schema = StructType().add("key", "string").add("source_id", source)
+    for name in ("last_synced_at", "last_success_at", "last_error_at"):
+        schema = schema.add(name, "timestamp")
+    schema = schema.add("last_error_message", "string").add("source_status", "string").add("last_seq", "long")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return capture.merge_sync_states(rows).withColumn("key", F.col("source_id").cast("string"))
+
+    return store.keyed("sync_state", schema, merge)
+
+
 def sync_state_batch(store: Store) -> Callable[[DataFrame, int], None]:
-    """Merge a batch of outcomes into the stored state, one row per source, for ``foreachBatch``."""
+    """Keep the sync state by event time, for ``foreachBatch``.
+
+    A batch writes the state of its own sources only. States merge in any order, so late
+    and repeated outcomes give the state of the ordered log: an outcome older than
+    one known counts for the last success alone. Outcomes without a source have no state.
+    """
 
     def run(outcomes: DataFrame, batch_id: int) -> None:
-        nothing = outcomes.limit(0)
-        empty = capture.merge_sync_state(capture.sync_state(nothing).withColumn("last_seq", F.lit(None).cast(nothing.schema["seq"].dataType)), nothing)
-        earlier = store.read("sync_state", empty, before=batch_id)
-        newest = earlier.agg(F.max("batch_id")).scalar()
-        last = earlier.where(F.col("batch_id") == newest).drop("batch_id")
-        store.write("sync_state", capture.merge_sync_state(last, outcomes), batch_id)
+        log = _sync_log(store, outcomes.schema["source_id"].dataType)
+        log.retire(batch_id)
+        own = capture.marked_sync_state(outcomes.where("source_id is not null"))
+        log.write(own.withColumn("key", F.col("source_id").cast("string")), batch_id)
+        store.write("sync_batches", store.spark.range(1), batch_id)
+        remove(store.spark, f"{store.path('sync_batches')}/batch_id={batch_id - 1}")
 
     return run
 
 
-def stored_sync_state(store: Store) -> DataFrame:
-    """The state after the newest batch."""
-    every = store.read("sync_state")
-    return every.where(F.col("batch_id") == every.agg(F.max("batch_id")).scalar()).drop("batch_id", "last_seq")
+def stored_sync_state(store: Store, source: DataType = StringType()) -> DataFrame:
+    """The state after the newest batch, one row per source; ``source`` is the type of its id."""
+    newest = store.read("sync_batches").agg(F.max("batch_id")).scalar()
+    last = store.spark.range(1).select(newest.alias("n")).first()["n"]
+    return _sync_log(store, source).all(last + 1).drop("key", "last_seq")
 
 
 def start_sync_state(outcomes: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:

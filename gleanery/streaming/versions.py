@@ -6,7 +6,8 @@ that names for each bucket the batch that wrote it last. Readers open the folder
 names and nothing else: current rows without any window, and without the closed rows'
 files. Nothing that a list names is ever overwritten, unlike with dynamic partition
 overwrite, where a driver lost in the middle of a commit leaves folders already removed.
-A replay reads the lists of earlier batches only, and so writes the same again.
+A replay reads the lists of earlier batches only, and so writes the same again. ``retire``
+removes the folders that the newest list no longer names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from gleanery.operators.history import enrichment_history, upsert
+from gleanery.streaming.keyed import remove
 
 POINTER_SCHEMA = "batch bigint, bucket int, written bigint"
 VERSION = ("item_id", "version_id")
@@ -40,16 +42,25 @@ class VersionTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("item_id"), F.lit(self.buckets)).cast("int")
 
-    def pointers(self, before: int) -> dict[int, int]:
-        """The batch that last wrote each bucket, among batches before ``before``; one entry a bucket at most."""
+    def _lists(self, before: int, n: int) -> list[int]:
+        """The last ``n`` batches before ``before`` that wrote a list, newest first."""
         try:
-            lists = self.spark.read.schema(POINTER_SCHEMA).parquet(f"{self.folder}/pointers").where(F.col("batch") < before)
+            lists = self.spark.read.schema(POINTER_SCHEMA).parquet(f"{self.folder}/pointers")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return {}
-        newest = lists.agg(F.max("batch")).scalar()
-        return {r["bucket"]: r["written"] for r in lists.where(F.col("batch") == newest).collect()}
+            return []
+        found = lists.where(F.col("batch") < before).select("batch").distinct().orderBy(F.desc("batch")).limit(n)
+        return [r["batch"] for r in found.collect()]
+
+    def _listed(self, batch: int) -> dict[int, int]:
+        rows = self.spark.read.schema("bucket int, written bigint").parquet(f"{self.folder}/pointers/batch={batch}")
+        return {r["bucket"]: r["written"] for r in rows.collect()}
+
+    def pointers(self, before: int) -> dict[int, int]:
+        """The batch that last wrote each bucket, among batches before ``before``; one entry a bucket at most."""
+        newest = self._lists(before, 1)
+        return self._listed(newest[0]) if newest else {}
 
     def _open(self, named: dict[int, int], *kinds: str) -> DataFrame:
         """Rows of the named buckets; ``kinds`` are current and closed."""
@@ -100,6 +111,23 @@ class VersionTable:
             f"{self.folder}/{kind}/batch={batch_id}"
         )
 
+    def retire(self, batch_id: int) -> None:
+        """Remove what the batch before replaced, and the list that named it.
+
+        For a batch that has begun, so that the one before is committed and is not replayed.
+        Readers as of earlier batches no longer find their rows.
+        """
+        lists = self._lists(batch_id, 2)
+        if len(lists) < 2:
+            return
+        newest, before = lists
+        named = self._listed(newest)
+        for bucket, batch in self._listed(before).items():
+            if named.get(bucket) != batch:
+                for kind in ("current", "closed"):
+                    remove(self.spark, f"{self.folder}/{kind}/batch={batch}/bucket={bucket}")
+        remove(self.spark, f"{self.folder}/pointers/batch={before}")
+
     def current(self, before: int) -> DataFrame:
         """The newest version of every item after the batches before ``before``; reads no closed row."""
         return self._open(self.pointers(before), "current")

@@ -70,3 +70,24 @@ def test_replay_and_gaps(spark, tmp_path):
     asked = frame(spark, [("b1", 0, ""), ("b2", 0, ""), ("b5", 0, "")])
     assert sorted(r["key"] for r in log.lookup(asked, 6).collect()) == ["b1", "b2", "b5"]
     assert sorted(r["key"] for r in log.lookup(asked, 5).collect()) == ["b1", "b2"]
+
+
+def test_retired_segments_are_gone_and_nothing_is_lost(spark, tmp_path):
+    log = log_at(spark, tmp_path)
+    for batch in range(10):
+        log.retire(batch)
+        log.write(frame(spark, [(f"b{batch}", batch, "h"), ("each", batch, "h")]), batch)
+        assert {r["key"]: r["at"] for r in log.all(batch + 1).collect()} == {"each": 0, **{f"b{b}": b for b in range(batch + 1)}}
+    left = sorted(p.parent.name + "/" + p.name for p in (tmp_path / "log" / "rows").glob("level=*/number=*"))
+    assert left == ["level=0/number=9", "level=2/number=0"]
+    log.retire(9)
+    log.write(frame(spark, [("b9", 9, "h"), ("each", 9, "h")]), 9)      # the replay of a batch
+    assert log.all(10).count() == 11
+
+
+def test_retire_spares_segments_that_were_never_merged(spark, tmp_path):
+    log = log_at(spark, tmp_path)
+    for batch in (0, 1):                                                # batch 2 never ran
+        log.write(frame(spark, [(f"b{batch}", batch, "h")]), batch)
+    log.retire(3)
+    assert len(list((tmp_path / "log" / "rows").glob("level=0/number=*"))) == 2

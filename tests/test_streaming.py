@@ -152,6 +152,31 @@ def test_sync_state_follows_a_stream(spark, tmp_path):
     assert state["t"]["source_status"] == "error"
 
 
+def test_late_and_repeated_outcomes_give_the_state_of_the_ordered_log(spark, tmp_path):
+    import random
+
+    from gleanery.operators import capture
+
+    rng = random.Random(6)
+    schema = "source_id string, at timestamp, seq bigint, ok boolean, message string"
+    log = [
+        (rng.choice(["a", "b", "c", None]), AT + dt.timedelta(minutes=rng.randrange(30)), i, rng.random() < 0.5, f"m{i}")
+        for i in range(60)
+    ]
+    store = microbatch.Store(spark, str(tmp_path / "store"), buckets=2)
+    run = microbatch.sync_state_batch(store)
+    mixed = rng.sample(log, len(log)) + rng.sample(log, 12)
+    for batch in range(4):
+        rows = mixed[18 * batch:18 * batch + 18] if batch != 2 else []
+        for _ in range(2 if batch == 1 else 1):     # a replay
+            run(spark.createDataFrame(rows, schema), batch)
+    run(spark.createDataFrame(mixed[36:54], schema), 4)
+    known = capture.sync_state(spark.createDataFrame(log, schema)).where("source_id is not null")
+    found = microbatch.stored_sync_state(store).select(*known.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, known.collect()))
+    assert len(list((tmp_path / "store" / "sync_batches").glob("batch_id=*"))) == 1
+
+
 def test_selection_state_equals_the_full_rebuild(spark, tmp_path):
     """Ten batches with a small window: late originals demote stored candidates, and cut ones come back."""
     import random

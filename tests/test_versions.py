@@ -80,3 +80,17 @@ def test_replays_late_and_repeated_versions(spark, tmp_path):
     assert found == [(1, 0.1, None, True), (2, 0.9, 10, False)]
     table.add(frame(spark, []), 7)
     assert table.current(8).count() == 1
+
+
+def test_retired_folders_are_gone_and_nothing_is_lost(spark, tmp_path):
+    table = table_at(spark, tmp_path, buckets=2)
+    for batch in range(4):
+        table.retire(batch)
+        table.add(frame(spark, [(i, batch, batch, 0.0) for i in range(10)]), batch)
+    kept = sorted(p.parent.name + "/" + p.name for p in (tmp_path / "versions" / "current").glob("batch=*/bucket=*"))
+    assert kept == [f"batch={b}/bucket={k}" for b in (2, 3) for k in (0, 1)]
+    assert len(list((tmp_path / "versions" / "pointers").glob("batch=*"))) == 2
+    assert table.history(4).count() == 40 and table.current(4).where("version_id = 3").count() == 10
+    table.retire(3)
+    table.add(frame(spark, [(i, 3, 3, 0.0) for i in range(10)]), 3)     # the replay of a batch
+    assert table.history(4).count() == 40
