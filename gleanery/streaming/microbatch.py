@@ -25,6 +25,9 @@ from gleanery.sources import feeds
 from gleanery.streaming.keyed import KeyedLog, remove
 
 
+LOGS = ("identities", "canonical_urls", "dedupe_keys", "selectable_keys", "groups", "memberships")
+
+
 @dataclass(frozen=True)
 class Store:
     """Batch-partitioned tables under one folder that all executors share."""
@@ -400,6 +403,8 @@ def curation_batch(
     targets = notes.default_destinations(store.spark) if destinations is None else destinations
 
     def run(payloads: DataFrame, batch_id: int) -> None:
+        for name in LOGS:
+            store.keyed(name, StructType()).retire(batch_id)
         capture_batch(store, payloads, batch_id)
         knowledge_batch(store, runner, sources, batch_id)
         preserve_batch(store, targets, batch_id)
