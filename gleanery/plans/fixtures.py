@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleanery import fixed_values as V
 from gleanery.functions import text
 from gleanery.operators.groups import group_id
 from gleanery.session import tune
@@ -371,8 +372,12 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _json_safe(value: str) -> str:
+    return f"replace(replace(replace({value}, '\\\\', ' '), '\"', ' '), '\\n', ' ')"
+
+
 def _json_text(value: str) -> str:
-    return f"concat('\"', replace(replace(replace({value}, '\\\\', ' '), '\"', ' '), '\\n', ' '), '\"')"
+    return f"concat('\"', {_json_safe(value)}, '\"')"
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,11 +386,13 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = flat_documents(spark, sf_dir).selectExpr("*", f"{TITLE} as title")
     short = _json_text("substring(flat, 61, 140)")
     title = _json_text("coalesce(title, 'x')")
+    # What stands before the label is trimmed after quotes became spaces.
+    head = f"btrim({_json_safe("coalesce(title, 'x')")}, '{V.SPACE_TEXT}')"
     summary = (
         f"case {f} when 1 then '\"text\"' when 2 then '{{\"short\":5,\"long\":null}}'"
         f" when 3 then '{{\"short\":\"  \",\"long\":null}}' when 4 then concat('{{\"short\":', {short}, ',\"long\":7}}')"
         f" when 20 then concat('{{\"short\":', {title}, ',\"long\":null}}')"
-        f" when 21 then concat('{{\"short\":', {_json_text("concat(lower(coalesce(title, 'x')), ' - more')")}, ',\"long\":null}}')"
+        f" when 21 then concat('{{\"short\":', {_json_text(f"concat(lower({head}), ' - more')")}, ',\"long\":null}}')"
         f" else concat('{{\"short\":', {short}, ',\"long\":', case when doc_id % 2 = 0 then 'null' else '\" Long. \"' end, '}}') end"
     )
     classification = (

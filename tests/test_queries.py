@@ -66,3 +66,13 @@ def test_large_tables_are_narrowed_by_a_checked_broadcast(spark):
 def test_scans_read_only_needed_columns(spark, name, columns):
     read = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, name)))
     assert read and all(set(r.split(",")) <= set(columns.split(",")) for r in read)
+
+
+def test_labels_after_a_quoted_title_equal_sql(spark, tmp_path):
+    """A title cut right after a quote, before a label: the quote becomes a space, which is trimmed."""
+    made = tables(SF)
+    for name in ("documents", "labels"):
+        columns = "* replace (case doc_id % 23 when 21 then repeat('a \"b\" ', 9) || 'wordy\" more' else text end as text)"
+        made.execute(f"copy (select {columns if name == 'documents' else '*'} from {name}) to '{tmp_path}/{name}.parquet'")
+    missing, extra, count, problem = differences(spark, tables(str(tmp_path)), "enrichment_validate", str(tmp_path))
+    assert problem is None and count and not missing and not extra
