@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery.functions import dates, text
+from gleanery.functions.staging import with_once
 from gleanery.operators import chains
 from gleanery.operators.skew import SCATTER, lookup
 from gleanery.session import ensure_checkpoint_dir
 
-FOLD_LIMIT = 256     # entries of one batch decided by a single in-memory fold
+FOLD_LIMIT = 1 << 16     # entries of one batch decided by a single in-memory fold
 
 _SEP = "\u0002"
 
@@ -60,28 +61,44 @@ def flag_known(entries: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("known", known).select(*entries.columns, "known")
 
 
+def _numbered(key: str) -> Column:
+    """Numbers from 1 for the keys of a scope, null without one."""
+    return F.when(F.col(key).isNotNull(), F.dense_rank().over(Window.partitionBy("scope").orderBy(key)))
+
+
 def _fold_small(pairs: DataFrame) -> DataFrame:
-    """Greedy choice of batches small enough to sit in one row."""
-    row_ids = f"array<{pairs.schema['row_id'].dataType.simpleString()}>"
-    queue = F.array_sort(F.collect_list(F.struct("pos", "row_id", "ext_key", "url_key")))
-    start = F.struct(
-        F.array().cast("array<string>").alias("seen"), F.array().cast(row_ids).alias("kept")
-    )
+    """Greedy choice of batches small enough to sit in one row.
 
-    def step(state, entry):
-        keys = F.array_compact(F.array(entry["ext_key"], entry["url_key"]))
-        return F.when(F.arrays_overlap(state["seen"], keys), state).otherwise(
-            F.struct(
-                F.concat(state["seen"], keys).alias("seen"),
-                F.concat(state["kept"], F.array(entry["row_id"])).alias("kept"),
-            )
-        )
+    The walk keeps one byte for each key: taken or not. Looking one up takes no time,
+    and setting one copies at most ``fold_limit`` bytes, so no step searches a list of keys.
+    """
+    queue = F.array_sort(F.collect_list(F.struct("pos", "row_id", "ext", "url")))
+    none = F.repeat(F.lit("0"), F.size("queue") + 1).cast("binary")
+    yes, no = F.lit(b"1"), F.lit(b"0")
+    start = F.struct(none.alias("ext"), none.alias("url"), F.lit(b"").alias("verdicts"))
 
-    return (
-        pairs.groupBy("scope")
+    def taken(state, entry):
+        held = [F.coalesce(F.substring(state[k], entry[k], F.lit(1)) == yes, F.lit(False)) for k in ("ext", "url")]
+        return held[0] | held[1]
+
+    def marked(seen, place):
+        return F.when(place.isNull(), seen).otherwise(F.overlay(seen, yes, place, 1))
+
+    def step(state, entry):
+        after = [marked(state[k], entry[k]).alias(k) for k in ("ext", "url")]
+        return F.when(
+            taken(state, entry),
+            F.struct(state["ext"].alias("ext"), state["url"].alias("url"), F.concat(state["verdicts"], no).alias("verdicts")),
+        ).otherwise(F.struct(*after, F.concat(state["verdicts"], yes).alias("verdicts")))
+
+    queued = (
+        pairs.select("scope", "pos", "row_id", _numbered("ext_key").alias("ext"), _numbered("url_key").alias("url"))
+        .groupBy("scope")
         .agg(queue.alias("queue"))
-        .select(F.explode(F.aggregate("queue", start, step)["kept"]).alias("row_id"))
     )
+    walked = with_once(queued, verdicts=F.aggregate("queue", start, step)["verdicts"])
+    kept = F.filter("queue", lambda entry, place: F.substring("verdicts", place + 1, F.lit(1)) == yes)
+    return walked.select(F.explode(kept).alias("entry")).select("entry.row_id")
 
 
 def _choose(rows: DataFrame, fold_limit: int) -> DataFrame:

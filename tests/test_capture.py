@@ -176,3 +176,17 @@ def test_tangled_chains_equal_the_sequential_walk(spark, seed):
     frame = spark.createDataFrame(rows, ENTRY)
     kept = {row["row_id"] for row in capture.choose_unseen(frame, fold_limit=0).collect()}
     assert kept == {row_id for row_id, decision in sequential(rows, []).items() if decision == "kept"}
+
+
+def test_batches_of_thousands_are_walked_in_place(spark, monkeypatch):
+    """Chains and tangles of 3000 entries need no rounds; neighbours in feed order are not neighbours by key."""
+    monkeypatch.setattr(chains, "settle", lambda rows: pytest.fail("a round"))
+    rng = random.Random(5)
+    rows = alternating(2500)
+    for i in range(3000):
+        ext = None if rng.random() < 0.1 else f"e{rng.randrange(1500)}"
+        url = "hub" if rng.random() < 0.05 else None if rng.random() < 0.1 else f"u{rng.randrange(1500)}"
+        rows.append((10_000 + i, 2, 1, i, ext, url))
+    rng.shuffle(rows)
+    kept = {row["row_id"] for row in capture.choose_unseen(spark.createDataFrame(rows, ENTRY)).collect()}
+    assert kept == {row_id for row_id, decision in sequential(rows, []).items() if decision == "kept"}
