@@ -85,13 +85,15 @@ def contains_any(value: Column, words: tuple[str, ...]) -> Column:
 def first_group_number(value: Column, groups: Sequence[Sequence[str]]) -> Column:
     """Number of the first group with a whole word in the text, null if none.
 
-    One scan for the words of all groups.
+    The pattern is costly on long texts, so it runs only for groups of which some word
+    occurs anywhere at all, in order until one is found.
     """
-    numbers = {word: number for number, words in reversed(list(enumerate(groups))) for word in words}
-    pattern = V.WORD_START + "(" + "|".join(numbers) + ")" + V.WORD_END
-    found = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)))
-    table = F.create_map(*[F.lit(part) for pair in numbers.items() for part in pair])
-    return F.array_min(F.transform(found, lambda word: F.element_at(table, word)))
+
+    def whole(words: Sequence[str]) -> Column:
+        return value.rlike(V.WORD_START + "(?:" + "|".join(words) + ")" + V.WORD_END)
+
+    numbers = [F.when(contains_any(value, tuple(words)) & whole(words), F.lit(number)) for number, words in enumerate(groups)]
+    return F.coalesce(*numbers)
 
 
 # ---------------------------------------------------------------- titles

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery import fixed_values as V
 from gleanery.functions import text
+from gleanery.functions.staging import with_once
 
 
 def topic_from_title(title: Column) -> Column:
@@ -19,7 +20,8 @@ def classify(items: DataFrame, rules=V.CLASSIFICATION_RULES) -> DataFrame:
     """Add classification, topic and tags from an ordered rule list."""
     parts = [F.col(name) for name in ("source_topic", "title", "content_text")]
     haystack = F.lower(F.concat_ws(" ", *[F.when(text.is_present(part), part) for part in parts]))
-    found = items.withColumn("_rule", text.first_group_number(haystack, [rule[3] for rule in rules]))
+    words = [rule[3] for rule in rules]
+    found = with_once(items, _text=haystack).withColumn("_rule", text.first_group_number(F.col("_text"), words)).drop("_text")
 
     def of_rule(values: list[Column]) -> Column:
         return F.get(F.array(*values), F.col("_rule"))
