@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,9 +25,12 @@ PIECE_BYTES = 1 << 20    # text split into words at once
 TRIE_PHRASES = 250_000   # candidates of one trie
 KNOWN_PHRASES = 1_000_000    # hashes of shorter candidates, or frequent words, that are broadcast at most
 TRIE_BYTES = 32 << 20    # of those words
+HELD_WORDS = 1 << 22     # words of text whose phrases are counted before they are sent
+BUCKET_WORDS = 1 << 21   # words of text a range of hashes is for; bounds what one group adds up
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = "block long, lang string, words array<binary>, codes binary, lead int, n long"
+BLOCKS = "block long, lang string, words binary, codes binary, lead int, n long"
+SOURCE_BITS = 32         # of a block's number, below that of the partition it comes from
 SLICE = 512              # candidates whose counts travel together
 COUNTS = "lang string, phrase binary, a long"
 BORDER = b"\n"
@@ -87,22 +91,40 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = cut
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, first the lowest bytes of all and last the highest."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
+
+
+def _loose(content: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(content), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _block_row(number: int, lang: str, words: list[bytes], codes: np.ndarray, lead: int, n: int) -> pa.RecordBatch:
+    listed = zstandard.compress(BORDER.join(words), 1)          # no word holds a border
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number]), pa.array([lang]), pa.array([listed], pa.binary()),
+            pa.array([_squeezed(codes.astype("<i4"))], pa.binary()), pa.array([lead], pa.int32()), pa.array([n], pa.int64()),
+        ],
+        names=["block", "lang", "words", "codes", "lead", "n"],
+    )
+
+
 def word_blocks(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, lang, words, codes, lead, n): texts of a language as numbers of the block's own distinct words."""
+    """(block, lang, words, codes, lead, n): texts of a language as numbers of the block's own distinct words.
+
+    Words and codes are compressed, as they are stored and read once a level.
+    """
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Buffer] = {}
-        number = itertools.count(TaskContext.get().partitionId() << 32)
+        number = itertools.count(TaskContext.get().partitionId() << SOURCE_BITS)
 
         def row(lang: str) -> pa.RecordBatch:
             words, codes = held[lang].block()
             n = int(np.count_nonzero(codes[held[lang].lead:]))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([next(number)]), pa.array([lang]), pa.array([words], pa.list_(pa.binary())),
-                    pa.array([codes.astype("<i4").tobytes()]), pa.array([held[lang].lead], pa.int32()), pa.array([n], pa.int64()),
-                ],
-                names=["block", "lang", "words", "codes", "lead", "n"],
-            )
+            return _block_row(next(number), lang, words, codes, held[lang].lead, n)
 
         total = 0
         for batch in batches:
@@ -147,8 +169,9 @@ class _Block:
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
         for i in range(len(batch)):
-            number, lang, words, codes, lead, n = (batch.column(c)[i] for c in range(6))
-            yield _Block(number.as_py(), lang.as_py(), words.as_py(), np.frombuffer(codes.as_buffer(), "<i4"), lead.as_py(), n.as_py())
+            number, lang, words, codes, lead, n = (batch.column(c)[i].as_py() for c in range(6))
+            listed = zstandard.decompress(words)
+            yield _Block(number, lang, listed.split(BORDER) if listed else [], _loose(codes, "<i4"), lead, n)
 
 
 def _rows(langs: list[str], phrases: list[bytes], counts) -> pa.RecordBatch:
@@ -187,13 +210,7 @@ def frequent_words_only(blocks: DataFrame, frequent: DataFrame, limit: int) -> D
             stay = [i for i, w in enumerate(b.words) if w in own]
             renamed = np.zeros(len(b.words) + 1, "<i4")
             renamed[np.array(stay, int) + 1] = np.arange(1, len(stay) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b.number]), pa.array([b.lang]), pa.array([[b.words[i] for i in stay]], pa.list_(pa.binary())),
-                    pa.array([renamed[b.codes].tobytes()]), pa.array([b.lead], pa.int32()), pa.array([b.n], pa.int64()),
-                ],
-                names=["block", "lang", "words", "codes", "lead", "n"],
-            )
+            yield _block_row(b.number, b.lang, [b.words[i] for i in stay], renamed[b.codes], b.lead, b.n)
 
     return staged(blocks.mapInArrow(keep, BLOCKS))
 
@@ -229,43 +246,91 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _heavy_hashes(blocks: DataFrame, length: int, shorter) -> DataFrame:
-    """(h, block) with LEAST phrases of ``length`` words or more, and the first block that has one.
+def _edges(buckets: int) -> np.ndarray:
+    """First hash of each of ``buckets`` ranges of equal size."""
+    return np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
 
-    No frequent phrase is missed, unless two share a 64-bit hash, and few others are in.
+
+def _hash_counts(blocks: DataFrame, length: int, shorter, buckets: int, held_words: int) -> DataFrame:
+    """(bucket, source, hashes, n): how often each hash occurs in some blocks of a partition of ``word_blocks``.
+
+    Hashes of a bucket are in order and stand as compressed differences, which take half of the bytes.
     """
+    edges = _edges(buckets)
+
+    def packed(source: int, hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(hashes), return_counts=True)
+        cuts = [*np.searchsorted(found, edges).tolist(), len(found)]
+        for at in range(0, buckets, SLICE):
+            own = [i for i in range(at, min(at + SLICE, buckets)) if cuts[i] < cuts[i + 1]]
+            parts = [slice(cuts[i], cuts[i + 1]) for i in own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own, pa.int32()), pa.array([source] * len(own), pa.int64()),
+                    pa.array([_squeezed(np.diff(found[p], prepend=edges[i])) for i, p in zip(own, parts)], pa.binary()),
+                    pa.array([_squeezed(n[p].astype("<u4")) for p in parts], pa.binary()),
+                ],
+                names=["bucket", "source", "hashes", "n"],
+            )
 
     def count(batches):
+        held, size, source = [], 0, None
         for b in _blocks(batches):
-            _, hashes = _starts(b, length, None if shorter is None else shorter.value[0])
-            found, n = np.unique(hashes, return_counts=True)
-            for at in range(0, len(found), 100_000):
-                part = found[at:at + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(n[at:at + 100_000]), pa.array(np.full(len(part), b.number))], names=["h", "n", "block"]
-                )
+            if held and (size >= held_words or b.number >> SOURCE_BITS != source):
+                yield from packed(source, held)
+                held, size = [], 0
+            source = b.number >> SOURCE_BITS
+            held.append(_starts(b, length, None if shorter is None else shorter.value[0])[1])
+            size += len(held[-1])
+        if held:
+            yield from packed(source, held)
+
+    return blocks.mapInArrow(count, "bucket int, source long, hashes binary, n binary")
+
+
+def _heavy_hashes(counted: DataFrame, buckets: int) -> DataFrame:
+    """(h, source) of hashes that occur LEAST times or more, and a partition of ``word_blocks`` that has one.
+
+    No frequent phrase is missed, unless two share a 64-bit hash, and few others are in.
+    """
+    edges = _edges(buckets)
+
+    def add(part: pa.Table) -> pa.Table:
+        first = edges[part.column("bucket")[0].as_py()]
+        values = [first + np.cumsum(_loose(h.as_py(), "<u8"), dtype=np.uint64) for h in part.column("hashes")]
+        sources = np.repeat(part.column("source").to_numpy(), [len(v) for v in values])
+        values, n = np.concatenate(values), np.concatenate([_loose(c.as_py(), "<u4") for c in part.column("n")])
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        seen = starts[np.add.reduceat(n[order].astype(np.int64), starts) >= LEAST]
+        return pa.table({"h": values[seen].view(np.int64), "source": sources[order[seen]]})
 
-    counted = blocks.mapInArrow(count, "h long, n long, block long")
-    summed = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("block").alias("block"))
-    return staged(summed.where(F.col("n") >= LEAST).select("h", "block"))
+    return staged(counted.groupBy("bucket").applyInArrow(add, "h long, source long"))
 
 
 def _held(hashes: DataFrame):
-    """Broadcast arrays of the hashes, in order, and of their blocks."""
-    found = hashes.select("h", "block").toArrow()
+    """Broadcast arrays of the hashes, in order, and of their sources."""
+    found = hashes.select("h", "source").toArrow()
     values, owners = (found.column(c).to_numpy().astype(np.int64) for c in range(2))
     order = np.argsort(values.view(np.uint64))
     return hashes.sparkSession.sparkContext.broadcast((values.view(np.uint64)[order], owners[order]))
 
 
 def _candidates(blocks: DataFrame, length: int, heavy) -> DataFrame:
-    """(lang, phrase) of every hash of ``heavy``, from the block that it names."""
+    """(lang, phrase) of every hash of ``heavy``, from the partition that it names."""
 
     def find(batches):
+        source, own = None, None
         for b in _blocks(batches):
-            own = heavy.value[0][heavy.value[1] == b.number]
+            if b.number >> SOURCE_BITS != source:
+                source = b.number >> SOURCE_BITS
+                own = heavy.value[0][heavy.value[1] == source]
+            if not len(own):
+                continue
             place, hashes = _starts(b, length, None)
             good = _within(hashes, own)
+            own = own[~_within(own, np.unique(hashes[good]))]       # found here, so not looked for any more
             first = place[good][np.unique(hashes[good], return_index=True)[1]]
             phrases = [b" ".join(b.words[c - 1] for c in b.codes[i:i + length]) for i in first]
             yield _rows([b.lang] * len(phrases), phrases, np.zeros(len(phrases), np.int64))
@@ -300,7 +365,10 @@ def _counted(blocks: DataFrame, trie) -> DataFrame:
     return shards.groupBy("at").applyInArrow(add, COUNTS)
 
 
-def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int = KNOWN_PHRASES) -> DataFrame:
+def frequent_phrases(
+    blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int = KNOWN_PHRASES,
+    bucket_words: int = BUCKET_WORDS, held_words: int = HELD_WORDS,
+) -> DataFrame:
     """(lang, phrase, a, words) of every phrase of 1 to LONGEST words with LEAST occurrences.
 
     Level by level. Summed hash counts leave the candidates: phrases both of whose
@@ -311,9 +379,10 @@ def frequent_phrases(blocks: DataFrame, *, limit: int = TRIE_PHRASES, known: int
     frequent = staged(word_counts(blocks).where(F.col("a") >= LEAST))
     levels = [frequent.withColumn("words", F.lit(1))]
     text = frequent_words_only(blocks, frequent, known)
+    buckets = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // bucket_words))
     shorter = None                              # level 2 needs no list: the text holds frequent words only
     for length in range(2, LONGEST + 1):
-        heavy = _heavy_hashes(text, length, shorter)
+        heavy = _heavy_hashes(_hash_counts(text, length, shorter, buckets, held_words), buckets)
         n = heavy.count()
         shards = -(-n // limit)
         for shard in range(shards):

@@ -64,6 +64,24 @@ def test_equals_brute_force(spark, how):
     assert found(spark, rows, **how) == expected
 
 
+@pytest.mark.parametrize("how", [{"bucket_words": 500}, {"block_words": 100, "bucket_words": 90, "held_words": 150}])
+def test_hashes_counted_in_buckets_equal_brute_force(spark, how):
+    rows = sample(5)
+    assert found(spark, rows, **how) == brute(rows)
+
+
+def test_stored_blocks_and_sent_hashes_are_small(spark):
+    draw = random.Random(2)
+    texts = [(" ".join(f"word{int(draw.paretovariate(0.7))}" for _ in range(2000)), "en") for _ in range(40)]
+    blocks = phrases.word_blocks(spark.createDataFrame(texts, "text string, lang string").coalesce(1))
+    stored = blocks.selectExpr("octet_length(words) + octet_length(codes) as size", "n").agg({"size": "sum", "n": "sum"}).first()
+    assert stored["sum(n)"] == 80_000 and stored["sum(size)"] < 4 * 80_000      # four bytes a code and more before
+    counted = phrases._hash_counts(blocks, 2, None, 3, 1 << 20).collect()
+    hashes = [phrases._loose(r["hashes"], "<u8") for r in counted]
+    sent = sum(len(r["hashes"]) + len(r["n"]) for r in counted)
+    assert sum(map(len, hashes)) > 5_000 and sent < 9 * sum(map(len, hashes))      # three longs each before
+
+
 def test_top_of_each_language(spark):
     rows = sample(3)
     assert found(spark, rows, first=3) == brute(rows, first=3)
