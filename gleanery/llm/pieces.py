@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sized
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ MODEL = "piece_bpe_32k.model"
 MODEL_FOLDER = "/opt/tokenizers"
 THREADS = 2                    # of one encode call; the cores a task may use
 BATCH_BYTES = 1 << 18          # text encoded at once; bounds what the library holds
+WORD_LETTERS = 1 << 22         # letters of the words whose ids are kept for the next texts, and a batch more
 
 # fixed values of the format
 UNIGRAM, BPE = 1, 2
@@ -118,12 +120,76 @@ class Pieces:
         self.surface = parse(content).trainer_spec.unk_surface
         spelling = {f"<0x{byte:02X}>" for byte in MARK.encode()}
         self.mark_bytes = {i for i, piece in enumerate(kinds) if piece.type == BYTE and piece.piece in spelling}
+        spec = parse(content).normalizer_spec
+        changes = spec.precompiled_charsmap or spec.remove_extra_whitespaces
+        self.by_word = (
+            self.tokenizer.pre_tokenizer is not None and spec.add_dummy_prefix and spec.escape_whitespaces and not changes
+        )
+        self.starts = np.array([piece.piece.startswith(MARK) for piece in kinds])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keep no words."""
+        self.known: dict[str, int] = {}             # numbers of words
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)      # of all their ids, in order
+        self.letters = 0
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of ``words``: those of one text of them all, cut where a piece starts with a mark."""
+        ids = np.array(self._whole([" ".join(words)])[0], np.int32)
+        ends = np.append(np.flatnonzero(self.starts[ids]), len(ids))
+        if len(ends) == len(words) + 1 and ends[0] == 0:
+            ends = ends[1:]
+        else:                                       # a word whose pieces do not tell where it starts
+            found = self._whole(words)
+            ids = np.array(list(chain.from_iterable(found)), np.int32)
+            ends = np.cumsum([len(f) for f in found])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ends = np.concatenate([self.ends, ends + self.ends[-1]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.letters += sum(map(len, words))
+
+    def _by_words(self, split: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts given as words, each distinct one encoded once as long as it is kept."""
+        words = set(chain.from_iterable(split))
+        if self.letters > WORD_LETTERS:
+            self._forget()
+        new = words.difference(self.known)
+        if new:
+            self._learn(list(new))
+        total = sum(map(len, split))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, total)
+        starts, sizes = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+        return np.split(ids, upto[np.cumsum([len(row) for row in split])[:-1]])
+
+    def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, list[int], bool]]:
+        """(ids, the same as list, parity): the tokenizers library's ids, and whether SentencePiece gives the same.
+
+        The model sees one word at a time, and the prefix makes a word after one space the same as a text of its
+        own: texts with single spaces are put together from words. SentencePiece encodes every text as a whole;
+        where its ids differ, the tokenizers library encodes the whole text too, and that counts.
+        """
+        theirs = self.judge.encode(texts, num_threads=self.threads)
+        split = [t.split(" ") if self.by_word and MARK not in t else [""] for t in texts]
+        single = [at for at, words in enumerate(split) if "" not in words]
+        out: list = [None] * len(texts)
+        if single:
+            for at, ids in zip(single, self._by_words([split[at] for at in single]), strict=True):
+                if np.array_equal(ids, np.array(theirs[at], np.int32)):
+                    out[at] = (ids, theirs[at], True)
+        rest = [at for at, row in enumerate(out) if row is None]
+        for at, ids in zip(rest, self._whole([texts[at] for at in rest]), strict=True):
+            out[at] = (np.array(ids, np.int32), ids, ids == theirs[at])
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """(ids, parity): the tokenizers library's ids, and whether SentencePiece gives the same."""
-        mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.judge.encode(texts, num_threads=self.threads)
-        return [(a, a == b) for a, b in zip(mine, theirs, strict=True)]
+        """(ids, parity) of ``encode_arrays``."""
+        return [(ids, same) for _, ids, same in self.encode_arrays(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of the ids by the tokenizers library.
@@ -141,11 +207,11 @@ class Pieces:
                 texts[at] = self.exact.decode(pieces)
         return texts
 
-    def checked(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
-        """(ids, parity, round_trip): as ``encode``, and whether the ids decode to the text."""
-        found = self.encode(texts)
-        back = self.decode([ids for ids, _ in found])
-        return [(ids, same, text == again) for (ids, same), text, again in zip(found, texts, back, strict=True)]
+    def checked(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round_trip): as ``encode_arrays``, and whether the ids decode to the text."""
+        found = self.encode_arrays(texts)
+        back = self.decode([ids for _, ids, _ in found])
+        return [(ids, same, text == again) for (ids, _, same), text, again in zip(found, texts, back, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -188,11 +254,10 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
         pieces = _pieces(shared.value, threads)
         lists, sizes, digests, parity, same = [], [], [], [], []
         for group in groups([t or "" for t in texts.to_pylist()]):
-            for numbers, agree, back in pieces.checked(group):
-                array = np.array(numbers, "<i4")
+            for array, agree, back in pieces.checked(group):
                 lists.append(array if ids else None)
                 sizes.append(len(array))
-                digests.append(hashlib.sha256(array.tobytes()).hexdigest())
+                digests.append(hashlib.sha256(array.astype("<i4").tobytes()).hexdigest())
                 parity.append(agree)
                 same.append(back)
         return pa.StructArray.from_arrays(

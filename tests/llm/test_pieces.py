@@ -41,6 +41,26 @@ def test_ids_are_those_of_the_other_library(given):
     assert [a == b or "▁" in a for a, b in zip(TEXTS, back)] == [True] * len(TEXTS)
 
 
+@pytest.mark.parametrize("letters", [pieces.WORD_LETTERS, 5])
+def test_words_are_encoded_once_while_they_are_kept(monkeypatch, letters):
+    monkeypatch.setattr(pieces, "WORD_LETTERS", letters)
+    for content in (pieces.read_model(), unigram(add_dummy_prefix=True, escape_whitespaces=True)):
+        both, sent = pieces.Pieces(content), []
+        real = both.tokenizer
+
+        class Recorder:
+            def encode_batch_fast(self, texts, **how):
+                sent.extend(texts)
+                return real.encode_batch_fast(texts, **how)
+
+        both.tokenizer = Recorder()
+        texts = [*TEXTS, " lead", "trail ", "zebra", "the zebra\nand zebra é日本 zebra", "a \t b", "é é"]
+        for given in (texts, [], [""], texts[::-1], texts * 2):
+            assert [i for i, _ in both.encode(given)] == [real.encode(t, add_special_tokens=False).ids for t in given]
+        if letters > 5 and content == pieces.read_model():       # the other one's libraries differ, so it sees whole texts too
+            assert " ".join(sent).split(" ").count("zebra") == 1
+
+
 def test_decoding_equals_replacing_marks_piece_by_piece(given):
     dice = np.random.default_rng(4)
     token = given.tokenizer.token_to_id
