@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from gleanery.llm import mixing, pieces, simhash, substrings, toxicity
-from gleanery.llm.common import table
+from gleanery.llm.common import bounded_row_groups, table
 from gleanery.session import ensure_checkpoint_dir
 
 CHECKS: dict[str, Observation] = {}   # counts of rows and of failed checks by stage, once its result is stored
@@ -29,12 +29,14 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights of their sources, some twice."""
+    """Documents drawn to the target weights of their sources, some twice; a shard is one large file."""
+    bounded_row_groups(spark)
     return mixing.mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, each encoded by two libraries and decoded again."""
+    bounded_row_groups(spark)
     CHECKS["sentencepiece"] = seen = Observation()
     return pieces.tokenized(docs, seen=seen)
 

@@ -126,9 +126,9 @@ class Pieces:
             self.tokenizer.pre_tokenizer is not None and spec.add_dummy_prefix and spec.escape_whitespaces and not changes
         )
         self.starts = np.array([piece.piece.startswith(MARK) for piece in kinds])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Keep no words."""
         self.known: dict[str, int] = {}             # numbers of words
         self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)      # of all their ids, in order
@@ -156,7 +156,7 @@ class Pieces:
         """Ids of texts given as words, each distinct one encoded once as long as it is kept."""
         words = set(chain.from_iterable(split))
         if self.letters > WORD_LETTERS:
-            self._forget()
+            self.forget()
         new = words.difference(self.known)
         if new:
             self._learn(list(new))
@@ -237,6 +237,31 @@ def read_model(path: str | None = None) -> bytes:
         return file.read()
 
 
+def encoded_batches(pieces: Pieces, batches: Iterable[pa.Array], ids: bool = True) -> Iterator[pa.Array]:
+    """Structs of ``encoded`` for the texts of a task; its words go with it, as workers live on and take turns."""
+    try:
+        for texts in batches:
+            release()
+            lists, sizes, digests, parity, same = [], [], [], [], []
+            for group in groups([t or "" for t in texts.to_pylist()]):
+                for array, agree, back in pieces.checked(group):
+                    lists.append(array if ids else None)
+                    sizes.append(len(array))
+                    digests.append(hashlib.sha256(array.astype("<i4").tobytes()).hexdigest())
+                    parity.append(agree)
+                    same.append(back)
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array(lists, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
+                    pa.array(parity, pa.bool_()), pa.array(same, pa.bool_()),
+                ],
+                names=["ids", "n_tokens", "ids_sha256", "parity", "round_trip"],
+            )
+    finally:
+        pieces.forget()
+        release()
+
+
 def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, ids: bool = True) -> DataFrame:
     """``docs`` (text, ...) with struct ``_encoded``: ids, n_tokens, ids_sha256, parity, round_trip.
 
@@ -249,24 +274,8 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
     shared = docs.sparkSession.sparkContext.broadcast(read_model(path))  # one model file, whatever the input
 
     @F.arrow_udf("struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,parity:boolean,round_trip:boolean>")
-    def encode(texts: pa.Array) -> pa.Array:
-        release()
-        pieces = _pieces(shared.value, threads)
-        lists, sizes, digests, parity, same = [], [], [], [], []
-        for group in groups([t or "" for t in texts.to_pylist()]):
-            for array, agree, back in pieces.checked(group):
-                lists.append(array if ids else None)
-                sizes.append(len(array))
-                digests.append(hashlib.sha256(array.astype("<i4").tobytes()).hexdigest())
-                parity.append(agree)
-                same.append(back)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(lists, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
-                pa.array(parity, pa.bool_()), pa.array(same, pa.bool_()),
-            ],
-            names=["ids", "n_tokens", "ids_sha256", "parity", "round_trip"],
-        )
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from encoded_batches(_pieces(shared.value, threads), batches, ids)
 
     return docs.withColumn("_encoded", encode("text"))
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import Observation
@@ -61,6 +62,23 @@ def test_words_are_encoded_once_while_they_are_kept(monkeypatch, letters):
             assert " ".join(sent).split(" ").count("zebra") == 1
 
 
+def test_a_worker_keeps_no_words_of_a_task(given):
+    batches = [pa.array([*TEXTS, None]), pa.array([], pa.string()), pa.array(["The zebra."])]
+    kept, found = [], []
+    for batch in pieces.encoded_batches(given, batches):
+        kept.append(len(given.known))
+        found += batch.field("ids").to_pylist()
+    assert found == [i for i, _ in given.encode([*TEXTS, "", "The zebra."])]
+    given.forget()
+    assert kept[0] and kept[2] > kept[0]
+    task = pieces.encoded_batches(given, iter(batches))
+    assert next(task) and given.known
+    task.close()
+    assert not given.known and len(given.ids) == 0 and given.letters == 0
+    assert list(pieces.encoded_batches(given, batches)) and not given.known
+    assert list(pieces.encoded_batches(given, [])) == []
+
+
 def test_decoding_equals_replacing_marks_piece_by_piece(given):
     dice = np.random.default_rng(4)
     token = given.tokenizer.token_to_id

@@ -2,10 +2,11 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from gleanery.llm import toxicity
+from gleanery.llm import common, toxicity
 from gleanery.llm.common import table
 from tests.llm.test_repeats import brute_bytes
 from tests.llm.test_simhash import brute_print
@@ -61,3 +62,21 @@ def test_substrings_mix_and_tokens(stages):
 def test_run_gives_what_the_stages_give(spark, stages):
     found = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, found.collect())) == sorted(map(str, stages[-1].collect()))
+
+
+def test_large_shards_are_stored_in_small_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "ROW_GROUP_BYTES", 1 << 19)
+    text = "array_join(transform(sequence(1, 800), i -> hex(xxhash64(id, i))), ' ')"
+    docs = spark.range(400).selectExpr("id as doc_id", f"{text} as text", "'x' as lang", "'s' as source", "1 as n_chars")
+    try:
+        for name, stage in corpus_pipeline.STAGES[3:]:
+            path, before = tmp_path / name, docs
+            stage(spark, docs, SF).write.parquet(str(path))
+            docs = spark.read.parquet(str(path))
+            files = [pq.ParquetFile(p).metadata for p in path.glob("*.parquet")]
+            groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+            sizes = [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups]
+            assert sum(sizes) > 4 * common.ROW_GROUP_BYTES and max(sizes) <= 4 * common.ROW_GROUP_BYTES
+        assert docs.count() == before.count() > 400
+    finally:
+        spark.conf.unset("parquet.block.size")
