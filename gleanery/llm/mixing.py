@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import bounded_batches, packed, staged, unpacked
+from gleanery.llm.common import bounded_batches, packed, release, staged, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5              # words of the mix over words there are
@@ -18,6 +18,7 @@ MOST = 2                 # passes over a source at most
 BLOCK_WORDS = 1 << 14
 RUN_BLOCKS = 4096        # blocks whose words one window task adds up
 SHARD_WORDS = 1 << 24
+SLICE_BITS = 3           # a shard is sorted and stored in 8 slices of its order, each by a task of its own
 ORDERS = 64              # permutations tried for a source's last, partly taken block
 SEED = 20_240
 SMALL_SOURCES = 100_000  # source rows (name and three numbers) broadcast at most
@@ -28,6 +29,7 @@ def size_column(text: str) -> Column:
 
     @F.arrow_udf("long")
     def words(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([len(t.split()) if t else 0 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
     return words(F.col(text))
@@ -113,7 +115,14 @@ def assigned(
     share: float = SHARE,
     seed: int = SEED,
 ) -> DataFrame:
-    """``sized`` plus ``_draws`` (array of pass and shard), ``_source_size`` and ``_target``.
+    """The rows of ``sharded``."""
+    return sharded(sized, source, size, weights, share, seed)[0]
+
+
+def sharded(
+    sized: DataFrame, source: str, size: str, weights: Sequence[float], share: float, seed: int
+) -> tuple[DataFrame, int]:
+    """``sized`` plus ``_draws`` (array of pass and shard), ``_source_size`` and ``_target``; number of shards.
 
     Every source is cut into blocks of about ``BLOCK_WORDS`` words by a hash, so also a source
     with most of the rows spreads over many blocks, however large it is. Its quota is whole blocks in block
@@ -204,24 +213,29 @@ def assigned(
         F.coalesce("_plan", F.array().cast("array<struct<pass:int,shard:bigint,whole:boolean,flip:bigint,cutoff:bigint>>")),
         lambda d: d["whole"] | F.coalesce(F.col("_number").bitwiseXOR(d["flip"]) <= d["cutoff"], F.lit(False)),
     )
-    return (
+    found = (
         placed.join(plan, ["_key", "_block"], "left")
         .withColumn("_draws", F.transform(taken, lambda d: F.struct(d["pass"], d["shard"])))
         .select(*sized.columns, F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_draws")
     )
+    return found, shards
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """The mixed rows of ``docs`` (doc_id, source, text, ...): a row for each draw.
 
-    Rows of a shard stand together, shuffled by a hash of the draw. All columns are kept.
+    Rows of a shard stand together, shuffled by a hash of the draw, in partitions that follow
+    one another. All columns are kept.
     """
     needed = ("doc_id", "source", "text")
     sized = packed(docs, *needed).withColumn("_size", size_column("text"))
-    drawn = assigned(sized, weights=weights, share=share, seed=seed).withColumn("_draw", F.explode("_draws"))
+    rows, shards = sharded(sized, "source", "_size", weights, share, seed)
+    drawn = rows.withColumn("_draw", F.explode("_draws"))
     order = F.xxhash64(F.lit(seed), F.col("_draw.pass"), F.col("_draw.shard"), F.col("doc_id"))
+    slices = 1 << SLICE_BITS
+    part = F.col("_draw.shard") * slices + F.shiftright(order, 64 - SLICE_BITS) + slices // 2
     return unpacked(
-        drawn.repartition(F.col("_draw.shard")).sortWithinPartitions(F.col("_draw.shard"), order, "doc_id"),
+        drawn.repartitionById(shards * slices, part.cast("int")).sortWithinPartitions(F.col("_draw.shard"), order, "doc_id"),
         docs.columns, *needed,
     )
 

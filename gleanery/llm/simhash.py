@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import bounded_batches, hex64, packed, staged, unpacked
+from gleanery.llm.common import bounded_batches, hex64, packed, release, staged, unpacked
 from gleanery.llm.components import connected_components
 
 SEED = 42
@@ -50,6 +50,7 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 def fingerprint_column(text: str, size: int = 3) -> Column:
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([fingerprint(t, size) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
     return simhash(F.col(text))

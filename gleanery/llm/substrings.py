@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import exchange
-from gleanery.llm.common import packed, unpacked
+from gleanery.llm.common import packed, release, unpacked
 from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, pack, short_keys, units, unpack
 from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -467,6 +467,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.arrow_udf("string")
     def characters(kept: pa.Array) -> pa.Array:
+        release()
         return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
     found = without_repeats(packed(docs, "doc_id", "text"), length)

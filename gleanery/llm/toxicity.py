@@ -217,6 +217,7 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Col
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([shared.value.score(t) for t in texts.to_pylist()], pa.float64())
 
     return score(F.col(text))

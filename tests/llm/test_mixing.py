@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import mixing
 
@@ -92,3 +93,15 @@ def test_tree_gives_disjoint_exact_quotas(shards):
     for (start, quota), (following, _) in zip(parts, parts[1:]):
         assert np.array_equal(start + quota, following)
     assert max(q.sum() for _, q in parts) - min(q.sum() for _, q in parts) <= shards.bit_length()
+
+
+def test_a_shard_is_sorted_in_slices_that_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    docs = spark.range(3000).selectExpr("id as doc_id", "'s' as source", "repeat('a ', 10) as text")
+    drawn = mixing.assigned(docs.withColumn("_size", F.lit(10).cast("long"))).withColumn("d", F.explode("_draws"))
+    order = F.xxhash64(F.lit(mixing.SEED), "d.pass", "d.shard", "doc_id")
+    wanted = [r.doc_id for r in drawn.orderBy("d.shard", order, "doc_id").collect()]
+    rows = mixing.mix(docs).withColumn("part", F.spark_partition_id()).collect()
+    parts = [r.part for r in rows]
+    assert [r.doc_id for r in rows] == wanted and len(wanted) > 4000
+    assert max(map(parts.count, set(parts))) < 400
