@@ -237,8 +237,10 @@ def read_model(path: str | None = None) -> bytes:
         return file.read()
 
 
-def encoded_batches(pieces: Pieces, batches: Iterable[pa.Array], ids: bool = True) -> Iterator[pa.Array]:
-    """Structs of ``encoded`` for the texts of a task; its words go with it, as workers live on and take turns."""
+def encoded_batches(
+    pieces: Pieces, batches: Iterable[pa.Array], ids: bool = True, keep_words: bool = False
+) -> Iterator[pa.Array]:
+    """Structs of ``encoded`` for the texts of a task; without ``keep_words`` its words go when it ends."""
     try:
         for texts in batches:
             release()
@@ -258,11 +260,14 @@ def encoded_batches(pieces: Pieces, batches: Iterable[pa.Array], ids: bool = Tru
                 names=["ids", "n_tokens", "ids_sha256", "parity", "round_trip"],
             )
     finally:
-        pieces.forget()
-        release()
+        if not keep_words:      # where earlier steps left more workers than tasks, which take turns
+            pieces.forget()
+            release()
 
 
-def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, ids: bool = True) -> DataFrame:
+def encoded(
+    docs: DataFrame, path: str | None = None, threads: int = THREADS, ids: bool = True, keep_words: bool = True
+) -> DataFrame:
     """``docs`` (text, ...) with struct ``_encoded``: ids, n_tokens, ids_sha256, parity, round_trip.
 
     The ids are the tokenizers library's. parity: SentencePiece gives the same ids.
@@ -275,7 +280,7 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = THREADS, id
 
     @F.arrow_udf("struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,parity:boolean,round_trip:boolean>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from encoded_batches(_pieces(shared.value, threads), batches, ids)
+        yield from encoded_batches(_pieces(shared.value, threads), batches, ids, keep_words)
 
     return docs.withColumn("_encoded", encode("text"))
 
@@ -291,7 +296,7 @@ def tokenized(
     and without round trip, whenever the result is computed. A column that has the name
     of a new one is replaced.
     """
-    found = encoded(packed(docs, "text"), path, threads)
+    found = encoded(packed(docs, "text"), path, threads, keep_words=False)
     if seen is not None:
         found = found.observe(
             seen, F.count(F.lit(1)).alias("rows"),
