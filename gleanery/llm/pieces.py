@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator, Sized
+from collections.abc import Iterable, Iterator, Sequence, Sized
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from gleanery.llm.common import bounded_batches, packed, release
@@ -82,7 +83,7 @@ def build(content: bytes):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     # marks are replaced once in the joined text, which differs only where bytes spell the mark: see exact_decoder
     tokenizer.decoder = decoders.Sequence(
-        [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *_strip(spec)]
+        [decoders.ByteFallback(), decoders.Fuse(), decoders.Metaspace(MARK, "never"), *_strip(spec)]
     )
     return tokenizer
 
@@ -125,6 +126,8 @@ class Pieces:
         self.by_word = (
             self.tokenizer.pre_tokenizer is not None and spec.add_dummy_prefix and spec.escape_whitespaces and not changes
         )
+        self.watched = np.zeros(len(kinds), bool)
+        self.watched[sorted(self.unknown | self.control | self.mark_bytes)] = True
         self.starts = np.array([piece.piece.startswith(MARK) for piece in kinds])
         self.forget()
 
@@ -152,55 +155,63 @@ class Pieces:
         self.ids = np.concatenate([self.ids, ids])
         self.letters += sum(map(len, words))
 
-    def _by_words(self, split: list[list[str]]) -> list[np.ndarray]:
-        """Ids of texts given as words, each distinct one encoded once as long as it is kept."""
-        words = set(chain.from_iterable(split))
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with single spaces, each distinct word looked up once and encoded once as long as it is kept."""
         if self.letters > WORD_LETTERS:
             self.forget()
-        new = words.difference(self.known)
-        if new:
-            self._learn(list(new))
-        total = sum(map(len, split))
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, total)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn(distinct[new].tolist())
+        number = number[words.indices.to_numpy()]
         starts, sizes = self.ends[number], self.ends[number + 1] - self.ends[number]
         upto = np.append(0, np.cumsum(sizes))
         ids = self.ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
-        return np.split(ids, upto[np.cumsum([len(row) for row in split])[:-1]])
+        return np.split(ids, upto[split.offsets.to_numpy()[1:-1]])
 
-    def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, list[int], bool]]:
-        """(ids, the same as list, parity): the tokenizers library's ids, and whether SentencePiece gives the same.
+    def _single(self, text: str) -> bool:
+        """The text can be put together from words."""
+        return self.by_word and text != "" and text[0] != " " != text[-1] and "  " not in text and MARK not in text
+
+    def encode_arrays(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """(ids, parity): the tokenizers library's ids, and whether SentencePiece gives the same.
 
         The model sees one word at a time, and the prefix makes a word after one space the same as a text of its
         own: texts with single spaces are put together from words. SentencePiece encodes every text as a whole;
         where its ids differ, the tokenizers library encodes the whole text too, and that counts.
         """
-        theirs = self.judge.encode(texts, num_threads=self.threads)
-        split = [t.split(" ") if self.by_word and MARK not in t else [""] for t in texts]
-        single = [at for at, words in enumerate(split) if "" not in words]
+        theirs = self.judge.encode(texts, num_threads=self.threads, return_type="numpy")
+        single = [at for at, text in enumerate(texts) if self._single(text)]
         out: list = [None] * len(texts)
         if single:
-            for at, ids in zip(single, self._by_words([split[at] for at in single]), strict=True):
-                if np.array_equal(ids, np.array(theirs[at], np.int32)):
-                    out[at] = (ids, theirs[at], True)
+            for at, ids in zip(single, self._by_words([texts[at] for at in single]), strict=True):
+                if np.array_equal(ids, theirs[at]):
+                    out[at] = (ids, True)
         rest = [at for at, row in enumerate(out) if row is None]
-        for at, ids in zip(rest, self._whole([texts[at] for at in rest]), strict=True):
-            out[at] = (np.array(ids, np.int32), ids, ids == theirs[at])
+        for at, found in zip(rest, self._whole([texts[at] for at in rest]), strict=True):
+            ids = np.array(found, np.int32)
+            out[at] = (ids, np.array_equal(ids, theirs[at]))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of ``encode_arrays``."""
-        return [(ids, same) for _, ids, same in self.encode_arrays(texts)]
+        return [(ids.tolist(), same) for ids, same in self.encode_arrays(texts)]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: Sequence[Sequence[int] | np.ndarray]) -> list[str]:
         """Texts of the ids by the tokenizers library.
 
         As in SentencePiece, control ids stand for nothing and unknown ids for a fixed string.
         """
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        arrays = [np.asarray(row, np.int64) for row in ids]
+        lists = [row.tolist() for row in arrays]
+        texts = self.tokenizer.decode_batch(lists, skip_special_tokens=False)
         special = self.unknown | self.control
-        watched = special | self.mark_bytes
-        for at, row in enumerate(ids):
-            if watched.isdisjoint(row):
+        for at, row in enumerate(lists):
+            if not self.watched.take(arrays[at], mode="clip").any():
                 continue
             if not special.isdisjoint(row) or self.mark_bytes.issubset(row):
                 pieces = [self.surface if i in self.unknown else self.tokenizer.id_to_token(i) for i in row if i not in self.control]
@@ -210,8 +221,8 @@ class Pieces:
     def checked(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round_trip): as ``encode_arrays``, and whether the ids decode to the text."""
         found = self.encode_arrays(texts)
-        back = self.decode([ids for _, ids, _ in found])
-        return [(ids, same, text == again) for (ids, _, same), text, again in zip(found, texts, back, strict=True)]
+        back = self.decode([ids for ids, _ in found])
+        return [(ids, same, text == again) for (ids, same), text, again in zip(found, texts, back, strict=True)]
 
 
 @lru_cache(maxsize=4)

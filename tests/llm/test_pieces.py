@@ -62,6 +62,26 @@ def test_words_are_encoded_once_while_they_are_kept(monkeypatch, letters):
             assert " ".join(sent).split(" ").count("zebra") == 1
 
 
+def test_each_distinct_word_of_a_batch_is_looked_up_once():
+    both, asked = pieces.Pieces(pieces.read_model()), []
+
+    class Recorder(dict):
+        def get(self, word, other=None):
+            asked.append(word)
+            return super().get(word, other)
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    both.known = Recorder()
+    texts = ["the zebra " * 300 + "end", "the", "zebra\nand zebra"]
+    for count in (1, 2):                # unknown and known
+        assert [i for i, _ in both.encode(texts)] == [both.tokenizer.encode(t).ids for t in texts]
+        assert asked.count("zebra") == asked.count("the") == count
+    assert sorted(both.known.values()) == list(range(len(both.known))) and len(both.ends) == len(both.known) + 1
+
+
 def test_a_worker_keeps_no_words_of_a_task(given):
     batches = [pa.array([*TEXTS, None]), pa.array([], pa.string()), pa.array(["The zebra."])]
     kept, found = [], []
