@@ -10,34 +10,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import exchange
 from gleanery.llm.common import packed, release, unpacked
-from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, pack, short_keys, units, unpack
+from gleanery.llm.exchange import Chunk, Payloads, RangeHash, by_bucket, covered, mixed, pack, short_keys, units, unpack
 from gleanery.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 32                    # bytes of the anchors that decide a window's shard
 SEVERAL = np.uint32(1 << 31)
 HOT_BYTES = 1 << 20          # distinct segments of an anchor beyond which they are cut into windows
+PART_BYTES = 1 << 19         # distinct segments of a hot anchor for each bucket its windows are dealt to
 PLAIN_BYTES = 256            # what an anchor may have in a chunk without being listed with its size
 SHARD_BYTES = 4 << 20        # letters of one suffix array; one anchor more at most
 FIRST_BASE = 0x9E3779B97F4A7C15
-FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)      # one for every 8 bytes
+FACTORS = ((8, 0xC2B2AE3D27D4EB4F), (16, 0xD1342543DE82EF95))      # what joins the sums of so many bytes
 
 
 def _grams(data: bytes) -> np.ndarray:
     """A hash of the GRAM bytes at every place of ``data`` (which is padded by GRAM bytes)."""
-    words = np.empty(len(data) - 7, np.uint64)
-    for shift in range(8):
-        part = np.frombuffer(data, "<u8", (len(data) - shift) // 8, shift)
-        words[shift::8] = part
-    # one linear combination, then one scrambling round, in place
-    span = len(words) - (GRAM - 8)
-    out = np.zeros(span, np.uint64)
-    for at, factor in zip(range(0, GRAM, 8), FACTORS, strict=True):
-        out += words[at:at + span] * np.uint64(factor)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy()      # the 8 bytes from every place
+    # one linear combination, then one scrambling round
+    spare = np.empty_like(words)
+    for width, factor in FACTORS:
+        later = np.multiply(words[width:], np.uint64(factor), out=spare[:len(words) - width])
+        words = np.add(words[:-width], later, out=words[:-width])
+    spare = spare[:len(words)]
+    words ^= np.right_shift(words, np.uint64(32), out=spare)
+    words *= np.uint64(0xBF58476D1CE4E5B9)
+    words ^= np.right_shift(words, np.uint64(29), out=spare)
+    return words
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,6 +47,11 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - (width - span)], values[width - span:]) if width > span else values
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of ``sizes`` that begin at ``begins``, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Segments:
     """The stretches of a chunk's texts whose windows share their smallest anchor.
 
@@ -163,67 +167,77 @@ class Anchors:
 
     def __init__(self, segments: Segments, buckets: int):
         keys = short_keys(segments.key, buckets)
-        self.short, self.place = np.unique(keys, return_inverse=True)
-        low, high = np.full(len(self.short), exchange.NO_DOC), np.full(len(self.short), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.place, segments.low)
-        np.maximum.at(high, self.place, segments.high)
-        self.several = low != high
-        self.bytes = np.bincount(self.place, segments.size[segments.heads], len(self.short)).astype(np.int64)
+        order = np.argsort(keys)
+        new = np.append(True, keys[order[1:]] != keys[order[:-1]])[:len(order)]
+        heads = np.flatnonzero(new)
+        self.short = keys[order[heads]]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        if len(order):
+            low, high = segments.low[order], segments.high[order]
+            self.several = np.minimum.reduceat(low, heads) != np.maximum.reduceat(high, heads)
+            self.bytes = np.add.reduceat(segments.size[segments.heads[order]], heads)
+        else:
+            self.several, self.bytes = np.zeros(0, bool), np.zeros(0, np.int64)
+
+
+def distinct(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each text, ``sizes`` of ``letters`` each, among the distinct ones, and those in the same form."""
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    found = texts.dictionary_encode()
+    _, ends, content = found.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64, len(found.dictionary) + 1)
+    return found.indices.to_numpy().astype(np.int64), np.frombuffer(content, np.uint8, ends[-1]), np.diff(ends)
 
 
-def shard_minima(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+def shard_minima(letters: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """For every window of every text: the smallest document of a text with an equal window.
 
-    The texts form one string with a separator after each; suffixes that share
-    ``length`` letters stand together in its suffix array. A window with that many
-    letters left in its text shares no separator, so groups hold windows only.
+    The texts, ``sizes`` of ``letters`` each, form one string with a separator after each;
+    suffixes that share ``length`` letters stand together in its suffix array. A window with
+    that many letters left in its text shares no separator, so groups hold windows only.
     """
-    letters = np.frombuffer(b"".join(texts), np.uint8)
-    used = np.unique(letters)
+    used = np.flatnonzero(np.bincount(letters, minlength=256))
     ranks = np.zeros(256, np.int16)
     ranks[used] = np.arange(len(used)) + 2
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes + 1)
-    string = np.ones(int(sizes.sum()) + len(texts) + 1, np.int16)
-    inside = np.ones(len(string) - 1, bool)
-    inside[ends - 1] = False
-    string[:-1][inside] = ranks[letters]
-    string[-1] = 0
+    string = np.insert(ranks[letters], np.cumsum(sizes), np.int16(1))
+    string = np.append(string, np.int16(0))
     array = suffix_array(string, len(used) + 2)
     prefixes = permuted_prefixes(string, array)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    place = np.arange(len(owner))
-    valid = np.append(place + length < ends[owner], False)
+    windows = np.stack([sizes - length + 1, np.full(len(sizes), length)], axis=1).ravel()
+    valid = np.append(np.repeat(np.arange(len(windows)) % 2 == 0, windows), False)
+    owned = np.append(np.repeat(docs, sizes + 1), exchange.NO_DOC)
+    owned[~valid] = exchange.NO_DOC
     starts = np.flatnonzero(prefixes[array] < length)
-    low = np.minimum.reduceat(np.where(valid[array], np.append(docs[owner], exchange.NO_DOC)[array], exchange.NO_DOC), starts)
-    smallest = np.empty(len(string), np.int64)
-    smallest[array] = np.repeat(low, np.diff(np.append(starts, len(array))))
-    begins = ends - sizes - 1
-    return [smallest[b:b + s - length + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
+    low = np.minimum.reduceat(owned[array], starts)
+    owned[array] = np.repeat(low, np.diff(np.append(starts, len(array))))
+    return owned[valid]
 
 
-def window_minima(texts: list[bytes], anchors: np.ndarray, docs: np.ndarray, length: int) -> list[np.ndarray]:
+def window_minima(letters: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """As ``shard_minima``, sorting only texts whose anchor another text has.
 
     Equal windows have equal anchors, so a text alone with its anchor shares no window,
     and whole anchors can be sorted in shards of SHARD_BYTES.
     """
-    _, place, times = np.unique(anchors, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times[place] > 1)
-    shared = shared[np.argsort(place[shared], kind="stable")]
-    minima = [np.full(len(t) - length + 1, d) for t, d in zip(texts, docs, strict=True)]
-    sizes = np.array([len(texts[i]) + 1 for i in shared.tolist()], np.int64)
-    starts = np.flatnonzero(np.append(True, place[shared][1:] != place[shared][:-1])[:len(shared)])
-    ends = np.append(starts[1:], len(shared))[:len(starts)]
-    begin = size = 0
-    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        size += int(sizes[start:end].sum())
-        if size < SHARD_BYTES and end < len(shared):
+    begins, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+    places = np.cumsum(windows) - windows
+    minima = np.repeat(docs, windows)
+    order = np.argsort(anchors, kind="stable")
+    starts = np.flatnonzero(np.append(True, anchors[order[1:]] != anchors[order[:-1]]))
+    times = np.diff(np.append(starts, len(order)))
+    shared = order[np.repeat(times > 1, times)]
+    ends = np.cumsum(times[times > 1])
+    held = np.cumsum(sizes[shared] + 1)
+    begin = before = 0
+    for end in ends.tolist():
+        if held[end - 1] - before < SHARD_BYTES and end < len(shared):
             continue
         part = shared[begin:end]
-        for i, values in zip(part.tolist(), shard_minima([texts[i] for i in part], docs[part], length), strict=True):
-            minima[i] = values
-        begin, size = end, 0
+        found = shard_minima(letters[_ranges(begins[part], sizes[part])], sizes[part], docs[part], length)
+        minima[_ranges(places[part], windows[part])] = found
+        begin, before = end, held[end - 1]
     return minima
 
 
@@ -237,7 +251,7 @@ def rounds(length: int) -> exchange.Rounds:
             yield bucket, pack(entries[part], large.astype(np.uint32), anchors.bytes[part][large])
 
     def answer(asked: list[tuple[int, bytes]]) -> Payloads:
-        """Which of a chunk's anchors another document has, and which of those are hot.
+        """Which of a chunk's anchors another document has, which of those are hot, and the buckets each of these gets.
 
         Unlisted sizes count as PLAIN_BYTES, so no anchor with more than HOT_BYTES is missed.
         """
@@ -252,78 +266,78 @@ def rounds(length: int) -> exchange.Rounds:
         live = times > 1
         live[place[keys >= SEVERAL]] = True
         mask = live[place]
-        hot = mask & (np.bincount(place, sizes) > HOT_BYTES)[place]
+        held = np.bincount(place, sizes).astype(np.int64)[place]
+        hot = mask & (held > HOT_BYTES)
         at = 0
         for (chunk, _), entries in zip(asked, arrays, strict=True):
-            part, cut = mask[at:at + len(entries)], hot[at:at + len(entries)]
-            at += len(entries)
+            part, cut = mask[at:at + len(entries)], np.flatnonzero(hot[at:at + len(entries)])
             if part.any():
-                yield chunk, pack(np.packbits(part), np.flatnonzero(cut).astype(np.uint32))
+                yield chunk, pack(np.packbits(part), cut.astype(np.uint32), 1 + held[at + cut] // PART_BYTES)
+            at += len(entries)
 
     def ask_again(chunk: Chunk, buckets: int, told: list[tuple[int, bytes]]) -> Payloads:
         """The distinct segments of anchors that another document has; of hot ones their windows.
 
-        A hot anchor's windows are dealt by their whole content, to buckets of their own.
+        A hot anchor's windows are dealt by their whole content, to as many buckets as its segments fill.
         """
         segments = Segments(chunk, length)
         anchors = Anchors(segments, buckets)
-        live, hot, answers = np.zeros(len(anchors.short), bool), np.zeros(len(anchors.short), bool), dict(told)
+        live, parts, answers = np.zeros(len(anchors.short), bool), np.zeros(len(anchors.short), np.int64), dict(told)
         for bucket, part in by_bucket(anchors.short):
             if bucket in answers:
-                bits, cut = unpack(answers[bucket])
+                bits, cut, dealt = unpack(answers[bucket])
                 live[part] = np.unpackbits(bits, count=part.stop - part.start).astype(bool)
-                hot[part.start + cut.astype(np.int64)] = True
-        if hot.any():
-            yield from ask_windows(chunk, buckets, segments, np.flatnonzero(hot[anchors.place]))
-        number = np.flatnonzero((live & ~hot)[anchors.place])
+                parts[part.start + cut.astype(np.int64)] = dealt
+        letters = np.frombuffer(b"".join(chunk.texts), np.uint8)
+        if parts.any():
+            groups = np.flatnonzero(parts[anchors.place])
+            anchor = anchors.place[groups]
+            yield from ask_windows(chunk, buckets, segments, letters, groups, anchors.short[anchor], parts[anchor])
+        number = np.flatnonzero((live & (parts == 0))[anchors.place])
         short = anchors.short[anchors.place[number]]
         order = np.argsort(short, kind="stable")
         number, short = number[order], short[order]
+        heads = segments.heads[number]
+        begins, sizes = segments.first[segments.row[heads]] + segments.begin[heads], segments.size[heads]
         for bucket, part in by_bucket(short):
             mine = number[part]
-            heads = segments.heads[mine]
-            content = b"".join(
-                chunk.texts[row][begin:begin + size]
-                for row, begin, size in zip(
-                    segments.row[heads].tolist(), segments.begin[heads].tolist(), segments.size[heads].tolist(),
-                    strict=True,
-                )
-            )
             yield bucket, pack(
                 mine.astype(np.uint32), short[part].astype(np.uint32),
-                segments.low[mine], segments.size[heads].astype(np.uint32),
-                np.frombuffer(content, np.uint8),
+                segments.low[mine], sizes[part].astype(np.uint32), letters[_ranges(begins[part], sizes[part])],
             )
 
-    def ask_windows(chunk: Chunk, buckets: int, segments: Segments, groups: np.ndarray) -> Payloads:
-        """The distinct windows of segments; ``length`` buckets for each of the others, as windows overlap."""
+    def ask_windows(
+        chunk: Chunk, buckets: int, segments: Segments, letters: np.ndarray,
+        groups: np.ndarray, short: np.ndarray, parts: np.ndarray,
+    ) -> Payloads:
+        """The distinct windows of segments, dealt to ``parts`` of the buckets behind the others by group.
+
+        There are ``length`` such buckets for each of the others, as windows overlap.
+        """
         windows = Windows(chunk, segments, groups, length)
-        bucket = (windows.key % np.uint64(buckets * length)).astype(np.int64) + buckets
+        of = np.searchsorted(groups, windows.group[windows.heads])
+        bucket = mixed(short[of]) % np.uint64(buckets * length) + windows.key % parts[of].astype(np.uint64)
+        bucket = (bucket % np.uint64(buckets * length)).astype(np.int64) + buckets
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             at = windows.heads[part]
             head = segments.heads[windows.group[at]]
-            begins = segments.begin[head] + windows.offset[at]
-            content = b"".join(
-                chunk.texts[row][begin:begin + length]
-                for row, begin in zip(segments.row[head].tolist(), begins.tolist(), strict=True)
-            )
+            begins = segments.first[segments.row[head]] + segments.begin[head] + windows.offset[at]
             yield int(bucket[part[0]]), pack(
-                windows.place[at], windows.low[part], windows.high[part], np.frombuffer(content, np.uint8)
+                windows.place[at], windows.low[part], windows.high[part],
+                letters[_ranges(begins, np.full(len(part), length))],
             )
 
     def answer_windows(asked: list[tuple[int, list[np.ndarray]]]) -> Payloads:
         """The smallest document of each window that is smaller than one of the chunk's."""
-        smallest: dict[bytes, int] = {}
-        sent = []
-        for chunk, (place, low, high, content) in asked:
-            data = content.tobytes()
-            windows = [data[at:at + length] for at in range(0, len(data), length)]
-            for window, doc in zip(windows, low.tolist(), strict=True):
-                smallest[window] = min(smallest.get(window, doc), doc)
-            sent.append((chunk, place, high, windows))
-        for chunk, place, high, windows in sent:
-            low = np.array([smallest[w] for w in windows], np.int64)
+        letters = np.concatenate([content for _, (_, _, _, content) in asked])
+        number, _, sizes = distinct(letters, np.full(len(letters) // length, length))
+        smallest = np.full(len(sizes), exchange.NO_DOC)
+        np.minimum.at(smallest, number, np.concatenate([low for _, (_, low, _, _) in asked]))
+        at = 0
+        for chunk, (place, _, high, _) in asked:
+            low = smallest[number[at:at + len(place)]]
+            at += len(place)
             smaller = low < high
             if smaller.any():
                 yield chunk, pack(place[smaller], low[smaller])
@@ -340,8 +354,7 @@ def rounds(length: int) -> exchange.Rounds:
         group = windows.group[gone]
         repeat = np.diff(np.append(segments.heads, len(segments.group)))[group]
         entry = np.repeat(gone, repeat)
-        member = np.arange(len(entry)) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(segments.heads[group], repeat)
-        return member, windows.offset[entry], low[windows.number[entry]]
+        return _ranges(segments.heads[group], repeat), windows.offset[entry], low[windows.number[entry]]
 
     def answer_again(asked: list[tuple[int, bytes]]) -> Payloads:
         """Ranges of a segment's windows that a smaller document than the chunk's has."""
@@ -349,38 +362,27 @@ def rounds(length: int) -> exchange.Rounds:
         if len(first) == 4:                                  # a bucket of windows
             yield from answer_windows([(chunk, unpack(payload)) for chunk, payload in asked])
             return
-        distinct: dict[bytes, int] = {}
-        anchor_of: list[int] = []
-        sent, texts_of, docs_of = [], [], []
-        for chunk, payload in asked:
-            number, anchors, docs, sizes, content = unpack(payload)
-            data, at = content.tobytes(), 0
-            which = np.empty(len(number), np.int64)
-            for i, (size, anchor) in enumerate(zip(sizes.tolist(), anchors.tolist(), strict=True)):
-                place = which[i] = distinct.setdefault(data[at:at + size], len(distinct))
-                if place == len(anchor_of):
-                    anchor_of.append(anchor)
-                at += size
-            sent.append((chunk, number, docs, which))
-            texts_of.append(which)
-            docs_of.append(docs)
-        low = np.full(len(distinct), exchange.NO_DOC)
-        np.minimum.at(low, np.concatenate(texts_of), np.concatenate(docs_of))
-        minima = window_minima(list(distinct), np.array(anchor_of), low, length)
-        sizes = np.array([len(m) for m in minima], np.int64)
-        flat = np.concatenate(minima)
-        owner = np.repeat(np.arange(len(minima)), sizes)
+        parts = [unpack(payload) for _, payload in asked]
+        place, texts, sizes = distinct(np.concatenate([p[4] for p in parts]), np.concatenate([p[3] for p in parts]))
+        anchors = np.empty(len(sizes), np.uint32)
+        anchors[place] = np.concatenate([p[1] for p in parts])
+        low = np.full(len(sizes), exchange.NO_DOC)
+        np.minimum.at(low, place, np.concatenate([p[2] for p in parts]))
+        flat = window_minima(texts, sizes, anchors, low, length)
+        sizes = sizes - length + 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         begins = np.cumsum(sizes) - sizes
         cut = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
         value, text = flat[cut], owner[cut]
         start = cut - begins[text]
         end = np.append(cut[1:], len(flat)) - begins[text]
-        first = np.searchsorted(text, np.arange(len(minima)))
-        count = np.bincount(text, minlength=len(minima))
-        for chunk, number, docs, which in sent:
+        first = np.searchsorted(text, np.arange(len(sizes)))
+        count = np.bincount(text, minlength=len(sizes))
+        ends = np.cumsum([len(p[0]) for p in parts])
+        for (chunk, _), (number, _, docs, _, _), which in zip(asked, parts, np.split(place, ends[:-1]), strict=True):
             times = count[which]
             entry = np.repeat(np.arange(len(which)), times)
-            run = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + first[which[entry]]
+            run = _ranges(first[which], times)
             smaller = value[run] < docs[entry]
             if smaller.any():
                 entry, run = entry[smaller], run[smaller]
@@ -397,20 +399,20 @@ def rounds(length: int) -> exchange.Rounds:
         starts, ends = [at[whole]], [at[whole] + segments.size[whole]]
         times = np.diff(np.append(segments.heads, len(segments.group)))
         cut = [payload for bucket, payload in told if bucket >= buckets]
+        runs = [unpack(payload) for bucket, payload in told if bucket < buckets]
         if cut:
             member, offset, low = told_windows(chunk, segments, cut)
             member, offset = member[low < segments.docs[member]], offset[low < segments.docs[member]]
             starts.append(at[member] + offset)
             ends.append(at[member] + offset + length)
-        for bucket, payload in told:
-            if bucket >= buckets:
-                continue
-            steps, begin, end, table, place = unpack(payload)
-            group = np.cumsum(steps.astype(np.int64))
+        if runs:
+            group = np.concatenate([np.cumsum(steps, dtype=np.int64) for steps, *_ in runs])
+            begin, end = (np.concatenate([run[i] for run in runs]).astype(np.int64) for i in (1, 2))
+            low = np.concatenate([table[place] for *_, table, place in runs])
             repeat = times[group]
             answer = np.repeat(np.arange(len(group)), repeat)
-            member = np.arange(len(answer)) - np.repeat(np.cumsum(repeat) - repeat, repeat) + segments.heads[group[answer]]
-            gone = table[place[answer]] < segments.docs[member]
+            member = _ranges(segments.heads[group], repeat)
+            gone = low[answer] < segments.docs[member]
             answer, member = answer[gone], member[gone]
             starts.append(at[member] + begin[answer])
             ends.append(at[member] + end[answer] + (length - 1))

@@ -10,8 +10,8 @@ FEW = 4096     # alphabets up to this size are induced bucket by bucket in array
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S), False where larger (L); the last is S."""
     n = len(text)
-    change = np.flatnonzero(text[:-1] != text[1:])
-    following = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
+    change = np.flatnonzero(text[:-1] != text[1:])       # the last letter is the only 0, so a change precedes it
+    following = np.repeat(change, np.diff(change, prepend=-1))
     small = np.ones(n, bool)
     small[:-1] = text[following] < text[following + 1]
     return small
@@ -139,13 +139,39 @@ def _names(text: np.ndarray, ordered: np.ndarray, lengths: np.ndarray) -> np.nda
     return np.cumsum(~same) - 1
 
 
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``names``, which end with the only 0, by doubling their ranks.
+
+    Suffixes that agree in ``step`` names share the place of the first of them as rank;
+    only those that still share one are compared further, by the rank ``step`` names on.
+    """
+    n = len(names)
+    order = np.argsort(names)
+    rank = np.empty(n, np.int64)
+    keys = names[order]
+    places, step = np.arange(n), 1
+    while True:
+        new = np.append(True, keys[1:] != keys[:-1])
+        heads = np.flatnonzero(new)
+        rank[order[places]] = places[heads].repeat(np.diff(np.append(heads, len(new))))
+        alone = new & np.append(new[1:], True)
+        places = places[~alone]
+        if not len(places):
+            return order
+        at = order[places]
+        keys = rank[at] * n + rank[at + step]
+        inner = np.argsort(keys)
+        order[places], keys = at[inner], keys[inner]
+        step *= 2
+
+
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Order of the suffixes of ``text``, numbers below ``size`` that end with the only 0.
 
     Suffixes are classified, the leftmost-smaller substrings are sorted by induction
-    and named, the string of names is sorted by the same function where names repeat,
-    and the whole order is induced from theirs. Small alphabets are induced in array
-    operations per character, large ones, which deeper levels have, in plain loops.
+    and named, the string of names is sorted by doubling where names repeat, and the
+    whole order is induced from theirs. Small alphabets are induced in array
+    operations per character, large ones in plain loops.
     """
     n = len(text)
     if n == 1:
@@ -166,7 +192,7 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[number[ordered]] = names
-        ordered = lms[suffix_array(reduced, int(names[-1]) + 1)]
+        ordered = lms[_order_of_names(reduced)]
     return induce(text, small, size, ordered)
 
 
@@ -180,23 +206,28 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     phi = np.empty(n, np.int64)
     phi[array[0]] = -1
     phi[array[1:]] = array[:-1]
-    before = phi - 1
-    place = np.arange(n)
-    reducible = (phi > 0) & (place > 0)
-    reducible[1:] &= text[np.maximum(before[1:], 0)] == text[:-1]
-    reducible[1:] &= phi[:-1] == before[1:]
-    open_ = np.flatnonzero(~reducible)
+    reducible = np.zeros(n, bool)
+    reducible[1:] = (phi[1:] > 0) & (phi[:-1] == phi[1:] - 1) & (text[phi[1:] - 1] == text[:-1])
+    open_ = np.flatnonzero(~reducible & (phi >= 0))
     values = np.zeros(n, np.int64)
-    other = phi[open_]
-    keep = other >= 0
-    at, other = open_[keep], other[keep]
+    # letters are compared several at a time where they fit; the only 0, at the end, ends every comparison
+    several = 4 if text.max() < 1 << 16 else 1
+    words = text
+    if several > 1:
+        words = np.ndarray(n, "<u8", np.append(text, [0] * several).astype("<u2"), strides=(2,)).copy()
+    at, other = open_, phi[open_]
     depth = 0
     while len(at):
-        inside = (at + depth < n) & (other + depth < n)
-        at, other = at[inside], other[inside]
-        equal = text[at + depth] == text[other + depth]
-        values[at[~equal]] = depth
+        differ = words[at + depth] ^ words[other + depth]
+        equal = differ == 0
+        if several > 1:
+            lowest = differ[~equal]
+            lowest &= ~lowest + np.uint64(1)
+            values[at[~equal]] = depth + sum((lowest >> np.uint64(bits) > 0).astype(np.int64) for bits in (16, 32, 48))
+        else:
+            values[at[~equal]] = depth
         at, other = at[equal], other[equal]
-        depth += 1
+        depth += several
+    place = np.arange(n)
     anchor = np.maximum.accumulate(np.where(~reducible, place, 0))
     return np.maximum(values[anchor] - (place - anchor), 0)

@@ -211,3 +211,28 @@ def test_words_of_two_letters_equal_brute_force(spark):
     rows = [(i, t.replace(" ", "  ", 1) + " " + rows[(i * 7) % 40][1][:9000]) for i, t in rows]
     found = blocks.report(docs_of(spark, rows))
     assert sorted([tuple(r) for r in found.collect()], key=str) == brute_words(rows, 13)
+
+
+def test_names_of_suffixes_are_not_sorted_in_plain_loops(monkeypatch):
+    def loops(*_):
+        raise AssertionError("plain loops over a large text")
+
+    monkeypatch.setattr(suffixes, "_induce_lists", loops)
+    dice = np.random.default_rng(1)
+    text = np.append(dice.integers(1, 90, (2000, 9))[dice.integers(0, 2000, 3000)].ravel(), 0)
+    array = suffixes.suffix_array(text, 90)
+    whole = text.tolist()
+    assert array.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:i + 1200])
+
+
+def test_windows_of_a_hot_anchor_go_to_few_buckets(monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_BYTES", 4000)
+    monkeypatch.setattr(substrings, "PART_BYTES", 20_000, raising=False)
+    rows = shared_passage(1500)
+    chunk = exchange.Chunk(np.array([i for i, _ in rows]), [t.encode() for _, t in rows], np.arange(len(rows)))
+    steps, buckets, told, held = substrings.rounds(50), 8, [], 0
+    for bucket, payload in steps.ask(chunk, buckets):
+        told += [(bucket, answer) for _, answer in steps.answer([(0, payload)])]
+        held += int(exchange.unpack(payload)[2].sum())
+    sent = [bucket for bucket, _ in steps.ask_again(chunk, buckets, told) if bucket >= buckets]
+    assert sent and len(sent) == len(set(sent)) <= held // 4000 + held // 20_000
